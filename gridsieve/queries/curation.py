@@ -155,11 +155,11 @@ def b12(spark, d):
 
 @query("b13_cap_by_scalar_max", """
 SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice FROM lineitem
-WHERE l_extendedprice <= 3 * (SELECT max(l_extendedprice) FROM lineitem WHERE l_quantity <= 5)
+WHERE l_extendedprice <= 0.5 * (SELECT max(l_extendedprice) FROM lineitem WHERE l_quantity <= 5)
 """)
 def b13(spark, d):
     li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice")
-    return curate.cap_by_reference_max(li, "l_extendedprice", li.filter("l_quantity <= 5"), "l_extendedprice", 3.0)
+    return curate.cap_by_reference_max(li, "l_extendedprice", li.filter("l_quantity <= 5"), "l_extendedprice", 0.5)
 
 
 @query("b14_group_min_count", """
@@ -285,34 +285,38 @@ def f6(spark, d):
     return e.groupBy("event_type").agg(best.alias("b")).select("event_type", "b.value", "b.event_id")
 
 
+def large_orders(spark, d):
+    return table(spark, d, "orders").filter("o_totalprice > 400000").select("o_custkey")
+
+
 @query("g1_difference", """
-SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)
+SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)
 """)
 def g1(spark, d):
-    orders = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    orders = large_orders(spark, d).select(F.col("o_custkey").alias("c_custkey"))
     return table(spark, d, "customer").select("c_custkey").subtract(orders)
 
 
-@query("g2_intersection", "SELECT c_custkey FROM customer INTERSECT SELECT o_custkey FROM orders")
+@query("g2_intersection", "SELECT c_custkey FROM customer INTERSECT SELECT o_custkey FROM orders WHERE o_totalprice > 400000")
 def g2(spark, d):
-    orders = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    orders = large_orders(spark, d).select(F.col("o_custkey").alias("c_custkey"))
     return table(spark, d, "customer").select("c_custkey").intersect(orders)
 
 
 @query("c11_anti_join", """
-SELECT c_custkey, c_mktsegment FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)
+SELECT c_custkey, c_mktsegment FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000)
 """)
 def c11(spark, d):
-    o = table(spark, d, "orders").select("o_custkey")
+    o = large_orders(spark, d)
     c = table(spark, d, "customer")
     return c.join(o, c.c_custkey == o.o_custkey, "left_anti").select("c_custkey", "c_mktsegment")
 
 
 @query("c12_semi_join", """
-SELECT c_custkey, c_mktsegment FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)
+SELECT c_custkey, c_mktsegment FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000)
 """)
 def c12(spark, d):
-    o = table(spark, d, "orders").select("o_custkey")
+    o = large_orders(spark, d)
     c = table(spark, d, "customer")
     return c.join(o, c.c_custkey == o.o_custkey, "left_semi").select("c_custkey", "c_mktsegment")
 

@@ -75,7 +75,7 @@ def main():
     prefixes = tuple(args[1:])
     sf_dir = f"/root/testdata/sf{sf}"
     spark = build_session("compare", "local[8]", **{
-        "spark.sql.shuffle.partitions": "8", "spark.driver.memory": "12g",
+        "spark.sql.shuffle.partitions": "8", "spark.driver.memory": "12g", "spark.ui.showConsoleProgress": "false",
     })
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(sf_dir)
