@@ -49,40 +49,45 @@ def fold_of(key: str | Column, n_folds: int = 5, seed: int = 42) -> Column:
     return F.pmod(hash32(key, seed), F.lit(n_folds)).cast("int")
 
 
-def _encoding(n: Column, mean: Column, var: Column, g_mean: Column, g_var: Column) -> Column:
-    """Empirical-Bayes shrinkage of a category mean towards the global mean."""
+def _shrunk(n: Column, s: Column, q: Column, g_mean: Column, g_var: Column) -> Column:
+    """Category mean shrunk towards the global mean by its signal-to-noise ratio (empirical Bayes)."""
+    mean = s / n
+    var = F.greatest(q / n - mean * mean, F.lit(0.0))
     weight = n * g_var / (n * g_var + var)
     return F.when(n * g_var + var > 0, weight * mean + (1 - weight) * g_mean).otherwise(mean)
 
 
-def _moments(n: Column, s: Column, q: Column) -> tuple[Column, Column]:
-    mean = s / n
-    return mean, F.greatest(q / n - mean * mean, F.lit(0.0))
+def _moments(rows: Sequence) -> tuple[float, float, float]:
+    """Count, mean and sum of squared deviations of merged parts."""
+    n = sum(r["n"] for r in rows)
+    if not n:
+        return 0.0, 0.0, 0.0
+    mean = sum(r["n"] * r["mean"] for r in rows) / n
+    m2 = sum(r["n"] * r["var"] + r["n"] * (r["mean"] - mean) ** 2 for r in rows)
+    return float(n), mean, m2
 
 
-def target_stats(train: DataFrame, cat: str, target: str, fold: str | None = None) -> DataFrame:
-    """Counts, sums and sums of squares of the centred target per (fold, category).
+def _part_moments(train: DataFrame, target: str, parts: Column) -> list:
+    """Count, mean, variance of the target per part: a handful of rows, read by the driver."""
+    return train.filter(F.col(target).isNotNull()).groupBy(parts.alias("part")).agg(
+        F.count(target).alias("n"), F.avg(target).alias("mean"), F.var_pop(target).alias("var")
+    ).collect()
 
-    Centring on the global mean keeps the sums of squares well conditioned.
-    """
-    centre = train.agg(F.avg(target).alias("m")).scalar()
-    y = F.col(target) - centre
-    keys = [cat] + ([fold] if fold else [])
-    return train.withColumn("_y", y).groupBy(*keys).agg(
-        F.count("_y").alias("n"), F.sum("_y").alias("s"), F.sum(F.col("_y") * F.col("_y")).alias("q"),
-        F.max(centre).alias("centre"),
-    )
+
+def _category_sums(train: DataFrame, keys: Sequence[str], target: str, centre: float) -> DataFrame:
+    """Counts, sums and sums of squares of the centred target (centring keeps the squares small)."""
+    y = F.col(target) - F.lit(centre)
+    return train.groupBy(*keys).agg(F.count(y).alias("n"), F.sum(y).alias("s"), F.sum(y * y).alias("q"))
 
 
 def fit_target_encoding(train: DataFrame, cat: str, target: str) -> DataFrame:
     """(category, encoding, global_mean) from all training rows; for rows outside the training set."""
-    stats = target_stats(train, cat, target)
-    total = stats.agg(F.struct(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q")).alias("t")).scalar()
-    g_mean, g_var = _moments(total["n"], total["s"], total["q"])
-    mean, var = _moments(F.col("n"), F.col("s"), F.col("q"))
-    return stats.select(
-        cat, (_encoding(F.col("n"), mean, var, g_mean, g_var) + F.col("centre")).alias("encoding"),
-        (g_mean + F.col("centre")).alias("global_mean"),
+    n, centre, m2 = _moments(_part_moments(train, target, F.lit(0)))
+    stats = _category_sums(train, [cat], target, centre)
+    g_var = F.lit(m2 / n if n else 0.0)
+    enc = _shrunk(F.col("n"), F.col("s"), F.col("q"), F.lit(0.0), g_var)
+    return stats.filter(F.col("n") > 0).select(
+        cat, (enc + F.lit(centre)).alias("encoding"), F.lit(centre).alias("global_mean")
     )
 
 
@@ -96,20 +101,22 @@ def apply_target_encoding(df: DataFrame, fitted: DataFrame, cat: str, out: str)
 def cross_fit_target_encoding(train: DataFrame, cat: str, target: str, fold: str, out: str) -> DataFrame:
     """Encodes each training row from the rows of the other folds only.
 
-    Everything comes from one (fold, category) aggregate: statistics without a fold are the
-    category totals minus that fold's own sums.
+    Everything comes from one (category, fold) aggregate: a category's statistics without a
+    fold are its totals minus that fold's own sums. The driver reads one row per fold.
     """
-    stats = target_stats(train, cat, target, fold)
+    parts = _part_moments(train, target, F.col(fold))
+    _, centre, _ = _moments(parts)
+    g_mean, g_var = F.lit(0.0), F.lit(0.0)
+    for part in parts:
+        n, mean, m2 = _moments([p for p in parts if p["part"] != part["part"]])
+        here = F.col(fold) == F.lit(part["part"])
+        g_mean = F.when(here, F.lit(mean - centre if n else 0.0)).otherwise(g_mean)
+        g_var = F.when(here, F.lit(m2 / n if n else 0.0)).otherwise(g_var)
+    stats = _category_sums(train, [cat, fold], target, centre)
     per_cat = stats.groupBy(cat).agg(F.sum("n").alias("cn"), F.sum("s").alias("cs"), F.sum("q").alias("cq"))
-    per_fold = stats.groupBy(fold).agg(
-        F.sum("n").alias("fn"), F.sum("s").alias("fs"), F.sum("q").alias("fq"), F.max("centre").alias("fc")
-    )
-    total = per_fold.agg(
-        F.struct(F.sum("fn").alias("n"), F.sum("fs").alias("s"), F.sum("fq").alias("q")).alias("t")
-    ).scalar()
-    out_of_fold = null_safe_join(stats, per_cat, [cat]).join(per_fold, fold)
-    n, s, q = F.col("cn") - F.col("n"), F.col("cs") - F.col("s"), F.col("cq") - F.col("q")
-    g_mean, g_var = _moments(total["n"] - F.col("fn"), total["s"] - F.col("fs"), total["q"] - F.col("fq"))
-    mean, var = _moments(n, s, q)
-    enc = F.when(n > 0, _encoding(n, mean, var, g_mean, g_var)).otherwise(g_mean) + F.col("fc")
-    return null_safe_join(train, out_of_fold.select(cat, fold, enc.alias(out)), [cat, fold])
+    rest = null_safe_join(stats, per_cat, [cat])
+    n = F.col("cn") - F.col("n")
+    s = F.col("cs") - F.coalesce("s", F.lit(0.0))
+    q = F.col("cq") - F.coalesce("q", F.lit(0.0))
+    enc = F.when(n > 0, _shrunk(n, s, q, g_mean, g_var)).otherwise(g_mean) + F.lit(centre)
+    return null_safe_join(train, rest.select(cat, fold, enc.alias(out)), [cat, fold])
