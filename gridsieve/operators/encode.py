@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridsieve.functions.hashing import hash32
 from gridsieve.functions.ranking import column_quantiles, cumulative_counts, null_safe_join
 
 
@@ -37,18 +36,6 @@ def label_encode(df: DataFrame, col: str, out: str) -> DataFrame:
     return df.join(codes, col, "left")
 
 
-def complete_schema(df: DataFrame, required: dict[str, Column | float | str | None]) -> DataFrame:
-    """Adds every missing required column with its default; present columns stay as they are."""
-    missing = {
-        c: (v if isinstance(v, Column) else F.lit(v)) for c, v in required.items() if c not in df.columns
-    }
-    return df.withColumns(missing) if missing else df
-
-
-def fold_of(key: str | Column, n_folds: int = 5, seed: int = 42) -> Column:
-    return F.pmod(hash32(key, seed), F.lit(n_folds)).cast("int")
-
-
 def _shrunk(n: Column, s: Column, q: Column, g_mean: Column, g_var: Column) -> Column:
     """Category mean shrunk towards the global mean by its signal-to-noise ratio (empirical Bayes)."""
     mean = s / n

@@ -1,6 +1,6 @@
 """Registered queries, one module per operator family."""
 
 from gridsieve.queries.common import ORACLES, QUERIES
-from gridsieve.queries import aggregates, curation, lookups, neighbors, windows  # noqa: F401
+from gridsieve.queries import aggregates, curation, lookups, models, neighbors, windows  # noqa: F401
 
 __all__ = ["ORACLES", "QUERIES"]
