@@ -5,6 +5,7 @@ A result therefore does not depend on partitioning, retries or executor loss.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -40,3 +41,30 @@ def poisson1(u: Column) -> Column:
     for count in range(len(POISSON1_CDF) - 1, -1, -1):
         out = F.when(u < F.lit(POISSON1_CDF[count]), F.lit(count)).otherwise(out)
     return out.cast("int")
+
+
+DRAWS_PER_DIGEST = 4
+
+
+def digest_draws(key: Column, block: Column | int, seed: int | str = 42) -> Column:
+    """md5(key || '#' || block || '-' || seed): four 32-bit draws of eight hex digits each.
+
+    Members 4b .. 4b+3 take their draws from block b, so a digest serves four members.
+    """
+    block = F.lit(block) if isinstance(block, int) else block
+    return F.md5(F.concat(key.cast("string"), F.lit("#"), block.cast("string"), F.lit(f"-{seed}")))
+
+
+def poisson1_hex(digits: Column) -> Column:
+    """Poisson(1) count from eight hex digits; fixed-width hex text compares like the number."""
+    out = F.lit(len(POISSON1_CDF))
+    for count in range(len(POISSON1_CDF) - 1, -1, -1):
+        limit = f"{math.ceil(POISSON1_CDF[count] * TWO_32):08x}"
+        out = F.when(digits < F.lit(limit), F.lit(count)).otherwise(out)
+    return out.cast("int")
+
+
+def member_poisson(key: Column, member: int, seed: int | str = 42) -> Column:
+    """The bootstrap weight of one member."""
+    digest = digest_draws(key, member // DRAWS_PER_DIGEST, seed)
+    return poisson1_hex(F.substring(digest, member % DRAWS_PER_DIGEST * 8 + 1, 8))

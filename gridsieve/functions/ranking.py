@@ -8,7 +8,7 @@ Equal values are pre-aggregated to one counted row, so a hot value weighs one ro
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
@@ -33,7 +33,7 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return left.join(renamed, cond, how).drop(*[f"_r_{k}" for k in keys])
 
 
-def range_edges(df: DataFrame, cols: Sequence[str], n: int, accuracy: int = 10_000) -> dict[str, list[float]]:
+def range_edges(df: DataFrame, cols: Sequence[str], n: int, accuracy: int = 2_000) -> dict[str, list[float]]:
     """Near-equal-count cut points per column: one aggregate, at most ``n`` numbers each.
 
     Only the balance of the buckets depends on these edges; every result is exact for any edges.
@@ -105,19 +105,26 @@ def average_ranks(df: DataFrame, value: str, by: Sequence[str] = (), **kw) -> Da
     )
 
 
-def pick_quantiles(cum: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+def _position(p: float | Callable[[Column], Column], total: Column) -> Column:
+    """0-based fractional position of a quantile; a callable derives the level from the row count."""
+    return (total - 1) * (p(total) if callable(p) else F.lit(float(p)))
+
+
+def pick_quantiles(
+    cum: DataFrame, value: str, probs: Sequence[float | Callable[[Column], Column]], by: Sequence[str] = ()
+) -> DataFrame:
     """Linear-interpolation quantiles from a cumulative count table (one row per group)."""
     aggs = [F.max("total").alias("n")]
     first = F.col("cum") - F.col("n")
     for i, p in enumerate(probs):
-        pos = (F.col("total") - 1) * F.lit(float(p))
+        pos = _position(p, F.col("total"))
         for tag, rank in (("lo", F.floor(pos)), ("hi", F.ceil(pos))):
             here = (first <= rank) & (rank < F.col("cum"))
             aggs.append(F.max(F.when(here, F.col(value).cast("double"))).alias(f"_{tag}{i}"))
     picked = cum.groupBy(*by).agg(*aggs)
     out = []
     for i, p in enumerate(probs):
-        pos = (F.col("n") - 1) * F.lit(float(p))
+        pos = _position(p, F.col("n"))
         lo, hi = F.col(f"_lo{i}"), F.col(f"_hi{i}")
         out.append(lo + (hi - lo) * (pos - F.floor(pos)))
     return picked.select(*by, "n", F.array(*out).alias("quantiles"))

@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridsieve.functions.hashing import poisson1, uniform
+from gridsieve.functions.hashing import DRAWS_PER_DIGEST, digest_draws, poisson1_hex
+from gridsieve.session import spread_small_input
 
 
 def poisson_bootstrap(df: DataFrame, key: Column, n_members: int, seed: int = 42) -> DataFrame:
@@ -15,10 +16,20 @@ def poisson_bootstrap(df: DataFrame, key: Column, n_members: int, seed: int = 42
 
     Weights are hashes of (key, member, seed), so replicates are identical on every retry.
     """
-    members = F.explode(F.sequence(F.lit(0), F.lit(n_members - 1)))
-    out = df.select("*", members.alias("member"))
-    draw = uniform(F.concat_ws("#", key.cast("string"), F.col("member").cast("string")), seed)
-    return out.withColumn("boot_weight", poisson1(draw)).filter(F.col("boot_weight") > 0)
+    blocks = F.explode(F.sequence(F.lit(0), F.lit((n_members - 1) // DRAWS_PER_DIGEST)))
+    cols = df.columns
+    digests = spread_small_input(df).select("*", blocks.alias("_block")).withColumn(
+        "_digest", digest_draws(key, F.col("_block"), seed)
+    )
+    draws = F.array(*[
+        F.struct(
+            (F.col("_block") * DRAWS_PER_DIGEST + i).cast("int").alias("member"),
+            poisson1_hex(F.substring("_digest", 8 * i + 1, 8)).alias("boot_weight"),
+        )
+        for i in range(DRAWS_PER_DIGEST)
+    ])
+    out = digests.select(*cols, F.explode(draws).alias("_m")).select(*cols, "_m.member", "_m.boot_weight")
+    return out.filter((F.col("boot_weight") > 0) & (F.col("member") < n_members))
 
 
 def ensemble_quantiles(

@@ -16,10 +16,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
+from gridsieve.functions.hashing import member_poisson
 from gridsieve.functions.scalars import expm1_clipped
 from gridsieve.operators import metrics, ridge
 from gridsieve.operators.split import hash_split, learning_subsets
-from gridsieve.session import ensure_checkpoint_dir
+from gridsieve.session import ensure_checkpoint_dir, spread_small_input
 
 # Search ranges (low, high, scale).
 SEARCH_SPACE = {
@@ -70,6 +71,8 @@ def fit_gbt(
         df = hash_split(df, key, eval_share, seed, out="_part").withColumn("_eval", F.col("_part") == "test")
         gbt = gbt.setValidationIndicatorCol("_eval").setParams(validationTol=tol)
     assembler = VectorAssembler(inputCols=list(features), outputCol="features")
+    if not df.is_cached:
+        df = spread_small_input(df)
     return PipelineModel([assembler, gbt.fit(assembler.transform(df))])
 
 
@@ -82,9 +85,8 @@ def ridge_cv(
     model: str = "Ridge",
 ) -> DataFrame:
     """(model, fold, r2) for held-out folds (random or whole groups) from one pass over the data."""
-    train = ridge.moments(df, features, label, weight, [fold])
-    check = ridge.moments(df, features, label, None, [fold]) if weight else None
-    scores = [(model, int(k), v) for k, v in ridge.cv_r2(train, alpha, validation=check)]
+    mom = ridge.moments(df, features, label, weight, [fold])
+    scores = [(model, int(k), v) for k, v in ridge.cv_r2(mom, alpha)]
     return _score_frame(df.sparkSession, scores, "model string, fold int, r2 double")
 
 
@@ -92,7 +94,7 @@ def model_cv(
     df: DataFrame, label: str, fold: str, fit: Callable[[DataFrame], Model], model: str, parallelism: int = 2
 ) -> DataFrame:
     """(model, fold, r2) for any estimator: the input is cached once, folds fit in a small thread pool."""
-    data = df.persist(StorageLevel.MEMORY_AND_DISK)
+    data = spread_small_input(df).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         folds = [row[0] for row in data.select(fold).distinct().orderBy(fold).collect()]
 
@@ -196,12 +198,10 @@ def bootstrap_models(
     parallelism: int = 2,
 ) -> list[Model]:
     """Bootstrap members of any weighted estimator: cached input, member weights by hash, pooled fits."""
-    from gridsieve.functions.hashing import poisson1, uniform
-
-    data = df.persist(StorageLevel.MEMORY_AND_DISK)
+    data = spread_small_input(df).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         def one(b):
-            draw = poisson1(uniform(F.concat_ws("#", key.cast("string"), F.lit(str(b))), seed))
+            draw = member_poisson(key, b, seed)
             return fit(data.withColumn("boot_weight", draw.cast("double")).filter("boot_weight > 0"), "boot_weight")
 
         with ThreadPoolExecutor(parallelism) as pool:
@@ -257,11 +257,10 @@ def ridge_ablation(
     """
     usable = {name: list(cols) for name, cols in variants.items() if len(cols) >= 2}
     features = sorted({c for cols in usable.values() for c in cols})
-    train = ridge.moments(df, features, label, weight, [fold])
-    check = ridge.moments(df, features, label, None, [fold]) if weight else None
+    mom = ridge.moments(df, features, label, weight, [fold])
     rows, base = [], None
     for i, (name, cols) in enumerate(usable.items()):
-        scores = [v for *_, v in ridge.cv_r2(train, alpha, cols, check)]
+        scores = [v for *_, v in ridge.cv_r2(mom, alpha, cols)]
         mean = float(np.mean(scores))
         base = mean if base is None else base
         rows.append((i, name, len(cols), mean, float(np.std(scores)), mean - base))
@@ -280,7 +279,7 @@ def ridge_learning_curve(
     """
     fractions = sorted(fractions)
     stepped = learning_subsets(df, key, fractions, seed, [fold])
-    mom = ridge.moments(stepped, features, label, None, [fold, "step"])
+    mom = ridge.moments(stepped, features, label, None, [fold, "step"], shift_from=df)
     folds = sorted({k[0] for k in mom.by_key})
     rows = []
     for k in folds:
@@ -301,17 +300,20 @@ def encoding_comparison(
     """Group-CV R2, test R2 and Spearman rho per feature set."""
     features = sorted({c for cols in strategies.values() for c in cols})
     mom = ridge.moments(train, features, label, None, [fold])
-    out = None
-    for name, cols in strategies.items():
-        lomo = float(np.mean([v for *_, v in ridge.cv_r2(mom, alpha, cols)]))
-        scored = test.withColumn("prediction", ridge.solve(mom, mom.total(), alpha, cols).column())
-        r2 = scored.agg(metrics.r2_expr(label, "prediction").alias("r2")).scalar()
-        row = metrics.spearman(scored, label, "prediction").select(
-            F.lit(name).alias("encoding_strategy"), F.lit(lomo).alias("lomo_r2"), r2.alias("test_r2_log"),
-            F.col("rho").alias("spearman_rho"),
-        )
-        out = row if out is None else out.unionByName(row)
-    return out
+    held = test.select(label, *features).persist(StorageLevel.MEMORY_AND_DISK)
+    rows = []
+    try:
+        for name, cols in strategies.items():
+            lomo = float(np.mean([v for *_, v in ridge.cv_r2(mom, alpha, cols)]))
+            scored = held.withColumn("prediction", ridge.solve(mom, mom.total(), alpha, cols).column())
+            r2 = scored.agg(metrics.r2_expr(label, "prediction")).first()[0]
+            rho = metrics.spearman(scored, label, "prediction").first()["rho"]
+            rows.append((name, lomo, r2, rho))
+    finally:
+        held.unpersist()
+    return _score_frame(
+        train.sparkSession, rows, "encoding_strategy string, lomo_r2 double, test_r2_log double, spearman_rho double"
+    )
 
 
 def score(fitted: Model, df: DataFrame, out: str = "pred_log") -> DataFrame:

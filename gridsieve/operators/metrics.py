@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridsieve.functions.ranking import average_ranks, exact_quantiles
+from gridsieve.functions.ranking import average_ranks, cumulative_counts, pick_quantiles, range_edges
 from gridsieve.functions.scalars import expm1_clipped
+from gridsieve.session import default_buckets
 
 
 def _col(c: str | Column) -> Column:
@@ -48,20 +48,19 @@ def spearman(df: DataFrame, y: str, p: str) -> DataFrame:
 
     Works on counted (y, p) pairs, so copies of a pair weigh one row in the rank joins.
     """
-    counted = df.filter(F.col(y).isNotNull() & F.col(p).isNotNull()).groupBy(
-        F.col(y).alias("_y"), F.col(p).alias("_p")
-    ).agg(F.count(F.lit(1)).alias("_w"))
-    pairs = df.filter(F.col(y).isNotNull() & F.col(p).isNotNull())
-    ry = average_ranks(pairs, y).select(F.col(y).alias("_y"), F.col("avg_rank").alias("_ry"))
-    rp = average_ranks(pairs, p).select(F.col(p).alias("_p"), F.col("avg_rank").alias("_rp"))
-    ranked = counted.join(ry, "_y").join(rp, "_p")
-    n = pairs.agg(F.count(F.lit(1)).alias("n")).scalar()
-    mid = (n + 1) / F.lit(2.0)
-    dy, dp, w = F.col("_ry") - mid, F.col("_rp") - mid, F.col("_w")
-    one = ranked.agg(
-        F.sum(w).alias("n_rows"),
-        (F.sum(w * dy * dp) / F.sqrt(F.sum(w * dy * dy) * F.sum(w * dp * dp))).alias("rho"),
+    pairs = df.filter(F.col(y).isNotNull() & F.col(p).isNotNull()).select(y, p)
+    edges = range_edges(pairs, [y, p], default_buckets(df.sparkSession))
+    counted = pairs.groupBy(F.col(y).alias("_y"), F.col(p).alias("_p")).agg(F.count(F.lit(1)).alias("_w"))
+    ry = average_ranks(pairs, y, edges=edges[y]).select(F.col(y).alias("_y"), F.col("avg_rank").alias("_ry"))
+    rp = average_ranks(pairs, p, edges=edges[p]).select(F.col(p).alias("_p"), F.col("avg_rank").alias("_rp"))
+    w, a, b = F.col("_w"), F.col("_ry"), F.col("_rp")
+    one = counted.join(ry, "_y").join(rp, "_p").agg(
+        F.sum(w).alias("n_rows"), F.sum(w * a * b).alias("ab"), F.sum(w * a * a).alias("aa"), F.sum(w * b * b).alias("bb")
     )
+    # the mean rank is (n + 1) / 2 on both sides
+    base = F.col("n_rows") * (F.col("n_rows") + 1) * (F.col("n_rows") + 1) / F.lit(4.0)
+    rho = (F.col("ab") - base) / F.sqrt((F.col("aa") - base) * (F.col("bb") - base))
+    one = one.select("n_rows", rho.alias("rho"))
     t = F.col("rho") * F.sqrt((F.col("n_rows") - 2) / (1 - F.col("rho") * F.col("rho")))
     return one.select("n_rows", "rho", t.alias("t_stat"))
 
@@ -103,23 +102,18 @@ def coverage(df: DataFrame, y: str, lo: str, hi: str, by: Sequence[str] = ()) ->
     )
 
 
-def conformal_level(n: int, alpha: float) -> float:
+def conformal_level(n: Column, alpha: float) -> Column:
     """Finite-sample corrected quantile level, at most 1."""
-    return min(1.0, math.ceil((n + 1) * (1 - alpha)) / n)
+    return F.least(F.lit(1.0), F.ceil((n + 1) * F.lit(1.0 - alpha)) / n)
 
 
 def conformal_quantile(calibration: DataFrame, y: str, p: str, alpha: float = 0.10, **kw) -> DataFrame:
-    """(n_cal, level, q_hat): the conformal quantile of the absolute residuals.
-
-    The level depends on the row count only, which is read first (one number).
-    """
+    """(n_cal, level, q_hat): the conformal quantile of the absolute residuals; NULL without any rows."""
     scores = calibration.select(F.abs(F.col(y) - F.col(p)).alias("_s")).filter(F.col("_s").isNotNull())
-    n = scores.count()
-    if n == 0:
-        raise ValueError("no calibration rows")
-    level = conformal_level(n, alpha)
-    q = exact_quantiles(scores, "_s", [level], **kw)
-    return q.select(F.col("n").alias("n_cal"), F.lit(level).alias("level"), F.col("quantiles")[0].alias("q_hat"))
+    q = pick_quantiles(cumulative_counts(scores, "_s", **kw), "_s", [lambda n: conformal_level(n, alpha)])
+    return q.select(
+        F.col("n").alias("n_cal"), conformal_level(F.col("n"), alpha).alias("level"), F.col("quantiles")[0].alias("q_hat")
+    )
 
 
 def add_conformal_interval(df: DataFrame, p: str, q_hat: DataFrame | float, lo: str = "lower_log", hi: str = "upper_log") -> DataFrame:

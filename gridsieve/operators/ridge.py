@@ -8,6 +8,7 @@ validation R2 both follow from the moments, so no second pass is needed.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
@@ -16,7 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridsieve.functions.hashing import poisson1, uniform
+from gridsieve.functions.hashing import DRAWS_PER_DIGEST, POISSON1_CDF, TWO_32, digest_draws
+from gridsieve.session import spread_small_input
 
 MAX_FEATURES = 400
 FLUSH_GROUPS = 256
@@ -29,6 +31,10 @@ class Moments:
     features: list[str]
     shift: np.ndarray
     by_key: dict[tuple, np.ndarray]
+    plain: dict[tuple, np.ndarray] | None = None  # the same without weights
+
+    def unweighted(self) -> "Moments":
+        return Moments(self.features, self.shift, self.plain) if self.plain is not None else self
 
     def total(self, keys: Iterable[tuple] | None = None) -> np.ndarray:
         picked = self.by_key.values() if keys is None else [self.by_key[k] for k in keys]
@@ -53,35 +59,40 @@ class RidgeFit:
         return df.withColumn("prediction", self.column())
 
 
-def _shift(df: DataFrame, cols: Sequence[str]) -> np.ndarray:
-    row = df.agg(*[F.avg(F.col(c).cast("double")) for c in cols]).first()
-    return np.array([v if v is not None else 0.0 for v in row], dtype=np.float64)
+def _shift(df: DataFrame, cols: Sequence[str], n: int = 1000) -> np.ndarray:
+    """Rough column centres from a few rows. They keep the sums well conditioned and cancel out of every result."""
+    rows = df.select(*[F.col(c).cast("double") for c in cols]).limit(n).collect()
+    return np.array([list(row) for row in rows], dtype=np.float64).mean(axis=0) if rows else np.zeros(len(cols))
 
 
-def _reduce(partials: DataFrame, keys: Sequence[str], size: int) -> dict[tuple, np.ndarray]:
+def _reduce(partials: DataFrame, keys: Sequence[str], shape: tuple[int, ...]) -> dict[tuple, np.ndarray]:
     """Sums flattened moment matrices per group; one row per group reaches the driver."""
     summed = partials.select(*keys, F.posexplode("m").alias("pos", "v")).groupBy(*keys, "pos").agg(F.sum("v").alias("v"))
     rows = summed.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("pos", "v"))).alias("m")).collect()
     return {
-        tuple(row[k] for k in keys): np.array([cell["v"] for cell in row["m"]]).reshape(size, size) for row in rows
+        tuple(row[k] for k in keys): np.array([cell["v"] for cell in row["m"]]).reshape(shape) for row in rows
     }
 
 
 def moments(
-    df: DataFrame, features: Sequence[str], label: str, weight: str | None = None, keys: Sequence[str] = ()
+    df: DataFrame, features: Sequence[str], label: str, weight: str | None = None, keys: Sequence[str] = (),
+    shift_from: DataFrame | None = None,
 ) -> Moments:
-    """Second moments per group. Rows with a NULL among features, label or weight are left out."""
+    """Second moments per group, with weights also the unweighted ones, in one pass.
+
+    Rows with a NULL among features, label or weight are left out. ``shift_from`` names a
+    cheaper table with the same columns for the rough centres.
+    """
     if len(features) > MAX_FEATURES:
         raise ValueError(f"more than {MAX_FEATURES} features; use the iterative MLlib solver")
     cols, keys = [*features, label], list(keys)
     clean = df.dropna(subset=cols + ([weight] if weight else []))
-    shift = _shift(clean, cols)
+    shift = _shift((shift_from or df).dropna(subset=cols), cols)
     size = len(features) + 2
     z = F.array(F.lit(1.0), *[F.col(c).cast("double") - F.lit(float(s)) for c, s in zip(cols, shift)])
-    w = F.col(weight).cast("double") if weight else F.lit(1.0)
-    data = clean.select(*keys, z.alias("_z"), w.alias("_w"))
-    key_types = ", ".join(f"`{k}` {t}" for k, t in data.select(*keys).dtypes) if keys else ""
-    schema = (key_types + ", " if key_types else "") + "m array<double>"
+    extra = [F.col(weight).cast("double").alias("_w")] if weight else []
+    data = spread_small_input(clean.select(*keys, z.alias("_z"), *extra))
+    key_types = "".join(f"`{k}` {t}, " for k, t in data.select(*keys).dtypes) if keys else ""
 
     def emit(acc: dict) -> pd.DataFrame:
         out = pd.DataFrame({"m": [m.ravel() for m in acc.values()]})
@@ -95,10 +106,14 @@ def moments(
             if not len(pdf):
                 continue
             groups = pdf.groupby(keys, dropna=False, sort=False).indices.items() if keys else [((), np.arange(len(pdf)))]
-            zs, ws = np.stack(pdf["_z"].to_numpy()), pdf["_w"].to_numpy()
+            zs = np.stack(pdf["_z"].to_numpy())
             for key, idx in groups:
                 key = key if isinstance(key, tuple) else (key,)
-                part = zs[idx].T @ (zs[idx] * ws[idx, None])
+                block = zs[idx]
+                part = [block.T @ block]
+                if weight:
+                    part.append(block.T @ (block * pdf["_w"].to_numpy()[idx, None]))
+                part = np.stack(part)
                 acc[key] = acc[key] + part if key in acc else part
             if len(acc) > FLUSH_GROUPS:
                 yield emit(acc)
@@ -106,7 +121,10 @@ def moments(
         if acc:
             yield emit(acc)
 
-    return Moments(list(features), shift, _reduce(data.mapInPandas(partial, schema), keys, size))
+    parts = 2 if weight else 1
+    summed = _reduce(data.mapInPandas(partial, key_types + "m array<double>"), keys, (parts, size, size))
+    weighted = {k: m[-1] for k, m in summed.items()}
+    return Moments(list(features), shift, weighted, {k: m[0] for k, m in summed.items()} if weight else None)
 
 
 def bootstrap_moments(
@@ -120,25 +138,27 @@ def bootstrap_moments(
     size = len(features) + 2
     z = F.array(F.lit(1.0), *[F.col(c).cast("double") - F.lit(float(s)) for c, s in zip(cols, shift)])
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
-    draws = F.transform(
-        F.sequence(F.lit(0), F.lit(n_members - 1)),
-        lambda b: poisson1(uniform(F.concat_ws("#", F.col("_k"), b.cast("string")), seed)),
-    )
-    data = clean.select(z.alias("_z"), w.alias("_w"), key.cast("string").alias("_k")).select("_z", "_w", draws.alias("_d"))
+    blocks = -(-n_members // DRAWS_PER_DIGEST)
+    limits = np.array([math.ceil(c * TWO_32) for c in POISSON1_CDF])
+    data = spread_small_input(clean.select(z.alias("_z"), w.alias("_w"), key.cast("string").alias("_k")))
+    digests = F.concat(*[digest_draws(F.col("_k"), b, seed) for b in range(blocks)])
+    data = data.select("_z", "_w", digests.alias("_d"))
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         acc = np.zeros((n_members, size * size))
         for pdf in batches:
             if len(pdf):
                 zs, ws = np.stack(pdf["_z"].to_numpy()), pdf["_w"].to_numpy()
-                counts = np.stack(pdf["_d"].to_numpy()).astype(np.float64) * ws[:, None]
+                draws = np.frombuffer(bytes.fromhex("".join(pdf["_d"])), dtype=">u4").reshape(len(pdf), -1)[:, :n_members]
+                counts = np.searchsorted(limits, draws, side="right") * ws[:, None]
                 for start in range(0, len(zs), 2048):
                     block = zs[start:start + 2048]
                     outer = (block[:, :, None] * block[:, None, :]).reshape(len(block), -1)
                     acc += counts[start:start + 2048].T @ outer
         yield pd.DataFrame({"member": np.arange(n_members, dtype="int32"), "m": list(acc)})
 
-    return Moments(list(features), shift, _reduce(data.mapInPandas(partial, "member int, m array<double>"), ["member"], size))
+    summed = _reduce(data.mapInPandas(partial, "member int, m array<double>"), ["member"], (size, size))
+    return Moments(list(features), shift, summed)
 
 
 def solve(mom: Moments, matrix: np.ndarray, alpha: float = 1.0, subset: Sequence[str] | None = None) -> RidgeFit:
@@ -167,17 +187,15 @@ def r2(mom: Moments, matrix: np.ndarray, fit: RidgeFit) -> float | None:
     return float(1 - v @ matrix @ v / sst) if sst > 0 else None
 
 
-def cv_r2(
-    train: Moments, alpha: float = 1.0, subset: Sequence[str] | None = None, validation: Moments | None = None
-) -> list[tuple]:
-    """(fold key, R2) with each fold held out; ``validation`` holds unweighted moments if weights were used.
+def cv_r2(mom: Moments, alpha: float = 1.0, subset: Sequence[str] | None = None) -> list[tuple]:
+    """(fold key, R2) with each fold held out; fits use the weights, R2 does not.
 
     The moments must be grouped by fold.
     """
-    check = validation or train
-    everything = train.total()
+    check = mom.unweighted()
+    everything = mom.total()
     scores = []
-    for key, own in sorted(train.by_key.items()):
-        fit = solve(train, everything - own, alpha, subset)
+    for key, own in sorted(mom.by_key.items()):
+        fit = solve(mom, everything - own, alpha, subset)
         scores.append((*key, r2(check, check.by_key[key], fit)))
     return scores

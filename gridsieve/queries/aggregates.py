@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from gridsieve.functions.hashing import hash32
 from gridsieve.functions.ranking import column_quantiles
 from gridsieve.operators import encode, ensemble, metrics, profile, split
-from gridsieve.queries.common import PAIRS_SQL, hash32_sql, pairs, query, r, table
+from gridsieve.queries.common import PAIRS_SQL, draw_sql, hash32_sql, pairs, query, r, table
 from gridsieve.queries.curation import PROFILE_COLUMNS, labelled
 
 
@@ -286,7 +286,7 @@ POISSON_SQL = """CASE WHEN u < 0.36787944 THEN 0 WHEN u < 0.73575888 THEN 1 WHEN
 N_MEMBERS = 20
 BOOT_SQL = f"""
 draws AS (SELECT event_id, event_type, value, b.m AS member,
-   {hash32_sql("event_id::VARCHAR || '#' || b.m::VARCHAR", 42)} / 4294967296.0 AS u
+   {draw_sql("event_id", "b.m")} / 4294967296.0 AS u
    FROM events, range({N_MEMBERS}) b(m)),
 boot AS (SELECT *, {POISSON_SQL} AS w FROM draws),
 members AS (SELECT event_type, member::INT AS member, sum(w)::BIGINT AS n_draws, sum(w * value) / sum(w) AS pred

@@ -60,3 +60,9 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def hash32_sql(key: str, seed: int | str = 42) -> str:
     return f"('0x' || substr(md5(({key})::VARCHAR || '-{seed}'), 1, 8))::BIGINT"
+
+
+def draw_sql(key: str, member: str, seed: int = 42) -> str:
+    """The bootstrap draw of a member: eight hex digits of the digest of its block of four."""
+    digest = f"md5(({key})::VARCHAR || '#' || ({member} // 4)::VARCHAR || '-{seed}')"
+    return f"('0x' || substr({digest}, ({member} % 4) * 8 + 1, 8))::BIGINT"

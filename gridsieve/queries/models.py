@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from gridsieve.operators import attribution, ensemble, learn, metrics, ridge, split
 from gridsieve.queries.aggregates import N_MEMBERS, POISSON_SQL, rounded
-from gridsieve.queries.common import hash32_sql, query, r, table
+from gridsieve.queries.common import draw_sql, hash32_sql, query, r, table
 
 ROWS_SQL = """
 rws AS (
@@ -182,7 +182,7 @@ def i8(spark, d):
 
 
 BOOT_FIT_SQL = f"""
-draws AS (SELECT x1, y, b.m AS member, {hash32_sql("row_key || '#' || b.m::VARCHAR", 42)} / 4294967296.0 AS u
+draws AS (SELECT x1, y, b.m AS member, {draw_sql("row_key", "b.m")} / 4294967296.0 AS u
           FROM rws, range({N_MEMBERS}) b(m)),
 bw AS (SELECT member, x1, y, {POISSON_SQL} AS k FROM draws),
 fits AS {ridge1_sql("bw", "k", keys="member")}

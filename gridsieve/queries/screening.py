@@ -182,7 +182,7 @@ def i11(spark, d):
 
 
 @query("i11_stream_scoring", f"""
-{SCORE_SQL} SELECT event_id, round(a + b * value / 10, 6) AS pred_log FROM events, fit
+{SCORE_SQL} SELECT event_id, round(a + b * value / 10, 4) AS pred_log FROM events, fit
 """)
 def i11_stream(spark, d):
     fitted = scorer(spark, d)
@@ -192,7 +192,7 @@ def i11_stream(spark, d):
         return learn.score(fitted, df.select("event_id", (F.col("value") / 10).alias("x1")))
 
     out = score_available(stream, apply)
-    return load_state(spark, out).select("event_id", r("pred_log").alias("pred_log"))
+    return load_state(spark, out).select("event_id", r("pred_log", 4).alias("pred_log"))
 
 
 @query("b6_role_projection", "SELECT l_quantity, l_discount, l_tax, l_returnflag, l_linestatus FROM lineitem")

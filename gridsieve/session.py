@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app_name: str = "gridsieve", master: str | None = None, **conf: str) -> SparkSession:
@@ -61,3 +61,24 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 def default_buckets(spark: SparkSession) -> int:
     """How many range buckets a distributed ranking uses: a few per shuffle partition."""
     return max(32, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+SMALL_SPLIT_BYTES = 128 * 1024 * 1024
+
+
+def spread_small_input(df: DataFrame) -> DataFrame:
+    """Repartitions a table read from few small files before work that multiplies or outweighs its rows.
+
+    A small parquet file is one task whatever the cluster. Larger inputs have enough splits of
+    their own and are returned as they are, so this never shuffles more than one default split
+    per core.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    files = df.inputFiles()
+    if not 0 < len(files) < cores:
+        return df
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    paths = [spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f) for f in files]
+    size = sum(p.getFileSystem(conf).getFileStatus(p).getLen() for p in paths)
+    return df.repartition(cores) if size < cores * SMALL_SPLIT_BYTES else df
