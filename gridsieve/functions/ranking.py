@@ -54,6 +54,13 @@ def add_range_bucket(df: DataFrame, col: str, edges: Sequence[float], out: str =
     return stage.transform(df.withColumn(f"{out}_in", F.col(col).cast("double"))).drop(f"{out}_in")
 
 
+def add_text_bucket(df: DataFrame, col: str, n: int, out: str = "_bucket") -> DataFrame:
+    """Bucket id of a text column, monotone in it: how many of n hash-sampled values are not above it."""
+    sample = df.orderBy(F.xxhash64(col), col).select(col).limit(n).collect()  # n short values
+    cuts = F.array(*[F.lit(row[0]) for row in sample]) if sample else F.array().cast("array<string>")
+    return df.withColumn(out, F.size(F.filter(cuts, lambda cut: cut <= F.col(col))))
+
+
 def bucket_offsets(counted: DataFrame, by: Sequence[str], bucket: str, weight: Column) -> DataFrame:
     """(by, bucket) -> rows before the bucket and rows in the group. One row per bucket."""
     totals = counted.groupBy(*by, bucket).agg(F.sum(weight).alias("_in_bucket"))
@@ -89,6 +96,8 @@ def cumulative_counts(
     else:
         counted = data.groupBy(*by, bucket, value).agg(F.count(F.lit(1)).alias("n"))
     offsets = bucket_offsets(counted, by, bucket, F.col("n"))
+    if not by:  # one row per bucket: a small side whatever the input, so the counted rows stay put
+        offsets = F.broadcast(offsets)
     inside = W.partitionBy(*by, bucket).orderBy(value).rowsBetween(W.unboundedPreceding, W.currentRow)
     return null_safe_join(counted, offsets, [*by, bucket]).select(
         *by, value, "n", (F.col("_before") + F.sum("n").over(inside)).alias("cum"), "total"
@@ -184,6 +193,8 @@ def hash_rank(
     tagged = df.withColumn("_h", hash32(key, seed)).withColumn("_k", key.cast("string"))
     tagged = tagged.withColumn("_bucket", F.floor(F.col("_h") * F.lit(float(n)) / F.lit(TWO_32)).cast("int"))
     offsets = bucket_offsets(tagged.select(*by, "_bucket"), by, "_bucket", F.lit(1)).withColumnRenamed("total", total)
+    if not by:
+        offsets = F.broadcast(offsets)
     inside = W.partitionBy(*by, "_bucket").orderBy("_h", "_k")
     return (
         null_safe_join(tagged, offsets, [*by, "_bucket"])

@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridsieve.functions.ranking import column_quantiles, cumulative_counts, null_safe_join
+from gridsieve.functions.ranking import add_text_bucket, column_quantiles, cumulative_counts, null_safe_join
+from gridsieve.session import default_buckets
 
 
 def fit_medians(train: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -25,14 +26,10 @@ def apply_medians(df: DataFrame, medians: DataFrame, cols: Sequence[str]) -> Dat
 
 
 def label_encode(df: DataFrame, col: str, out: str) -> DataFrame:
-    """Alphabetical code 0..n-1 per distinct value.
-
-    Codes come from positions among the distinct values, ranked in buckets by leading
-    characters, so a long category list is not sorted in one task.
-    """
+    """Alphabetical code 0..n-1 per distinct value; a long category list is ranked in buckets."""
     values = df.filter(F.col(col).isNotNull()).select(col).distinct()
-    values = values.withColumn("_lead", F.substring(col, 1, 2))
-    codes = cumulative_counts(values, col, bucket="_lead").select(col, (F.col("cum") - 1).alias(out))
+    values = add_text_bucket(values, col, default_buckets(df.sparkSession))
+    codes = cumulative_counts(values, col, bucket="_bucket").select(col, (F.col("cum") - 1).alias(out))
     return df.join(codes, col, "left")
 
 

@@ -118,15 +118,12 @@ def knn_mean_distance(
             if not len(pdf):
                 continue
             d = _distances(_matrix(pdf["vec"]), pivots)
-            bounds = d[:, inner_cell] + inner_radius[None, :]
-            bounds = np.concatenate([bounds, d], axis=1) if len(pivots) >= need else bounds
-            if bounds.shape[1] < need:
-                theta = np.full(len(d), np.inf)
-            else:
-                by_cell = np.partition(d[:, inner_cell] + inner_radius[None, :], need - 1, axis=1)[:, need - 1] \
-                    if len(inner_cell) >= need else np.full(len(d), np.inf)
-                by_pivot = np.partition(d, need - 1, axis=1)[:, need - 1] if len(pivots) >= need else by_cell
-                theta = np.minimum(by_cell, by_pivot)
+            # two upper bounds on the k-th distance: pivots are reference vectors themselves, and
+            # any vector is at most its pivot's distance plus its own radius away
+            theta = np.full(len(d), np.inf)
+            for bound in (d, d[:, inner_cell] + inner_radius[None, :]):
+                if bound.shape[1] >= need:
+                    theta = np.minimum(theta, np.partition(bound, need - 1, axis=1)[:, need - 1])
             theta = theta * (1 + SLACK) + SLACK
             own = d.argmin(axis=1)
             d_own = d[np.arange(len(d)), own]
@@ -233,10 +230,13 @@ def domain_threshold(train_distances: DataFrame, distance: str, m: float = 1.0)
 
 def standardize(df: DataFrame, vec: str, reference: DataFrame) -> DataFrame:
     """Vector entries scaled by the reference's mean and population standard deviation per position."""
-    stats = reference.select(F.posexplode(vec)).groupBy("pos").agg(F.avg("col").alias("m"), F.stddev_pop("col").alias("s"))
-    packed = stats.agg(F.sort_array(F.collect_list(F.struct("pos", "m", "s"))).alias("a")).scalar()
-    scaled = F.zip_with(F.col(vec), packed, lambda x, a: F.when(a["s"] > 0, (x - a["m"]) / a["s"]).otherwise(x - a["m"]))
-    return df.withColumn(vec, scaled)
+    stats = reference.select(F.posexplode(vec)).groupBy("pos").agg(
+        F.avg("col").alias("m"), F.stddev_pop("col").alias("s")
+    ).orderBy("pos").collect()  # one row per dimension
+    means = F.array(*[F.lit(float(x["m"])) for x in stats])
+    scales = F.array(*[F.lit(float(x["s"]) if x["s"] > 0 else 1.0) for x in stats])
+    centred = F.zip_with(F.col(vec), means, lambda x, m: x - m)
+    return df.withColumn(vec, F.zip_with(centred, scales, lambda x, s: x / s))
 
 
 def applicability_domain(
