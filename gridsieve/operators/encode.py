@@ -104,3 +104,51 @@ def cross_fit_target_encoding(train: DataFrame, cat: str, target: str, fold: str
     q = F.col("cq") - F.coalesce("q", F.lit(0.0))
     enc = F.when(n > 0, _shrunk(n, s, q, g_mean, g_var)).otherwise(g_mean) + F.lit(centre)
     return null_safe_join(train, rest.select(cat, fold, enc.alias(out)), [cat, fold])
+
+
+def fit_encodings(
+    train: DataFrame, cats: Sequence[str], target: str, fold: str, path: str
+) -> tuple[DataFrame, DataFrame, float]:
+    """Target encodings of many text columns from one pass: (out-of-fold table, full table, global mean).
+
+    All columns are counted together as (column, value, fold) sums. The sums are written below
+    ``path`` because every later join reads them: one shuffle of the data however many columns.
+    """
+    parts = _part_moments(train, target, F.col(fold))
+    n_all, centre, m2_all = _moments(parts)
+    packed = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in cats])
+    long = train.select(F.explode(packed).alias("s"), fold, target).select("s.*", fold, target)
+    sums = _category_sums(long, ["column", "value", fold], target, centre)
+    sums.write.mode("overwrite").parquet(f"{path}/sums")
+    sums = train.sparkSession.read.parquet(f"{path}/sums")
+    per_value = sums.groupBy("column", "value").agg(F.sum("n").alias("cn"), F.sum("s").alias("cs"), F.sum("q").alias("cq"))
+    g_mean, g_var = F.lit(0.0), F.lit(0.0)
+    for part in parts:
+        n, mean, m2 = _moments([p for p in parts if p["part"] != part["part"]])
+        here = F.col(fold) == F.lit(part["part"])
+        g_mean = F.when(here, F.lit(mean - centre if n else 0.0)).otherwise(g_mean)
+        g_var = F.when(here, F.lit(m2 / n if n else 0.0)).otherwise(g_var)
+    rest = null_safe_join(sums, per_value, ["column", "value"])
+    n = F.col("cn") - F.col("n")
+    s = F.col("cs") - F.coalesce("s", F.lit(0.0))
+    q = F.col("cq") - F.coalesce("q", F.lit(0.0))
+    inside = F.when(n > 0, _shrunk(n, s, q, g_mean, g_var)).otherwise(g_mean) + F.lit(centre)
+    var = F.lit(m2_all / n_all if n_all else 0.0)
+    outside = _shrunk(F.col("cn"), F.col("cs"), F.col("cq"), F.lit(0.0), var) + F.lit(centre)
+    rest.select("column", "value", fold, inside.alias("encoding")).write.mode("overwrite").parquet(f"{path}/folds")
+    full = per_value.filter("cn > 0").select("column", "value", outside.alias("encoding"), F.lit(centre).alias("global_mean"))
+    full.write.mode("overwrite").parquet(f"{path}/full")
+    read = train.sparkSession.read.parquet
+    return read(f"{path}/folds"), read(f"{path}/full"), centre
+
+
+def apply_encodings(
+    df: DataFrame, table: DataFrame, cats: Sequence[str], default: float, fold: str | None = None
+) -> DataFrame:
+    """Replaces text columns by their encodings; ``fold`` selects the out-of-fold ones. Unseen values take the default."""
+    for c in cats:
+        keys = [c] + ([fold] if fold else [])
+        side = table.filter(F.col("column") == c).select(F.col("value").alias(c), *([fold] if fold else []), "encoding")
+        df = null_safe_join(df, side, keys, "left").withColumn("_te", F.coalesce("encoding", F.lit(default)))
+        df = df.drop("encoding", c).withColumnRenamed("_te", c)
+    return df

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from gridsieve.functions.hashing import hash32
 from gridsieve.operators.curate import hash_sample
 from gridsieve.operators.split import minmax
+from gridsieve.sources.sinks import save_state
 
 SLACK = 1e-9
 
@@ -211,13 +212,18 @@ def knn_to_sample(
 
 def novelty_score(
     candidates: DataFrame, train: DataFrame, vec: str, train_key: Column, k: int = 5, n_sample: int = 1000,
-    seed: int = 0, out: str = "novelty_score",
+    seed: int = 0, out: str = "novelty_score", path: str | None = None,
 ) -> DataFrame:
-    """Mean distance to the k nearest of at most ``n_sample`` hashed training rows, scaled to [0, 1]."""
+    """Mean distance to the k nearest of at most ``n_sample`` hashed training rows, scaled to [0, 1].
+
+    Scaling needs the distances twice (range, then values); with ``path`` they are written
+    there once instead of being computed twice.
+    """
     sample = hash_sample(train, train_key, n_sample, seed)
-    n_train = min(train.count(), n_sample)
+    n_train = train.limit(n_sample).count()
     k = max(1, min(k, n_train - 1))
     raw = knn_to_sample(candidates, sample, vec, k, "_raw", max_rows=n_sample)
+    raw = save_state(raw, path) if path else raw
     return minmax(raw, "_raw", out).drop("_raw")
 
 

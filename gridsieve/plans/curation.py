@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +12,7 @@ from gridsieve.operators import curate, encode
 from gridsieve.operators.lookup import add_physical_features, sample_weight
 from gridsieve.operators.roles import ColumnRoles, complete_schema, drop_by_suffix
 from gridsieve.operators.split import add_quantile_bin, kfold, stratified_split
+from gridsieve.session import new_path
 from gridsieve.sources.sinks import load_state, save_state
 
 
@@ -22,7 +23,8 @@ class FeatureState:
     numeric: list[str]
     categorical: list[str]
     medians: DataFrame
-    encodings: dict[str, DataFrame] = field(default_factory=dict)
+    encodings: DataFrame  # (column, value, encoding, global_mean)
+    global_mean: float
 
     @property
     def features(self) -> list[str]:
@@ -31,14 +33,15 @@ class FeatureState:
     def save(self, folder: str) -> "FeatureState":
         """Writes medians and encodings as parquet and returns the state as read back."""
         medians = save_state(self.medians, f"{folder}/medians")
-        saved = {c: save_state(t, f"{folder}/encoding_{i}") for i, (c, t) in enumerate(self.encodings.items())}
-        return FeatureState(self.numeric, self.categorical, medians, saved)
+        encodings = save_state(self.encodings, f"{folder}/encodings")
+        return FeatureState(self.numeric, self.categorical, medians, encodings, self.global_mean)
 
     @staticmethod
     def load(spark, folder: str, numeric: list[str], categorical: list[str]) -> "FeatureState":
+        encodings = load_state(spark, f"{folder}/encodings")
+        first = encodings.select("global_mean").first()
         return FeatureState(
-            numeric, categorical, load_state(spark, f"{folder}/medians"),
-            {c: load_state(spark, f"{folder}/encoding_{i}") for i, c in enumerate(categorical)},
+            numeric, categorical, load_state(spark, f"{folder}/medians"), encodings, first[0] if first else 0.0
         )
 
 
@@ -81,22 +84,32 @@ def split_and_weigh(
 
 
 def fit_features(
-    table: DataFrame, roles: ColumnRoles = ColumnRoles(), row_id: str = "row_id", n_folds: int = 5, seed: int = 42
+    table: DataFrame, roles: ColumnRoles = ColumnRoles(), row_id: str = "row_id", n_folds: int = 5, seed: int = 42,
+    folder: str | None = None,
 ) -> tuple[DataFrame, FeatureState]:
-    """Imputed, encoded features of both splits and the fitted state (fitted on training rows only)."""
+    """Imputed, encoded features of both splits and the fitted state (fitted on training rows only).
+
+    The split table, the state and the features are written below ``folder`` (a fresh path in
+    the shared folder by default): each is read several times later, and a written table
+    survives the loss of executors.
+    """
+    folder = folder or new_path(table.sparkSession, "features")
     numeric, categorical = roles.split_kinds(table.drop("split", "w"))
     filled = table.withColumns({c: F.coalesce(c, F.lit("missing")) for c in categorical})
+    filled = kfold(filled, F.col(row_id), n_folds, seed, out="_fold")
+    filled = save_state(
+        filled.select(row_id, "split", "w", roles.log_target, "_fold", *numeric, *categorical), f"{folder}/split"
+    )
     train, test = filled.filter("split = 'train'"), filled.filter("split = 'test'")
-    state = FeatureState(numeric, categorical, encode.fit_medians(train, numeric))
-    train = kfold(train, F.col(row_id), n_folds, seed, out="_fold")
-    for c in categorical:
-        state.encodings[c] = encode.fit_target_encoding(train, c, roles.log_target)
-        train = encode.cross_fit_target_encoding(train, c, roles.log_target, "_fold", f"_te_{c}")
-        test = encode.apply_target_encoding(test, state.encodings[c], c, f"_te_{c}")
-    both = train.drop("_fold").unionByName(test)
-    both = both.drop(*categorical).withColumnsRenamed({f"_te_{c}": c for c in categorical})
-    both = encode.apply_medians(both, state.medians, numeric)
-    return both.select(row_id, "split", "w", F.col(roles.log_target).alias("y"), *state.features), state
+    medians = save_state(encode.fit_medians(train, numeric), f"{folder}/medians")
+    inside, full, centre = encode.fit_encodings(train, categorical, roles.log_target, "_fold", f"{folder}/encodings")
+    both = encode.apply_encodings(train, inside, categorical, centre, "_fold").unionByName(
+        encode.apply_encodings(test, full, categorical, centre)
+    )
+    both = encode.apply_medians(both, medians, numeric)
+    state = FeatureState(numeric, categorical, medians, full, centre)
+    out = both.select(row_id, "split", "w", F.col(roles.log_target).alias("y"), *state.features)
+    return save_state(out, f"{folder}/features"), state
 
 
 def prepare_features(df: DataFrame, state: FeatureState, default_text: str = "missing") -> DataFrame:
@@ -106,8 +119,6 @@ def prepare_features(df: DataFrame, state: FeatureState, default_text: str = "mi
     df = complete_schema(df, {c: nothing.cast("double") for c in state.numeric})
     df = complete_schema(df, {c: F.lit(default_text) for c in state.categorical})
     df = df.withColumns({c: F.coalesce(normalise(c), F.lit("missing")) for c in state.categorical})
-    for c in state.categorical:
-        df = encode.apply_target_encoding(df, state.encodings[c], c, f"_te_{c}")
-    df = df.drop(*state.categorical).withColumnsRenamed({f"_te_{c}": c for c in state.categorical})
+    df = encode.apply_encodings(df, state.encodings, state.categorical, state.global_mean)
     df = df.withColumns({c: F.col(c).cast("double") for c in state.numeric})
     return encode.apply_medians(df, state.medians, state.numeric)
