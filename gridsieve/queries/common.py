@@ -34,10 +34,16 @@ def r(c: str | Column, digits: int = 6) -> Column:
     return F.round(F.col(c) if isinstance(c, str) else c, digits)
 
 
+def line_key() -> Column:
+    """A key of a line item. Order and line number alone are not unique; the price in cents settles the rest."""
+    cents = F.round(F.col("l_extendedprice") * 100).cast("bigint")
+    return F.concat_ws("|", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", cents.cast("string"))
+
+
 # Observed and predicted value per line item, used wherever an operator needs (y, prediction) rows.
 PAIRS_SQL = """
 pairs AS (
-  SELECT concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS row_key,
+  SELECT concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey, round(l_extendedprice * 100)::BIGINT) AS row_key,
          p_brand, p_type, l_quantity, l_extendedprice,
          ln(1 + l_extendedprice) AS y,
          ln(1 + l_quantity * p_retailprice) AS p
@@ -51,7 +57,7 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     part = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type", "p_retailprice")
     return li.join(part, F.col("l_partkey") == F.col("p_partkey")).select(
-        F.concat_ws("|", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("row_key"),
+        line_key().alias("row_key"),
         "p_brand", "p_type", "l_quantity", "l_extendedprice",
         F.log1p("l_extendedprice").alias("y"),
         F.log1p(F.col("l_quantity") * F.col("p_retailprice")).alias("p"),

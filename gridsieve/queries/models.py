@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 
 from gridsieve.operators import attribution, ensemble, learn, metrics, ridge, split
 from gridsieve.queries.aggregates import N_MEMBERS, POISSON_SQL, rounded
-from gridsieve.queries.common import draw_sql, hash32_sql, query, r, table
+from gridsieve.queries.common import draw_sql, hash32_sql, line_key, query, r, table
 
 ROWS_SQL = """
 rws AS (
-  SELECT concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS row_key, p_brand, p_type,
+  SELECT concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey, round(l_extendedprice * 100)::BIGINT) AS row_key, p_brand, p_type,
          l_quantity AS x1, p_retailprice / 1000 AS x2, l_discount AS x3, l_tax AS x4, p_size::DOUBLE AS x5,
          ln(1 + l_quantity * p_retailprice * (1 - l_discount)) AS y, 0.5 + 5 * l_tax AS w
   FROM lineitem JOIN part ON l_partkey = p_partkey)
@@ -20,11 +20,11 @@ FEATURES = ["x1", "x2", "x3", "x4", "x5"]
 
 def rows(spark, d):
     li = table(spark, d, "lineitem").select(
-        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_tax"
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax"
     )
     part = table(spark, d, "part").select("p_partkey", "p_brand", "p_type", "p_retailprice", "p_size")
     return li.join(part, F.col("l_partkey") == F.col("p_partkey")).select(
-        F.concat_ws("|", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("row_key"), "p_brand", "p_type",
+        line_key().alias("row_key"), "p_brand", "p_type",
         F.col("l_quantity").alias("x1"), (F.col("p_retailprice") / 1000).alias("x2"), F.col("l_discount").alias("x3"),
         F.col("l_tax").alias("x4"), F.col("p_size").cast("double").alias("x5"),
         F.log1p(F.col("l_quantity") * F.col("p_retailprice") * (1 - F.col("l_discount"))).alias("y"),
