@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gridsieve.llm import binary, bpe, packing
+from gridsieve.llm import binary, bpe, chat, cotrain, descent, langid, packing, rangejoin, simhash
 from gridsieve.session import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,3 +49,35 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return bpe.round_trip_digests(docs, public_tokenizers.path(BYTE_BPE_RANKS), public_tokenizers.PATTERN)
+
+
+@query("op2_chat_format", chat.SQL)
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(table(spark, sf_dir, "conversations"))
+
+
+@query("op3_language_id")
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = langid.predict_languages(docs.select("doc_id", "text"), langid.fit_languages(docs))
+    return found.select("doc_id", F.coalesce(langid.fold() == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+@query("op6_quality")
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cotrain.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op9_simhash")
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, radius=3)
+
+
+@query("op5_range_join")
+def op5_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rangejoin.near_vectors(table(spark, sf_dir, "embeddings"), least=0.95)
+
+
+@query("op7_nn_descent")
+def op7_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return descent.search_nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
