@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridsieve.llm import binary, bpe, chat, cotrain, descent, langid, packing, rangejoin, simhash
+from gridsieve.llm import binary, bpe, chat, cotrain, descent, langid, packing, rangejoin, simhash, suffix
 from gridsieve.session import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,3 +81,8 @@ def op5_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_nn_descent")
 def op7_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return descent.search_nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
+@query("op4_suffix_dedup")
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.digests(suffix.remove_repeats(table(spark, sf_dir, "documents")))
