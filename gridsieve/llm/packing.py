@@ -135,10 +135,9 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, size: int =
         F.coalesce(F.sum("left").over(earlier), F.lit(0)).alias("at"),
     )
     n_full, n_left = parts.agg(F.coalesce(F.sum("n_full"), F.lit(0)), F.coalesce(F.sum("left"), F.lit(0))).first()
-    whole = (
-        windows.where("full").join(bases, "part").select((F.col("base") + F.col("number")).alias("sequence_id"), "ids", "pieces")
-    )
-    return whole.unionAll(_leftovers(windows.where("NOT full").join(bases, "part"), n_full, n_left, size))
+    placed = windows.join(bases, "part")
+    whole = placed.where("full").select((F.col("base") + F.col("number")).alias("sequence_id"), "ids", "pieces")
+    return whole.unionAll(_leftovers(placed.where("NOT full"), n_full, n_left, size))
 
 
 def _batch(out: list[tuple]) -> pa.RecordBatch:
@@ -194,8 +193,13 @@ def _leftovers(rows: DataFrame, n_full: int, n_left: int, size: int) -> DataFram
     )
 
 
-def piece_digests(sequences: DataFrame) -> DataFrame:
-    """One row per piece with the unsigned crc32 of its ids, cut out of its sequence."""
-    pieces = sequences.select("sequence_id", "ids", F.explode("pieces").alias("p"))
+def pieces(sequences: DataFrame) -> DataFrame:
+    """One row per piece: doc_id, start, length, doc_tokens, sequence_id, offset and its ids, cut out of its sequence."""
+    rows = sequences.select("sequence_id", "ids", F.explode("pieces").alias("p"))
     ids = F.expr("substring(ids, CAST(p.offset * 4 + 1 AS INT), CAST(p.length * 4 AS INT))")
-    return pieces.select("p.doc_id", "p.start", "p.length", F.crc32(ids).alias("ids_crc32"), "p.doc_tokens", "sequence_id", "p.offset")
+    return rows.select("p.doc_id", "p.start", "p.length", "p.doc_tokens", "sequence_id", "p.offset", ids.alias("ids"))
+
+
+def piece_digests(sequences: DataFrame) -> DataFrame:
+    """The pieces with the unsigned crc32 of their ids."""
+    return pieces(sequences).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")

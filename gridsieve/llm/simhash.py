@@ -296,6 +296,7 @@ def keep_one(docs: DataFrame, words: int = 5, radius: int = 11, least: float = 0
 
     Rows that share a kept id and its fingerprint are repeated rows; one of them stays.
     """
-    groups = near_duplicates(docs, words, radius, least).where("doc_id <=> component_id").select("doc_id").distinct()
-    kept = docs.join(groups, docs["doc_id"].eqNullSafe(groups["doc_id"]), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    groups = near_duplicates(docs, words, radius, least).where("doc_id <=> component_id")
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))
+    kept = docs.withColumn("_key", key).join(groups.select(key.alias("_key")), "_key", "left_semi")
+    return kept.dropDuplicates(["_key"]).drop("_key")

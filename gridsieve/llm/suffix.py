@@ -366,14 +366,17 @@ def _splitters(docs: DataFrame, parts: int) -> list[bytes]:
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """key, text and spans (an array of start and stop, in bytes, may overlap) to remove from each row of ``docs``."""
+    """key, tag, text, rest and spans (tag, start and stop in bytes, may overlap) to remove from each row.
+
+    ``docs``: doc_id, text and rest, which is handed through.
+    """
     spark = docs.sparkSession
     parts = default_partitions(spark)
     rows = docs.select(
-        F.coalesce(F.col("doc_id"), F.lit(NULL_ID)).alias("key"), F.coalesce("text", F.lit("")).alias("text")
+        F.coalesce(F.col("doc_id"), F.lit(NULL_ID)).alias("key"), F.coalesce("text", F.lit("")).alias("text"), "rest"
     ).withColumn("tag", F.xxhash64("text"))
-    splitters = _splitters(rows, parts)
-    buckets = rows.mapInArrow(_bucketed(parts), _BUCKETS)
+    splitters = _splitters(rows.drop("rest"), parts)
+    buckets = rows.select("key", "tag", "text").mapInArrow(_bucketed(parts), _BUCKETS)
     found = buckets.groupBy("bucket").applyInArrow(_repeated, _REPEATED)
     found = found.groupBy("key").agg(F.collect_list(F.struct("tag", "first", "span", "times")).alias("found"))
     # the same exchange of the texts serves this join and the last one
@@ -382,7 +385,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     strings = suffixes.groupBy("part").applyInArrow(_merge_suffixes(splitters), _EXCHANGE)
     spans = strings.groupBy("part").applyInArrow(_merge_strings, _SPANS)
     spans = spans.groupBy("key").agg(F.collect_list(F.struct("tag", "start", "stop")).alias("spans"))
-    return placed.join(spans, "key", "left").select("key", "tag", "text", "spans")
+    return placed.join(spans, "key", "left").select("key", "tag", "text", "rest", "spans")
 
 
 def _joined(spans: list[dict] | None, tag: int) -> list[list[int]]:
@@ -418,7 +421,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             arrays = [key, pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array(kept, pa.binary())]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "spans", "kept"])
 
-    return repeated_spans(documents(docs)).mapInArrow(run, "doc_id long, spans array<array<long>>, kept binary")
+    return repeated_spans(documents(docs).withColumn("rest", F.lit(0))).mapInArrow(run, "doc_id long, spans array<array<long>>, kept binary")
 
 
 def digests(rows: DataFrame) -> DataFrame:
@@ -431,3 +434,25 @@ def digests(rows: DataFrame) -> DataFrame:
     )
 
 
+
+
+def clean_texts(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` with what remains of their texts; a character that is cut goes with the cut.
+
+    Every row stays, also with an empty text; a null text stays null.
+    """
+    others = [c for c in docs.columns if c != text_col]
+    rest = F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(others)], F.col(text_col).isNull().alias("none"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), rest.alias("rest"))
+    found = repeated_spans(rows)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            texts = []
+            for tag, text, spans in zip(*(column(batch, c).to_pylist() for c in ("tag", "text", "spans")), strict=True):
+                texts.append(_kept(text.encode(), _joined(spans, tag)).decode("utf-8", "ignore") if spans else text)
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), column(batch, "rest")], ["text", "rest"])
+
+    cleaned = found.mapInArrow(run, found.select("text", "rest").schema)
+    back = [F.when(~F.col("rest.none"), F.col("text")).alias(c) if c == text_col else F.col(f"rest.c{others.index(c)}").alias(c) for c in docs.columns]
+    return cleaned.select(*back)
