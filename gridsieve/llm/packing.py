@@ -135,7 +135,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, size: int =
         F.coalesce(F.sum("left").over(earlier), F.lit(0)).alias("at"),
     )
     n_full, n_left = parts.agg(F.coalesce(F.sum("n_full"), F.lit(0)), F.coalesce(F.sum("left"), F.lit(0))).first()
-    placed = windows.join(bases, "part")
+    placed = windows.join(F.broadcast(bases), "part")  # one row of three numbers per partition of the input
     whole = placed.where("full").select((F.col("base") + F.col("number")).alias("sequence_id"), "ids", "pieces")
     return whole.unionAll(_leftovers(placed.where("NOT full"), n_full, n_left, size))
 
