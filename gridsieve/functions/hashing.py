@@ -7,14 +7,16 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from itertools import accumulate
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 TWO_32 = 4294967296.0
 
-# Cumulative Poisson(1) probabilities, P(X<=0) .. P(X<=5).
-POISSON1_CDF = (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582)
+# Cumulative Poisson(1) probabilities P(X<=0) .. P(X<=11). What is left beyond 12 is below 2^-32, the
+# resolution of a draw, so the largest draws give 12 and no count is cut.
+POISSON1_CDF = tuple(accumulate(math.exp(-1) / math.factorial(k) for k in range(12)))
 
 
 def row_key(cols: Sequence[str | Column]) -> Column:
@@ -35,14 +37,6 @@ def uniform(key: Column | str, seed: int | str | Column = 42) -> Column:
     return hash32(key, seed) / F.lit(TWO_32)
 
 
-def poisson1(u: Column) -> Column:
-    """Poisson(1) count for a uniform draw, by inverse distribution function."""
-    out = F.lit(len(POISSON1_CDF))
-    for count in range(len(POISSON1_CDF) - 1, -1, -1):
-        out = F.when(u < F.lit(POISSON1_CDF[count]), F.lit(count)).otherwise(out)
-    return out.cast("int")
-
-
 DRAWS_PER_DIGEST = 4
 
 

@@ -75,7 +75,3 @@ def composition_label(host: str | Column, partner: str | Column, amount: str | C
 def bool_label(c: str | Column, when_true: str, when_false: str) -> Column:
     c = _col(c)
     return F.when(c, F.lit(when_true)).when(~c, F.lit(when_false))
-
-
-def rounded(c: Column, digits: int) -> Column:
-    return F.round(c, digits)

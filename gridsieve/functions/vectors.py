@@ -21,11 +21,3 @@ def euclidean(a: str | Column, b: str | Column) -> Column:
 def feature_vector(cols: Sequence[str]) -> Column:
     """Numeric columns packed as array<double>."""
     return F.array(*[F.col(c).cast("double") for c in cols])
-
-
-def linear_score(cols: Sequence[str], coefficients: Sequence[float], intercept: float = 0.0) -> Column:
-    """Intercept plus weighted sum, as one codegen-friendly expression."""
-    out = F.lit(float(intercept))
-    for c, beta in zip(cols, coefficients):
-        out = out + F.col(c).cast("double") * F.lit(float(beta))
-    return out

@@ -44,14 +44,23 @@ def local_top(phi: DataFrame, row: Sequence[str], k: int = 8) -> DataFrame:
     return phi.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def dependence(phi: DataFrame, features: Sequence[str], bins: int = 20) -> DataFrame:
-    """Mean phi by equal-width bin of the feature value: (feature, bin, n_rows, mean_value, mean_phi)."""
-    data = phi.filter(F.col("feature").isin(*features))
-    span = data.groupBy("feature").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
+def dependence(phi: DataFrame, top: int = 5, bins: int = 20, digits: int | None = None) -> DataFrame:
+    """Mean phi by equal-width bin of the value, for the ``top`` features by mean |phi|.
+
+    (feature, bin, n_rows, mean_value, mean_phi). ``digits`` sums values of at most so many decimals exactly,
+    so that their mean does not depend on the order of summation. The table of features has one row per
+    feature, a few numbers each, so it may be broadcast; the long table is only shuffled by (feature, bin),
+    after partial sums.
+    """
+    stats = phi.groupBy("feature").agg(
+        F.avg(F.abs("phi")).alias("_abs"), F.min("value").alias("lo"), F.max("value").alias("hi")
+    )
+    chosen = stats.orderBy(F.desc("_abs"), "feature").limit(top).drop("_abs")
     width = (F.col("hi") - F.col("lo")) / F.lit(float(bins))
     bin_ = F.when(width > 0, F.least(F.floor((F.col("value") - F.col("lo")) / width), F.lit(bins - 1))).otherwise(F.lit(0))
-    return data.join(span, "feature").groupBy("feature", bin_.cast("int").alias("bin")).agg(
-        F.count(F.lit(1)).alias("n_rows"), F.avg("value").alias("mean_value"), F.avg("phi").alias("mean_phi")
+    value = F.col("value") if digits is None else F.col("value").cast(f"decimal(24,{digits})")
+    return phi.join(F.broadcast(chosen), "feature").groupBy("feature", bin_.cast("int").alias("bin")).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.avg(value).cast("double").alias("mean_value"), F.avg("phi").alias("mean_phi")
     )
 
 

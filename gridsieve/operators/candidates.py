@@ -7,12 +7,14 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from gridsieve.functions.hashing import hash32, uniform
+from gridsieve.functions.ranking import add_text_bucket, cumulative_counts
 from gridsieve.functions.scalars import composition_label, cut, expm1_clipped, relative_width, upper_bound
 from gridsieve.operators.curate import cap_by_reference_max, keep_best, top_rows
-
-MAX_LIST = 10_000
+from gridsieve.session import default_buckets, new_path
+from gridsieve.sources.sinks import save_state
 
 
 def candidate_grid(spark: SparkSession, lists: Mapping[str, Sequence], row_id: str = "row_id") -> DataFrame:
@@ -22,8 +24,8 @@ def candidate_grid(spark: SparkSession, lists: Mapping[str, Sequence], row_id: s
     parallel at any size and nothing is joined.
     """
     for name, values in lists.items():
-        if not 0 < len(values) <= MAX_LIST:
-            raise ValueError(f"list {name} must hold 1..{MAX_LIST} values")
+        if not values:
+            raise ValueError(f"list {name} is empty")
     total = math.prod(len(v) for v in lists.values())
     cols, stride = {}, 1
     for name, values in reversed(list(lists.items())):
@@ -33,12 +35,28 @@ def candidate_grid(spark: SparkSession, lists: Mapping[str, Sequence], row_id: s
     return spark.range(total).select(F.col("id").alias(row_id), *[cols[name].alias(name) for name in lists])
 
 
-def value_list(df: DataFrame, col: str, limit: int = MAX_LIST) -> list:
-    """Sorted distinct values of a column that is known to be a short list (checked)."""
-    rows = df.filter(F.col(col).isNotNull()).select(col).distinct().limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"{col} has more than {limit} distinct values")
-    return sorted(row[0] for row in rows)
+def grid_of_values(spark: SparkSession, tables: Mapping[str, DataFrame], row_id: str = "row_id") -> DataFrame:
+    """All combinations of the distinct non-NULL values of one-column tables, last table fastest.
+
+    Values are numbered without passing through the driver; every row of a distributed range is then
+    decoded by an equi-join per column on the number of its value.
+    """
+    numbered, sizes = {}, {}
+    for name, df in tables.items():
+        values = df.select(F.col(df.columns[0]).alias(name)).distinct()
+        bucket = None
+        if isinstance(values.schema[name].dataType, StringType):
+            values, bucket = add_text_bucket(values.filter(F.col(name).isNotNull()), name, default_buckets(spark)), "_bucket"
+        ranks = cumulative_counts(values, name, bucket=bucket)
+        # written, so that its size is known: a short table is broadcast, a long one has many join keys
+        numbered[name] = save_state(ranks.select((F.col("cum") - 1).alias(f"_{name}"), name), new_path(spark, "grid-values"))
+        sizes[name] = numbered[name].count()
+    out, stride = spark.range(math.prod(sizes.values())).select(F.col("id").alias(row_id)), 1
+    for name in reversed(list(tables)):
+        digit = F.pmod(F.floor(F.col(row_id) / F.lit(stride)), F.lit(sizes[name])).cast("long")
+        out = out.withColumn(f"_{name}", digit).join(numbered[name], f"_{name}").drop(f"_{name}")
+        stride *= sizes[name]
+    return out.select(row_id, *tables)
 
 
 def pick_partner(

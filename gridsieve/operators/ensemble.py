@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridsieve.functions.hashing import DRAWS_PER_DIGEST, digest_draws, poisson1_hex
-from gridsieve.session import spread_small_input
 
 
 def poisson_bootstrap(df: DataFrame, key: Column, n_members: int, seed: int = 42) -> DataFrame:
@@ -18,7 +17,7 @@ def poisson_bootstrap(df: DataFrame, key: Column, n_members: int, seed: int = 42
     """
     blocks = F.explode(F.sequence(F.lit(0), F.lit((n_members - 1) // DRAWS_PER_DIGEST)))
     cols = df.columns
-    digests = spread_small_input(df).select("*", blocks.alias("_block")).withColumn(
+    digests = df.select("*", blocks.alias("_block")).withColumn(
         "_digest", digest_draws(key, F.col("_block"), seed)
     )
     draws = F.array(*[

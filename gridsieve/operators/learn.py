@@ -11,16 +11,20 @@ import pandas as pd
 from pyspark.ml import Model, PipelineModel
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
+from gridsieve.functions import ranking
 from gridsieve.functions.hashing import member_poisson
 from gridsieve.functions.scalars import expm1_clipped
 from gridsieve.operators import metrics, ridge
 from gridsieve.operators.split import hash_split, learning_subsets
-from gridsieve.session import ensure_checkpoint_dir, spread_small_input
+from gridsieve.session import ensure_checkpoint_dir, new_path
+from gridsieve.sources.sinks import save_state
 
 # Search ranges (low, high, scale).
 SEARCH_SPACE = {
@@ -71,8 +75,6 @@ def fit_gbt(
         df = hash_split(df, key, eval_share, seed, out="_part").withColumn("_eval", F.col("_part") == "test")
         gbt = gbt.setValidationIndicatorCol("_eval").setParams(validationTol=tol)
     assembler = VectorAssembler(inputCols=list(features), outputCol="features")
-    if not df.is_cached:
-        df = spread_small_input(df)
     return PipelineModel([assembler, gbt.fit(assembler.transform(df))])
 
 
@@ -94,7 +96,7 @@ def model_cv(
     df: DataFrame, label: str, fold: str, fit: Callable[[DataFrame], Model], model: str, parallelism: int = 2
 ) -> DataFrame:
     """(model, fold, r2) for any estimator: the input is cached once, folds fit in a small thread pool."""
-    data = spread_small_input(df).persist(StorageLevel.MEMORY_AND_DISK)
+    data = df.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         folds = [row[0] for row in data.select(fold).distinct().orderBy(fold).collect()]
 
@@ -198,7 +200,7 @@ def bootstrap_models(
     parallelism: int = 2,
 ) -> list[Model]:
     """Bootstrap members of any weighted estimator: cached input, member weights by hash, pooled fits."""
-    data = spread_small_input(df).persist(StorageLevel.MEMORY_AND_DISK)
+    data = df.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         def one(b):
             draw = member_poisson(key, b, seed)
@@ -279,7 +281,7 @@ def ridge_learning_curve(
     """
     fractions = sorted(fractions)
     stepped = learning_subsets(df, key, fractions, seed, [fold])
-    mom = ridge.moments(stepped, features, label, None, [fold, "step"], shift_from=df)
+    mom = ridge.moments(stepped, features, label, None, [fold, "step"])
     folds = sorted({k[0] for k in mom.by_key})
     rows = []
     for k in folds:
@@ -324,14 +326,24 @@ def score(fitted: Model, df: DataFrame, out: str = "pred_log") -> DataFrame:
     )
 
 
+def rank_by_prediction(scored: DataFrame, pred: str, tie: str, out: str = "rank") -> DataFrame:
+    """All rows with their position by descending prediction, ties by a numeric or text key, 1 first.
+
+    Distinct predictions are counted in range buckets; positions inside one prediction follow the key.
+    """
+    scored = save_state(scored, new_path(scored.sparkSession, "scored"))
+    before = ranking.cumulative_counts(scored, pred).select(pred, (F.col("total") - F.col("cum")).alias("_higher"))
+    inside = W.partitionBy(pred).orderBy(tie)
+    return scored.join(before, pred).withColumn(out, F.col("_higher") + F.row_number().over(inside)).drop("_higher")
+
+
 def pca_projection(train: DataFrame, vec: str, k: int = 2, others: Sequence[DataFrame] = ()) -> tuple[list[DataFrame], list[float]]:
     """Projections of the training rows and further tables on the training axes, and explained shares.
 
     Vectors are centred on the training mean; each axis is oriented so that its largest loading is positive.
     """
-    means = [
-        row["m"] for row in train.select(F.posexplode(vec)).groupBy("pos").agg(F.avg("col").alias("m")).orderBy("pos").collect()
-    ]  # one number per dimension
+    vectors = train.select(array_to_vector(F.col(vec).cast("array<double>")).alias("v"))
+    means = vectors.agg(Summarizer.mean(F.col("v")).alias("m")).first()["m"]  # one number per dimension
     centre = F.array(*[F.lit(float(m)) for m in means])
 
     def centred(df):

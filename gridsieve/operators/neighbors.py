@@ -16,6 +16,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -23,6 +25,7 @@ from pyspark.sql import functions as F
 from gridsieve.functions.hashing import hash32
 from gridsieve.operators.curate import hash_sample
 from gridsieve.operators.split import minmax
+from gridsieve.session import new_path
 from gridsieve.sources.sinks import save_state
 
 SLACK = 1e-9
@@ -41,9 +44,14 @@ def _distances(a: np.ndarray, b: np.ndarray, chunk: int = 64) -> np.ndarray:
     return out
 
 
+def _plain(vec: str) -> Column:
+    """The vector in double precision, with -0.0 as 0.0, so that equal vectors have equal keys."""
+    return F.transform(F.col(vec).cast("array<double>"), lambda x: x + 0.0)
+
+
 def _counted(df: DataFrame, vec: str) -> DataFrame:
     """Distinct vectors with their number of copies."""
-    v = F.col(vec).cast("array<double>").alias("vec")
+    v = _plain(vec).alias("vec")
     return df.filter(F.col(vec).isNotNull()).select(v).groupBy("vec").agg(F.count(F.lit(1)).alias("copies"))
 
 
@@ -64,25 +72,25 @@ def knn_mean_distance(
     vec: str,
     k: int = 5,
     out: str = "knn_distance",
-    max_pivots: int = 256,
     block_rows: int = 512,
 ) -> DataFrame:
     """Adds each query's mean distance to its k nearest reference vectors.
 
     ``reference=None`` searches the queries themselves and leaves each row itself out (copies of
-    it still count). With fewer than k reference rows the mean is over those there are.
+    it still count). With fewer than k reference rows the mean is over those there are. The pivots
+    grow with the square root of the reference rows; they and a few numbers per pivot reach the driver.
     """
     exclude_self = reference is None
     spark = queries.sparkSession
-    refs = _counted(queries if exclude_self else reference, vec)
+    refs = save_state(_counted(queries if exclude_self else reference, vec), new_path(spark, "knn-vectors"))
     n_refs = refs.count()
     if n_refs == 0:
         return queries.withColumn(out, F.lit(None).cast("double"))
-    n_pivots = max(1, min(max_pivots, int(math.sqrt(n_refs))))
-    chosen = refs.orderBy(F.xxhash64("vec"), "vec").limit(n_pivots).collect()  # at most max_pivots vectors
+    n_pivots = max(1, int(math.sqrt(n_refs)))
+    chosen = refs.orderBy(F.xxhash64("vec"), "vec").limit(n_pivots).collect()
     pivots = np.array([row["vec"] for row in chosen], dtype=np.float64)
 
-    assigned = _assign_to_pivots(refs, pivots)
+    assigned = save_state(_assign_to_pivots(refs, pivots), new_path(spark, "knn-cells"))
     need = k + 1 if exclude_self else k
     nearest = assigned.withColumn("_rn", F.row_number().over(W.partitionBy("cell").orderBy("radius")))
     cells = assigned.groupBy("cell").agg(
@@ -95,15 +103,12 @@ def knn_mean_distance(
     width = np.where(hi > lo, (hi - lo) / rings, 1.0)
     inner_cell, inner_radius = np.array([r["cell"] for r in inner]), np.array([r["radius"] for r in inner])
     gaps = _distances(pivots, pivots)
-    ring_info = {int(c): (float(a), float(w), int(m)) for c, a, w, m in zip(ids, lo, width, rings)}
-
-    ring = F.lit(0)
-    if rings.max() > 1:
-        table = {c: v for c, v in ring_info.items() if v[2] > 1}
-        for c, (a, w, m) in table.items():
-            here = F.least(F.floor((F.col("radius") - F.lit(a)) / F.lit(w)), F.lit(m - 1)).cast("int")
-            ring = F.when(F.col("cell") == c, F.greatest(here, F.lit(0))).otherwise(ring)
-    ringed = assigned.withColumn("ring", ring)
+    # one row per pivot
+    table = spark.createDataFrame(
+        [(int(c), float(x), float(w), int(m)) for c, x, w, m in zip(ids, lo, width, rings)], "cell int, lo double, width double, rings int"
+    )
+    here = F.least(F.floor((F.col("radius") - F.col("lo")) / F.col("width")), F.col("rings") - 1)
+    ringed = assigned.join(table, "cell").withColumn("ring", F.greatest(here, F.lit(0)).cast("int")).drop("lo", "width", "rings")
     fill = ringed.groupBy("cell", "ring").agg(F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("int").alias("salts"))
 
     blocks = (
@@ -148,10 +153,11 @@ def knn_mean_distance(
             })
 
     wanted = refs.select("vec") if exclude_self else queries.filter(F.col(vec).isNotNull()).select(
-        F.col(vec).cast("array<double>").alias("vec")
+        _plain(vec).alias("vec")
     ).distinct()
     keyed = wanted.select(F.md5(F.concat_ws(",", F.col("vec").cast("array<string>"))).alias("qid"), "vec")
     cand = keyed.mapInPandas(candidates, "qid string, vec array<double>, cell int, ring int")
+    cand = save_state(cand, new_path(spark, "knn-queries"))
     load = cand.groupBy("cell", "ring").agg(F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("int").alias("chunks"))
     chunks = (
         cand.join(load, ["cell", "ring"])
@@ -185,46 +191,23 @@ def knn_mean_distance(
     )
     best = near.withColumn("_rn", F.row_number().over(W.partitionBy("qid").orderBy("dist"))).filter(F.col("_rn") <= k)
     means = best.groupBy("qid").agg(F.avg("dist").alias(out))
-    key = F.md5(F.concat_ws(",", F.col(vec).cast("array<double>").cast("array<string>")))
+    key = F.md5(F.concat_ws(",", _plain(vec).cast("array<string>")))
     return queries.withColumn("qid", F.when(F.col(vec).isNotNull(), key)).join(means, "qid", "left").drop("qid")
 
 
-def knn_to_sample(
-    queries: DataFrame, sample: DataFrame, vec: str, k: int = 5, out: str = "knn_distance", max_rows: int = 1000
-) -> DataFrame:
-    """Mean distance to the k nearest rows of a small reference (checked: at most ``max_rows``).
-
-    The reference matrix travels with the tasks, so the queries are never shuffled.
-    """
-    rows = sample.filter(F.col(vec).isNotNull()).select(F.col(vec).cast("array<double>")).limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        raise ValueError(f"reference has more than {max_rows} rows; use knn_mean_distance")
-    ref = np.array([row[0] for row in rows], dtype=np.float64)
-    take = max(1, min(k, len(ref)))
-
-    @F.pandas_udf("double")
-    def mean_distance(v: pd.Series) -> pd.Series:
-        d = _distances(_matrix(v), ref)
-        return pd.Series(np.sort(np.partition(d, take - 1, axis=1)[:, :take], axis=1).mean(axis=1))
-
-    return queries.withColumn(out, mean_distance(F.col(vec).cast("array<double>")))
-
-
 def novelty_score(
-    candidates: DataFrame, train: DataFrame, vec: str, train_key: Column, k: int = 5, n_sample: int = 1000,
-    seed: int = 0, out: str = "novelty_score", path: str | None = None,
+    candidates: DataFrame, train: DataFrame, vec: str, k: int = 5, out: str = "novelty_score", sample: int | None = None,
+    train_key: Column | None = None, seed: int = 0,
 ) -> DataFrame:
-    """Mean distance to the k nearest of at most ``n_sample`` hashed training rows, scaled to [0, 1].
+    """Mean distance to the k nearest training rows, scaled to [0, 1] over the candidates.
 
-    Scaling needs the distances twice (range, then values); with ``path`` they are written
-    there once instead of being computed twice.
+    All training rows count. ``sample`` with ``train_key`` takes that many of them by hash instead,
+    if a rough score is enough.
     """
-    sample = hash_sample(train, train_key, n_sample, seed)
-    n_train = train.limit(n_sample).count()
-    k = max(1, min(k, n_train - 1))
-    raw = knn_to_sample(candidates, sample, vec, k, "_raw", max_rows=n_sample)
-    raw = save_state(raw, path) if path else raw
-    return minmax(raw, "_raw", out).drop("_raw")
+    reference = train if sample is None else hash_sample(train, train_key, sample, seed)
+    raw = knn_mean_distance(candidates, reference, vec, k, "_raw")
+    # scaling needs the distances twice, range and values
+    return minmax(save_state(raw, new_path(candidates.sparkSession, "novelty")), "_raw", out).drop("_raw")
 
 
 def domain_threshold(train_distances: DataFrame, distance: str, m: float = 1.0) -> DataFrame:
@@ -236,11 +219,13 @@ def domain_threshold(train_distances: DataFrame, distance: str, m: float = 1.0)
 
 def standardize(df: DataFrame, vec: str, reference: DataFrame) -> DataFrame:
     """Vector entries scaled by the reference's mean and population standard deviation per position."""
-    stats = reference.select(F.posexplode(vec)).groupBy("pos").agg(
-        F.avg("col").alias("m"), F.stddev_pop("col").alias("s")
-    ).orderBy("pos").collect()  # one row per dimension
-    means = F.array(*[F.lit(float(x["m"])) for x in stats])
-    scales = F.array(*[F.lit(float(x["s"]) if x["s"] > 0 else 1.0) for x in stats])
+    vectors = reference.filter(F.col(vec).isNotNull()).select(array_to_vector(F.col(vec).cast("array<double>")).alias("v"))
+    stats = vectors.agg(Summarizer.metrics("mean", "variance", "count").summary(F.col("v")).alias("s")).select("s.*").first()
+    n = stats["count"]
+    means = F.array(*[F.lit(float(x)) for x in stats["mean"]])
+    # the summary divides by n - 1
+    deviations = [math.sqrt(float(x) * (n - 1) / n) for x in stats["variance"]]
+    scales = F.array(*[F.lit(x if x > 0 else 1.0) for x in deviations])
     centred = F.zip_with(F.col(vec), means, lambda x, m: x - m)
     return df.withColumn(vec, F.zip_with(centred, scales, lambda x, s: x / s))
 

@@ -9,8 +9,9 @@ validation R2 both follow from the moments, so no second pass is needed.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -18,9 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridsieve.functions.hashing import DRAWS_PER_DIGEST, POISSON1_CDF, TWO_32, digest_draws
-from gridsieve.session import spread_small_input
 
-MAX_FEATURES = 400
 FLUSH_GROUPS = 256
 
 
@@ -59,49 +58,77 @@ class RidgeFit:
         return df.withColumn("prediction", self.column())
 
 
-def _shift(df: DataFrame, cols: Sequence[str], n: int = 1000) -> np.ndarray:
-    """Rough column centres from a few rows. They keep the sums well conditioned and cancel out of every result."""
-    rows = df.select(*[F.col(c).cast("double") for c in cols]).limit(n).collect()
-    return np.array([list(row) for row in rows], dtype=np.float64).mean(axis=0) if rows else np.zeros(len(cols))
+def _translate(m: np.ndarray, by: np.ndarray) -> np.ndarray:
+    """Moment matrices of [1, z + by] from those of [1, z]."""
+    t = np.eye(m.shape[-1])
+    t[1:, 0] = by
+    return t @ m @ t.T
 
 
-def _reduce(partials: DataFrame, keys: Sequence[str], shape: tuple[int, ...]) -> dict[tuple, np.ndarray]:
-    """Sums flattened moment matrices per group; one row per group reaches the driver."""
-    summed = partials.select(*keys, F.posexplode("m").alias("pos", "v")).groupBy(*keys, "pos").agg(F.sum("v").alias("v"))
-    rows = summed.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("pos", "v"))).alias("m")).collect()
-    return {
-        tuple(row[k] for k in keys): np.array([cell["v"] for cell in row["m"]]).reshape(shape) for row in rows
-    }
+@dataclass
+class _Partial:
+    """Moment matrices (several kinds stacked) around a centre of the rows seen first."""
+
+    centre: np.ndarray
+    m: np.ndarray
+
+    def plus(self, other: _Partial) -> _Partial:
+        return _Partial(self.centre, self.m + _translate(other.m, other.centre - self.centre))
+
+
+def _merge(partials: DataFrame, keys: Sequence[str], shape: tuple[int, ...]) -> dict[tuple, _Partial]:
+    """Merges partial moments per group on the executors; one row per group reaches the driver.
+
+    A group has a few rows per task, so what one merge holds does not grow with the rows of the data.
+    """
+    schema = "".join(f"`{k}` {t}, " for k, t in partials.select(*keys).dtypes) + "c array<double>, m array<double>"
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = sorted(zip(map(tuple, pdf["c"]), map(tuple, pdf["m"])))
+        parts = [_Partial(np.array(c), np.array(m).reshape(shape)) for c, m in rows]
+        whole = reduce(_Partial.plus, parts)
+        out = pdf[list(keys)].head(1).reset_index(drop=True)
+        return out.assign(c=[whole.centre], m=[whole.m.ravel()]) if keys else pd.DataFrame({"c": [whole.centre], "m": [whole.m.ravel()]})
+
+    rows = partials.groupBy(*keys).applyInPandas(merge, schema).collect()
+    return {tuple(r[k] for k in keys): _Partial(np.array(r["c"]), np.array(r["m"]).reshape(shape)) for r in rows}
+
+
+def _common(parts: Mapping[tuple, _Partial], kind: int, width: int) -> tuple[np.ndarray, dict[tuple, np.ndarray]]:
+    """All groups' matrices around one shift, the mean of the first kind's rows."""
+    if not parts:
+        return np.zeros(width), {}
+    weight = sum(p.m[0][0, 0] for p in parts.values())
+    mean = sum(p.m[0][1:, 0] + p.m[0][0, 0] * p.centre for p in parts.values())
+    shift = mean / weight if weight > 0 else next(iter(parts.values())).centre
+    return shift, {k: _translate(p.m[kind], p.centre - shift) for k, p in parts.items()}
 
 
 def moments(
     df: DataFrame, features: Sequence[str], label: str, weight: str | None = None, keys: Sequence[str] = (),
-    shift_from: DataFrame | None = None,
 ) -> Moments:
-    """Second moments per group, with weights also the unweighted ones, in one pass.
+    """Second moments per group, with weights also the unweighted ones, in one scan.
 
-    Rows with a NULL among features, label or weight are left out. ``shift_from`` names a
-    cheaper table with the same columns for the rough centres.
+    Rows with a NULL among features, label or weight are left out. Every task centres its sums on the
+    first rows it sees, and merging translates them, so the sums stay well conditioned. A group takes
+    (features + 2)^2 numbers, which bounds the features that fit a driver: a few thousand.
     """
-    if len(features) > MAX_FEATURES:
-        raise ValueError(f"more than {MAX_FEATURES} features; use the iterative MLlib solver")
     cols, keys = [*features, label], list(keys)
     clean = df.dropna(subset=cols + ([weight] if weight else []))
-    shift = _shift((shift_from or df).dropna(subset=cols), cols)
     size = len(features) + 2
-    z = F.array(F.lit(1.0), *[F.col(c).cast("double") - F.lit(float(s)) for c, s in zip(cols, shift)])
+    z = F.array(*[F.col(c).cast("double") for c in cols])
     extra = [F.col(weight).cast("double").alias("_w")] if weight else []
-    data = spread_small_input(clean.select(*keys, z.alias("_z"), *extra))
+    data = clean.select(*keys, z.alias("_z"), *extra)
     key_types = "".join(f"`{k}` {t}, " for k, t in data.select(*keys).dtypes) if keys else ""
 
     def emit(acc: dict) -> pd.DataFrame:
-        out = pd.DataFrame({"m": [m.ravel() for m in acc.values()]})
+        out = pd.DataFrame({"c": [p.centre for p in acc.values()], "m": [p.m.ravel() for p in acc.values()]})
         for i, k in enumerate(keys):
             out.insert(i, k, [key[i] for key in acc])
         return out
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        acc: dict[tuple, np.ndarray] = {}
+        acc: dict[tuple, _Partial] = {}
         for pdf in batches:
             if not len(pdf):
                 continue
@@ -109,56 +136,64 @@ def moments(
             zs = np.stack(pdf["_z"].to_numpy())
             for key, idx in groups:
                 key = key if isinstance(key, tuple) else (key,)
-                block = zs[idx]
+                centre = acc[key].centre if key in acc else zs[idx].mean(axis=0)
+                block = np.column_stack([np.ones(len(idx)), zs[idx] - centre])
                 part = [block.T @ block]
                 if weight:
                     part.append(block.T @ (block * pdf["_w"].to_numpy()[idx, None]))
-                part = np.stack(part)
-                acc[key] = acc[key] + part if key in acc else part
+                part = _Partial(centre, np.stack(part))
+                acc[key] = acc[key].plus(part) if key in acc else part
             if len(acc) > FLUSH_GROUPS:
                 yield emit(acc)
                 acc = {}
         if acc:
             yield emit(acc)
 
-    parts = 2 if weight else 1
-    summed = _reduce(data.mapInPandas(partial, key_types + "m array<double>"), keys, (parts, size, size))
-    weighted = {k: m[-1] for k, m in summed.items()}
-    return Moments(list(features), shift, weighted, {k: m[0] for k, m in summed.items()} if weight else None)
+    shape = (2 if weight else 1, size, size)
+    parts = _merge(data.mapInPandas(partial, key_types + "c array<double>, m array<double>"), keys, shape)
+    shift, plain = _common(parts, 0, size - 1)
+    if not weight:
+        return Moments(list(features), shift, plain)
+    return Moments(list(features), shift, _common(parts, 1, size - 1)[1], plain)
 
 
 def bootstrap_moments(
     df: DataFrame, features: Sequence[str], label: str, key: Column, n_members: int, seed: int = 42,
     weight: str | None = None,
 ) -> Moments:
-    """Moments of all Poisson bootstrap members in one pass, without copying rows per member."""
+    """Moments of all Poisson bootstrap members in one scan, without copying rows per member."""
     cols = [*features, label]
     clean = df.dropna(subset=cols + ([weight] if weight else []))
-    shift = _shift(clean, cols)
     size = len(features) + 2
-    z = F.array(F.lit(1.0), *[F.col(c).cast("double") - F.lit(float(s)) for c, s in zip(cols, shift)])
+    z = F.array(*[F.col(c).cast("double") for c in cols])
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
     blocks = -(-n_members // DRAWS_PER_DIGEST)
     limits = np.array([math.ceil(c * TWO_32) for c in POISSON1_CDF])
-    data = spread_small_input(clean.select(z.alias("_z"), w.alias("_w"), key.cast("string").alias("_k")))
+    data = clean.select(z.alias("_z"), w.alias("_w"), key.cast("string").alias("_k"))
     digests = F.concat(*[digest_draws(F.col("_k"), b, seed) for b in range(blocks)])
     data = data.select("_z", "_w", digests.alias("_d"))
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        acc = np.zeros((n_members, size * size))
+        acc, centre = np.zeros((n_members, size * size)), None
         for pdf in batches:
             if len(pdf):
                 zs, ws = np.stack(pdf["_z"].to_numpy()), pdf["_w"].to_numpy()
+                centre = zs.mean(axis=0) if centre is None else centre
                 draws = np.frombuffer(bytes.fromhex("".join(pdf["_d"])), dtype=">u4").reshape(len(pdf), -1)[:, :n_members]
                 counts = np.searchsorted(limits, draws, side="right") * ws[:, None]
                 for start in range(0, len(zs), 2048):
-                    block = zs[start:start + 2048]
+                    block = zs[start:start + 2048] - centre
+                    block = np.column_stack([np.ones(len(block)), block])
                     outer = (block[:, :, None] * block[:, None, :]).reshape(len(block), -1)
                     acc += counts[start:start + 2048].T @ outer
-        yield pd.DataFrame({"member": np.arange(n_members, dtype="int32"), "m": list(acc)})
-
-    summed = _reduce(data.mapInPandas(partial, "member int, m array<double>"), ["member"], (size, size))
-    return Moments(list(features), shift, summed)
+        if centre is not None:
+            yield pd.DataFrame({"c": [centre], "m": [acc.ravel()]})
+
+    parts = _merge(data.mapInPandas(partial, "c array<double>, m array<double>"), [], (n_members, size, size))
+    if not parts:
+        return Moments(list(features), np.zeros(size - 1), {})
+    whole = parts[()]
+    return Moments(list(features), whole.centre, {(i,): m for i, m in enumerate(whole.m)})
 
 
 def solve(mom: Moments, matrix: np.ndarray, alpha: float = 1.0, subset: Sequence[str] | None = None) -> RidgeFit:

@@ -16,7 +16,6 @@ from gridsieve.operators.lookup import add_physical_features
 from gridsieve.operators.ridge import RidgeFit
 from gridsieve.operators.roles import alias_columns
 from gridsieve.plans.curation import FeatureState, prepare_features
-from gridsieve.session import new_path
 from gridsieve.sources import dims
 
 
@@ -58,7 +57,7 @@ def screen_candidates(
     scored = learn.ensemble_interval(prepared, members)
     scored = scored.withColumn("_vec", feature_vector(state.features))
     reference = train.select("row_id", feature_vector(state.features).alias("_vec"))
-    scored = neighbors.novelty_score(scored, reference, "_vec", F.col("row_id"), k, path=new_path(spark, "novelty"))
+    scored = neighbors.novelty_score(scored, reference, "_vec", k)
     scored = scored.drop("_vec")
     scored = scored.join(labels, "row_id")
     if q_hat is not None:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from gridsieve.functions.hashing import hash32
@@ -281,9 +283,11 @@ def d20(spark, d):
     return rounded(metrics.domain_counts(e, "within", ["user_id"]))
 
 
-POISSON_SQL = """CASE WHEN u < 0.36787944 THEN 0 WHEN u < 0.73575888 THEN 1 WHEN u < 0.91969860 THEN 2
-  WHEN u < 0.98101184 THEN 3 WHEN u < 0.99634015 THEN 4 WHEN u < 0.99940582 THEN 5 ELSE 6 END"""
-N_MEMBERS = 20
+# P(X<=k) = sum of 1/(e k!); the draws are 32 bits wide, so nothing beyond 12 can be told apart
+POISSON_SQL = "CASE " + " ".join(
+    f"WHEN u < exp(-1) * ({' + '.join(f'1.0::DOUBLE / {math.factorial(i)}' for i in range(k + 1))}) THEN {k}" for k in range(12)
+) + " ELSE 12 END"
+N_MEMBERS = 100
 BOOT_SQL = f"""
 draws AS (SELECT event_id, event_type, value, b.m AS member,
    {draw_sql("event_id", "b.m")} / 4294967296.0 AS u

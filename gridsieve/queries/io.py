@@ -108,3 +108,40 @@ def a13(spark, d):
     missing = tables.read_or_empty(spark, new_path(spark, "absent"), schema)
     found = tables.read_or_empty(spark, f"{d}/part.parquet", schema)
     return found.filter("p_brand = 'Brand#4'").unionByName(missing)
+
+
+PARTITIONED_SQL = "SELECT o_orderkey, o_totalprice, o_orderpriority FROM orders"
+
+
+@query("a1_partitioned_folder", PARTITIONED_SQL)
+def a1_partitioned(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_orderpriority")
+    path = sinks.write_table(o, new_path(spark, "a1p"), partition_by=["o_orderpriority"])
+    return tables.load_raw(spark, path).select(*o.columns)
+
+
+@query("a13_partitioned_or_empty", PARTITIONED_SQL)
+def a13_partitioned(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_orderpriority")
+    path = sinks.write_table(o, new_path(spark, "a13p"), partition_by=["o_orderpriority"])
+    return tables.read_or_empty(spark, path, "o_orderkey long, o_totalprice double, o_orderpriority string")
+
+
+@query("a12_text_export", "SELECT doc_id, text, lang, source, n_chars FROM documents")
+def a12_text(spark, d):
+    path = sinks.write_table(table(spark, d, "documents"), new_path(spark, "a12"), fmt="csv")
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    return tables.load_raw(spark, path, schema, multi_line=True)
+
+
+@query("a2_json_array_scan", "SELECT c_custkey, c_name, c_acctbal FROM customer")
+def a2_array(spark, d):
+    """Files of one array each, with a byte-order mark."""
+    c = table(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal")
+    line = F.to_json(F.struct(*c.columns))
+    # one file per thousand keys
+    files = c.select(F.floor(F.col("c_custkey") / 1000).alias("part"), line.alias("line")).groupBy("part").agg(F.collect_list("line").alias("lines"))
+    array = F.concat(F.lit("\ufeff["), F.array_join("lines", ","), F.lit("]"))
+    path = new_path(spark, "a2a")
+    files.select(array.alias("value"), "part").repartition("part").write.partitionBy("part").text(path)
+    return tables.read_json(spark, path, "c_custkey long, c_name string, c_acctbal double", array=True).select(*c.columns)

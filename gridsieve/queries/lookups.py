@@ -61,8 +61,8 @@ def _values(rows):
 
 def _materials(spark, d):
     """Host and co-catalyst names spread over the parts by key, with unknown and missing names among them."""
-    hosts = [k for k, *_ in dims.SEMICONDUCTOR_PROPS[:12]] + ["kryptonite"]
-    partners = [k for k, *_ in dims.COCATALYST_PROPS[:10]] + ["", "vibranium"]
+    hosts = [k for k, *_ in dims.SEMICONDUCTOR_PROPS] + ["kryptonite"]
+    partners = [k for k, *_ in dims.COCATALYST_PROPS] + ["", "vibranium"]
     size = F.col("p_size")
     return table(spark, d, "part").select(
         F.col("p_partkey").alias("row_id"), "p_name", "p_type",
@@ -71,8 +71,8 @@ def _materials(spark, d):
     )
 
 
-_HOSTS = [k for k, *_ in dims.SEMICONDUCTOR_PROPS[:12]] + ["kryptonite"]
-_PARTNERS = [k for k, *_ in dims.COCATALYST_PROPS[:10]] + ["", "vibranium"]
+_HOSTS = [k for k, *_ in dims.SEMICONDUCTOR_PROPS] + ["kryptonite"]
+_PARTNERS = [k for k, *_ in dims.COCATALYST_PROPS] + ["", "vibranium"]
 _MATERIALS_SQL = f"""
 m AS (SELECT p_partkey AS row_id, p_name, p_type,
         upper((['{"','".join(_HOSTS)}'])[p_size % {len(_HOSTS)} + 1]) AS host_material,

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from gridsieve.operators import neighbors
 from gridsieve.queries.common import hash32_sql, query, r, table
 
-# Labels below 5 play the training rows, the others the rows to be judged.
+# Labels below 5 play the training rows, the others the rows to be judged; self-distances take all rows.
 VEC_SQL = "v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings)"
 KNN_SQL = """
 knn AS (SELECT vec_id, avg(d) AS dist FROM (
@@ -15,6 +15,12 @@ knn AS (SELECT vec_id, avg(d) AS dist FROM (
          row_number() OVER (PARTITION BY q.vec_id ORDER BY list_distance(q.e, x.e)) AS k
   FROM v q JOIN v x ON q.label >= 5 AND x.label < 5) WHERE k <= 5 GROUP BY 1)
 """
+ALL_SQL = """
+self AS (SELECT vec_id, avg(d) AS dist FROM (
+  SELECT q.vec_id, list_distance(q.e, x.e) AS d,
+         row_number() OVER (PARTITION BY q.vec_id ORDER BY list_distance(q.e, x.e)) AS k
+  FROM v q JOIN v x ON q.vec_id <> x.vec_id) WHERE k <= 5 GROUP BY 1)
+"""
 SELF_SQL = """
 self AS (SELECT vec_id, avg(d) AS dist FROM (
   SELECT q.vec_id, list_distance(q.e, x.e) AS d,
@@ -23,8 +29,12 @@ self AS (SELECT vec_id, avg(d) AS dist FROM (
 """
 
 
+def vectors(spark, d):
+    return table(spark, d, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("e"))
+
+
 def roles(spark, d):
-    v = table(spark, d, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("e"))
+    v = vectors(spark, d)
     return v.filter("label < 5"), v.filter("label >= 5")
 
 
@@ -34,36 +44,33 @@ def c17(spark, d):
     return neighbors.knn_mean_distance(queries, train, "e", 5, "ad_score").select("vec_id", r("ad_score").alias("ad_score"))
 
 
-@query("c18_self_knn", f"WITH {VEC_SQL}, {SELF_SQL} SELECT vec_id, round(dist, 6) AS ad_score FROM self")
+@query("c18_self_knn", f"WITH {VEC_SQL}, {ALL_SQL} SELECT vec_id, round(dist, 6) AS ad_score FROM self")
 def c18(spark, d):
-    train, _ = roles(spark, d)
-    return neighbors.knn_mean_distance(train, None, "e", 5, "ad_score").select("vec_id", r("ad_score").alias("ad_score"))
+    return neighbors.knn_mean_distance(vectors(spark, d), None, "e", 5, "ad_score").select("vec_id", r("ad_score").alias("ad_score"))
 
 
 @query("c19_novelty", f"""
 WITH {VEC_SQL},
-s AS (SELECT * FROM v WHERE label < 5 ORDER BY md5(vec_id::VARCHAR || '-0'), vec_id::VARCHAR LIMIT 100),
 n AS (SELECT vec_id, avg(d) AS raw FROM (
   SELECT q.vec_id, list_distance(q.e, s.e) AS d,
          row_number() OVER (PARTITION BY q.vec_id ORDER BY list_distance(q.e, s.e)) AS k
-  FROM v q JOIN s ON q.label >= 5) WHERE k <= 5 GROUP BY 1)
+  FROM v q JOIN v s ON q.label >= 5 AND s.label < 5) WHERE k <= 5 GROUP BY 1)
 SELECT vec_id, round((raw - (SELECT min(raw) FROM n)) / ((SELECT max(raw) FROM n) - (SELECT min(raw) FROM n)), 6)
   AS novelty_score FROM n
 """)
 def c19(spark, d):
     train, queries = roles(spark, d)
-    out = neighbors.novelty_score(queries, train, "e", F.col("vec_id"), 5, n_sample=100)
+    out = neighbors.novelty_score(queries, train, "e", 5)
     return out.select("vec_id", r("novelty_score").alias("novelty_score"))
 
 
 @query("d19_ad_threshold", f"""
-WITH {VEC_SQL}, {SELF_SQL}
+WITH {VEC_SQL}, {ALL_SQL}
 SELECT round(avg(dist), 6) AS ad_mean, round(stddev_pop(dist), 6) AS ad_std, round(avg(dist) + stddev_pop(dist), 6)
   AS ad_threshold FROM self
 """)
 def d19(spark, d):
-    train, _ = roles(spark, d)
-    t = neighbors.domain_threshold(neighbors.knn_mean_distance(train, None, "e", 5, "dist"), "dist", 1.0)
+    t = neighbors.domain_threshold(neighbors.knn_mean_distance(vectors(spark, d), None, "e", 5, "dist"), "dist", 1.0)
     return t.select(*[r(c).alias(c) for c in t.columns])
 
 

@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 from gridsieve.functions.vectors import euclidean
 from gridsieve.operators import candidates as C
 from gridsieve.operators import encode, learn, metrics, ridge, roles
-from gridsieve.operators.curate import top_rows
 from gridsieve.operators.lookup import dim_lookup
 from gridsieve.operators.split import minmax
 from gridsieve.queries.aggregates import QHAT_SQL, calibration_rows, rounded
 from gridsieve.queries.common import PAIRS_SQL, hash32_sql, query, r, table
 from gridsieve.queries.curation import TYPE_PROPS_SQL, type_props
-from gridsieve.queries.models import ROWS_SQL, ridge1_sql, rows
-from gridsieve.sources.sinks import load_state
+from gridsieve.queries.models import BOOT_FIT_SQL, ROWS_SQL, members, ridge1_sql, rows
+from gridsieve.session import new_path
+from gridsieve.sources.sinks import load_state, save_state
 from gridsieve.streaming.scoring import file_stream, score_available
 
 GRID_SQL = """
@@ -25,13 +25,11 @@ grid AS (SELECT * FROM (SELECT DISTINCT p_brand AS host FROM part), (SELECT DIST
 
 
 def grid(spark, d):
-    part = table(spark, d, "part")
-    return C.candidate_grid(spark, {
-        "host": C.value_list(part, "p_brand"), "partner": C.value_list(part, "p_type"),
-        "amount": C.value_list(table(spark, d, "lineitem"), "l_tax"),
-        "source": C.value_list(table(spark, d, "orders"), "o_orderpriority"),
-        "segment": C.value_list(table(spark, d, "customer"), "c_mktsegment"),
-    })
+    columns = {
+        "host": ("part", "p_brand"), "partner": ("part", "p_type"), "amount": ("lineitem", "l_tax"),
+        "source": ("orders", "o_orderpriority"), "segment": ("customer", "c_mktsegment"),
+    }
+    return C.grid_of_values(spark, {name: table(spark, d, t).select(c) for name, (t, c) in columns.items()})
 
 
 @query("c15_cross_grid", f"WITH {GRID_SQL} SELECT host, partner, amount, source, segment FROM grid")
@@ -83,7 +81,7 @@ def screening(spark, d):
         "pred_median_log": med, "pred_p05_log": med - F.col("weight"),
         "pred_p95_log": med + F.col("weight") * (1 + F.col("amount")), "_raw": F.col("weight") * (F.col("amount") + 1),
     })
-    scored = minmax(scored, "_raw", "novelty_score")
+    scored = minmax(save_state(scored, new_path(spark, "scored-grid")), "_raw", "novelty_score")
     return C.screening_table(scored, "host", "partner", "amount", train, "l_extendedprice", cap_factor=0.3)
 
 
@@ -141,12 +139,12 @@ def i23(spark, d):
 
 @query("i12_ensemble_screening")
 def i12_ensemble(spark, d):
-    members = learn.bootstrap_ridge(rows(spark, d), ["x1", "x2"], "y", F.col("row_key"), 20)
+    fits = learn.bootstrap_ridge(rows(spark, d), ["x1", "x2"], "y", F.col("row_key"), 100)
     part = table(spark, d, "part").select(
         F.col("p_partkey").alias("row_id"), "p_brand", "p_type", "p_retailprice",
         F.col("p_size").cast("double").alias("x1"), (F.col("p_retailprice") / 1000).alias("x2"),
     )
-    scored = learn.ensemble_interval(part, members)
+    scored = learn.ensemble_interval(part, fits)
     out = C.screening_table(scored, "p_brand", "p_type", "p_retailprice")
     return C.best_candidates(out, ["p_brand", "p_type"], ["row_id"], 100).select(
         "composition", "pred_median_log", "pred_p05_log", "pred_p95_log", "ucb_log", "confidence"
@@ -164,20 +162,27 @@ def scorer(spark, d):
 
 
 @query("i11_batch_scoring", f"""
-{SCORE_SQL}, {TYPE_PROPS_SQL}
-SELECT p_partkey, round(coalesce(tp.weight, u.weight), 6) AS weight, round(a + b * p_size, 6) AS pred_log,
-       round(greatest(exp(a + b * p_size) - 1, 0), 4) AS pred_orig
-FROM part LEFT JOIN tp ON tp.key = lower(trim(p_type)) JOIN tp u ON u.key = 'unknown', fit
-ORDER BY p_size DESC, p_partkey LIMIT 500
+{SCORE_SQL}, {TYPE_PROPS_SQL}, {BOOT_FIT_SQL},
+iv AS (SELECT p_partkey, quantile_cont(f.a + f.b * p_size, 0.1) AS lo, quantile_cont(f.a + f.b * p_size, 0.5) AS mid,
+              quantile_cont(f.a + f.b * p_size, 0.9) AS hi FROM part, fits f GROUP BY 1)
+SELECT p_partkey, round(coalesce(tp.weight, u.weight), 6) AS weight, round(fit.a + fit.b * p_size, 6) AS pred_log,
+       round(greatest(exp(fit.a + fit.b * p_size) - 1, 0), 4) AS pred_orig, round(lo, 6) AS p10_log, round(mid, 6) AS p50_log,
+       round(hi, 6) AS p90_log, round(hi - lo, 6) AS width_log,
+       row_number() OVER (ORDER BY round(fit.a + fit.b * p_size, 9) DESC, p_partkey) AS rank
+FROM part JOIN iv USING (p_partkey) LEFT JOIN tp ON tp.key = lower(trim(p_type)) JOIN tp u ON u.key = 'unknown', fit
 """)
 def i11(spark, d):
+    """Every part enriched, shaped, scored with its interval and ranked by prediction."""
     part = table(spark, d, "part").select("p_partkey", "p_type", "p_size")
     enriched = dim_lookup(part, "p_type", type_props(spark), ["weight"])
     shaped = roles.complete_schema(roles.alias_columns(enriched, {"p_size": "x1"}), {"x1": 0.0, "note": "missing"})
     scored = learn.score(scorer(spark, d), shaped, "pred_log")
-    top = top_rows(scored, [F.desc("x1"), F.asc("p_partkey")], 500)
-    return top.select(
-        "p_partkey", r("weight").alias("weight"), r("pred_log").alias("pred_log"), r("pred_orig", 4).alias("pred_orig")
+    scored = learn.ensemble_interval(scored, members(spark, d), (0.1, 0.5, 0.9), ("p10_log", "p50_log", "p90_log"))
+    ranked = learn.rank_by_prediction(scored.withColumn("_p", F.round("pred_log", 9)), "_p", "p_partkey")
+    return ranked.select(
+        "p_partkey", r("weight").alias("weight"), r("pred_log").alias("pred_log"), r("pred_orig", 4).alias("pred_orig"),
+        r("p10_log").alias("p10_log"), r("p50_log").alias("p50_log"), r("p90_log").alias("p90_log"),
+        r(F.col("p90_log") - F.col("p10_log")).alias("width_log"), "rank",
     )
 
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 
 def build_session(app_name: str = "gridsieve", master: str | None = None, **conf: str) -> SparkSession:
@@ -28,21 +31,37 @@ def build_session(app_name: str = "gridsieve", master: str | None = None, **conf
         builder = builder.master(master).config("spark.ui.enabled", "false")
     for key, value in conf.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Sends the package to the Python workers, which need it where it is not installed."""
+    sc = spark.sparkContext
+    if getattr(sc, "_gridsieve_shipped", False):
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    folder = tempfile.mkdtemp(prefix="gridsieve-package-")
+    sc.addPyFile(shutil.make_archive(os.path.join(folder, "gridsieve"), "zip", root, "gridsieve"))
+    atexit.register(shutil.rmtree, folder, True)
+    sc._gridsieve_shipped = True
 
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    Only a session that names none (tests on one machine) falls back to a fresh local folder.
+    Only a session whose executors are threads of the driver may leave it unset (tests on one
+    machine); it then gets a fresh folder that goes when the driver ends.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
         configured = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not configured:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
         configured = tempfile.mkdtemp(prefix="gridsieve-")
+        atexit.register(shutil.rmtree, configured, True)
         spark.conf.set("spark.checkpoint.dir", configured)
     return configured
 
@@ -61,24 +80,3 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 def default_buckets(spark: SparkSession) -> int:
     """How many range buckets a distributed ranking uses: a few per shuffle partition."""
     return max(32, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-
-
-SMALL_SPLIT_BYTES = 128 * 1024 * 1024
-
-
-def spread_small_input(df: DataFrame) -> DataFrame:
-    """Repartitions a table read from few small files before work that multiplies or outweighs its rows.
-
-    A small parquet file is one task whatever the cluster. Larger inputs have enough splits of
-    their own and are returned as they are, so this never shuffles more than one default split
-    per core.
-    """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    files = df.inputFiles()
-    if not 0 < len(files) < cores:
-        return df
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    paths = [spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f) for f in files]
-    size = sum(p.getFileSystem(conf).getFileStatus(p).getLen() for p in paths)
-    return df.repartition(cores) if size < cores * SMALL_SPLIT_BYTES else df

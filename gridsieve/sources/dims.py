@@ -219,20 +219,3 @@ def cocatalyst_props(spark: SparkSession) -> DataFrame:
         "key string, work_function double, d_band_center double, atomic_radius int, "
         "electronegativity double, price int",
     )
-
-
-def descriptor_lookup(spark: SparkSession) -> DataFrame:
-    """The lookup tables in one long form: (attribute, ordinal, key, value)."""
-    tables = {
-        "bandgap_ev": BANDGAP_EV,
-        "electron_affinity_ev": ELECTRON_AFFINITY_EV,
-        "electronegativity": ELECTRONEGATIVITY,
-        "ionic_radius_ang": IONIC_RADIUS_ANG,
-        "crystal_field_d_elec": D_ELECTRON_COUNT,
-    }
-    rows = [
-        (attribute, i, key, float(value))
-        for attribute, table in tables.items()
-        for i, (key, value) in enumerate(table)
-    ]
-    return dim(spark, rows, "attribute string, ordinal int, key string, value double")

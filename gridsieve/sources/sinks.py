@@ -16,17 +16,18 @@ def write_table(
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     if fmt == "csv":
-        writer = writer.option("header", True).option("escape", '"')
+        # texts keep their outer white space and line breaks; CSV cannot tell an empty text from a missing one
+        writer = writer.options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     writer.format(fmt).save(path)
     return path
 
 
 def write_record(summary: DataFrame, path: str) -> str:
-    """Writes a one-row summary as JSON. More than one row is an error (two rows are looked at)."""
-    rows = summary.limit(2).count()
-    if rows != 1:
+    """Writes a one-row summary as JSON, computed once. More than one row is an error (two rows are looked at)."""
+    rows = summary.limit(2).collect()
+    if len(rows) != 1:
         raise ValueError(f"a record needs exactly one row, got {'several' if rows else 'none'}")
-    summary.coalesce(1).write.mode("overwrite").json(path)
+    summary.sparkSession.createDataFrame(rows, summary.schema).coalesce(1).write.mode("overwrite").json(path)
     return path
 
 

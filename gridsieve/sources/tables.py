@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,9 +19,19 @@ def nulls_for_nan(df: DataFrame) -> DataFrame:
     return df.withColumns({c: nan_to_null(F.col(c).cast("double")) for c in floats}) if floats else df
 
 
-def read_csv(spark: SparkSession, path: str, schema: str | T.StructType | None = None, header: bool = True) -> DataFrame:
-    """CSV scan. Without a schema one inference pass is paid; give one for large inputs."""
-    reader = spark.read.option("header", header).option("nanValue", "NaN").option("escape", '"').option("multiLine", False)
+def read_csv(
+    spark: SparkSession, path: str, schema: str | T.StructType | None = None, header: bool = True,
+    multi_line: bool = False, mode: str = "FAILFAST",
+) -> DataFrame:
+    """CSV scan. Without a schema one inference pass is paid; give one for large inputs.
+
+    A row that does not fit the schema is an error unless ``mode`` says otherwise. Quoted texts with
+    line breaks need ``multi_line``; such files are not split, so write them as many files.
+    """
+    reader = spark.read.options(
+        header=header, nanValue="NaN", escape='"', multiLine=multi_line, mode=mode,
+        ignoreLeadingWhiteSpace=not multi_line, ignoreTrailingWhiteSpace=not multi_line,
+    )
     df = reader.schema(schema).csv(path) if schema is not None else reader.option("inferSchema", True).csv(path)
     return nulls_for_nan(df)
 
@@ -43,41 +53,61 @@ def read_column(spark: SparkSession, path: str, name: str = "w") -> DataFrame:
     return read_csv(spark, path, f"{name} double", header=False)
 
 
-def list_files(spark: SparkSession, path: str) -> list[str]:
-    """Regular, non-hidden files of a folder on any Hadoop file system, sorted by name."""
+def _file_system(spark: SparkSession, path: str):
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(hadoop):
-        return []
-    files = [s.getPath() for s in fs.listStatus(hadoop) if s.isFile()]
-    return sorted(str(f.toString()) for f in files if not f.getName().startswith((".", "_")))
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop
+
+
+def data_files(spark: SparkSession, path: str) -> Iterator[str]:
+    """Files below a path on any Hadoop file system, one after the other, without hidden ones and markers."""
+    fs, top = _file_system(spark, path)
+    if not fs.exists(top):
+        return
+    root = fs.getFileStatus(top).getPath().toString().rstrip("/")
+    files = fs.listFiles(top, True)
+    while files.hasNext():
+        name = files.next().getPath().toString()
+        if not any(part.startswith((".", "_")) for part in name[len(root):].split("/")):
+            yield name
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
+    fs, top = _file_system(spark, path)
+    return fs.exists(top)
 
 
 def load_raw(
-    spark: SparkSession, folder: str, schema: str | T.StructType | None = None, pick: str = "all", json_array: bool = True
+    spark: SparkSession, folder: str, schema: str | T.StructType | None = None, pick: str = "all", json_array: bool = True,
+    multi_line: bool = False,
 ) -> DataFrame:
-    """Raw table of a folder. ``pick="first"`` takes the first readable file by name, ``"all"`` every
-    file of that first file's format as one table. Raises FileNotFoundError if there is none."""
-    known = [(f, READERS[f.rsplit(".", 1)[-1]]) for f in list_files(spark, folder) if f.rsplit(".", 1)[-1] in READERS]
-    if not known:
+    """Raw table of a folder, partitioned or not. ``pick="first"`` takes the first readable file by name.
+
+    ``"all"`` hands the folder to the reader; files of several formats in it are an error. Suffixes match
+    without case. Raises FileNotFoundError if there is no readable file.
+    """
+    formats, first = set(), None
+    for name in data_files(spark, folder):
+        suffix = name.rsplit(".", 1)[-1].lower()
+        if suffix in READERS:
+            formats.add(suffix)
+            first = name if first is None else min(first, name)
+    if first is None:
         raise FileNotFoundError(f"no readable table in {folder}")
-    fmt = known[0][1]
-    paths = [f for f, kind in known if kind == fmt] if pick == "all" else [known[0][0]]
-    if fmt == "csv":
-        return read_csv(spark, paths, schema)
-    if fmt == "json":
-        return read_json(spark, paths, schema, array=json_array and not paths[0].endswith(".jsonl"))
-    return nulls_for_nan(spark.read.parquet(*paths))
+    if pick == "all" and len(formats) > 1:
+        raise ValueError(f"{folder} holds several formats: {', '.join(sorted(formats))}")
+    path, suffix = (folder, formats.pop()) if pick == "all" else (first, first.rsplit(".", 1)[-1].lower())
+    kind = READERS[suffix]
+    if kind == "csv":
+        return read_csv(spark, path, schema, multi_line=multi_line)
+    if kind == "json":
+        return read_json(spark, path, schema, array=json_array and suffix != "jsonl")
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    return nulls_for_nan(reader.parquet(path))
 
 
 def read_or_empty(spark: SparkSession, path: str, schema: str | T.StructType, fmt: str = "parquet") -> DataFrame:
-    """The table at the path, or an empty one with the declared schema if nothing is there."""
-    if not exists(spark, path) or (fmt == "parquet" and not list_files(spark, path)):
+    """The table at the path, partitioned or not, or an empty one with the declared schema if no file is there."""
+    if next(data_files(spark, path), None) is None:
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).format(fmt).load(path)
 

@@ -3,6 +3,7 @@
 import json
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -132,6 +133,12 @@ def test_json_array_with_byte_order_mark(spark, tmp_path):
     (folder / "a.csv").write_text("a,s\n2,z\nNaN,w\n")
     first = tables.load_raw(spark, str(folder), "a double, s string", pick="first").orderBy("s").collect()
     assert [(r["a"], r["s"]) for r in first] == [(None, "w"), (2.0, "z")]
+    with pytest.raises(ValueError, match="several formats"):
+        tables.load_raw(spark, str(folder), "a double, s string")
+    upper = tmp_path / "upper"
+    upper.mkdir()
+    (upper / "A.CSV").write_text("a,s\n5,v\n")
+    assert tables.load_raw(spark, str(upper), "a double, s string").first()["a"] == 5.0
     empty = tmp_path / "none"
     empty.mkdir()
     with pytest.raises(FileNotFoundError):
@@ -149,6 +156,42 @@ def test_sinks_guard_their_input(spark, tmp_path):
     assert tables.read_or_empty(spark, path, "id long").count() == 3
 
 
+def test_partitioned_tables_and_texts_survive(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a\nb", "x"), (2, None, "y"), (4, ' q"u, ', "y")], "id long, t string, part string")
+    path = sinks.write_table(df, str(tmp_path / "p"), partition_by=["part"])
+    assert tables.read_or_empty(spark, path, df.schema).count() == 3
+    assert tables.load_raw(spark, path).count() == 3
+    csv = sinks.write_table(df, str(tmp_path / "c"), fmt="csv")
+    back = tables.load_raw(spark, csv, df.schema, multi_line=True)
+    assert sorted(map(tuple, back.collect()), key=str) == sorted(map(tuple, df.collect()), key=str)
+    with pytest.raises(Exception, match="(?i)malformed|parse"):
+        tables.read_csv(spark, csv, "id long, t string, part string").collect()
+
+
+def test_fits_do_not_depend_on_partitions(spark):
+    rows = [(i, 1e6 + i * 0.5 + (7 if i % 3 else 0), 2.0 * i + (i % 5), 1.0 + i % 2) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, x double, y double, w double")
+    fits = []
+    for parts in (1, 7):
+        mom = ridge.moments(df.repartition(parts, "id"), ["x"], "y", "w")
+        fit = ridge.solve(mom, mom.total())
+        fits.append((fit.coefficients[0], fit.intercept))
+    assert fits[0] == pytest.approx(fits[1], rel=1e-9)
+    x, y, w = (np.array([r[i] for r in rows]) for i in (1, 2, 3))
+    mx, my = (w * x).sum() / w.sum(), (w * y).sum() / w.sum()
+    assert fits[0][0] == pytest.approx((w * (x - mx) * (y - my)).sum() / ((w * (x - mx) ** 2).sum() + 1), rel=1e-9)
+    many = learn.bootstrap_ridge(df, ["x"], "y", F.col("id"), 6)
+    again = learn.bootstrap_ridge(df.repartition(5, "id"), ["x"], "y", F.col("id"), 6)
+    assert [m.coefficients[0] for m in many] == pytest.approx([m.coefficients[0] for m in again], rel=1e-9)
+
+
+def test_grid_of_values(spark):
+    a = spark.createDataFrame([("x",), ("y",), ("x",), (None,)], "a string")
+    b = spark.createDataFrame([(2.0,), (1.0,), (3.0,)], "b double")
+    rows = candidates.grid_of_values(spark, {"one": a, "two": b}).orderBy("row_id").collect()
+    assert [(r["row_id"], r["one"], r["two"]) for r in rows] == [(i, "xy"[i // 3], i % 3 + 1.0) for i in range(6)]
+
+
 def test_stream_scoring_continues_after_restart(spark, tmp_path):
     source, out, offsets = (str(tmp_path / n) for n in ("in", "out", "offsets"))
     fit = ridge.RidgeFit(["x"], [2.0], 1.0)

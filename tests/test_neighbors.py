@@ -66,12 +66,17 @@ def test_fewer_rows_than_neighbours(spark, n):
     np.testing.assert_allclose(own, mean_finite(brute(r, r, 5, True)), rtol=1e-9)
 
 
-def test_sample_reference_is_checked(spark):
-    r, q = clusters(1, 30), clusters(2, 10)
-    got = run(neighbors.knn_to_sample(frame(spark, q), frame(spark, r), "v", 3, max_rows=30))
-    np.testing.assert_allclose(got, mean_finite(brute(q, r, 3)), rtol=1e-9)
-    with pytest.raises(ValueError):
-        neighbors.knn_to_sample(frame(spark, q), frame(spark, r), "v", 3, max_rows=29)
+def test_negative_zero_is_zero(spark):
+    r = np.array([[0.0, 1.0], [-0.0, 1.0], [3.0, -0.0]])
+    got = run(neighbors.knn_mean_distance(frame(spark, r), frame(spark, r), "v", 2))
+    np.testing.assert_allclose(got, mean_finite(brute(r, r, 2)), rtol=1e-12)
+
+
+def test_novelty_takes_every_training_row(spark):
+    r, q = clusters(1, 1300), clusters(2, 30)
+    want = mean_finite(brute(q, r, 5))
+    rows = neighbors.novelty_score(frame(spark, q), frame(spark, r), "v", 5).orderBy("id").collect()
+    np.testing.assert_allclose([x["novelty_score"] for x in rows], (want - want.min()) / (want.max() - want.min()), rtol=1e-7, atol=1e-9)
 
 
 def test_standardized_domain(spark):
