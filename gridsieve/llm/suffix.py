@@ -10,7 +10,9 @@ All 100-byte strings of all texts are decided, in order of (doc_id, start), by a
    them without comparing known common prefixes again. In the merged order, equal neighbours are repeats,
    of which the earliest stays.
 3. A candidate that stays may still share a part with a different one (at the edges of a passage). If its
-   piece occurs elsewhere, its 100-byte strings are sorted and merged the same way, one by one.
+   piece occurs elsewhere, sorted runs of such candidates are exchanged by piece and merged, and the 100-byte
+   strings of those that share a piece are sorted together; for a piece that very many share, the strings are
+   exchanged by range and merged one by one.
 
 Equal strings are combined inside each run first, so a passage held by a third of all texts reaches a merge
 once per run. Pieces that are very frequent inside one task are not counted but taken as repeated. Texts are
@@ -23,7 +25,8 @@ the text; an empty table gives no rows. Other columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +43,7 @@ PIECE = 24
 FREQUENT = 64
 HELD = 600_000  # candidates a task collects before it sends them on
 RUN = 60_000  # strings of one sorted run
+GROUP = 2_000  # candidates with one piece that may meet in one place
 SAMPLE_DOCUMENTS = 400
 U64 = np.uint64
 POSITION = 20
@@ -214,11 +218,11 @@ _X_TYPES = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), *[pa.bin
 class Runs:
     """Collects strings with their places and gives sorted, combined, front-coded runs and decided repeats.
 
-    A record is (string, key, tag, start, count, times).
+    A record is (string, key, tag, start, count, times). ``place`` gives the part of each of some sorted strings.
     """
 
-    def __init__(self, splitters: list[bytes], seed: int):
-        self.splitters, self.records, self.spread = splitters, [], seed
+    def __init__(self, place: Callable[[list[bytes]], np.ndarray], parts: int, seed: int):
+        self.place, self.parts, self.spread, self.records = place, parts, seed, []
         self.repeats: list[tuple[int, int, int, int]] = []
 
     def batches(self, last: bool = False) -> Iterator[pa.RecordBatch]:
@@ -237,7 +241,7 @@ class Runs:
                 joined.append([key, tag, start, stop])
         self.repeats = []
         self.spread += 1
-        columns = [[(self.spread + i) % (len(self.splitters) + 1) for i in range(len(joined))], *zip(*joined, strict=True)]
+        columns = [[(self.spread + i) % self.parts for i in range(len(joined))], *zip(*joined, strict=True)]
         arrays = [pa.array(list(c), t) for c, t in zip(columns, _X_TYPES[:5], strict=True)]
         return pa.RecordBatch.from_arrays([*arrays, *[pa.nulls(len(joined), pa.binary())] * 8], _X_NAMES)
 
@@ -253,22 +257,30 @@ class Runs:
             else:
                 kept.append(record)
         self.records = []
-        strings = [r[0] for r in kept]
-        parts = part_of(strings, self.splitters)
+        parts = self.place([r[0] for r in kept])
+        order = np.argsort(parts, kind="stable")
         rows = []
-        for part in np.unique(parts):
-            a, b = np.searchsorted(parts, [part, part + 1])
-            some = kept[a:b]
-            places = [np.array([r[i] for r in some], t).tobytes() for i, t in ((1, "<i8"), (2, "<i8"), (3, "<i4"), (4, "<i4"), (5, "<i4"))]
-            rows.append((int(part), None, None, None, None, *front_code(strings[a:b]), *places))
+        for some in np.split(order, np.flatnonzero(np.diff(parts[order])) + 1):
+            own = [kept[i] for i in some]
+            places = [np.array([r[i] for r in own], t).tobytes() for i, t in ((1, "<i8"), (2, "<i8"), (3, "<i4"), (4, "<i4"), (5, "<i4"))]
+            rows.append((int(parts[some[0]]), None, None, None, None, *front_code([r[0] for r in own]), *places))
         return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), _X_TYPES, strict=True)], _X_NAMES)
 
 
-def _suffix_runs(splitters: list[bytes]):
+def _by_range(splitters: list[bytes]) -> Callable[[list[bytes]], np.ndarray]:
+    return lambda strings: part_of(strings, splitters)
+
+
+def _by_piece(parts: int) -> Callable[[list[bytes]], np.ndarray]:
+    """Parts of strings that begin with the hash of their piece; they follow the ranges."""
+    return lambda strings: parts + np.array([int.from_bytes(s[:8], "big") % parts for s in strings])
+
+
+def _suffix_runs(splitters: list[bytes], parts: int):
     """Sorted runs of candidate suffixes from whole texts joined with their candidates."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        runs = Runs(splitters, TaskContext.get().partitionId())
+        runs = Runs(_by_range(splitters), parts, TaskContext.get().partitionId())
         for batch in slices(batches):
             for r in batch.select(["key", "tag", "text", "found"]).to_pylist():
                 data = None
@@ -316,22 +328,40 @@ def _settle(group: list[tuple], runs: Runs) -> tuple:
     return earliest
 
 
-def _merge_suffixes(splitters: list[bytes]):
-    """Decides equal candidates and sends on the single strings of those that may repeat in part."""
+def _merge_suffixes(splitters: list[bytes], parts: int):
+    """Decides equal candidates and sends on those that may repeat in part.
+
+    They meet the others with their piece, as whole candidates; if there are more than GROUP of these, as single
+    strings by range, so that no group is held whole.
+    """
 
     def merge(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         part = key[0].as_py()
-        runs = Runs(splitters, part)
-        runs.repeats = _passed(rows)
-        out = []
+        single, whole = Runs(_by_range(splitters), parts, part), Runs(_by_piece(parts), parts, part)
+        single.repeats = _passed(rows)
+        out, doubtful = [], []
+
+        def send() -> None:
+            # the strings of a candidate have one piece
+            h, owner, _, _ = ranges_of([r[0] for r in doubtful])
+            for h, record in zip(h[np.unique(owner, return_index=True)[1]], doubtful, strict=True):
+                whole.records.append((int(h).to_bytes(8, "big") + record[0], *record[1:]))
+            doubtful.clear()
+            out.extend(whole.batches())
+
         for group in _merged(rows):
-            string, *place, _, times = _settle(group, runs)
-            if times < 0 or sum(r[4] for r in group) < times:
-                for i in range(len(string) - LENGTH + 1):
-                    runs.records.append((string[i : i + LENGTH], place[0], place[1], place[2] + i, 1, 0))
-            out += runs.batches()
-        out += runs.batches(last=True)
-        out += runs.batches(last=True)
+            record = _settle(group, single)
+            string, key_, tag, start, _, times = record
+            if times < 0 or times > GROUP:
+                single.records += [(string[i : i + LENGTH], key_, tag, start + i, 1, 0) for i in range(len(string) - LENGTH + 1)]
+            elif sum(r[4] for r in group) < times:
+                doubtful.append(record)
+                if len(doubtful) >= RUN:
+                    send()
+            out.extend(single.batches())
+        send()
+        for runs in (whole, single, single):
+            out.extend(runs.batches(last=True))
         return pa.Table.from_batches(out, schema=pa.schema(list(zip(_X_NAMES, _X_TYPES, strict=True))))
 
     return merge
@@ -340,14 +370,34 @@ def _merge_suffixes(splitters: list[bytes]):
 _SPANS = "key long, tag long, start int, stop int"
 
 
-def _merge_strings(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-    runs = Runs([], 0)
-    runs.repeats = _passed(rows)
-    for group in _merged(rows):
-        _settle(group, runs)
-    if runs.repeats:
-        return pa.Table.from_batches([runs._decided()]).select(["key", "tag", "start", "stop"])
-    return pa.table([pa.array([], t) for t in _X_TYPES[1:5]], names=["key", "tag", "start", "stop"])
+def _merge_strings(parts: int):
+    """Decides single strings, by equality, and candidates that share a piece, by sorting their strings."""
+
+    def merge(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        runs = Runs(_by_range([]), 1, 0)
+        runs.repeats = _passed(rows)
+
+        def settle_piece(group: list[tuple]) -> None:
+            strings = sorted((s[i : i + LENGTH], k, t, at + i - 8) for s, k, t, at, *_ in group for i in range(8, len(s) - LENGTH + 1))
+            for before, here in pairwise(strings):
+                if before[0] == here[0] and before != here:
+                    runs.repeats.append((*here[1:], here[3] + LENGTH))
+
+        group: list[tuple] = []
+        for same in _merged(rows):
+            if key[0].as_py() < parts:
+                _settle(same, runs)
+            else:
+                if group and group[0][0][:8] != same[0][0][:8]:
+                    settle_piece(group)
+                    group = []
+                group += same
+        settle_piece(group)
+        if runs.repeats:
+            return pa.Table.from_batches([runs._decided()]).select(["key", "tag", "start", "stop"])
+        return pa.table([pa.array([], t) for t in _X_TYPES[1:5]], names=["key", "tag", "start", "stop"])
+
+    return merge
 
 
 def _splitters(docs: DataFrame, parts: int) -> list[bytes]:
@@ -381,9 +431,9 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     found = found.groupBy("key").agg(F.collect_list(F.struct("tag", "first", "span", "times")).alias("found"))
     # the same exchange of the texts serves this join and the last one
     placed = rows.repartition(parts, "key")
-    suffixes = placed.join(found, "key", "left").mapInArrow(_suffix_runs(splitters), _EXCHANGE)
-    strings = suffixes.groupBy("part").applyInArrow(_merge_suffixes(splitters), _EXCHANGE)
-    spans = strings.groupBy("part").applyInArrow(_merge_strings, _SPANS)
+    suffixes = placed.join(found, "key", "left").mapInArrow(_suffix_runs(splitters, parts), _EXCHANGE)
+    strings = suffixes.groupBy("part").applyInArrow(_merge_suffixes(splitters, parts), _EXCHANGE)
+    spans = strings.groupBy("part").applyInArrow(_merge_strings(parts), _SPANS)
     spans = spans.groupBy("key").agg(F.collect_list(F.struct("tag", "start", "stop")).alias("spans"))
     return placed.join(spans, "key", "left").select("key", "tag", "text", "rest", "spans")
 
