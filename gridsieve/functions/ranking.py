@@ -16,7 +16,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gridsieve.functions.hashing import TWO_32, hash32
-from gridsieve.session import default_buckets
+from gridsieve.session import default_buckets, new_path
+from gridsieve.sources.sinks import save_state
 
 INF = float("inf")
 
@@ -80,21 +81,24 @@ def cumulative_counts(
     n_buckets: int | None = None,
     edges: Sequence[float] | None = None,
     bucket: str | None = None,
+    weight: str | None = None,
 ) -> DataFrame:
     """Distinct non-NULL values with ``n`` (rows), ``cum`` (rows <= value) and ``total``, per group.
 
-    ``bucket`` names a column that is already a monotone bucket of ``value`` within each group.
+    ``bucket`` names a column that is already a monotone bucket of ``value`` within each group, and
+    ``weight`` one that says for how many rows a row stands. The input runs once: its counts are written,
+    and edges, offsets and positions come from them.
     """
-    by = list(by)
-    data = df.filter(F.col(value).isNotNull())
+    by, spark = list(by), df.sparkSession
+    rows = F.sum(weight) if weight else F.count(F.lit(1))
+    keys = [*by, *([bucket] if bucket else []), value]
+    counted = df.filter(F.col(value).isNotNull()).groupBy(*keys).agg(rows.cast("bigint").alias("n"))
+    counted = save_state(counted, new_path(spark, "counts"))
     if bucket is None:
         if edges is None:
-            edges = range_edges(data, [value], n_buckets or default_buckets(df.sparkSession))[value]
-        counted = data.groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
+            edges = range_edges(counted, [value], n_buckets or default_buckets(spark))[value]
         counted = add_range_bucket(counted, value, edges)
         bucket = "_bucket"
-    else:
-        counted = data.groupBy(*by, bucket, value).agg(F.count(F.lit(1)).alias("n"))
     offsets = bucket_offsets(counted, by, bucket, F.col("n"))
     if not by:  # one row per bucket: a small side whatever the input, so the counted rows stay put
         offsets = F.broadcast(offsets)

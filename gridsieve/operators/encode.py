@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridsieve.functions.ranking import add_text_bucket, column_quantiles, cumulative_counts, null_safe_join
-from gridsieve.session import default_buckets
+from gridsieve.session import default_buckets, new_path
+from gridsieve.sources.sinks import save_state
 
 
 def fit_medians(train: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -77,6 +78,8 @@ def fit_target_encoding(train: DataFrame, cat: str, target: str) -> DataFrame:
 
 def apply_target_encoding(df: DataFrame, fitted: DataFrame, cat: str, out: str) -> DataFrame:
     """Joins the fitted encodings; unseen categories take the global mean."""
+    # written, so that its size is known and a short list of categories is broadcast: rows are not dealt by category
+    fitted = save_state(fitted, new_path(df.sparkSession, "encoding"))
     default = fitted.agg(F.max("global_mean").alias("g")).scalar()
     joined = null_safe_join(df, fitted.select(cat, "encoding"), [cat], "left")
     return joined.withColumn(out, F.coalesce("encoding", default)).drop("encoding")
@@ -103,7 +106,8 @@ def cross_fit_target_encoding(train: DataFrame, cat: str, target: str, fold: str
     s = F.col("cs") - F.coalesce("s", F.lit(0.0))
     q = F.col("cq") - F.coalesce("q", F.lit(0.0))
     enc = F.when(n > 0, _shrunk(n, s, q, g_mean, g_var)).otherwise(g_mean) + F.lit(centre)
-    return null_safe_join(train, rest.select(cat, fold, enc.alias(out)), [cat, fold])
+    fitted = save_state(rest.select(cat, fold, enc.alias(out)), new_path(train.sparkSession, "encoding"))
+    return null_safe_join(train, fitted, [cat, fold])
 
 
 def fit_encodings(

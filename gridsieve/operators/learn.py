@@ -87,9 +87,8 @@ def ridge_cv(
     model: str = "Ridge",
 ) -> DataFrame:
     """(model, fold, r2) for held-out folds (random or whole groups) from one pass over the data."""
-    mom = ridge.moments(df, features, label, weight, [fold])
-    scores = [(model, int(k), v) for k, v in ridge.cv_r2(mom, alpha)]
-    return _score_frame(df.sparkSession, scores, "model string, fold int, r2 double")
+    scores = ridge.cv_table(df, label, fold, {model: list(features)}, weight, alpha)
+    return scores.select("model", F.col(fold).cast("int").alias("fold"), "r2")
 
 
 def model_cv(
@@ -258,17 +257,13 @@ def ridge_ablation(
     All variants are sub-matrices of the same moments: the data is read once.
     """
     usable = {name: list(cols) for name, cols in variants.items() if len(cols) >= 2}
-    features = sorted({c for cols in usable.values() for c in cols})
-    mom = ridge.moments(df, features, label, weight, [fold])
-    rows, base = [], None
-    for i, (name, cols) in enumerate(usable.items()):
-        scores = [v for *_, v in ridge.cv_r2(mom, alpha, cols)]
-        mean = float(np.mean(scores))
-        base = mean if base is None else base
-        rows.append((i, name, len(cols), mean, float(np.std(scores)), mean - base))
-    return _score_frame(
-        df.sparkSession, rows, "ord int, model string, n_features int, lomo_r2 double, lomo_std double, delta_r2 double"
+    scores = ridge.cv_table(df, label, fold, usable, weight, alpha).groupBy("model").agg(
+        F.avg("r2").alias("lomo_r2"), F.stddev_pop("r2").alias("lomo_std")
     )
+    spark, first = df.sparkSession, next(iter(usable))
+    order = _score_frame(spark, [(i, n, len(c)) for i, (n, c) in enumerate(usable.items())], "ord int, model string, n_features int")
+    base = scores.filter(F.col("model") == first).agg(F.max("lomo_r2").alias("b")).scalar()
+    return order.join(scores, "model").select("ord", "model", "n_features", "lomo_r2", "lomo_std", (F.col("lomo_r2") - base).alias("delta_r2"))
 
 
 def ridge_learning_curve(
@@ -301,18 +296,22 @@ def encoding_comparison(
 ) -> DataFrame:
     """Group-CV R2, test R2 and Spearman rho per feature set."""
     features = sorted({c for cols in strategies.values() for c in cols})
-    mom = ridge.moments(train, features, label, None, [fold])
+    train = train.persist(StorageLevel.MEMORY_AND_DISK)
+    mom = ridge.moments(train, features, label)
+    scores = ridge.cv_table(train, label, fold, strategies, alpha=alpha).groupBy("model").agg(F.avg("r2").alias("m"))
+    mean_r2 = {r["model"]: r["m"] for r in scores.collect()}  # one row per strategy
     held = test.select(label, *features).persist(StorageLevel.MEMORY_AND_DISK)
     rows = []
     try:
         for name, cols in strategies.items():
-            lomo = float(np.mean([v for *_, v in ridge.cv_r2(mom, alpha, cols)]))
+            lomo = mean_r2[name]
             scored = held.withColumn("prediction", ridge.solve(mom, mom.total(), alpha, cols).column())
             r2 = scored.agg(metrics.r2_expr(label, "prediction")).first()[0]
             rho = metrics.spearman(scored, label, "prediction").first()["rho"]
             rows.append((name, lomo, r2, rho))
     finally:
         held.unpersist()
+        train.unpersist()
     return _score_frame(
         train.sparkSession, rows, "encoding_strategy string, lomo_r2 double, test_r2_log double, spearman_rho double"
     )

@@ -17,7 +17,9 @@ from gridsieve.functions.text import (
     map_lookup,
     strip_lower,
 )
+from gridsieve.session import new_path
 from gridsieve.sources import dims
+from gridsieve.sources.sinks import save_state
 
 
 def dim_lookup(
@@ -66,11 +68,13 @@ def longest_substring_join(
     """Longest-substring lookup against a dictionary table of any size.
 
     No pairwise matching: the distinct texts are expanded to their substrings of the key
-    lengths that occur, and those equi-join the dictionary. Texts without a hit get NULL.
+    lengths that occur, and those equi-join the dictionary, which is written first so that its size
+    is known: where it is short, the substrings meet it without a shuffle. Texts without a hit get NULL.
     """
     norm = dictionary.select(
         strip_lower(key).alias("_key"), F.col(value).alias("_value"), F.col(ordinal).alias("_ord")
     ).filter(F.length("_key") > 0)
+    norm = save_state(norm, new_path(df.sparkSession, "dictionary"))
     lengths = norm.agg(F.sort_array(F.collect_set(F.length("_key"))).alias("l")).scalar()
     texts = df.select(F.coalesce(strip_lower(text), F.lit("")).alias("_text")).distinct()
     per_length = texts.select("_text", F.explode(lengths).alias("_len")).filter(F.col("_len") <= F.length("_text"))
@@ -82,7 +86,7 @@ def longest_substring_join(
                 lambda i: F.substring(F.col("_text"), i, F.col("_len")),
             )
         ).alias("_key"),
-    ).distinct()
+    )
     best = (
         grams.join(norm, "_key")
         .groupBy("_text")

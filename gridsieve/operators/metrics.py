@@ -7,9 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridsieve.functions.ranking import average_ranks, cumulative_counts, pick_quantiles, range_edges
+from gridsieve.functions.ranking import average_ranks, cumulative_counts, pick_quantiles
 from gridsieve.functions.scalars import expm1_clipped
-from gridsieve.session import default_buckets
+from gridsieve.session import new_path
+from gridsieve.sources.sinks import save_state
 
 
 def _col(c: str | Column) -> Column:
@@ -48,11 +49,11 @@ def spearman(df: DataFrame, y: str, p: str) -> DataFrame:
 
     Works on counted (y, p) pairs, so copies of a pair weigh one row in the rank joins.
     """
-    pairs = df.filter(F.col(y).isNotNull() & F.col(p).isNotNull()).select(y, p)
-    edges = range_edges(pairs, [y, p], default_buckets(df.sparkSession))
+    pairs = df.filter(F.col(y).isNotNull() & F.col(p).isNotNull())
     counted = pairs.groupBy(F.col(y).alias("_y"), F.col(p).alias("_p")).agg(F.count(F.lit(1)).alias("_w"))
-    ry = average_ranks(pairs, y, edges=edges[y]).select(F.col(y).alias("_y"), F.col("avg_rank").alias("_ry"))
-    rp = average_ranks(pairs, p, edges=edges[p]).select(F.col(p).alias("_p"), F.col("avg_rank").alias("_rp"))
+    counted = save_state(counted, new_path(df.sparkSession, "pairs"))
+    ry = average_ranks(counted, "_y", weight="_w").select("_y", F.col("avg_rank").alias("_ry"))
+    rp = average_ranks(counted, "_p", weight="_w").select("_p", F.col("avg_rank").alias("_rp"))
     w, a, b = F.col("_w"), F.col("_ry"), F.col("_rp")
     one = counted.join(ry, "_y").join(rp, "_p").agg(
         F.sum(w).alias("n_rows"), F.sum(w * a * b).alias("ab"), F.sum(w * a * a).alias("aa"), F.sum(w * b * b).alias("bb")

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from gridsieve.functions.ranking import exact_quantiles, null_safe_join
 from gridsieve.operators.curate import column_profile, in_top_categories
+from gridsieve.session import new_path
+from gridsieve.sources.sinks import save_state
 
 
 def null_shares(df: DataFrame) -> DataFrame:
@@ -64,6 +66,7 @@ def box_stats(df: DataFrame, by: str, value: str, top: int | None = None, whiske
     """Five-number summary per (top) category plus the outermost values inside the fences."""
     data = in_top_categories(df, by, top) if top else df
     q = group_quantiles(data, [by], value, [0, 0.25, 0.5, 0.75, 1], ["min", "q1", "median", "q3", "max"])
+    q = save_state(q, new_path(df.sparkSession, "boxes"))  # of known size: the rows are not dealt by category
     span = (F.col("q3") - F.col("q1")) * whisker
     fences = q.select(F.col(by), (F.col("q1") - span).alias("_lo"), (F.col("q3") + span).alias("_hi"))
     inside = null_safe_join(data.select(by, value), fences, [by]).filter(F.col(value).between(F.col("_lo"), F.col("_hi")))

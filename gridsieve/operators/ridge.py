@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridsieve.functions.hashing import DRAWS_PER_DIGEST, POISSON1_CDF, TWO_32, digest_draws
+from gridsieve.session import new_path
+from gridsieve.sources.sinks import save_state
 
 FLUSH_GROUPS = 256
 
@@ -76,8 +78,8 @@ class _Partial:
         return _Partial(self.centre, self.m + _translate(other.m, other.centre - self.centre))
 
 
-def _merge(partials: DataFrame, keys: Sequence[str], shape: tuple[int, ...]) -> dict[tuple, _Partial]:
-    """Merges partial moments per group on the executors; one row per group reaches the driver.
+def _merged(partials: DataFrame, keys: Sequence[str], shape: tuple[int, ...]) -> DataFrame:
+    """Partial moments merged per group on the executors: (keys, c, m).
 
     A group has a few rows per task, so what one merge holds does not grow with the rows of the data.
     """
@@ -85,15 +87,62 @@ def _merge(partials: DataFrame, keys: Sequence[str], shape: tuple[int, ...]) ->
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = sorted(zip(map(tuple, pdf["c"]), map(tuple, pdf["m"])))
-        parts = [_Partial(np.array(c), np.array(m).reshape(shape)) for c, m in rows]
-        whole = reduce(_Partial.plus, parts)
-        out = pdf[list(keys)].head(1).reset_index(drop=True)
-        return out.assign(c=[whole.centre], m=[whole.m.ravel()]) if keys else pd.DataFrame({"c": [whole.centre], "m": [whole.m.ravel()]})
+        whole = reduce(_Partial.plus, [_Partial(np.array(c), np.array(m).reshape(shape)) for c, m in rows])
+        found = pd.DataFrame({"c": [whole.centre], "m": [whole.m.ravel()]})
+        return pd.concat([pdf[list(keys)].head(1).reset_index(drop=True), found], axis=1) if keys else found
+
+    return partials.groupBy(*keys).applyInPandas(merge, schema)
 
-    rows = partials.groupBy(*keys).applyInPandas(merge, schema).collect()
+
+def _merge(partials: DataFrame, keys: Sequence[str], shape: tuple[int, ...]) -> dict[tuple, _Partial]:
+    """The merged moments of every group, one row per group, on the driver."""
+    rows = _merged(partials, keys, shape).collect()
     return {tuple(r[k] for k in keys): _Partial(np.array(r["c"]), np.array(r["m"]).reshape(shape)) for r in rows}
 
 
+def cv_table(
+    df: DataFrame, label: str, fold: str, subsets: Mapping[str, Sequence[str]], weight: str | None = None, alpha: float = 1.0
+) -> DataFrame:
+    """(model, fold, r2) of every feature subset with each fold held out, from one scan.
+
+    Folds may be as many as there are groups: their moments stay on the executors, which also fit. The driver
+    reads one matrix per partition of the folds, their total.
+    """
+    features = sorted({c for cols in subsets.values() for c in cols})
+    partials, shape = _partials(df, features, label, weight, [fold])
+    parts = save_state(_merged(partials, [fold], shape), new_path(df.sparkSession, "moments"))
+
+    def fold_parts(pdf: pd.DataFrame) -> list[_Partial]:
+        return [_Partial(np.array(c), np.array(m).reshape(shape)) for c, m in zip(pdf["c"], pdf["m"])]
+
+    def total(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found = [p for pdf in batches for p in fold_parts(pdf)]
+        if found:
+            whole = reduce(_Partial.plus, found)
+            yield pd.DataFrame({"c": [whole.centre], "m": [whole.m.ravel()]})
+
+    rows = parts.select("c", "m").mapInPandas(total, "c array<double>, m array<double>").collect()
+    schema = f"model string, `{fold}` {dict(parts.dtypes)[fold]}, r2 double"
+    if not rows:
+        return df.sparkSession.createDataFrame([], schema)
+    whole = reduce(_Partial.plus, fold_parts(pd.DataFrame([r.asDict() for r in rows])))
+    shift, _ = _common({(): whole}, 0, len(features) + 1)
+    everything = _translate(whole.m, whole.centre - shift)
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for key, part in zip(pdf[fold], fold_parts(pdf)):
+                own = _translate(part.m, part.centre - shift)
+                mom = Moments(features, shift, {})
+                for name, cols in subsets.items():
+                    fit = solve(mom, everything[-1] - own[-1], alpha, cols)
+                    out.append((name, key, r2(mom, own[0], fit)))
+            yield pd.DataFrame(out, columns=["model", fold, "r2"])
+
+    return parts.mapInPandas(score, schema)
+
+
 def _common(parts: Mapping[tuple, _Partial], kind: int, width: int) -> tuple[np.ndarray, dict[tuple, np.ndarray]]:
     """All groups' matrices around one shift, the mean of the first kind's rows."""
     if not parts:
@@ -104,15 +153,10 @@ def _common(parts: Mapping[tuple, _Partial], kind: int, width: int) -> tuple[np.
     return shift, {k: _translate(p.m[kind], p.centre - shift) for k, p in parts.items()}
 
 
-def moments(
-    df: DataFrame, features: Sequence[str], label: str, weight: str | None = None, keys: Sequence[str] = (),
-) -> Moments:
-    """Second moments per group, with weights also the unweighted ones, in one scan.
-
-    Rows with a NULL among features, label or weight are left out. Every task centres its sums on the
-    first rows it sees, and merging translates them, so the sums stay well conditioned. A group takes
-    (features + 2)^2 numbers, which bounds the features that fit a driver: a few thousand.
-    """
+def _partials(
+    df: DataFrame, features: Sequence[str], label: str, weight: str | None, keys: Sequence[str]
+) -> tuple[DataFrame, tuple[int, ...]]:
+    """Moments per group and task, unweighted and (with weights) weighted, and the shape of a row's matrices."""
     cols, keys = [*features, label], list(keys)
     clean = df.dropna(subset=cols + ([weight] if weight else []))
     size = len(features) + 2
@@ -150,11 +194,24 @@ def moments(
             yield emit(acc)
 
     shape = (2 if weight else 1, size, size)
-    parts = _merge(data.mapInPandas(partial, key_types + "c array<double>, m array<double>"), keys, shape)
-    shift, plain = _common(parts, 0, size - 1)
+    return data.mapInPandas(partial, key_types + "c array<double>, m array<double>"), shape
+
+
+def moments(
+    df: DataFrame, features: Sequence[str], label: str, weight: str | None = None, keys: Sequence[str] = (),
+) -> Moments:
+    """Second moments per group, with weights also the unweighted ones, in one scan.
+
+    Rows with a NULL among features, label or weight are left out. Every task centres its sums on the
+    first rows it sees, and merging translates them, so the sums stay well conditioned. A group takes
+    (features + 2)^2 numbers on the driver, for a few groups; cv_table() serves many.
+    """
+    partials, shape = _partials(df, features, label, weight, keys)
+    parts, width = _merge(partials, list(keys), shape), len(features) + 1
+    shift, plain = _common(parts, 0, width)
     if not weight:
         return Moments(list(features), shift, plain)
-    return Moments(list(features), shift, _common(parts, 1, size - 1)[1], plain)
+    return Moments(list(features), shift, _common(parts, 1, width)[1], plain)
 
 
 def bootstrap_moments(
@@ -220,17 +277,3 @@ def r2(mom: Moments, matrix: np.ndarray, fit: RidgeFit) -> float | None:
     v[0], v[idx], v[-1] = offset, fit.coefficients, -1.0
     sst = matrix[-1, -1] - matrix[0, -1] ** 2 / matrix[0, 0]
     return float(1 - v @ matrix @ v / sst) if sst > 0 else None
-
-
-def cv_r2(mom: Moments, alpha: float = 1.0, subset: Sequence[str] | None = None) -> list[tuple]:
-    """(fold key, R2) with each fold held out; fits use the weights, R2 does not.
-
-    The moments must be grouped by fold.
-    """
-    check = mom.unweighted()
-    everything = mom.total()
-    scores = []
-    for key, own in sorted(mom.by_key.items()):
-        fit = solve(mom, everything - own, alpha, subset)
-        scores.append((*key, r2(check, check.by_key[key], fit)))
-    return scores

@@ -11,6 +11,8 @@ from gridsieve.functions.ranking import column_quantiles
 from gridsieve.operators import encode, ensemble, metrics, profile, split
 from gridsieve.queries.common import PAIRS_SQL, draw_sql, hash32_sql, pairs, query, r, table
 from gridsieve.queries.curation import PROFILE_COLUMNS, labelled
+from gridsieve.session import new_path
+from gridsieve.sources.sinks import save_state
 
 
 def rounded(df, digits=6, keep=()):
@@ -215,7 +217,7 @@ SELECT n::BIGINT AS n_rows, round(g1, 6) AS skewness, round(b2 - 3, 6) AS kurtos
 """)
 def d16(spark, d):
     e = table(spark, d, "events").select("event_type", "value")
-    means = e.groupBy("event_type").agg(F.avg("value").alias("m"))
+    means = save_state(e.groupBy("event_type").agg(F.avg("value").alias("m")), new_path(spark, "means"))
     res = e.join(means, "event_type").select((F.col("value") - F.col("m")).alias("res"))
     return rounded(metrics.normality_test(res, "res"), keep=("k2",)).withColumn("k2", r("k2", 4))
 

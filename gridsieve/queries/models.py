@@ -242,6 +242,33 @@ def i15(spark, d):
     return rounded(learn.ridge_ablation(data, "y", "fold", VARIANTS, "w"))
 
 
+PAIRS_OF_FEATURES = {"quantity and size": ["x1", "x5"], "quantity and price": ["x1", "x2"], "size and price": ["x5", "x2"]}
+ABLATION_SQL = f"""
+f AS (SELECT *, {hash32_sql("row_key", 42)} % 5 AS fold FROM rws),
+va AS ({" UNION ALL ".join(f"SELECT {i} AS ord, '{n}' AS model, fold, {u} AS u, {v} AS v, y, w FROM f" for i, (n, (u, v)) in enumerate(PAIRS_OF_FEATURES.items()))}),
+k AS (SELECT DISTINCT fold AS held FROM f),
+tr AS (SELECT ord, held, u, v, y, w FROM k JOIN va ON fold <> held),
+m AS (SELECT ord, held, sum(w * u) / sum(w) AS mu, sum(w * v) / sum(w) AS mv, sum(w * y) / sum(w) AS my FROM tr GROUP BY 1, 2),
+s AS (SELECT ord, held, mu, mv, my, sum(w * (u - mu) * (u - mu)) + 1 AS a, sum(w * (u - mu) * (v - mv)) AS b,
+        sum(w * (v - mv) * (v - mv)) + 1 AS e, sum(w * (u - mu) * (y - my)) AS p, sum(w * (v - mv) * (y - my)) AS q
+      FROM tr JOIN m USING (ord, held) GROUP BY 1, 2, 3, 4, 5),
+c AS (SELECT *, (p * e - b * q) / (a * e - b * b) AS b1, (a * q - b * p) / (a * e - b * b) AS b2 FROM s),
+sc AS (SELECT va.ord, model, held, 1 - sum(power(y - my - b1 * (u - mu) - b2 * (v - mv), 2)) / (var_pop(y) * count(*)) AS r2
+       FROM va JOIN c ON c.ord = va.ord AND fold = held GROUP BY 1, 2, 3),
+g AS (SELECT ord, model, avg(r2) AS lomo, stddev_pop(r2) AS std FROM sc GROUP BY 1, 2)
+"""
+
+
+@query("i15_two_feature_ablation", f"""
+WITH {ROWS_SQL}, {ABLATION_SQL}
+SELECT ord::INT AS ord, model, 2 AS n_features, round(lomo, 6) AS lomo_r2, round(std, 6) AS lomo_std,
+       round(lomo - (SELECT lomo FROM g WHERE ord = 0), 6) AS delta_r2 FROM g
+""")
+def i15_two(spark, d):
+    data = split.kfold(rows(spark, d), F.col("row_key"))
+    return rounded(learn.ridge_ablation(data, "y", "fold", PAIRS_OF_FEATURES, "w"))
+
+
 @query("i16_learning_curve", f"""
 WITH {ROWS_SQL},
 f AS (SELECT *, {hash32_sql("row_key", 42)} % 5 AS fold FROM rws),
