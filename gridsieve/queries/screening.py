@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gridsieve.functions.vectors import euclidean
+from gridsieve.functions.vectors import euclidean, feature_vector
 from gridsieve.operators import candidates as C
-from gridsieve.operators import encode, learn, metrics, ridge, roles
+from gridsieve.operators import encode, learn, metrics, neighbors, ridge, roles
 from gridsieve.operators.lookup import dim_lookup
 from gridsieve.operators.split import minmax
-from gridsieve.queries.aggregates import QHAT_SQL, calibration_rows, rounded
-from gridsieve.queries.common import PAIRS_SQL, hash32_sql, query, r, table
+from gridsieve.queries.aggregates import N_MEMBERS, POISSON_SQL, QHAT_SQL, calibration_rows, rounded
+from gridsieve.queries.common import PAIRS_SQL, draw_sql, hash32_sql, query, r, table
 from gridsieve.queries.curation import TYPE_PROPS_SQL, type_props
 from gridsieve.queries.models import BOOT_FIT_SQL, ROWS_SQL, members, ridge1_sql, rows
 from gridsieve.session import new_path
@@ -151,6 +151,69 @@ def i12_ensemble(spark, d):
     )
 
 
+FLOW_SQL = f"""
+tr AS (SELECT p_partkey, p_size / 10.0::DOUBLE AS x1, p_retailprice / 1000 AS x2, ln(1 + p_retailprice * p_size) AS y FROM part),
+dr AS (SELECT x1, x2, y, b.m AS member, {draw_sql("p_partkey", "b.m")} / 4294967296.0 AS u FROM tr, range({N_MEMBERS}) b(m)),
+bw AS (SELECT member, x1, x2, y, {POISSON_SQL} AS w FROM dr),
+m AS (SELECT member, sum(w * x1) / sum(w) AS m1, sum(w * x2) / sum(w) AS m2, sum(w * y) / sum(w) AS my FROM bw GROUP BY 1),
+s AS (SELECT member, m1, m2, my, sum(w * (x1 - m1) * (x1 - m1)) + 1 AS a, sum(w * (x1 - m1) * (x2 - m2)) AS b,
+        sum(w * (x2 - m2) * (x2 - m2)) + 1 AS e, sum(w * (x1 - m1) * (y - my)) AS p, sum(w * (x2 - m2) * (y - my)) AS q
+      FROM bw JOIN m USING (member) GROUP BY 1, 2, 3, 4),
+fits AS (SELECT member, m1, m2, my, (p * e - b * q) / (a * e - b * b) AS b1, (a * q - b * p) / (a * e - b * b) AS b2 FROM s),
+{GRID_SQL},
+hd AS (SELECT p_brand AS host, avg(p_size) / 10 AS x1 FROM part GROUP BY 1),
+pd AS (SELECT p_type AS partner, avg(p_retailprice) / 1000 AS px FROM part GROUP BY 1),
+ca AS (SELECT grid.*, x1, px * (1 + amount) AS x2 FROM grid JOIN hd USING (host) JOIN pd USING (partner)),
+v AS (SELECT DISTINCT x1, x2 FROM ca),
+iv AS (SELECT v.x1, v.x2, quantile_cont(my + b1 * (v.x1 - m1) + b2 * (v.x2 - m2), 0.05) AS lo,
+         quantile_cont(my + b1 * (v.x1 - m1) + b2 * (v.x2 - m2), 0.5) AS med,
+         quantile_cont(my + b1 * (v.x1 - m1) + b2 * (v.x2 - m2), 0.95) AS hi FROM v, fits GROUP BY 1, 2),
+nn AS (SELECT x1, x2, avg(d) AS raw FROM (
+  SELECT v.x1, v.x2, sqrt((v.x1 - tr.x1) * (v.x1 - tr.x1) + (v.x2 - tr.x2) * (v.x2 - tr.x2)) AS d,
+         row_number() OVER (PARTITION BY v.x1, v.x2 ORDER BY (v.x1 - tr.x1) * (v.x1 - tr.x1) + (v.x2 - tr.x2) * (v.x2 - tr.x2)) AS k
+  FROM v, tr) WHERE k <= 5 GROUP BY 1, 2),
+sc AS (SELECT ca.*, lo, med, hi, med + (hi - lo) / 2 AS ucb,
+         (raw - (SELECT min(raw) FROM nn)) / ((SELECT max(raw) FROM nn) - (SELECT min(raw) FROM nn)) AS novelty
+       FROM ca JOIN iv USING (x1, x2) JOIN nn USING (x1, x2)),
+fl AS (SELECT * FROM sc WHERE exp(med) - 1 <= 3 * (SELECT max(exp(y) - 1) FROM tr))
+"""
+
+
+def screening_flow(spark, d):
+    """The whole flow: fit an ensemble, generate candidates, score, novelty, cap, upper bound."""
+    part = table(spark, d, "part").select("p_partkey", "p_brand", "p_type", "p_size", "p_retailprice")
+    train = part.select(
+        "p_partkey", (F.col("p_size") / 10.0).alias("x1"), (F.col("p_retailprice") / 1000).alias("x2"),
+        F.log1p(F.col("p_retailprice") * F.col("p_size")).alias("y"), (F.col("p_retailprice") * F.col("p_size")).alias("target"),
+    )
+    hosts = part.groupBy(F.col("p_brand").alias("host")).agg((F.avg("p_size") / 10).alias("x1"))
+    partners = part.groupBy(F.col("p_type").alias("partner")).agg((F.avg("p_retailprice") / 1000).alias("px"))
+    hosts, partners = (save_state(x, new_path(spark, "dims")) for x in (hosts, partners))
+    cand = grid(spark, d).join(hosts, "host").join(partners, "partner").withColumn("x2", F.col("px") * (1 + F.col("amount"))).drop("px")
+    fits = learn.bootstrap_ridge(train, ["x1", "x2"], "y", F.col("p_partkey"), N_MEMBERS)
+    scored = learn.ensemble_interval(cand, fits).withColumn("vec", feature_vector(["x1", "x2"]))
+    scored = neighbors.novelty_score(scored, train.select(feature_vector(["x1", "x2"]).alias("vec")), "vec", 5)
+    return C.screening_table(scored, "host", "partner", "amount", train, "target", cap_factor=3.0)
+
+
+@query("i12_screening_flow", f"""
+WITH {FLOW_SQL}
+SELECT host, partner, amount, source, segment, round(med, 6) AS pred_median_log, round(hi - lo, 6) AS width_log,
+       round(ucb, 6) AS ucb_log, round(novelty, 6) AS novelty_score,
+       row_number() OVER (ORDER BY round(ucb, 9) DESC, host || '|' || partner || '|' || amount::VARCHAR || '|' || source || '|' || segment) AS rank
+FROM fl
+""")
+def i12_flow(spark, d):
+    key = F.concat_ws("|", "host", "partner", F.col("amount").cast("string"), "source", "segment")
+    out = screening_flow(spark, d).withColumn("_u", F.round("ucb_log", 9)).withColumn("_key", key)
+    out = learn.rank_by_prediction(out, "_u", "_key")
+    width = r(F.col("pred_p95_log") - F.col("pred_p05_log")).alias("width_log")
+    return out.select(
+        "host", "partner", "amount", "source", "segment", r("pred_median_log").alias("pred_median_log"), width,
+        r("ucb_log").alias("ucb_log"), r("novelty_score").alias("novelty_score"), "rank",
+    )
+
+
 SCORE_SQL = f"""
 WITH {ROWS_SQL}, fit AS {ridge1_sql("rws", "w")}
 """
