@@ -30,6 +30,7 @@ from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -113,16 +114,39 @@ def ranges_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
 
 
 # Candidates of one task in one bucket: parallel arrays over documents and over ranges.
-_BUCKETS = "bucket int, counted boolean, docs array<long>, tags array<long>, hashes binary, owner binary, first binary, span binary"
+_BUCKETS = "bucket int, counted boolean, docs array<long>, tags array<long>, ranges binary"
 _BUCKET_NAMES = [c.split()[0] for c in _BUCKETS.split(", ")]
 _LONGS = pa.list_(pa.int64())
-_BUCKET_TYPES = [pa.int32(), pa.bool_(), _LONGS, _LONGS, pa.binary(), pa.binary(), pa.binary(), pa.binary()]
+_BUCKET_TYPES = [pa.int32(), pa.bool_(), _LONGS, _LONGS, pa.binary()]
 
 
 def _row(names, types, values) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types, strict=True)], names)
 
 
+def _packed_ranges(h: np.ndarray, owner: np.ndarray, first: np.ndarray, span: np.ndarray) -> bytes:
+    """Hashes (44 bits), owners (-1: a marker, last), first starts and spans of ranges in the order of their texts."""
+    steps = np.diff(first, prepend=0)
+    parts = ((h & U64(0xFFFFFFFF)).astype("<u4"), (h >> U64(32)).astype("<u2"), np.diff(owner, prepend=0).astype("<i4"), steps.astype("<i4"))
+    return zstandard.compress(b"".join(len(x).to_bytes(4, "little") + x.T.tobytes() for x in (*map(_planes, parts), _planes(span.astype(np.uint8)))), 1)
+
+
+def _planes(x: np.ndarray) -> np.ndarray:
+    """The bytes of an array of numbers, first bytes together, then second ones: like compresses with like."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize)
+
+
+def _unpacked_ranges(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    data, out, at = zstandard.decompress(data), [], 0
+    for t in ("<u4", "<u2", "<i4", "<i4", "u1"):
+        n, size = int.from_bytes(data[at : at + 4], "little"), np.dtype(t).itemsize
+        planes = np.frombuffer(data, np.uint8, n * size, at + 4).reshape(size, n)
+        out.append(np.ascontiguousarray(planes.T).view(t).ravel())
+        at += 4 + n * size
+    low, high, owner, first, span = out
+    return low.astype(U64) | high.astype(U64) << U64(32), np.cumsum(owner.astype(np.int64)), np.cumsum(first.astype(np.int64)), span.astype(np.int64)
+
+
 def _bucketed(buckets: int):
     """Candidate ranges by bucket of their hash; one marker stands for a piece that is frequent in the task."""
 
@@ -137,9 +161,9 @@ def _bucketed(buckets: int):
             used, own = np.unique(owner[some], return_inverse=True)
             return _row(_BUCKET_NAMES, _BUCKET_TYPES, [
                 number, counted, [docs[i] for i in used], [tags[i] for i in used],
-                np.concatenate([h[some], marks]).astype("<u8").tobytes(),
-                np.concatenate([own, np.full(len(marks), -1)]).astype("<i4").tobytes(),
-                first[some].astype("<i4").tobytes(), (last - first)[some].astype(np.uint8).tobytes(),
+                _packed_ranges(
+                    np.concatenate([h[some], marks]), np.concatenate([own, np.full(len(marks), -1)]), first[some], (last - first)[some]
+                ),
             ])
 
         for number in range(buckets):
@@ -177,16 +201,15 @@ def _repeated(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
     docs, tags, h, owner, first, span, times = [], [], [], [], [], [], []
     at = 0
     for r in rows.to_pylist():
-        own = np.frombuffer(r["owner"], "<i4").astype(np.int64)
+        hashes, own, starts, spans = _unpacked_ranges(r["ranges"])
         real = own >= 0
-        n = int(real.sum())
+        pad = np.zeros(len(own) - int(real.sum()), np.int64)
         docs.append(np.array(r["docs"], np.int64))
         tags.append(np.array(r["tags"], np.int64))
-        h.append(np.frombuffer(r["hashes"], "<u8"))
+        h.append(hashes)
         owner.append(np.where(real, own + at, -1))
-        pad = np.zeros(len(own) - n, np.int64)
-        first.append(np.concatenate([np.frombuffer(r["first"], "<i4"), pad]))
-        span.append(np.concatenate([np.frombuffer(r["span"], np.uint8), pad]))
+        first.append(np.concatenate([starts, pad]))
+        span.append(np.concatenate([spans, pad]))
         times.append(np.full(len(own), 0 if r["counted"] else -1))
         at += len(docs[-1])
     docs, tags, h, owner, first, span, times = (np.concatenate(x) for x in (docs, tags, h, owner, first, span, times))
@@ -208,11 +231,13 @@ def _repeated(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
 
 # What the merges exchange: sorted runs (part set), and repeats that are decided already (part spread).
 _EXCHANGE = (
-    "part int, key long, tag long, start int, stop int, shared binary, lengths binary, tails binary, "
-    "keys binary, tags binary, starts binary, counts binary, times binary"
+    "part int, key long, tag long, start int, stop int, shared binary, lengths binary, tails binary, places binary"
 )
 _X_NAMES = [c.split()[0] for c in _EXCHANGE.split(", ")]
-_X_TYPES = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), *[pa.binary()] * 8]
+_X_TYPES = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), *[pa.binary()] * 4]
+
+
+_PLACES = ((1, "<i8"), (2, "<i8"), (3, "<i4"), (4, "<i4"), (5, "<i4"))  # key, tag, start, count, times of a record
 
 
 class Runs:
@@ -243,7 +268,7 @@ class Runs:
         self.spread += 1
         columns = [[(self.spread + i) % self.parts for i in range(len(joined))], *zip(*joined, strict=True)]
         arrays = [pa.array(list(c), t) for c, t in zip(columns, _X_TYPES[:5], strict=True)]
-        return pa.RecordBatch.from_arrays([*arrays, *[pa.nulls(len(joined), pa.binary())] * 8], _X_NAMES)
+        return pa.RecordBatch.from_arrays([*arrays, *[pa.nulls(len(joined), pa.binary())] * 4], _X_NAMES)
 
     def _run(self) -> pa.RecordBatch:
         self.records.sort()
@@ -262,8 +287,9 @@ class Runs:
         rows = []
         for some in np.split(order, np.flatnonzero(np.diff(parts[order])) + 1):
             own = [kept[i] for i in some]
-            places = [np.array([r[i] for r in own], t).tobytes() for i, t in ((1, "<i8"), (2, "<i8"), (3, "<i4"), (4, "<i4"), (5, "<i4"))]
-            rows.append((int(parts[some[0]]), None, None, None, None, *front_code([r[0] for r in own]), *places))
+            places = b"".join(_planes(np.array([r[i] for r in own], t)).T.tobytes() for i, t in _PLACES)
+            coded = map(zstandard.compress, (*front_code([r[0] for r in own]), places))
+            rows.append((int(parts[some[0]]), None, None, None, None, *coded))
         return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), _X_TYPES, strict=True)], _X_NAMES)
 
 
@@ -301,9 +327,15 @@ def _merged(rows: pa.Table) -> Iterator[list[tuple]]:
     runs, places = [], []
     for r in rows.to_pylist():
         if r["shared"] is not None:
-            runs.append(decoded(r["shared"], r["lengths"], r["tails"]))
-            types = (("keys", "<i8"), ("tags", "<i8"), ("starts", "<i4"), ("counts", "<i4"), ("times", "<i4"))
-            places.append(iter(list(zip(*[np.frombuffer(r[n], t).tolist() for n, t in types], strict=True))))
+            shared, lengths, tails, packed = (zstandard.decompress(r[c]) for c in ("shared", "lengths", "tails", "places"))
+            runs.append(decoded(shared, lengths, tails))
+            columns, at = [], 0
+            for _, t in _PLACES:
+                size = np.dtype(t).itemsize
+                planes = np.frombuffer(packed, np.uint8, len(shared) * size, at).reshape(size, len(shared))
+                columns.append(np.ascontiguousarray(planes.T).view(t).ravel().tolist())
+                at += len(shared) * size
+            places.append(zip(*columns, strict=True))
     group: list[tuple] = []
     for run, string, shared in merge_runs(runs):
         if group and not (shared == len(string) == len(group[0][0])):
