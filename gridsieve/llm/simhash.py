@@ -19,6 +19,7 @@ id and text are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -193,9 +194,9 @@ def links(entries: DataFrame, radius: int, chunk: int = CHUNK, least: float | No
     parts = max(1, -(-4 * n // chunk))
     ordered = entries.mapInArrow(turned, schema).repartitionByRange(parts, "turn", "rank").sortWithinPartitions("turn", "rank")
 
-    # two leading blocks within ``lead`` bits agree on one of lead + 1 parts
-    cuts = np.linspace(0, 16, lead + 2).astype(int)
-    parts_of = [(int(c), (1 << int(d - c)) - 1, 16 - int(d)) for c, d in zip(cuts[:-1], cuts[1:], strict=True)]
+    # chunks meet by their first bits, as many as tell about so many chunks apart; these may differ in ``lead``
+    bits = min(16, max(0, (n // chunk).bit_length()))
+    flips = np.array([sum(1 << i for i in some) for k in range(min(lead, bits) + 1) for some in combinations(range(bits), k)], np.int64)
 
     def chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, number, held, size = TaskContext.get().partitionId(), 0, [], 0
@@ -207,9 +208,9 @@ def links(entries: DataFrame, radius: int, chunk: int = CHUNK, least: float | No
                 some = rows.filter(pa.array(turn == t))
                 own = some.column("own").to_numpy().view(U64)
                 ones, any_ = np.bitwise_and.reduce(own), np.bitwise_or.reduce(own)
-                block = (own >> U64(48)).astype(np.int64)
-                keys = np.unique(np.concatenate([i << 16 | block >> shift & bits for i, (_, bits, shift) in enumerate(parts_of)]))
-                row = [int(t), task << 32 | number, keys.tolist(), signed(int(~(ones ^ any_))), signed(int(ones))]
+                keys = np.unique((own >> U64(48)).astype(np.int64) >> 16 - bits)
+                probes = np.unique(keys[:, None] ^ flips)
+                row = [int(t), task << 32 | number, keys.tolist(), probes.tolist(), signed(int(~(ones ^ any_))), signed(int(ones))]
                 row += [own.tobytes(), some.column("node").to_numpy().tobytes()]
                 if wide:
                     row.append(b"".join(some.column("sketch").to_pylist()))
@@ -226,13 +227,14 @@ def links(entries: DataFrame, radius: int, chunk: int = CHUNK, least: float | No
         if held:
             yield from emit(pa.Table.from_batches(held))
 
-    kinds = [pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()][: 7 + wide]
-    chunk_names = ["turn", "id", "keys", "mask", "ones", "fps", "nodes", "sketches"][: 7 + wide]
-    chunk_schema = "turn int, id long, keys array<long>, mask long, ones long, fps binary, nodes binary" + ", sketches binary" * wide
+    longs = pa.list_(pa.int64())
+    kinds = [pa.int32(), pa.int64(), longs, longs, pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()][: 8 + wide]
+    chunk_names = ["turn", "id", "keys", "probes", "mask", "ones", "fps", "nodes", "sketches"][: 8 + wide]
+    chunk_schema = "turn int, id long, keys array<long>, probes array<long>, mask long, ones long, fps binary, nodes binary" + ", sketches binary" * wide
     chunks = staged(ordered.mapInArrow(chunked, chunk_schema), "chunks")
     # nodes above the chunks: pairs of chunks that may hold a match, from their shared bits alone
-    keys = chunks.select("turn", "id", "mask", "ones", F.explode("keys").alias("key"))
-    right = keys.select("turn", "key", *[F.col(c).alias(f"{c}_b") for c in ("id", "mask", "ones")])
+    keys = chunks.select("turn", "id", "mask", "ones", F.explode("probes").alias("key"))
+    right = chunks.select("turn", F.explode("keys").alias("key"), *[F.col(c).alias(f"{c}_b") for c in ("id", "mask", "ones")])
     front = F.lit(signed(0xFFFF << 48))
     differ = F.col("ones").bitwiseXOR(F.col("ones_b")).bitwiseAND(F.col("mask").bitwiseAND(F.col("mask_b")))
     met = keys.join(right, ["turn", "key"]).where(
