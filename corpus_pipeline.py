@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from gridsieve.llm import cotrain, langid, packing, simhash, suffix
 from gridsieve.llm.common import staged
 
-#: A language is recognised from this mean probability on.
-LANGUAGE_SCORE = 0.5
+#: A language is recognised from this mean probability on; a text of two languages in equal parts stays.
+LANGUAGE_SCORE = 0.35
 #: Low, so that a clean document that looks unusual stays.
 QUALITY_SCORE = 0.25
 

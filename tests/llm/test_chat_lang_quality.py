@@ -3,7 +3,6 @@
 import brute
 import duckdb
 import numpy as np
-import pandas as pd
 
 from gridsieve.llm import chat, cotrain, langid
 from gridsieve.llm.queries import ORACLES, QUERIES
@@ -26,23 +25,24 @@ def chats(spark, rows):
     return spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "conv_id long, turn long, role string, text string, position int")
 
 
-def as_rows(df):
-    return sorted((tuple(None if v is None or v != v else v for v in r) for r in df.itertuples(index=False)), key=str)
+def sorted_rows(rows):
+    return sorted((tuple(r) for r in rows), key=str)
 
 
 def test_chats_against_sql(spark, sf_dir):
-    con = duckdb.connect()
+    columns = "conv_id, n_turns, n_copies, text"
     for rows in (CHATS, []):
-        conversations = pd.DataFrame(rows, columns=["conv_id", "turn", "role", "text"]).astype({"conv_id": "Int64", "turn": "Int64"})  # noqa: F841
-        con.register("conversations", conversations.astype({"role": "string", "text": "string"}))
-        want = con.sql(chat.SQL).df()[["conv_id", "n_turns", "n_copies", "text"]]
-        got = chat.format_chats(chats(spark, rows)).toPandas()
-        assert as_rows(got) == as_rows(want)
-    assert got.empty
-    con.unregister("conversations")
-    con.sql(f"CREATE VIEW conversations AS SELECT * FROM '{sf_dir}/conversations.parquet'")
-    want = con.sql(ORACLES["op2_chat_format"]).df()[["conv_id", "n_turns", "n_copies", "text"]]
-    assert as_rows(QUERIES["op2_chat_format"](spark, sf_dir).toPandas()) == as_rows(want)
+        con = duckdb.connect()
+        con.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+        if rows:
+            con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
+        want = con.execute(f"SELECT {columns} FROM ({chat.SQL})").fetchall()
+        got = chat.format_chats(chats(spark, rows)).collect()
+        assert sorted_rows(got) == sorted_rows(want) and bool(got) == bool(rows)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{sf_dir}/conversations.parquet'")
+    want = con.execute(f"SELECT {columns} FROM ({ORACLES['op2_chat_format']})").fetchall()
+    assert sorted_rows(QUERIES["op2_chat_format"](spark, sf_dir).collect()) == sorted_rows(want)
 
 
 def test_chat_snapshots(spark):
