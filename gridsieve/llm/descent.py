@@ -1,6 +1,7 @@
 """Approximate nearest neighbours: NN-descent builds the graph, greedy search answers queries.
 
-Build. Every distinct vector starts with the neighbours that it has inside a random block. In each round
+Build. Every distinct vector starts with the best neighbours that it has inside STARTS random blocks; blocks of
+different draws overlap, so that lists lead from one to another. In each round
 every node brings its neighbours (its own list and the nearest nodes that list it) together in one Spark
 join, and each pair of them learns its distance: a neighbour of a neighbour is likely a neighbour. A node
 keeps the DEGREE nearest it has heard of. Rounds end when few lists change.
@@ -24,6 +25,7 @@ count as one where they are equal; an empty table gives no rows. Other columns a
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,12 +36,13 @@ from gridsieve.llm.common import NULL_ID, column, staged
 from gridsieve.llm.vectors import classes, matrix, valid_vectors
 
 DEGREE = 20
-PER_LIST = 4  # best news for each neighbour that one list reports
-BLOCK = 256
-ROUNDS = 8
-SETTLED = 0.05  # share of list places that change in a round, below which rounds end
-BEAM = 600
-EXPAND = 128
+PER_LIST = 3  # best news for each neighbour that one list reports
+BLOCK = 128
+STARTS = 3
+ROUNDS = 12
+SETTLED = 0.15  # share of list places that change in a round, below which rounds end
+BEAM = 400
+EXPAND = 200
 ENTRIES = 256
 NODES_PER_PART = 4000
 
@@ -91,8 +94,8 @@ def _edges(u, v, d) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(d, pa.float32())], ["u", "v", "d"])
 
 
-def first_lists(nodes: DataFrame, blocks: int) -> DataFrame:
-    """Each node's neighbours in its random block, from hashes of the ids."""
+def first_lists(nodes: DataFrame, blocks: int, draw: int) -> DataFrame:
+    """Each node's neighbours in one random block, from hashes of the ids."""
 
     def inside(rows: pa.Table) -> pa.Table:
         ids = rows.column("node").to_numpy()
@@ -105,13 +108,15 @@ def first_lists(nodes: DataFrame, blocks: int) -> DataFrame:
             out.append(_edges(own[i], own[j], v))
         return pa.Table.from_batches(out)
 
-    return nodes.groupBy(F.pmod(F.xxhash64("node", F.lit(10)), F.lit(blocks)).alias("block")).applyInArrow(inside, EDGES)
+    return nodes.groupBy(F.pmod(F.xxhash64("node", F.lit(100 + draw)), F.lit(blocks)).alias("block")).applyInArrow(inside, EDGES)
 
 
 def build_graph(nodes: DataFrame) -> DataFrame:
     """Edges (u, v, d) to the nearest found; ``nodes``: node (long, unique), code (single-precision components)."""
     n = nodes.count()
-    lists = staged(nearest(first_lists(nodes, max(1, -(-n // BLOCK))), "u", DEGREE), "graph").withColumn("new", F.lit(True))
+    drawn = [first_lists(nodes, max(1, -(-n // BLOCK)), i) for i in range(STARTS)]
+    drawn = reduce(DataFrame.unionAll, drawn).groupBy("u", "v").agg(F.min("d").alias("d"))
+    lists = staged(nearest(drawn, "u", DEGREE), "graph").withColumn("new", F.lit(True))
     parts = max(1, -(-n // NODES_PER_PART))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,7 +126,7 @@ def build_graph(nodes: DataFrame) -> DataFrame:
             sizes = np.diff(np.r_[starts, len(u)])
             width = int(sizes.max())
             v, new, worst = (rows.column(c).to_numpy() for c in ("v", "new", "worst"))
-            x = matrix(rows.column("code").combine_chunks(), np.float16).astype(np.float32)
+            x = _unpacked(rows.column("code").combine_chunks())
             for at in range(0, len(starts), 64):
                 s, z = starts[at : at + 64], sizes[at : at + 64]
                 index = s[:, None] + np.minimum(np.arange(width), z[:, None] - 1)
@@ -139,7 +144,7 @@ def build_graph(nodes: DataFrame) -> DataFrame:
         worst = lists.groupBy(F.col("u").alias("node")).agg(
             F.when(F.count(F.lit(1)) >= DEGREE, F.max("d")).otherwise(F.lit(float("inf"))).cast("float").alias("worst")
         )
-        carried = nodes.select("node", F.col("half").alias("code")).join(worst, "node", "left")
+        carried = nodes.select("node", F.col("small").alias("code")).join(worst, "node", "left")
         carried = carried.select(F.col("node").alias("v"), "code", F.coalesce("worst", F.lit(float("inf")).cast("float")).alias("worst"))
         back = nearest(lists.select(F.col("v").alias("u"), F.col("u").alias("v"), "d", "new"), "u", DEGREE)
         around = lists.select("u", "v", "new").unionAll(back.select("u", "v", "new")).groupBy("u", "v").agg(F.max("new").alias("new"))
@@ -278,15 +283,22 @@ def _scale(valid: DataFrame) -> float:
 
 
 def _coded(entries: DataFrame, scale: float) -> DataFrame:
-    """node, code (single precision, scaled into -1..1) and half (half precision)."""
+    """node, code (single precision, scaled into -1..1) and small (a scale and one byte per component)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = (matrix(column(batch, "vec")) / scale).astype(np.float32)
-            codes = [pa.array([r.astype(t).tobytes() for r in x], pa.binary()) for t in (np.float32, np.float16)]
-            yield pa.RecordBatch.from_arrays([column(batch, "node"), *codes], ["node", "code", "half"])
+            step = np.abs(x).max(1, keepdims=True, initial=1e-30) / 127
+            small = [t.tobytes() + r.tobytes() for t, r in zip(step.astype("<f4"), np.rint(x / step).astype(np.int8), strict=True)]
+            codes = [pa.array([r.tobytes() for r in x], pa.binary()), pa.array(small, pa.binary())]
+            yield pa.RecordBatch.from_arrays([column(batch, "node"), *codes], ["node", "code", "small"])
 
-    return entries.select("node", "vec").mapInArrow(run, "node long, code binary, half binary")
+    return entries.select("node", "vec").mapInArrow(run, "node long, code binary, small binary")
+
+
+def _unpacked(values: pa.Array) -> np.ndarray:
+    raw = matrix(values, np.uint8)
+    return np.ascontiguousarray(raw[:, 4:]).view(np.int8).astype(np.float32) * np.ascontiguousarray(raw[:, :4]).view("<f4")
 
 
 def _doubles(entries: DataFrame) -> DataFrame:
