@@ -192,6 +192,7 @@ def screening_flow(spark, d):
     cand = grid(spark, d).join(hosts, "host").join(partners, "partner").withColumn("x2", F.col("px") * (1 + F.col("amount"))).drop("px")
     fits = learn.bootstrap_ridge(train, ["x1", "x2"], "y", F.col("p_partkey"), N_MEMBERS)
     scored = learn.ensemble_interval(cand, fits).withColumn("vec", feature_vector(["x1", "x2"]))
+    scored = save_state(scored, new_path(spark, "scored-candidates"))
     scored = neighbors.novelty_score(scored, train.select(feature_vector(["x1", "x2"]).alias("vec")), "vec", 5)
     return C.screening_table(scored, "host", "partner", "amount", train, "target", cap_factor=3.0)
 
