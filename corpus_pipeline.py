@@ -34,7 +34,7 @@ def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of similar ones (five-word shingles, similarity of 0.8 or more)."""
-    return simhash.keep_one(docs, words=5, radius=11, least=0.8)
+    return simhash.keep_one(docs, words=5, radius=15, least=0.8)
 
 
 def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -127,6 +127,27 @@ def test_keep_one_of_each_group(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [5, 8, 9]
 
 
+def shingled(words):
+    return frozenset(tuple(words[i : i + 5]) for i in range(len(words) - 4))
+
+
+def test_keep_one_finds_links_at_the_bound(spark):
+    """Pairs between 0.8 and 0.82, where one fingerprint within 11 bits misses many."""
+    rng, docs, pairs = np.random.default_rng(4), [], 0
+    for k in range(120):
+        base = [f"w{k}x{i}" for i in range(400)]
+        near = base.copy()
+        for at in rng.permutation(np.arange(4, 396, 6))[:60]:
+            near[at] = f"n{k}x{at}"
+            a, b = shingled(base), shingled(near)
+            if len(a & b) / len(a | b) < 0.82:
+                break
+        assert 0.8 <= len(a & b) / len(a | b) < 0.82
+        docs += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(near))]
+    kept = [r.doc_id for r in simhash.keep_one(spark.createDataFrame(docs, brute.SCHEMA)).collect()]
+    assert sorted(kept) == list(range(0, 240, 2))
+
+
 def test_components_of_chains_and_hubs(spark):
     edges = [(i, i + 1) for i in range(60)] + [(1000, 1000 + i) for i in range(1, 200)] + [(7, 7), (5000, 4000)]
     got = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
