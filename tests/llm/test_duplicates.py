@@ -148,6 +148,43 @@ def test_keep_one_finds_links_at_the_bound(spark):
     assert sorted(kept) == list(range(0, 240, 2))
 
 
+def test_keep_one_keeps_what_is_less_similar(spark):
+    """Pairs a little below 0.8, which an estimate takes for similar."""
+    rng, docs = np.random.default_rng(5), []
+    for k in range(60):
+        base = [f"w{k}x{i}" for i in range(400)]
+        near = base.copy()
+        for at in rng.permutation(np.arange(4, 396, 6))[:60]:
+            near[at] = f"n{k}x{at}"
+            a, b = shingled(base), shingled(near)
+            if len(a & b) / len(a | b) < 0.8:
+                break
+        assert 0.77 < len(a & b) / len(a | b) < 0.8
+        docs += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(near))]
+    kept = [r.doc_id for r in simhash.keep_one(spark.createDataFrame(docs, brute.SCHEMA)).collect()]
+    assert sorted(kept) == list(range(120))
+
+
+@pytest.mark.parametrize("block", [4, 256])
+def test_exact_components_of_large_candidates(spark, block):
+    """A chain, copies of one set with a few changes, and sets like none: one component of candidates."""
+    rng, sets = np.random.default_rng(6), []
+    chain = rng.integers(0, 2**63, 400, dtype=np.uint64)
+    sets += [chain[5 * i : 5 * i + 50] for i in range(40)]
+    star = rng.integers(0, 2**63, 100, dtype=np.uint64)
+    sets += [np.concatenate([star[rng.permutation(100)[:95]], rng.integers(0, 2**63, 3, dtype=np.uint64)]) for _ in range(40)]
+    sets += [np.concatenate([star[:60], rng.integers(0, 2**63, 40, dtype=np.uint64)]) for _ in range(10)]
+    sets = [np.unique(s) for s in sets]
+    like = lambda a, b: len(np.intersect1d(a, b)) / len(np.union1d(a, b))
+    want = brute.smallest(list(range(90)), [(i, j) for i in range(90) for j in range(i) if like(sets[i], sets[j]) >= 0.8])
+    rows = spark.createDataFrame([(i, 0, bytearray(s.tobytes())) for i, s in enumerate(sets)], "node long, component long, set binary")
+    label = {r.node: r.label for r in simhash.exact_components(rows, 0.8, block).collect()}
+    first = {}
+    for i in range(90):
+        first.setdefault(label[i], i)
+    assert [first[label[i]] for i in range(90)] == want
+
+
 def test_components_of_chains_and_hubs(spark):
     edges = [(i, i + 1) for i in range(60)] + [(1000, 1000 + i) for i in range(1, 200)] + [(7, 7), (5000, 4000)]
     got = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
