@@ -185,6 +185,15 @@ def test_exact_components_of_large_candidates(spark, block):
     assert [first[label[i]] for i in range(90)] == want
 
 
+def test_keep_one_tells_rows_of_one_id_apart(spark):
+    text = [" ".join(f"w{k}x{i}" for i in range(300)) for k in range(6)]
+    near = text[0] + " end"
+    docs = [(None, text[0]), (None, text[1]), (None, text[2]), (None, text[2]), (3, near), (4, text[3]), (4, text[4]), (5, text[5])]
+    kept = simhash.keep_one(spark.createDataFrame(docs, brute.SCHEMA)).collect()
+    want = [(None, text[0]), (None, text[1]), (None, text[2]), (4, text[3]), (4, text[4]), (5, text[5])]
+    assert sorted((tuple(r) for r in kept), key=str) == sorted(want, key=str)
+
+
 def test_components_of_chains_and_hubs(spark):
     edges = [(i, i + 1) for i in range(60)] + [(1000, 1000 + i) for i in range(1, 200)] + [(7, 7), (5000, 4000)]
     got = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
