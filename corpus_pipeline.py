@@ -18,8 +18,8 @@ from gridsieve.llm.common import staged
 
 #: A language is recognised from this mean probability on; a text of two languages in equal parts stays.
 LANGUAGE_SCORE = 0.35
-#: Low, so that a clean document that looks unusual stays.
-QUALITY_SCORE = 0.25
+#: The classifier's own bound, as in op6_quality.
+QUALITY_SCORE = cotrain.ACCEPTED
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +28,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents that both views together score low."""
+    """Rejects what the classifier does not accept."""
     return cotrain.accept_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), QUALITY_SCORE)
 
 

@@ -33,6 +33,8 @@ LABELLED = 6000
 PSEUDO = 1000
 ROUNDS = 3
 SURE = 0.98
+#: A document is accepted from this calibrated score on.
+ACCEPTED = 0.5
 VIEWS = ("text", "meta")
 META_NAME = "_metadata_view"
 
@@ -210,7 +212,7 @@ def _scores(model: CoTrained | None, x: pa.RecordBatch) -> tuple[np.ndarray, ...
 
 
 def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, text_score, meta_score, score (of the combination) and accepted (score of 0.5 or more)."""
+    """doc_id, text_score, meta_score, score (of the combination) and accepted (score of ACCEPTED or more)."""
     feats = staged(features(docs), "quality-features")
     model = co_train(feats, labels)
 
@@ -221,10 +223,10 @@ def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     scored = feats.mapInArrow(run, "doc_id long, text_score double, meta_score double, score double")
     ids = F.when(F.col("doc_id") != NULL_ID, F.col("doc_id")).alias("doc_id")
-    return scored.select(ids, "text_score", "meta_score", "score", (F.col("score") >= 0.5).alias("accepted"))
+    return scored.select(ids, "text_score", "meta_score", "score", (F.col("score") >= ACCEPTED).alias("accepted"))
 
 
-def accept_quality(docs: DataFrame, labels: DataFrame, minimum: float = 0.5) -> DataFrame:
+def accept_quality(docs: DataFrame, labels: DataFrame, minimum: float = ACCEPTED) -> DataFrame:
     """The documents that score at least ``minimum``, their columns unchanged; nothing is shuffled for it."""
     model = co_train(staged(features(docs), "quality-features"), labels)
     names, schema = docs.columns, docs.schema

@@ -4,6 +4,7 @@ import brute
 import corpus_pipeline
 import numpy as np
 
+from gridsieve.llm import cotrain
 from gridsieve.llm.common import staged
 
 
@@ -59,3 +60,20 @@ def test_odd_rows_and_empty_tables(spark, sf_dir):
 
 def test_run(spark, sf_dir):
     assert corpus_pipeline.run(spark, sf_dir).count() > 0
+
+
+def test_quality_stage_rejects_what_the_classifier_rejects(spark, tmp_path):
+    """A third of the doubtful documents are good: they score between 0.25 and 0.5."""
+    rng, docs, labels = np.random.default_rng(3), [], []
+    for i in range(900):
+        kind = ("good", "bad", "doubtful")[i % 3]
+        words = rng.choice([f"{kind}{k}" for k in range(20)], 60)
+        docs.append((i, " ".join(words), "en", kind))
+        labels.append((i, float(kind == "good" or kind == "doubtful" and i % 9 == 2)))
+    docs = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")
+    labels = spark.createDataFrame(labels, "doc_id long, quality double")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    scored = cotrain.score_quality(docs, labels).collect()
+    assert sum(0.25 <= r.score < 0.5 for r in scored) > 100
+    kept = {r.doc_id for r in corpus_pipeline.filter_quality(spark, docs, str(tmp_path)).collect()}
+    assert kept == {r.doc_id for r in scored if r.accepted}
