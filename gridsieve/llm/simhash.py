@@ -36,9 +36,9 @@ from gridsieve.llm.components import components
 
 CHUNK = 32_768
 BRANCH = 8
-SKETCH = 128
-#: At 0.8 similarities estimated from SKETCH bins stray by about 0.035; five times that is still taken.
-MARGIN = 0.18
+SKETCH = 32
+#: At 0.8 similarities estimated from SKETCH bins stray by about 0.07; five times that is still taken.
+MARGIN = 0.35
 #: Fingerprints of each set that keep_one searches, one after the other.
 SEEDS = 3
 #: Sets compared with each other in one task: at most about so many, and so many bytes of them.
@@ -81,7 +81,7 @@ def sketch(h: np.ndarray) -> bytes:
     """One-permutation minimum hashes of the set of shingles: a byte for each of SKETCH bins, 0 if it is empty."""
     out = np.full(SKETCH, ~U64(0), U64)
     mixed = h * U64(0x9E3779B97F4A7C15)
-    np.minimum.at(out, (mixed >> U64(57)).astype(np.int64), mixed & U64((1 << 57) - 1))
+    np.minimum.at(out, (mixed >> U64(59)).astype(np.int64), mixed & U64((1 << 59) - 1))
     return np.where(out == ~U64(0), U64(0), 1 + out * U64(0xD6E8FEB86659FD93) % U64(255)).astype(np.uint8).tobytes()
 
 
@@ -427,7 +427,7 @@ def keep_one(docs: DataFrame, words: int = 5, radius: int = 15, least: float = 0
     own = staged(shingle_sets(docs, words), "shingle-sets")
     entries = own.where("size > 0").groupBy("node").agg(F.first("fps").alias("fps"), F.first("sketch").alias("sketch"))
     entries = staged(entries, "entries")
-    near = [links(entries.select("node", F.col("fps")[i].alias("fp"), "sketch"), radius, least=least) for i in range(SEEDS)]
+    near = [links(entries.select("node", F.col("fps")[i].alias("fp"), "sketch"), radius, 2 * CHUNK, least) for i in range(SEEDS)]
     candidates = components(reduce(DataFrame.unionAll, near))
     one = own.join(candidates, "node").groupBy("node", "component").agg(F.min(F.struct("doc_id", "version")).alias("key"))
     one = one.select("node", "component", "key.doc_id", "key.version")
