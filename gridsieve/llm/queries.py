@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridsieve.llm import binary, bpe, chat, cotrain, descent, langid, packing, rangejoin, simhash, suffix
+from gridsieve.llm import binary, bpe, chat, cotrain, descent, langid, packing, rangejoin, runs, simhash, suffix
 from gridsieve.session import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,3 +87,19 @@ def op7_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_suffix_dedup")
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.digests(suffix.remove_repeats(table(spark, sf_dir, "documents")))
+
+
+def _periodic(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """Every tenth document, by a hash of its id, repeats a cycle of words from some word to its end."""
+    h = zlib.crc32(b"" if doc_id is None else str(doc_id).encode())
+    if h % 10 or not words:
+        return words
+    g, n = h // 10, len(words)
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + [words[a + i % p] for i in range(n - a)]
+
+
+@query("op11_periodic_runs")
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.digests(runs.collapse_runs(table(spark, sf_dir, "documents"), rewrite=_periodic))
