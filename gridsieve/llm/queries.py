@@ -9,7 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridsieve.llm import binary, bpe, chat, cotrain, descent, langid, packing, rangejoin, runs, simhash, suffix
+from gridsieve.llm import alignment, binary, bpe, chat, cotrain, descent, langid, packing, rangejoin, runs, simhash, suffix
+from gridsieve.llm.common import staged
 from gridsieve.session import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -17,6 +18,7 @@ ORACLES: dict[str, str] = {}
 
 BYTE_BPE = "byte_bpe_50k.json"
 BYTE_BPE_RANKS = "byte_bpe_50k.tiktoken"
+PIECE_BPE = "piece_bpe_32k.model"
 
 
 def query(name: str, sql: str | None = None):
@@ -103,3 +105,12 @@ def _periodic(doc_id: int | None, words: list[bytes]) -> list[bytes]:
 @query("op11_periodic_runs")
 def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.digests(runs.collapse_runs(table(spark, sf_dir, "documents"), rewrite=_periodic))
+
+
+@query("op12_token_alignment")
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    aligned = alignment.align_documents(docs, public_tokenizers.path(BYTE_BPE), public_tokenizers.path(PIECE_BPE))
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256)).alias("groups_sha256")
+    rest = [c for c in aligned.columns if c != "groups"]
+    return alignment.score_links(staged(aligned.select(*rest, digest), "aligned"))
