@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridsieve.llm import alignment, binary, bpe, chat, cotrain, descent, langid, packing, rangejoin, runs, simhash, suffix
+from gridsieve.llm import alignment, binary, bpe, chat, cotrain, descent, langid, packing, pii, rangejoin, runs, simhash, suffix
 from gridsieve.llm.common import staged
 from gridsieve.session import new_path
 
@@ -114,3 +114,8 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256)).alias("groups_sha256")
     rest = [c for c in aligned.columns if c != "groups"]
     return alignment.score_links(staged(aligned.select(*rest, digest), "aligned"))
+
+
+@query("op13_personal_data")
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(pii.find_personal_data(table(spark, sf_dir, "documents")))
