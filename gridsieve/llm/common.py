@@ -19,8 +19,17 @@ NULL_ID = -(2**63)
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Writes the rows below ``spark.checkpoint.dir`` and reads them back: lineage ends there."""
     path = new_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    written = save(df, path)
+    written._staged_path = path
+    return written
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes staged tables that nothing will read again, also not a lost executor's tasks that run anew."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._staged_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def save(df: DataFrame, path: str) -> DataFrame:
