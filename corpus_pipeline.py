@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridsieve.llm import cotrain, langid, packing, simhash, suffix
+from gridsieve.llm import cotrain, langid, packing, similar, suffix
 from gridsieve.llm.common import staged
 
 #: A language is recognised from this mean probability on; a text of two languages in equal parts stays.
@@ -34,7 +34,7 @@ def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of similar ones (five-word shingles, similarity of 0.8 or more)."""
-    return simhash.keep_one(docs, words=5, radius=15, least=0.8)
+    return similar.keep_one(docs, words=5, least=0.8)
 
 
 def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
