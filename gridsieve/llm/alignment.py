@@ -6,8 +6,8 @@ the byte spans of B's span records. Where a character is spread over several tok
 bytes, the libraries give all of them the same span; there the bytes that the tokens decode to refine the cut.
 
 Tokens of neither vocabulary reach from a non-space character over the next space, so a text is cut there
-into units (spaces and what follows them); each distinct unit of a slice is aligned once and kept in a
-bounded cache. Offsets at which tokens of A and of B both end cut the tokens into groups, and every unit
+into units (spaces and what follows them); each distinct unit is aligned once and kept in a
+bounded cache, and new ones are encoded many at a time. Offsets at which tokens of A and of B both end cut the tokens into groups, and every unit
 border is such an offset. A unit whose tokens do not decode to its bytes makes its whole text be encoded
 uncut; if that fails too, the text has no tokens.
 
@@ -27,7 +27,6 @@ import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -36,10 +35,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridsieve.llm.common import column, documents, slices, staged
-from gridsieve.llm.tokens import forget
 
 #: A space after a character that is no white space, and not the last one, starts a unit.
 CUT = re.compile(r"(?<=\S)(?= [\s\S])")
+#: New units that are encoded as one text, and units after which the cache starts anew.
+JOINED, CACHED_UNITS = 4096, 600_000
+SEPARATORS = np.array([",", "|", ";"], object)
 #: Bytes of text of one block.
 BLOCK = 1_000_000
 
@@ -52,32 +53,10 @@ def byte_of_char() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(others)}
 
 
-class Unit:
-    """Aligned tokens of one text: ``groups`` as text, number of tokens, and the linked pairs of ids."""
-
-    __slots__ = ("n_a", "n_b", "n_groups", "groups", "links")
-
-    def __init__(self, a: list[int], a_ends: list[int], b: list[int], b_ends: list[int]):
-        self.n_a, self.n_b = len(a), len(b)
-        both = sorted(set(a_ends) & set(b_ends))
-        self.n_groups = len(both)
-        links, parts = [], []
-        i = j = 0
-        for stop in both:
-            i0, j0 = i, j
-            while True:  # the two tokens overlap; whichever ends first gives way
-                links.append(a[i] << 32 | b[j])
-                x, y = a_ends[i], b_ends[j]
-                i += x <= y
-                j += y <= x
-                if x == y == stop:
-                    break
-            parts.append(f"{','.join(map(str, a[i0:i]))}|{','.join(map(str, b[j0:j]))}")
-        self.groups = ";".join(parts)
-        self.links = links
-
-
 class Aligner:
+    """Aligned units by number. ``counts`` has tokens of A, of B and groups of each unit, ``starts`` and ``links`` its linked
+    pairs of ids (A's in the upper half), ``groups`` its groups as text."""
+
     def __init__(self, a_path: str, b_path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
         from sentencepiece import SentencePieceProcessor
@@ -86,64 +65,108 @@ class Aligner:
         self.a = Tokenizer.from_file(a_path)
         self.a.encode_special_tokens = True  # their strings in a text are ordinary text
         self.b = SentencePieceProcessor(model_file=b_path)
-        self.byte = byte_of_char()
-        self.a_bytes: dict[int, bytes] = {}
-        self.cache: dict[str, Unit | None] = {}
-
-    def _a_data(self, token: int) -> bytes:
-        data = self.a_bytes.get(token)
-        if data is None:
-            data = self.a_bytes[token] = bytes(map(self.byte.__getitem__, self.a.id_to_token(token)))
-        return data
-
-    @staticmethod
-    def _ends(data: list[bytes], starts: list[int], stops: list[int]) -> list[int]:
-        """Byte at which each token ends: where its span stops, if that is new and the next token starts behind it;
-        else, inside a character or at a token without a span, as many bytes on as it decodes to."""
-        ends: list[int] = []
-        at = 0
-        for token, stop, following in zip(data, stops, [*starts[1:], stops[-1]], strict=True):
-            at = stop if at < stop <= following else at + len(token)
-            ends.append(at)
-        return ends
-
-    def align(self, texts: list[str]) -> list[Unit | None]:
-        """Each text, which starts with a space, or None if its tokens do not decode to it."""
-        out: list[Unit | None] = []
+        byte = byte_of_char()
+        names = [self.a.id_to_token(i) for i in range(self.a.get_vocab_size())]
+        self.a_bytes = [bytes(map(byte.__getitem__, n)) if n and set(n) <= byte.keys() else b"" for n in names]
+        pieces = [self.b.id_to_piece(i) for i in range(self.b.vocab_size())]
+        self.b_bytes = [bytes([int(p[3:5], 16)]) if len(p) == 6 and p.startswith("<0x") else p.replace("▁", " ").encode() for p in pieces]
+        self.a_sizes, self.b_sizes = (np.array([len(d) for d in side]) for side in (self.a_bytes, self.b_bytes))
+        self.decimal = np.array([str(i) for i in range(max(len(names), len(pieces)))], object)
+        self._reset()
+
+    def _reset(self) -> None:
+        self.index: dict[str, int] = {}
+        self.counts, self.starts = np.zeros((0, 3), np.int64), np.zeros(1, np.int64)
+        self.links, self.groups = np.zeros(0, np.int64), []
+
+    def _ends(self, sizes: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+        """Byte at which each token ends. A span that goes beyond all before it and stops where the next one starts is a
+        coarse cut; between two cuts the sizes of the decoded bytes decide."""
+        before = np.r_[0, np.maximum.accumulate(stops)[:-1]]
+        cut = (stops > before) & (stops <= np.r_[starts[1:], stops[-1]])
+        last = np.maximum.accumulate(np.where(cut, np.arange(len(cut)), -1))
+        upto = np.cumsum(sizes)
+        return np.where(last >= 0, stops[last] - upto[last], 0) + upto
+
+    def _spans(self, texts: list[str]) -> list[tuple[np.ndarray, ...] | None]:
+        """Per text, which starts with a space: (A's ids, ends, B's ids, ends), or None if its tokens do not decode to it."""
+        out: list[tuple[np.ndarray, ...] | None] = []
         encoded = self.a.encode_batch(texts, add_special_tokens=False)
         spans = self.b.encode([t[1:] for t in texts], return_type="proto", num_threads=1)
         for text, of_a, of_b in zip(texts, encoded, spans, strict=True):
             whole = text.encode()
-            a_data = [self._a_data(t) for t in of_a.ids]
-            b_data = [p.piece.replace("▁", " ").encode() if len(p.piece) != 6 or not p.piece.startswith("<0x") else bytes([int(p.piece[3:5], 16)])
-                      for p in of_b.pieces]
-            if b"".join(a_data) != whole or b"".join(b_data) != whole:
+            a_ids, of_b = of_a.ids, of_b.pieces
+            b_ids = [p.id for p in of_b]
+            if b"".join(map(self.a_bytes.__getitem__, a_ids)) != whole or b"".join(map(self.b_bytes.__getitem__, b_ids)) != whole:
                 out.append(None)
                 continue
-            if len(whole) == len(text):
-                a_starts, a_stops = [s for s, _ in of_a.offsets], [e for _, e in of_a.offsets]
-            else:
-                at = list(accumulate((len(c.encode()) for c in text), initial=0))
-                a_starts, a_stops = [at[s] for s, _ in of_a.offsets], [at[e] for _, e in of_a.offsets]
+            chars = np.array(of_a.offsets, np.int64).reshape(-1, 2)
+            if len(whole) != len(text):  # A's offsets count characters
+                first = np.flatnonzero((np.frombuffer(whole, np.uint8) & 0xC0) != 0x80)
+                chars = np.r_[first, len(whole)][chars]
+            a, b = np.array(a_ids, np.int64), np.array(b_ids, np.int64)
             # B's spans are those of the text without the space before it
-            b_starts, b_stops = [p.begin + 1 for p in of_b.pieces], [p.end + 1 for p in of_b.pieces]
-            out.append(Unit(
-                list(of_a.ids), self._ends(a_data, a_starts, a_stops), [p.id for p in of_b.pieces], self._ends(b_data, b_starts, b_stops)
-            ))
+            b_starts, b_stops = np.array([p.begin for p in of_b]) + 1, np.array([p.end for p in of_b]) + 1
+            out.append((a, self._ends(self.a_sizes[a], chars[:, 0], chars[:, 1]), b, self._ends(self.b_sizes[b], b_starts, b_stops)))
         return out
 
-    def documents(self, texts: list[str | None]) -> list[list[Unit]]:
-        """Aligned units of each text; none if it has no tokens."""
+    def _add(self, spans: tuple[np.ndarray, ...], stops: np.ndarray) -> None:
+        """Appends the units of a text that end at the bytes ``stops``."""
+        a, a_ends, b, b_ends = spans
+        # every stretch between neighbouring ends lies in one token of A and one of B, and every link has one
+        ends, both = np.union1d(a_ends, b_ends), np.intersect1d(a_ends, b_ends)
+        links = a[np.searchsorted(a_ends, ends)] << 32 | b[np.searchsorted(b_ends, ends)]
+        per = [np.bincount(np.searchsorted(stops, x), minlength=len(stops)) for x in (a_ends, b_ends, both, ends)]
+        self.counts = np.concatenate([self.counts, np.column_stack(per[:3])])
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(per[3])])
+        self.links = np.concatenate([self.links, links])
+        # the ids of a group's tokens of A, then of B, each followed by its separator
+        group = np.concatenate([2 * np.searchsorted(both, a_ends), 2 * np.searchsorted(both, b_ends) + 1])
+        order = np.argsort(group, kind="stable")
+        group = group[order]
+        last = np.r_[group[1:] != group[:-1], True]
+        parts = np.empty(2 * len(order), object)
+        parts[::2] = self.decimal[np.concatenate([a, b])[order]]
+        parts[1::2] = SEPARATORS[np.where(last, 1 + group % 2, 0)]
+        cuts = np.r_[0, np.cumsum(2 * (per[0] + per[1]))].tolist()
+        parts = parts.tolist()
+        self.groups += ["".join(parts[x : y - 1]) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+
+    def _whole(self, text: str) -> int:
+        """Number of a text aligned by itself, -1 if its tokens do not decode to it."""
+        spans = self._spans([text])[0]
+        if spans is None:
+            return -1
+        self._add(spans, np.array([len(text.encode())]))
+        return len(self.groups) - 1
+
+    def _learn(self, new: list[str]) -> None:
+        """Units that end in no white space may follow each other, so many are encoded as one text."""
+        plain = [u for u in new if not u[-1].isspace()]
+        for at in range(0, len(plain), JOINED):
+            some = plain[at : at + JOINED]
+            spans = self._spans(["".join(some)])[0]
+            stops = np.cumsum([len(u.encode()) for u in some])
+            if spans is None or not (np.isin(stops, spans[1]).all() and np.isin(stops, spans[3]).all()):
+                self.index.update((u, self._whole(u)) for u in some)
+                continue
+            self._add(spans, stops)
+            self.index.update(zip(some, range(len(self.groups) - len(some), len(self.groups)), strict=True))
+        self.index.update((u, self._whole(u)) for u in new if u[-1].isspace())
+
+    def documents(self, texts: list[str | None]) -> list[list[int]]:
+        """Numbers of the aligned units of each text; none if it has no tokens."""
+        if len(self.index) > CACHED_UNITS:
+            self._reset()
         cut = [CUT.split(" " + t) if t else [] for t in texts]
-        new = list(set().union(*cut).difference(self.cache))
-        self.cache.update(zip(new, self.align(new), strict=True))
+        # in order of appearance, so that results do not depend on how strings are hashed
+        self._learn([u for u in dict.fromkeys(u for own in cut for u in own) if u not in self.index])
         out = []
         for text, own in zip(texts, cut, strict=True):
-            found = [self.cache[u] for u in own]
-            if None in found:
-                found = [u for u in self.align([" " + text]) if u]
+            found = list(map(self.index.__getitem__, own))
+            if -1 in found:
+                found = [k for k in [self._whole(" " + text)] if k >= 0]
             out.append(found)
-        forget(self.cache, new)
         return out
 
 
@@ -163,18 +186,24 @@ SCHEMA = pa.schema([
 ])
 
 
-def _links(docs: list[list[Unit]]) -> tuple[np.ndarray, list[bytes], np.ndarray]:
-    """Distinct pairs, per document the (number of the pair, times) it holds as 32-bit integers, documents per pair."""
-    number: dict[int, int] = {}
-    local: list[np.ndarray] = []
-    for units in docs:
-        flat = [x for u in units for x in u.links]
-        local.append(np.array([number.setdefault(x, len(number)) for x in flat], np.int64))
-    pairs = np.fromiter(number, np.int64, len(number))
-    doc = np.repeat(np.arange(len(docs)), [len(x) for x in local])
-    code, times = np.unique(doc * len(pairs) + np.concatenate(local), return_counts=True) if len(pairs) else (np.zeros(0, np.int64),) * 2
+def _flat(tool: Aligner, docs: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counts per document (A, B, groups, links), and the document and the pair of every link."""
+    unit = np.array([u for own in docs for u in own], np.int64)
+    doc = np.repeat(np.arange(len(docs)), [len(own) for own in docs])
+    n = tool.starts[unit + 1] - tool.starts[unit]
+    counts = np.zeros((len(docs), 4), np.int64)
+    for k, values in enumerate([*tool.counts[unit].T, n]):
+        counts[:, k] = np.bincount(doc, values, len(docs))
+    at = np.arange(int(n.sum())) + np.repeat(tool.starts[unit] - np.cumsum(n) + n, n)
+    return counts, np.repeat(doc, n), tool.links[at]
+
+
+def _links(n: int, doc: np.ndarray, link: np.ndarray) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    """Distinct pairs; per document the numbers of its pairs and how often it holds each; documents per pair."""
+    pairs, local = np.unique(link, return_inverse=True)
+    code, times = np.unique(doc * len(pairs) + local, return_counts=True)
     pair, times = (code % max(len(pairs), 1)).astype("<u4"), times.astype("<u4")
-    cuts = np.searchsorted(code, np.arange(len(docs) + 1) * len(pairs))
+    cuts = np.searchsorted(code, np.arange(n + 1) * len(pairs))
     per_doc = [pair[x:y].tobytes() + times[x:y].tobytes() for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
     return pairs, per_doc, np.bincount(pair, minlength=len(pairs))
 
@@ -193,15 +222,13 @@ def align_documents(docs: DataFrame, a_path: str, b_path: str, id_col: str = "do
         for batch in slices(batches, budget=BLOCK):
             texts = column(batch, "text").to_pylist()
             aligned = tool.documents(texts)
-            pairs, links, n_docs = _links(aligned)
-            n = len(texts)
+            n, groups = len(texts), tool.groups
+            counts, doc, link = _flat(tool, aligned)
+            pairs, links, n_docs = _links(n, doc, link)
             one, ids = lambda values, kind: pa.array([values], pa.list_(kind)), pa.int32()
             columns = [
-                pa.array([block] * n), column(batch, "doc_id"), *[
-                    pa.array([sum(getattr(u, k) for u in units) for units in aligned], pa.int64()) for k in ("n_a", "n_b", "n_groups")
-                ],
-                pa.array([sum(len(u.links) for u in units) for units in aligned], pa.int64()),
-                pa.array([";".join([u.groups for u in units]) for units in aligned], pa.string()),
+                pa.array([block] * n), column(batch, "doc_id"), *[pa.array(counts[:, k]) for k in range(4)],
+                pa.array([";".join(map(groups.__getitem__, own)) for own in aligned], pa.string()),
                 pa.array(links, pa.binary()), *[pa.nulls(n, pa.list_(ids))] * 3,
             ]
             yield pa.RecordBatch.from_arrays(columns, schema=SCHEMA)
