@@ -18,8 +18,9 @@ holds, not the data. Every vector is indexed. Measured recall is in the README.
 
 Defined cases: vectors that are null, zero or hold null or non-finite components take no part, neither do
 vectors whose length differs from that of most; ties go to the smaller id; a query with fewer candidates
-than asked for gets all of them; a null id counts as the smallest and stays null; rows that repeat an id
-count as one where they are equal; an empty table gives no rows. Other columns are not read.
+than asked for gets all of them; a row is an id with a vector: rows equal in both count as one, rows that share
+only the id, or have none, are rows of their own, as queries and as candidates; a null id stays null and
+comes before all others in ties; an empty table gives no rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -40,7 +41,7 @@ PER_LIST = 3  # best news for each neighbour that one list reports
 BLOCK = 128
 STARTS = 3
 ROUNDS = 12
-SETTLED = 0.15  # share of list places that change in a round, below which rounds end
+SETTLED = 0.05  # share of list places that change in a round, below which rounds end
 BEAM = 400
 EXPAND = 200
 ENTRIES = 256
@@ -248,7 +249,7 @@ def search_nearest(df: DataFrame, is_query: Column, k: int = 10, id_col: str = "
     if sizes is None:
         return df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     valid = valid.where(F.length("vec") == sizes.bytes)
-    entries = staged(classes(valid).select("node", "vec"), "entries")
+    entries = classes(valid).select("node", "vec")
     members = staged(valid.join(entries, "vec").select("vec_id", "node"), "members")
     nodes = staged(_coded(entries, _scale(valid)), "coded")
     graph = build_graph(nodes)
@@ -266,8 +267,9 @@ def search_nearest(df: DataFrame, is_query: Column, k: int = 10, id_col: str = "
     ordered = Window.partitionBy("node").orderBy("vec_id")
     few = members.withColumn("at", F.row_number().over(ordered)).where(F.col("at") <= k + 1).drop("at")
     pairs = asked.select(F.col("vec_id").alias("query_id"), F.col("node").alias("query")).join(near, "query").join(few, "node")
-    pairs = pairs.where("vec_id <> query_id")
-    rank = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    pairs = pairs.where("vec_id <> query_id OR node <> query")
+    # a row is an id with a vector, so queries of one id, or of none, keep their own results
+    rank = Window.partitionBy("query_id", "query").orderBy("score", "vec_id", "node")
     ranked = pairs.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k)
     back = lambda c: F.when(F.col(c) != NULL_ID, F.col(c)).alias(c)
     return ranked.select(back("query_id"), "rank", back("vec_id"), "score")

@@ -9,13 +9,15 @@ split into blocks of bounded size, and pairs of blocks are joined independently
 near the threshold are decided again in double precision, vector by vector.
 
 Equal vectors are one entry with a count. A pair of blocks reports the number of links of each entry and a
-spanning set of them, never all pairs. The number of pivots grows with the square root of the entries. In
+spanning set of them, never all pairs. How many pivots there are, at most a quarter of the square root of the
+entries, is chosen by the copies that a sample would need. In
 high dimensions without structure the copies approach all cells, and the work approaches all pairs of
 blocks; nothing is left out for it.
 
 Defined cases: vectors that are null, zero or hold null or non-finite components link with nothing; vectors
-of different lengths link with nothing either; a null id stays null and counts as the smallest; rows that
-repeat an id are vectors of their own; an empty table gives no rows. Other columns are not read.
+of different lengths link with nothing either; every row is a vector of its own, also if it shares its id with
+others or has none; a null id stays null and is left out when the smallest id is taken (component_id is null, and
+kept holds, where no row with an id is reachable); an empty table gives no rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -33,7 +35,10 @@ from gridsieve.llm.components import components
 from gridsieve.llm.simhash import spanning
 from gridsieve.llm.vectors import classes, matrix, valid_vectors
 
-BLOCK = 2048
+#: Bytes of vectors of a block, and bounds of their number.
+BLOCK_BYTES, BLOCK, BLOCK_LEAST = 4 << 20, 8192, 256
+#: Vectors on which numbers of pivots are tried.
+TRIED = 2048
 #: Single-precision products this close to the threshold are computed again in double precision.
 DOUBT = 1e-4
 EPS = 1e-9
@@ -45,6 +50,11 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times a power of two, which changes no cosine, so that sums of their squares stay finite."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1])
+
+
 def cells_of(x: np.ndarray, pivots: np.ndarray, r: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows (vector, cell, whether it is at home) for unit vectors: the home cell and the needed copies."""
     cos = x @ pivots.T
@@ -68,12 +78,24 @@ def linked(a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
     out = s >= least
     i, j = np.nonzero(np.abs(s - least) < DOUBT)
     for k in range(0, len(i), 65_536):
-        p, q = a[i[k : k + 65_536]], b[j[k : k + 65_536]]
+        p, q = scaled(a[i[k : k + 65_536]]), scaled(b[j[k : k + 65_536]])
         cos = (p * q).sum(1) / (np.sqrt((p * p).sum(1)) * np.sqrt((q * q).sum(1)))
         out[i[k : k + 65_536], j[k : k + 65_536]] = cos >= least
     return out
 
 
+def _pivots(drawn: np.ndarray, n: int, r: float, block: int) -> np.ndarray:
+    """So many of the drawn vectors as bring a vector to the fewest blocks: more pivots make smaller cells, and more
+    copies where the bounds exclude little. At most a quarter of the square root of ``n``."""
+    base, best = math.ceil(math.sqrt(n) / 16), (math.inf, 1)
+    for wanted in sorted({1, max(1, base // 4), base, 4 * base}):
+        sample = drawn[-TRIED:]
+        copies = len(cells_of(sample, drawn[:wanted], r)[0]) / len(sample) - 1
+        blocks = max(1.0, n / (wanted * block))
+        best = min(best, (copies * blocks + (blocks + 1) / 2, wanted))
+    return drawn[: best[1]]
+
+
 def range_links(entries: DataFrame, least: float) -> DataFrame:
     """Rows (node, null, links) with the links of an entry, counting rows, and (a, b, null) that span the links.
 
@@ -81,11 +103,12 @@ def range_links(entries: DataFrame, least: float) -> DataFrame:
     """
     spark, r = entries.sparkSession, math.sqrt(max(0.0, 2 - 2 * least))
     n = entries.count()
-    wanted = max(1, math.ceil(math.sqrt(n) / 16))
-    pivots = entries.orderBy(F.xxhash64("node", F.lit(8)), "node").limit(wanted).select("vec").collect()
-    if not pivots:
+    if not n:
         return spark.createDataFrame([], "a long, b long, links long")
-    p = unit(matrix([bytes(x.vec) for x in pivots]))
+    drawn = entries.orderBy(F.xxhash64("node", F.lit(8)), "node").limit(max(TRIED, math.ceil(math.sqrt(n) / 4))).select("vec").collect()
+    drawn = unit(matrix([bytes(x.vec) for x in drawn]))
+    block = max(BLOCK_LEAST, min(BLOCK, BLOCK_BYTES // (8 * drawn.shape[1])))
+    p = _pivots(drawn, n, r, block)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -98,7 +121,7 @@ def range_links(entries: DataFrame, least: float) -> DataFrame:
     rows = staged(entries.select("node", "n", "vec").mapInArrow(assign, "node long, n long, vec binary, cell int, home boolean"), "cells")
     # one row per pivot
     sizes = rows.groupBy("cell").agg(
-        F.ceil(F.count_if("home") / BLOCK).cast("int").alias("homes"), F.ceil(F.count_if(~F.col("home")) / BLOCK).cast("int").alias("copies")
+        F.ceil(F.count_if("home") / block).cast("int").alias("homes"), F.ceil(F.count_if(~F.col("home")) / block).cast("int").alias("copies")
     )
     spread = F.xxhash64("node", F.lit(9))
     own = F.when(F.col("home"), F.pmod(spread, F.col("homes"))).otherwise(F.pmod(spread, F.col("copies"))).cast("int")
@@ -144,22 +167,19 @@ def near_vectors(df: DataFrame, least: float = 0.95, id_col: str = "vec_id", vec
     """vec_id, n_links (other rows linked directly), component_id (smallest id reachable), kept (it is that id)."""
     valid = staged(valid_vectors(df, id_col, vec_col), "vectors")
     entries = classes(valid)
-    entries = staged(entries, "entries")
-    found = staged(
-        _by_length(entries, least), "links"
-    )
+    found = staged(_by_length(entries, least), "links")
     links = found.where("links IS NOT NULL").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     labels = components(found.where("b IS NOT NULL").select("a", "b"))
     known = entries.join(links, "node", "left").join(labels, "node", "left")
     known = known.select("vec", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.coalesce("component", "node").alias("component"))
-    of_row = valid.join(known, "vec").select("vec_id", "links", "component")
-    ids = F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("vec_id")
+    rows = staged(valid.select(F.when(F.col("vec_id") != NULL_ID, F.col("vec_id")).alias("vec_id"), "vec").join(known, "vec").drop("vec"), "linked-rows")
+    smallest = rows.groupBy("component").agg(F.min("vec_id").alias("component_id"))
+    of_row = rows.join(smallest, "component").select("vec_id", "links", "component_id")
     odd = F.col(vec_col).isNull() | ~F.coalesce(_sound(F.col(vec_col)), F.lit(False))
-    lone = df.where(odd).select(ids, F.lit(0).cast("long").alias("links"), ids.alias("component"))
-    back = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
+    ids = F.col(id_col).cast("long")
+    lone = df.where(odd).select(ids.alias("vec_id"), F.lit(0).cast("long").alias("links"), ids.alias("component_id"))
     return of_row.unionAll(lone).select(
-        back("vec_id").alias("vec_id"), F.col("links").alias("n_links"), back("component").alias("component_id"),
-        (F.col("vec_id") == F.col("component")).alias("kept"),
+        "vec_id", F.col("links").alias("n_links"), "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept")
     )
 
 

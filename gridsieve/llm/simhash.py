@@ -11,17 +11,14 @@ block. Chunks are nodes as well: only pairs of chunks whose shared bits allow a
 Equal fingerprints are one entry, so copies cost nothing. Each pair of chunks reports a spanning set of the
 links it finds (components are all that is asked for), never all pairs of a group.
 
-keep_one takes these links, over several fingerprints, as candidates only and compares the sets of shingles.
-
-Defined cases: a null or empty text has fingerprint zero, linked like any other; a null id stays null and
-counts as the smallest; rows with the same id count as linked and get one result each; an empty table gives no rows. Columns other than
-id and text are not read.
+Defined cases: a null or empty text has fingerprint zero, linked like any other; every row is a document of its own, also
+if it shares its id with others or has none; a null id stays null and is left out when the smallest id is taken (a group
+of null ids alone has a null component_id); an empty table gives no rows. Columns other than id and text are not read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -31,19 +28,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridsieve.llm.common import NULL_ID, column, documents, row_id, slices, staged
+from gridsieve.llm.common import column, documents, slices, staged
 from gridsieve.llm.components import components
 
 CHUNK = 32_768
 BRANCH = 8
-SKETCH = 32
-#: At 0.8 similarities estimated from SKETCH bins stray by about 0.07; five times that is still taken.
-MARGIN = 0.35
-#: Fingerprints of each set that keep_one searches, one after the other.
-SEEDS = 3
-#: Sets compared with each other in one task: at most about so many, and so many bytes of them.
-BLOCK = 256
-BLOCK_BYTES = 16 << 20
 SIGN = 1 << 63
 U64 = np.uint64
 
@@ -77,28 +66,10 @@ def fingerprint(h: np.ndarray) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(h)).tobytes(), "big")
 
 
-def sketch(h: np.ndarray) -> bytes:
-    """One-permutation minimum hashes of the set of shingles: a byte for each of SKETCH bins, 0 if it is empty."""
-    out = np.full(SKETCH, ~U64(0), U64)
-    mixed = h * U64(0x9E3779B97F4A7C15)
-    np.minimum.at(out, (mixed >> U64(59)).astype(np.int64), mixed & U64((1 << 59) - 1))
-    return np.where(out == ~U64(0), U64(0), 1 + out * U64(0xD6E8FEB86659FD93) % U64(255)).astype(np.uint8).tobytes()
-
-
 def signed(value: int) -> int:
     return value - (1 << 64) if value >= SIGN else value
 
 
-def reseeded(h: np.ndarray, seed: int) -> np.ndarray:
-    """Other hashes of the same shingles; seed 0 leaves them."""
-    if not seed:
-        return h
-    x = h + U64(seed * 0x9E3779B97F4A7C15 % (1 << 64))
-    x = (x ^ x >> U64(30)) * U64(0xBF58476D1CE4E5B9)
-    x = (x ^ x >> U64(27)) * U64(0x94D049BB133111EB)
-    return x ^ x >> U64(31)
-
-
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     """doc_id and fp (the fingerprint's bits as a signed long)."""
 
@@ -180,19 +151,12 @@ def spanning(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarr
     return label
 
 
-def similar(a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
-    """Whether sketches let a Jaccard similarity of ``least`` be: equal bins among those not both empty; few bins may miss one."""
-    same = ((a == b) & (a > 0)).sum(1)
-    return same >= (least - MARGIN) * ((a > 0) | (b > 0)).sum(1) - 1
-
-
-def links(entries: DataFrame, radius: int, chunk: int = CHUNK, least: float | None = None) -> DataFrame:
+def links(entries: DataFrame, radius: int, chunk: int = CHUNK) -> DataFrame:
     """Spanning links (a, b) between distinct fingerprints within ``radius`` bits.
 
-    ``entries``: node (long, unique), fp and, with ``least``, sketch; then links need that similarity too.
+    ``entries``: node (long, unique) and fp.
     """
-    spark, lead = entries.sparkSession, radius // 4
-    wide = 1 if least is not None else 0
+    lead = radius // 4
 
     def turned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -201,10 +165,10 @@ def links(entries: DataFrame, radius: int, chunk: int = CHUNK, least: float | No
                 own = rotate(fps, 16 * turn)
                 rank = (gray_rank(own) ^ U64(SIGN)).view(np.int64)  # ordered as signed longs
                 columns = [pa.array(np.full(len(fps), turn, np.int32)), pa.array(rank), column(batch, "node"), pa.array(own.view(np.int64))]
-                yield pa.RecordBatch.from_arrays(columns + [column(batch, "sketch")] * wide, names)
+                yield pa.RecordBatch.from_arrays(columns, names)
 
-    names = ["turn", "rank", "node", "own", "sketch"][: 4 + wide]
-    schema = "turn int, rank long, node long, own long" + ", sketch binary" * wide
+    names = ["turn", "rank", "node", "own"]
+    schema = "turn int, rank long, node long, own long"
     n = entries.count()
     parts = max(1, -(-4 * n // chunk))
     ordered = entries.mapInArrow(turned, schema).repartitionByRange(parts, "turn", "rank").sortWithinPartitions("turn", "rank")
@@ -227,8 +191,6 @@ def links(entries: DataFrame, radius: int, chunk: int = CHUNK, least: float | No
                 probes = np.unique(keys[:, None] ^ flips)
                 row = [int(t), task << 32 | number, keys.tolist(), probes.tolist(), signed(int(~(ones ^ any_))), signed(int(ones))]
                 row += [own.tobytes(), some.column("node").to_numpy().tobytes()]
-                if wide:
-                    row.append(b"".join(some.column("sketch").to_pylist()))
                 number += 1
                 yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], chunk_names)
 
@@ -243,9 +205,9 @@ def links(entries: DataFrame, radius: int, chunk: int = CHUNK, least: float | No
             yield from emit(pa.Table.from_batches(held))
 
     longs = pa.list_(pa.int64())
-    kinds = [pa.int32(), pa.int64(), longs, longs, pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()][: 8 + wide]
-    chunk_names = ["turn", "id", "keys", "probes", "mask", "ones", "fps", "nodes", "sketches"][: 8 + wide]
-    chunk_schema = "turn int, id long, keys array<long>, probes array<long>, mask long, ones long, fps binary, nodes binary" + ", sketches binary" * wide
+    kinds = [pa.int32(), pa.int64(), longs, longs, pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+    chunk_names = ["turn", "id", "keys", "probes", "mask", "ones", "fps", "nodes"]
+    chunk_schema = "turn int, id long, keys array<long>, probes array<long>, mask long, ones long, fps binary, nodes binary"
     chunks = staged(ordered.mapInArrow(chunked, chunk_schema), "chunks")
     # nodes above the chunks: pairs of chunks that may hold a match, from their shared bits alone
     keys = chunks.select("turn", "id", "mask", "ones", F.explode("probes").alias("key"))
@@ -256,7 +218,7 @@ def links(entries: DataFrame, radius: int, chunk: int = CHUNK, least: float | No
         (F.col("id") <= F.col("id_b")) & (F.bit_count(differ) <= radius) & (F.bit_count(differ.bitwiseAND(front)) <= lead)
     )
     met = met.select("id", "id_b").distinct()
-    body = ["fps", "nodes", "sketches"][: 2 + wide]
+    body = ["fps", "nodes"]
     left = chunks.select("id", *body)
     other = chunks.select(F.col("id").alias("id_b"), *[F.col(c).alias(f"{c}_b") for c in body])
     work = met.join(left, "id").join(other, "id_b").repartition(parts, "id", "id_b")
@@ -266,13 +228,9 @@ def links(entries: DataFrame, radius: int, chunk: int = CHUNK, least: float | No
             for row in batch.to_pylist():
                 a, b = (np.frombuffer(row[c], U64) for c in ("fps", "fps_b"))
                 nodes = np.concatenate([np.frombuffer(row[c], np.int64) for c in ("nodes", "nodes_b")])
-                marks = [np.frombuffer(row[c], np.uint8).reshape(-1, SKETCH) for c in ("sketches", "sketches_b")[: 2 * wide]]
 
-                def pairs(a=a, b=b, marks=marks):
+                def pairs(a=a, b=b):
                     for i, j in GrayTree(b).search(a, radius, lead):
-                        if wide and len(i):
-                            near = np.concatenate([similar(marks[0][i[k : k + 8192]], marks[1][j[k : k + 8192]], least) for k in range(0, len(i), 8192)])
-                            i, j = i[near], j[near]
                         yield i, len(a) + j
 
                 order = np.argsort(nodes, kind="stable")
@@ -291,156 +249,11 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3) -> DataFra
 
     Fingerprints link at ``radius`` or fewer differing bits.
     """
-    own = staged(fingerprints(docs, words).withColumn("doc_id", F.coalesce("doc_id", F.lit(NULL_ID))), "fingerprints")
-    entries = staged(own.groupBy("fp").agg(F.min("doc_id").alias("node")), "entries")
+    own = staged(fingerprints(docs, words), "fingerprints")
+    # a distinct fingerprint is the name of its rows; ids are only asked for their smallest
+    entries = staged(own.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumn("node", F.col("fp")), "entries")
     found = components(links(entries, radius))
-    joined = own.join(entries, "fp").join(found, "node", "left")
-    back = lambda c: F.when(c != NULL_ID, c)
-    return joined.select(
-        back(F.col("doc_id")).alias("doc_id"),
-        F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
-        back(F.coalesce("component", "node")).alias("component_id"),
-    )
-
-
-def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, version, node (hash of the set of shingles), size, fps (SEEDS fingerprints of the set) and sketch."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            found = [np.unique(hashes(t, words)) for t in column(batch, "text").to_pylist()]
-            fps = [[signed(fingerprint(reseeded(h, i))) for i in range(SEEDS)] for h in found]
-            columns = [column(batch, "doc_id"), column(batch, "version"), pa.array([node_of(h) for h in found], pa.int64())]
-            columns += [pa.array([len(h) for h in found], pa.int64()), pa.array(fps, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array([sketch(h) for h in found], pa.binary())], names)
-
-    names = ["doc_id", "version", "node", "size", "fps", "sketch"]
-    return keyed(docs).mapInArrow(run, "doc_id long, version long, node long, size long, fps array<long>, sketch binary")
-
-
-def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id (NULL_ID for null), version (a hash that tells texts of one id apart) and text."""
-    text = F.col("text").cast("string")
-    return docs.select(row_id().alias("doc_id"), F.xxhash64(text).alias("version"), text.alias("text"))
-
-
-def node_of(h: np.ndarray) -> int:
-    return signed(xxhash.xxh64_intdigest(h.tobytes()))
-
-
-def linked(sets: list[bytes], least: float) -> np.ndarray:
-    """For each sorted set of hashes, none empty, the smallest index reachable over similarities of ``least`` or more."""
-    sizes = np.array([len(s) // 8 for s in sets])
-    starts = np.cumsum(sizes) - sizes
-    values, codes = np.unique(np.frombuffer(b"".join(sets), U64), return_inverse=True)
-
-    def pairs():
-        inside = np.zeros(len(values), np.int32)
-        for i in range(len(sets) - 1):
-            own, at = codes[starts[i] : starts[i] + sizes[i]], starts[i + 1]
-            inside[own] = 1
-            shared = np.add.reduceat(inside[codes[at:]], starts[i + 1 :] - at)
-            inside[own] = 0
-            j = i + 1 + np.flatnonzero(shared / (sizes[i] + sizes[i + 1 :] - shared) >= least)
-            yield np.full(len(j), i), j
-
-    return spanning(len(sets), pairs())
-
-
-def exact_components(members: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
-    """node, label (a node of its group) where sets link at a Jaccard similarity of ``least`` or more.
-
-    ``members``: node (long, unique), component (sets of different components are not similar) and set (sorted
-    hashes), written. A component is compared whole if it is small. A large one is cut into blocks by hash, then
-    one member of each group found there is compared again, as long as that halves them; what is still in different
-    groups after that is compared block by block, and only blocks of one and the same group are left out.
-    """
-    n, size = F.count("*") / F.lit(block), F.sum(F.octet_length("set")) / F.lit(BLOCK_BYTES)
-    parts = F.ceil(F.greatest(n, size)).cast("long")
-
-    def within(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by("node")
-        nodes = rows.column("node").to_numpy()
-        label = nodes[linked(rows.column("set").to_pylist(), least)]
-        return pa.table([rows.column("component"), rows.column("node"), pa.array(label), rows.column("blocks")], ["component", "node", "label", "blocks"])
-
-    labels, left, large, turn = None, members, None, 0
-    while True:
-        cut = left.join(left.groupBy("component").agg(parts.alias("blocks")), "component")
-        cut = cut.withColumn("block", F.pmod(F.xxhash64("node", F.lit(turn)), "blocks"))
-        found = staged(cut.groupBy("component", "block").applyInArrow(within, "component long, node long, label long, blocks long"), "verified")
-        if labels is None:
-            labels = found.select("component", "node", "label")
-            large = found.where("blocks > 1").select("component").distinct()
-        else:
-            step = found.select(F.col("node").alias("label"), F.col("label").alias("next"))
-            labels = labels.join(step, "label", "left").select("component", "node", F.coalesce("next", "label").alias("label"))
-            labels = staged(labels, "verified")
-        some = found.where("blocks > 1").agg(F.count("*").alias("n"), F.count_if(F.col("node") == F.col("label")).alias("groups")).first()
-        if not some.n or 2 * some.groups > some.n:
-            break
-        left, turn = left.join(found.where("blocks > 1 AND node = label").select("node"), "node", "left_semi"), turn + 1
-    several = labels.join(large, "component", "left_semi").groupBy("component").agg(F.min("label").alias("x"), F.max("label").alias("y"))
-    several = staged(several.where("x <> y").select("component"), "several")
-    if several.isEmpty():
-        return labels.select("node", "label")
-
-    # groups of more than a block have blocks of their own, the others of a component share some
-    rows = members.join(several, "component").join(labels.select("node", "label"), "node")
-    groups = staged(rows.groupBy("component", "label").agg(parts.alias("parts"), n.alias("n"), size.alias("size")), "groups")
-    rest = groups.where("parts = 1").groupBy("component").agg(F.ceil(F.greatest(F.sum("n"), F.sum("size"))).cast("long").alias("shared"))
-    rows = rows.join(groups.select("component", "label", "parts"), ["component", "label"]).join(rest, "component", "left")
-    big = F.col("parts") > 1
-    place = F.struct(
-        big.alias("big"), F.when(big, F.col("label")).otherwise(0).alias("own"),
-        F.when(big, F.pmod(F.xxhash64("node"), "parts")).otherwise(F.pmod(F.xxhash64("label"), "shared")).alias("block"),
-    )
-    rows = staged(rows.select("component", "label", "node", "set", place.alias("place")), "placed")
-    places = rows.select("component", F.col("place").alias("p")).distinct()
-    apart = (F.col("p") <= F.col("q")) & ~(F.col("p.big") & F.col("q.big") & (F.col("p.own") == F.col("q.own")))
-    met = places.join(places.withColumnRenamed("p", "q"), "component").where(apart)
-    met = met.withColumn("place", F.explode(F.array_distinct(F.array("p", "q")))).withColumn("pair", F.xxhash64("p", "q"))
-
-    def across(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by("node")
-        label = rows.column("label").to_numpy()
-        near = label[linked(rows.column("set").to_pylist(), least)]
-        edges = np.unique(np.column_stack([near, label])[near != label], axis=0)
-        return pa.table([pa.array(edges[:, 0]), pa.array(edges[:, 1])], ["a", "b"])
-
-    work = met.select("component", "place", "pair").join(rows, ["component", "place"]).select("component", "pair", "label", "node", "set")
-    joined = components(work.groupBy("component", "pair").applyInArrow(across, "a long, b long"))
-    joined = joined.select(F.col("node").alias("label"), F.col("component").alias("next"))
-    return labels.join(joined, "label", "left").select("node", F.coalesce("next", "label").alias("label"))
-
-
-def keep_one(docs: DataFrame, words: int = 5, radius: int = 15, least: float = 0.8) -> DataFrame:
-    """One document of each group whose sets of shingles link at a Jaccard similarity of ``least`` or more.
-
-    A document is an id with a text: rows equal in both are repeated rows, of which one stays; rows that share
-    only the id, or have none, are documents of their own. Of a group the smallest id stays, then the smallest
-    hash of the text. Columns are unchanged.
-
-    Candidates lie within ``radius`` bits in one of SEEDS independent fingerprints of the set and have similar
-    sketches; the sets themselves decide.
-    """
-    own = staged(shingle_sets(docs, words), "shingle-sets")
-    entries = own.where("size > 0").groupBy("node").agg(F.first("fps").alias("fps"), F.first("sketch").alias("sketch"))
-    entries = staged(entries, "entries")
-    near = [links(entries.select("node", F.col("fps")[i].alias("fp"), "sketch"), radius, 2 * CHUNK, least) for i in range(SEEDS)]
-    candidates = components(reduce(DataFrame.unionAll, near))
-    one = own.join(candidates, "node").groupBy("node", "component").agg(F.min(F.struct("doc_id", "version")).alias("key"))
-    one = one.select("node", "component", "key.doc_id", "key.version")
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            found = [np.unique(hashes(t, words)).tobytes() for t in column(batch, "text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([column(batch, "node"), column(batch, "component"), pa.array(found, pa.binary())], ["node", "component", "set"])
-
-    texts = keyed(docs).join(one, ["doc_id", "version"]).dropDuplicates(["node"])
-    members = staged(texts.select("node", "component", "text").mapInArrow(sets, "node long, component long, set binary"), "members")
-    labels = exact_components(members, least)
-    first = own.join(labels, "node", "left").groupBy(F.coalesce("label", "node")).agg(F.min(F.struct("doc_id", "version")).alias("key"))
-    first = first.select(F.col("key.doc_id").alias("_key"), F.col("key.version").alias("_version"))
-    rows = docs.withColumn("_key", row_id()).withColumn("_version", F.xxhash64(F.col("text").cast("string")))
-    return rows.join(first, ["_key", "_version"], "left_semi").dropDuplicates(["_key", "_version"]).drop("_key", "_version")
+    known = entries.join(found, "node", "left").select("fp", "least", F.coalesce("component", "node").alias("component"))
+    smallest = known.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = known.join(smallest, "component").select("fp", "component_id")
+    return own.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridsieve.llm.common import NULL_ID, column
+from gridsieve.llm.common import NULL_ID, column, staged
 
 
 def valid_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -30,8 +30,13 @@ def valid_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddi
 
 
 def classes(vectors: DataFrame) -> DataFrame:
-    """node (smallest vec_id), n (rows) and vec of each distinct vector; partial counts before the shuffle."""
-    return vectors.groupBy("vec").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("n"))
+    """node (a number of its own, ascending with the smallest vec_id), n (rows) and vec of each distinct vector, written.
+
+    Ids may be null or repeated, so they do not name a vector. Partial counts before the shuffle.
+    """
+    distinct = vectors.groupBy("vec").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("n"))
+    ordered = distinct.repartitionByRange("least", "vec").sortWithinPartitions("least", "vec")
+    return staged(ordered.select(F.monotonically_increasing_id().alias("node"), "n", "vec"), "classes")
 
 
 def matrix(values: pa.Array | list, dtype=np.float64) -> np.ndarray:

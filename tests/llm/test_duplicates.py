@@ -80,10 +80,19 @@ def test_clean_texts(spark):
 
 def simhash_want(docs, k=3, bits=3):
     fps = np.array([brute.fingerprint(t, k) for _, t in docs], np.uint64)
-    pairs = [(i, j) for i in range(len(docs)) for j in range(i) if int(np.bitwise_count(fps[i] ^ fps[j])) <= bits or docs[i][0] == docs[j][0]]
-    low = -(2**63)
-    comp = brute.smallest([low if d is None else d for d, _ in docs], pairs)
-    return sorted(((d, f"{int(f):016x}", None if c == low else c) for (d, _), f, c in zip(docs, fps, comp, strict=True)), key=str)
+    pairs = [(i, j) for i in range(len(docs)) for j in range(i) if int(np.bitwise_count(fps[i] ^ fps[j])) <= bits]
+    group = brute.smallest(list(range(len(docs))), pairs)
+    least = {g: min((d for (d, _), x in zip(docs, group, strict=True) if x == g and d is not None), default=None) for g in set(group)}
+    return sorted(((d, f"{int(f):016x}", least[g]) for (d, _), f, g in zip(docs, fps, group, strict=True)), key=str)
+
+
+def test_simhash_of_null_and_repeated_ids(spark):
+    """Rows without an id, or with the same one, tie no unrelated texts together."""
+    text = [" ".join(f"w{k}x{i}" for i in range(40)) for k in range(4)]
+    docs = [(None, text[0]), (None, text[1]), (5, text[0]), (9, text[1]), (7, text[2]), (7, text[3]), (8, text[3]), (None, "alone here"), (6, text[2])]
+    got = simhash.near_duplicates(spark.createDataFrame(docs, brute.SCHEMA)).collect()
+    assert sorted((tuple(r) for r in got), key=str) == simhash_want(docs)
+    assert {r.component_id for r in got if r.doc_id in (5, 9)} == {5, 9}
 
 
 def test_simhash_query_and_odd_rows(spark, sf_dir):
@@ -116,84 +125,6 @@ def test_gray_rank_is_the_inverse_gray_code():
     assert (simhash.gray_rank(x ^ x >> np.uint64(1)) == x).all()
 
 
-def test_keep_one_of_each_group(spark):
-    base = [f"w{i}" for i in range(300)]
-    near = base.copy()
-    near[150] = "changed"
-    docs = [(5, " ".join(base)), (6, " ".join(base)), (7, " ".join(near)), (8, " ".join(f"v{i}" for i in range(300))), (8, " ".join(f"v{i}" for i in range(300))), (9, None), (10, "")]
-    df = spark.createDataFrame([(*d, 1) for d in docs], brute.SCHEMA + ", extra int")
-    kept = simhash.keep_one(df)
-    assert kept.columns == df.columns
-    assert sorted(r.doc_id for r in kept.collect()) == [5, 8, 9]
-
-
-def shingled(words):
-    return frozenset(tuple(words[i : i + 5]) for i in range(len(words) - 4))
-
-
-def test_keep_one_finds_links_at_the_bound(spark):
-    """Pairs between 0.8 and 0.82, where one fingerprint within 11 bits misses many."""
-    rng, docs, pairs = np.random.default_rng(4), [], 0
-    for k in range(120):
-        base = [f"w{k}x{i}" for i in range(400)]
-        near = base.copy()
-        for at in rng.permutation(np.arange(4, 396, 6))[:60]:
-            near[at] = f"n{k}x{at}"
-            a, b = shingled(base), shingled(near)
-            if len(a & b) / len(a | b) < 0.82:
-                break
-        assert 0.8 <= len(a & b) / len(a | b) < 0.82
-        docs += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(near))]
-    kept = [r.doc_id for r in simhash.keep_one(spark.createDataFrame(docs, brute.SCHEMA)).collect()]
-    assert sorted(kept) == list(range(0, 240, 2))
-
-
-def test_keep_one_keeps_what_is_less_similar(spark):
-    """Pairs a little below 0.8, which an estimate takes for similar."""
-    rng, docs = np.random.default_rng(5), []
-    for k in range(60):
-        base = [f"w{k}x{i}" for i in range(400)]
-        near = base.copy()
-        for at in rng.permutation(np.arange(4, 396, 6))[:60]:
-            near[at] = f"n{k}x{at}"
-            a, b = shingled(base), shingled(near)
-            if len(a & b) / len(a | b) < 0.8:
-                break
-        assert 0.77 < len(a & b) / len(a | b) < 0.8
-        docs += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(near))]
-    kept = [r.doc_id for r in simhash.keep_one(spark.createDataFrame(docs, brute.SCHEMA)).collect()]
-    assert sorted(kept) == list(range(120))
-
-
-@pytest.mark.parametrize("block", [4, 256])
-def test_exact_components_of_large_candidates(spark, block):
-    """A chain, copies of one set with a few changes, and sets like none: one component of candidates."""
-    rng, sets = np.random.default_rng(6), []
-    chain = rng.integers(0, 2**63, 400, dtype=np.uint64)
-    sets += [chain[5 * i : 5 * i + 50] for i in range(40)]
-    star = rng.integers(0, 2**63, 100, dtype=np.uint64)
-    sets += [np.concatenate([star[rng.permutation(100)[:95]], rng.integers(0, 2**63, 3, dtype=np.uint64)]) for _ in range(40)]
-    sets += [np.concatenate([star[:60], rng.integers(0, 2**63, 40, dtype=np.uint64)]) for _ in range(10)]
-    sets = [np.unique(s) for s in sets]
-    like = lambda a, b: len(np.intersect1d(a, b)) / len(np.union1d(a, b))
-    want = brute.smallest(list(range(90)), [(i, j) for i in range(90) for j in range(i) if like(sets[i], sets[j]) >= 0.8])
-    rows = spark.createDataFrame([(i, 0, bytearray(s.tobytes())) for i, s in enumerate(sets)], "node long, component long, set binary")
-    label = {r.node: r.label for r in simhash.exact_components(rows, 0.8, block).collect()}
-    first = {}
-    for i in range(90):
-        first.setdefault(label[i], i)
-    assert [first[label[i]] for i in range(90)] == want
-
-
-def test_keep_one_tells_rows_of_one_id_apart(spark):
-    text = [" ".join(f"w{k}x{i}" for i in range(300)) for k in range(6)]
-    near = text[0] + " end"
-    docs = [(None, text[0]), (None, text[1]), (None, text[2]), (None, text[2]), (3, near), (4, text[3]), (4, text[4]), (5, text[5])]
-    kept = simhash.keep_one(spark.createDataFrame(docs, brute.SCHEMA)).collect()
-    want = [(None, text[0]), (None, text[1]), (None, text[2]), (4, text[3]), (4, text[4]), (5, text[5])]
-    assert sorted((tuple(r) for r in kept), key=str) == sorted(want, key=str)
-
-
 def test_components_of_chains_and_hubs(spark):
     edges = [(i, i + 1) for i in range(60)] + [(1000, 1000 + i) for i in range(1, 200)] + [(7, 7), (5000, 4000)]
     got = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -210,8 +141,6 @@ ODD_VECTORS = [
 
 
 def vector_want(rows, least):
-    low = -(2**63)
-    ids = [low if i is None else i for i, _ in rows]
     ok = [v is not None and len(v) > 0 and None not in v and bool(np.isfinite(v).all()) and any(v) for _, v in rows]
     unit = [np.array(v) / np.abs(v).max() if o else None for (_, v), o in zip(rows, ok, strict=True)]
 
@@ -219,9 +148,45 @@ def vector_want(rows, least):
         return (a * b).sum() / np.sqrt((a * a).sum()) / np.sqrt((b * b).sum())
 
     pairs = [(i, j) for i in range(len(rows)) for j in range(len(rows)) if i != j and ok[i] and ok[j] and len(unit[i]) == len(unit[j]) and cos(unit[i], unit[j]) >= least]
-    comp = brute.smallest(ids, pairs + [(i, j) for i in range(len(rows)) for j in range(i) if ids[i] == ids[j] and ok[i] and ok[j]])
-    back = lambda x: None if x == low else x
-    return sorted(((back(i), sum(a == k for a, _ in pairs), back(c), i == c) for k, (i, c) in enumerate(zip(ids, comp, strict=True))), key=str)
+    group = brute.smallest(list(range(len(rows))), pairs)
+    least_id = {g: min((i for (i, _), x in zip(rows, group, strict=True) if x == g and i is not None), default=None) for g in set(group)}
+    return sorted(((i, sum(a == k for a, _ in pairs), least_id[g], i == least_id[g]) for k, ((i, _), g) in enumerate(zip(rows, group, strict=True))), key=str)
+
+
+AWKWARD_IDS = [
+    (None, [1.0, 0.0, 0.0]), (None, [0.0, 1.0, 0.0]), (1, [1.0, 0.01, 0.0]), (2, [0.0, 1.0, 0.01]), (7, [0.0, 0.0, 1.0]), (7, [1.0, 1.0, 0.0]),
+    (8, [0.0, 0.01, 1.0]), (9, [1.0, 1.01, 0.0]), (None, [-1.0, 0.0, 0.0]), (None, [-1.0, 0.0, 0.0]), (7, [1.0, 1.0, 0.0]),
+]
+LARGE = [(1, [1e200, 0.0]), (2, [0.95005e200, 0.3121e200]), (3, [1.0, 0.0]), (4, [0.95005, 0.3121]), (5, [1e-200, 0.0])]
+
+
+@pytest.mark.parametrize("rows", [AWKWARD_IDS, LARGE])
+def test_range_join_of_null_and_repeated_ids_and_large_components(spark, rows):
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted((tuple(r) for r in rangejoin.near_vectors(df, 0.95).collect()), key=str) == vector_want(rows, 0.95)
+
+
+@pytest.mark.parametrize("wanted", [1, 7, 40])
+def test_range_join_with_any_number_of_pivots_and_blocks(spark, wanted, monkeypatch):
+    monkeypatch.setattr(rangejoin, "_pivots", lambda drawn, n, r, block: drawn[:wanted])
+    monkeypatch.setattr(rangejoin, "BLOCK", 64)
+    monkeypatch.setattr(rangejoin, "BLOCK_LEAST", 16)
+    rng = np.random.default_rng(11)
+    centres = rng.normal(size=(9, 6))
+    rows = [(i, (centres[i % 9] + rng.normal(size=6) * rng.choice([0.02, 0.4])).tolist()) for i in range(500)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted((tuple(r) for r in rangejoin.near_vectors(df, 0.9).collect()), key=str) == vector_want(rows, 0.9)
+
+
+def test_nearest_of_null_and_repeated_ids(spark):
+    rows = [(100, [0.0, 0.1]), (7, [1.0, 0.0]), (7, [2.0, 0.0]), (8, [3.0, 0.0]), (9, [4.0, 0.0]), (None, [5.0, 0.0]), (None, [6.0, 0.0]), (100, [9.0, 0.0])]
+    df = spark.createDataFrame([*rows, rows[1]], "vec_id long, embedding array<double>")
+    got = descent.search_nearest(df, F.col("vec_id") == 100, 10).collect()
+    want = []
+    for q in (rows[0], rows[-1]):
+        d = sorted((np.sqrt(((np.array(v) - np.array(q[1])) ** 2).sum()), i) for i, (_, v) in enumerate(rows) if v != q[1])
+        want += [(100, k + 1, rows[i][0], float(x)) for k, (x, i) in enumerate(d)]
+    assert sorted((tuple(r) for r in got), key=str) == sorted(want, key=str)
 
 
 def test_range_join_of_odd_rows(spark):
