@@ -230,12 +230,15 @@ def accept_quality(docs: DataFrame, labels: DataFrame, minimum: float = ACCEPTED
     """The documents that score at least ``minimum``, their columns unchanged; nothing is shuffled for it."""
     model = co_train(staged(features(docs), "quality-features"), labels)
     names, schema = docs.columns, docs.schema
+    meta = META_NAME
+    while meta in names:
+        meta += "_"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            x = [pa.array([r.tobytes() for r in text_features(column(batch, "text").to_pylist())], pa.binary()), column(batch, META_NAME)]
+            x = [pa.array([r.tobytes() for r in text_features(column(batch, "text").to_pylist())], pa.binary()), batch.column(batch.num_columns - 1)]
             score = _scores(model, pa.RecordBatch.from_arrays(x, ["x_text", "x_meta"]))[2]
             kept = pa.RecordBatch.from_arrays(batch.columns[:-1], names)
             yield kept.filter(pa.array(score >= minimum))
 
-    return docs.select("*", _meta(docs).alias(META_NAME)).mapInArrow(run, schema)
+    return docs.select("*", _meta(docs).alias(meta)).mapInArrow(run, schema)

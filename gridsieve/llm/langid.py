@@ -26,6 +26,10 @@ from pyspark.sql import functions as F
 from gridsieve.llm.common import column, slices
 
 UND = "und"
+#: The class of what is no learned language, in models that are to reject it.
+UNKNOWN = "unknown"
+#: First code points of alphabets (fixed values) into which sample text is carried over as examples of UNKNOWN.
+ALPHABETS = (0x391, 0x410, 0x531, 0x5D0, 0x627, 0x905, 0xE01, 0x10A0, 0x3042, 0x30A2, 0x4E00, 0xAC00)
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 8
@@ -131,8 +135,33 @@ def fold(id_col: str = "doc_id") -> Column:
     return F.crc32(F.col(id_col).cast("string")) % 4
 
 
-def fit_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> ByteCnn | None:
-    """Learns from rows outside the held-out fold whose language is known; None if there are none."""
+def strange(window: bytes, k: int) -> bytes:
+    """An example of no language made of a window: its bytes or letters shuffled, letters drawn at random, or the text
+    carried over into another alphabet."""
+    rng = np.random.default_rng(k)
+    text = window.rstrip(b"\0").decode("utf-8", "ignore")
+    letters = [c for c in text if c.isalpha()]
+    kind = k % 5
+    if kind == 0:
+        return rng.permutation(np.frombuffer(window, np.uint8)).tobytes()
+    if kind == 1:
+        mixed = iter([letters[i] for i in rng.permutation(len(letters))])
+        text = "".join(next(mixed) if c.isalpha() else c for c in text)
+    elif kind == 2:
+        text = "".join(chr(97 + int(rng.integers(26))) if c.isalpha() else c for c in text)
+    else:
+        first = ALPHABETS[k // 5 % len(ALPHABETS)]
+        span = 26 if first < 0x3000 else 80 if first < 0x4E00 else 2000
+        to: dict[str, str] = {}
+        text = "".join(to.setdefault(c.lower(), chr(first + int(rng.integers(span)))) if c.isalpha() else c for c in text)
+    return text.encode()[:WINDOW].ljust(WINDOW, b"\0")
+
+
+def fit_languages(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", reject: bool = False
+) -> ByteCnn | None:
+    """Learns from rows outside the held-out fold whose language is known; None if there are none. With ``reject`` the
+    class UNKNOWN is learned too, from as many strange() windows as an average language has."""
     known = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).alias("lang")
     ).where((fold() != 2) & F.col("lang").isNotNull())
@@ -165,9 +194,31 @@ def fit_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     languages = sorted({r.lang for r in rows})
     windows = np.frombuffer(b"".join(r.window for r in rows), np.uint8).reshape(-1, WINDOW)
     labels = np.array([languages.index(r.lang) for r in rows])
+    if reject:
+        odd = [strange(rows[k].window, k) for k in range(0, len(rows), max(1, len(languages) // 2))]
+        windows = np.concatenate([windows, np.frombuffer(b"".join(odd), np.uint8).reshape(-1, WINDOW)])
+        labels = np.append(labels, np.full(len(odd), len(languages)))
+        languages = [*languages, UNKNOWN]
     return ByteCnn(languages).fit(windows, labels)
 
 
+def _predicted(texts: list[str | None], model: ByteCnn | None, tables) -> tuple[list[str], list[float]]:
+    use = [i for i, t in enumerate(texts) if model and has_letter(t)]
+    names, scores = [UND] * len(texts), [0.0] * len(texts)
+    if use:
+        data = [texts[i].encode() for i in use]
+        windows = [cut_windows(d) for d in data]
+        p = model.predict(np.concatenate(windows), *tables)
+        weight = np.full(len(p), WINDOW, np.float64)
+        ends = np.cumsum([len(w) for w in windows])
+        weight[ends - 1] = [len(d) - WINDOW * (len(w) - 1) for d, w in zip(data, windows, strict=True)]
+        sums = np.add.reduceat(p * weight[:, None], ends - [len(w) for w in windows], axis=0)
+        mean = sums / sums.sum(1, keepdims=True)
+        for i, row, best in zip(use, mean, mean.argmax(1), strict=True):
+            names[i], scores[i] = model.languages[best], float(row[best])
+    return names, scores
+
+
 def predict_languages(docs: DataFrame, model: ByteCnn | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns of ``docs`` with lang_pred and score; columns of those names are replaced."""
     kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
@@ -177,27 +228,24 @@ def predict_languages(docs: DataFrame, model: ByteCnn | None, id_col: str = "doc
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = model.tables() if model else None
         for batch in slices(batches, text_col, 500_000):
-            texts = column(batch, text_col).to_pylist()
-            use = [i for i, t in enumerate(texts) if model and has_letter(t)]
-            names, scores = [UND] * len(texts), [0.0] * len(texts)
-            if use:
-                data = [texts[i].encode() for i in use]
-                windows = [cut_windows(d) for d in data]
-                p = model.predict(np.concatenate(windows), *tables)
-                weight = np.full(len(p), WINDOW, np.float64)
-                ends = np.cumsum([len(w) for w in windows])
-                weight[ends - 1] = [len(d) - WINDOW * (len(w) - 1) for d, w in zip(data, windows, strict=True)]
-                sums = np.add.reduceat(p * weight[:, None], ends - [len(w) for w in windows], axis=0)
-                mean = sums / sums.sum(1, keepdims=True)
-                for i, row, best in zip(use, mean, mean.argmax(1), strict=True):
-                    names[i], scores[i] = model.languages[best], float(row[best])
+            names, scores = _predicted(column(batch, text_col).to_pylist(), model, tables)
             columns = [*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, [*kept, "lang_pred", "score"])
 
     return rows.mapInArrow(predict, schema.add("lang_pred", "string").add("score", "double"))
 
 
-def accept_languages(docs: DataFrame, model: ByteCnn | None, minimum: float = 0.5) -> DataFrame:
-    """The documents whose language is recognised with at least ``minimum``; their columns unchanged."""
-    keep = (F.col("lang_pred") != UND) & (F.col("score") >= minimum) if model else F.col("lang_pred") == UND
-    return predict_languages(docs, model).where(keep).select(*docs.columns)
+def accept_languages(docs: DataFrame, model: ByteCnn | None, minimum: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The documents recognised as a learned language with at least ``minimum``; rows and columns unchanged.
+
+    With a model that knows UNKNOWN, texts that look most like that are rejected. Without a model those with letters are.
+    """
+
+    def accept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = model.tables() if model else None
+        for batch in slices(batches, text_col, 500_000):
+            names, scores = _predicted(column(batch, text_col).to_pylist(), model, tables)
+            keep = [(n not in (UND, UNKNOWN) and s >= minimum) if model else n == UND for n, s in zip(names, scores, strict=True)]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(accept, docs.schema)
