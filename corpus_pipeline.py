@@ -16,15 +16,16 @@ from pyspark.sql import functions as F
 from gridsieve.llm import cotrain, langid, packing, similar, suffix
 from gridsieve.llm.common import staged
 
-#: A language is recognised from this mean probability on; a text of two languages in equal parts stays.
-LANGUAGE_SCORE = 0.35
+#: A language is recognised from this mean probability on, if no learned language is not likelier still; a text of several
+#: languages in equal parts stays.
+LANGUAGE_SCORE = 0.25
 #: The classifier's own bound, as in op6_quality.
 QUALITY_SCORE = cotrain.ACCEPTED
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without a recognised language."""
-    return langid.accept_languages(docs, langid.fit_languages(docs), LANGUAGE_SCORE)
+    """Rejects documents that are in none of the learned languages, or have no letter."""
+    return langid.accept_languages(docs, langid.fit_languages(docs, reject=True), LANGUAGE_SCORE)
 
 
 def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
