@@ -84,7 +84,7 @@ def test_odd_rows_and_empty_tables(spark, sf_dir):
         else:
             assert all(whole[r.doc_id, r.text] == r for r in rows)
         if name == "language_id":
-            assert not {r.doc_id for r in rows} & {2, 3, 4, 5} and None in {r.doc_id for r in rows}
+            assert not {r.doc_id for r in rows} & {2, 3, 4, 5} and len(rows) >= 50
         if name == "simhash_near_dedup":
             assert sum(r.doc_id == 9 for r in rows) <= 1
         whole = {(r.doc_id, r.text): r for r in rows}
