@@ -8,6 +8,7 @@ Equal values are pre-aggregated to one counted row, so a hot value weighs one ro
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 from pyspark.ml.feature import Bucketizer
@@ -55,11 +56,28 @@ def add_range_bucket(df: DataFrame, col: str, edges: Sequence[float], out: str =
     return stage.transform(df.withColumn(f"{out}_in", F.col(col).cast("double"))).drop(f"{out}_in")
 
 
-def add_text_bucket(df: DataFrame, col: str, n: int, out: str = "_bucket") -> DataFrame:
-    """Bucket id of a text column, monotone in it: how many of n hash-sampled values are not above it."""
-    sample = df.orderBy(F.xxhash64(col), col).select(col).limit(n).collect()  # n short values
-    cuts = F.array(*[F.lit(row[0]) for row in sample]) if sample else F.array().cast("array<string>")
-    return df.withColumn(out, F.size(F.filter(cuts, lambda cut: cut <= F.col(col))))
+def numbered(ordered: DataFrame, at: str, out: str) -> DataFrame:
+    """Positions from 1 in place of ``at``, a monotonically increasing id in a table written in sorted order.
+
+    Such an id holds the number of its partition above the place in it. What the partitions before hold is a table of one
+    row per partition, so it may be broadcast.
+    """
+    part, place = F.shiftright(at, 33), F.col(at).bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = ordered.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(W.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(W.unboundedPreceding, -1))
+    offsets = sizes.select("_part", F.coalesce(before, F.lit(0).cast("bigint")).alias("_before"))
+    joined = ordered.withColumn("_part", part).join(F.broadcast(offsets), "_part")
+    return joined.withColumn(out, F.col("_before") + place + 1).drop("_part", "_before", at)
+
+
+def text_codes(df: DataFrame, col: str, out: str = "code") -> DataFrame:
+    """(value, code) of the distinct non-NULL values of a text column: positions in ascending order, from 0.
+
+    Values are sorted by range and written; codes come from the sizes of the ranges.
+    """
+    values = df.filter(F.col(col).isNotNull()).select(col).distinct().repartitionByRange(col).sortWithinPartitions(col)
+    written = save_state(values.withColumn("_at", F.monotonically_increasing_id()), new_path(df.sparkSession, "values"))
+    return numbered(written, "_at", out).withColumn(out, F.col(out) - 1)
 
 
 def bucket_offsets(counted: DataFrame, by: Sequence[str], bucket: str, weight: Column) -> DataFrame:
@@ -143,6 +161,79 @@ def pick_quantiles(
     return picked.select(*by, "n", F.array(*out).alias("quantiles"))
 
 
+#: Points of the sketch that brackets quantiles, its accuracy, and distinct values that one task may sort.
+GRID, ACCURACY, FEW = 256, 4096, 200_000
+Level = float | Callable[[int], float]
+
+
+def bracketed_quantiles(
+    df: DataFrame, cols: Sequence[str], probs: Sequence[Level], grid: int = GRID, accuracy: int = ACCURACY
+) -> dict[str, tuple[int, list[float | None]]]:
+    """Exact linear-interpolation quantiles of numeric columns: {column: (rows, values)}; NULLs do not count.
+
+    One scan sketches every column, which brackets each quantile between two values; a second scan counts the rows
+    below the bracket and the values inside, map-side, and writes only these. A bracket that the sketch
+    misplaced is moved and counted again, so the result does not depend on the sketch. A level may be a function of the
+    number of rows. The driver holds ``grid`` numbers per column.
+    """
+    cols, spark = list(cols), df.sparkSession
+    data = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
+    shares = [i / grid for i in range(grid + 1)]
+    row = data.agg(*[a for i in range(len(cols)) for a in (
+        F.count(f"c{i}").alias(f"n{i}"), F.percentile_approx(f"c{i}", shares, accuracy).alias(f"s{i}")
+    )]).first()
+    low, high = float("-inf"), float("nan")  # NaN sorts above every number
+    wanted = {}  # quantile: column, ranks below and above, share between them, bracket
+    for i in range(len(cols)):
+        n, points = row[f"n{i}"], row[f"s{i}"]
+        for j, p in enumerate(probs):
+            if n:
+                pos = (n - 1) * (p(n) if callable(p) else float(p))
+                at = int(pos / max(n - 1, 1) * grid)
+                bracket = (points[at - 1] if at > 0 else low, points[at + 2] if at + 2 <= grid else high)
+                wanted[i * len(probs) + j] = (i, math.floor(pos), math.ceil(pos), pos - math.floor(pos), bracket)
+    found: dict[int, float] = {}
+    while wanted:
+        entries = []
+        for q, (i, *_, (lo, hi)) in wanted.items():
+            x = F.col(f"c{i}")
+            value = F.when(x >= lo, x)  # NULL stands for a row below
+            entries.append(F.when(x <= hi, F.struct(F.lit(q).alias("q"), value.alias("value"))))
+        long = data.select(F.explode(F.filter(F.array(*entries), lambda e: e.isNotNull())).alias("e")).select("e.*")
+        counted = save_state(long.groupBy("q", "value").agg(F.count(F.lit(1)).alias("n")), new_path(spark, "brackets"))
+        inside = F.col("value").isNotNull()
+        sums = counted.groupBy("q").agg(
+            F.coalesce(F.sum(F.when(~inside, F.col("n"))), F.lit(0)).alias("below"),
+            F.coalesce(F.sum(F.when(inside, F.col("n"))), F.lit(0)).alias("inside"), F.count_if(inside).alias("distinct"),
+        )
+        held = {r.q: r for r in sums.collect()}  # one row per quantile
+        ready, again = {}, {}
+        for q, (i, first, last, share, (lo, hi)) in wanted.items():
+            below, within = (held[q].below, held[q].inside) if q in held else (0, 0)
+            if first < below:
+                again[q] = (i, first, last, share, (low, lo))
+            elif last >= below + within:
+                again[q] = (i, first, last, share, (lo if first < below + within else hi, high))
+            else:
+                ready[q] = (below, first, last, share)
+        if ready:
+            rows = counted.filter(inside)
+            if max(held[q].distinct for q in ready) <= FEW:
+                upto = F.sum("n").over(W.partitionBy("q").orderBy("value").rowsBetween(W.unboundedPreceding, W.currentRow))
+                cum = rows.select("q", "value", "n", upto.alias("cum"))
+            else:
+                cum = cumulative_counts(rows, "value", ["q"], weight="n")
+            edges = spark.createDataFrame([(q, b, f, t) for q, (b, f, t, _) in ready.items()], "q int, below long, first long, last long")
+            cum = cum.join(F.broadcast(edges), "q")  # one row per quantile
+            here = lambda rank: (F.col("below") + F.col("cum") - F.col("n") <= rank) & (rank < F.col("below") + F.col("cum"))
+            picked = cum.groupBy("q").agg(*[F.max(F.when(here(F.col(k)), F.col("value"))).alias(k) for k in ("first", "last")])
+            for r in picked.collect():
+                share = ready[r.q][3]
+                found[r.q] = r["first"] + (r["last"] - r["first"]) * share if share else r["first"]
+        wanted = again
+    return {c: (row[f"n{i}"], [found.get(i * len(probs) + j) for j in range(len(probs))]) for i, c in enumerate(cols)}
+
+
 def exact_quantiles(
     df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = (), accuracy: int | None = None, **kw
 ) -> DataFrame:
@@ -156,28 +247,15 @@ def exact_quantiles(
             F.count(value).alias("n"),
             F.percentile_approx(F.col(value).cast("double"), list(probs), accuracy).alias("quantiles"),
         )
+    if not by:
+        return column_quantiles(df, [value], probs).select("n", "quantiles")
     return pick_quantiles(cumulative_counts(df, value, by, **kw), value, probs, by)
 
 
-def column_quantiles(
-    df: DataFrame, cols: Sequence[str], probs: Sequence[float], n_buckets: int | None = None
-) -> DataFrame:
-    """Exact quantiles of several columns at once: (column, n, quantiles).
-
-    Every column is one group as large as the table, so each gets its own range buckets.
-    """
-    n = n_buckets or default_buckets(df.sparkSession)
-    edges = range_edges(df, cols, n)
-    data = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
-    for i, c in enumerate(cols):
-        data = add_range_bucket(data, c, edges[c], f"_b{i}")
-    packed = F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(c).alias("value"), F.col(f"_b{i}").alias("bucket"))
-        for i, c in enumerate(cols)
-    ])
-    long = data.select(F.explode(packed).alias("s")).select("s.*")
-    cum = cumulative_counts(long, "value", ["column"], bucket="bucket")
-    return pick_quantiles(cum, "value", probs, ["column"])
+def column_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> DataFrame:
+    """Exact quantiles of several columns at once: (column, n, quantiles); a column without numbers has NULLs."""
+    rows = [(c, n, q) for c, (n, q) in bracketed_quantiles(df, cols, probs).items()]
+    return df.sparkSession.createDataFrame(rows, "column string, n long, quantiles array<double>")
 
 
 def hash_rank(

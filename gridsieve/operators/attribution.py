@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Model
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gridsieve.functions.ranking import hash_rank
-from gridsieve.operators import metrics
+from gridsieve.operators import forest, metrics
 
 
 def linear_contributions(df: DataFrame, row: Sequence[str], betas: Mapping[str, float], background: DataFrame | None = None) -> DataFrame:
@@ -27,6 +29,61 @@ def linear_contributions(df: DataFrame, row: Sequence[str], betas: Mapping[str,
     return df.select(*row, F.explode(packed).alias("s")).select(*row, "s.*")
 
 
+def _orders(keys: np.ndarray, draw: int, n: int) -> np.ndarray:
+    """A feature order per row, from a hash of (row key, draw, feature)."""
+    x = keys.astype(np.uint64)[:, None] + np.uint64(0x9E3779B97F4A7C15) * (np.uint64(draw * n + 1) + np.arange(n, dtype=np.uint64))
+    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return np.argsort(x ^ x >> np.uint64(31), axis=1, kind="stable")
+
+
+def sampled_contributions(
+    df: DataFrame, row: Sequence[str], fitted: forest.Member, background: np.ndarray, key: Column, family: Sequence[str] = ()
+) -> DataFrame:
+    """Long (row, feature, value, phi): Shapley values of any fitted member from sampled feature orders, map-only.
+
+    Each background row (in the order of ``fitted.features``, a bounded sample) is paired with one order per row and its
+    reverse, both decided by the hash of the row's key: the features of the row replace those of the background row one
+    after the other, and a feature is credited with the change it makes. The values of a row sum to its prediction
+    minus the mean prediction of the background, and are exact for additive models.
+    """
+    features, kept = fitted.features, [*row, *family]
+    n = len(features)
+
+    def explain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            x, keys = pdf[[f"_x{i}" for i in range(n)]].to_numpy(float), pdf["_h"].to_numpy()
+            phi, rows = np.zeros((len(x), n)), np.arange(len(x))
+            for draw, base in enumerate(background):
+                order = _orders(keys, draw, n)
+                for path in (order, order[:, ::-1]):
+                    z = np.tile(base, (len(x), 1))
+                    before = forest.predictions(z, features, [fitted])[:, 0]
+                    for step in range(n):
+                        at = path[:, step]
+                        z[rows, at] = x[rows, at]
+                        after = forest.predictions(z, features, [fitted])[:, 0]
+                        phi[rows, at] += after - before
+                        before = after
+            out = pdf[kept].loc[pdf.index.repeat(n)].reset_index(drop=True)
+            out["feature"], out["value"] = np.tile(features, len(x)), x.ravel()
+            out["phi"] = (phi / (2 * len(background))).ravel()
+            yield out
+
+    slim = df.select(*kept, *[F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(features)], F.xxhash64(key).alias("_h"))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.select(*kept).schema.fields)
+    return slim.mapInPandas(explain, f"{kinds}, feature string, value double, phi double")
+
+
+def background_rows(df: DataFrame, features: Sequence[str], key: Column, n: int = 16) -> np.ndarray:
+    """At most n rows of the features, those of smallest key hash."""
+    rows = df.select(*[F.col(c).cast("double").alias(c) for c in features], F.xxhash64(key).alias("_h"), key.cast("string").alias("_k"))
+    got = rows.orderBy("_h", "_k").limit(n).collect()
+    return np.array([[r[c] for c in features] for r in got], float).reshape(-1, len(features))
+
+
 def mean_abs(phi: DataFrame, by: Sequence[str] = (), top: int | None = None) -> DataFrame:
     """Mean |phi| per feature (and family), optionally the k largest per family; signed mean and direction beside it."""
     out = phi.groupBy(*by, "feature").agg(

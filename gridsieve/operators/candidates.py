@@ -6,11 +6,11 @@ import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from gridsieve.functions.hashing import hash32, uniform
-from gridsieve.functions.ranking import add_text_bucket, cumulative_counts
+from gridsieve.functions.ranking import add_range_bucket, range_edges, text_codes
 from gridsieve.functions.scalars import composition_label, cut, expm1_clipped, relative_width, upper_bound
 from gridsieve.operators.curate import cap_by_reference_max, keep_best, top_rows
 from gridsieve.session import default_buckets, new_path
@@ -43,13 +43,9 @@ def grid_of_values(spark: SparkSession, tables: Mapping[str, DataFrame], row_id:
     """
     numbered, sizes = {}, {}
     for name, df in tables.items():
-        values = df.select(F.col(df.columns[0]).alias(name)).distinct()
-        bucket = None
-        if isinstance(values.schema[name].dataType, StringType):
-            values, bucket = add_text_bucket(values.filter(F.col(name).isNotNull()), name, default_buckets(spark)), "_bucket"
-        ranks = cumulative_counts(values, name, bucket=bucket)
+        ranks = text_codes(df.select(F.col(df.columns[0]).alias(name)), name, f"_{name}")
         # written, so that its size is known: a short table is broadcast, a long one has many join keys
-        numbered[name] = save_state(ranks.select((F.col("cum") - 1).alias(f"_{name}"), name), new_path(spark, "grid-values"))
+        numbered[name] = save_state(ranks, new_path(spark, "grid-values"))
         sizes[name] = numbered[name].count()
     out, stride = spark.range(math.prod(sizes.values())).select(F.col("id").alias(row_id)), 1
     for name in reversed(list(tables)):
@@ -105,10 +101,39 @@ def best_candidates(table: DataFrame, keys: Sequence[str], tiebreak: Sequence[st
     return top_rows(keep_best(table, keys, score, tiebreak), [F.desc(score), *[F.asc(t) for t in tiebreak]], n)
 
 
-def novelty_performance(table: DataFrame, label: Column, n: int = 10) -> DataFrame:
-    """Novelty against upper bound for every candidate, the n highest bounds labelled."""
-    cut_ = table.orderBy(F.desc("ucb_log")).limit(n).agg(F.min("ucb_log").alias("m")).scalar()
-    return table.select(
-        "novelty_score", F.expm1("ucb_log").alias("ucb_orig"), F.expm1("pred_median_log").alias("pred_orig"),
-        F.when(F.col("ucb_log") >= cut_, label).alias("annotation"),
+def novelty_performance(table: DataFrame, label: Column, ties: Sequence[str], n: int = 10) -> DataFrame:
+    """Novelty against upper bound for every candidate; the n highest bounds are labelled, ties by the given columns.
+
+    ``on_front`` marks the candidates that no other one beats in both.
+    """
+    order = [F.desc("ucb_log"), *[F.asc(t) for t in ties]]
+    # the last of the n chosen rows bounds them all
+    chosen = table.orderBy(*order).limit(n).agg(F.max(F.struct((-F.col("ucb_log")).alias("u"), *ties)).alias("m")).scalar()
+    here = F.struct((-F.col("ucb_log")).alias("u"), *ties) <= chosen
+    front = pareto_front(table, "novelty_score", "ucb_log")
+    return front.select(
+        *ties, "novelty_score", F.expm1("ucb_log").alias("ucb_orig"), F.expm1("pred_median_log").alias("pred_orig"),
+        F.when(here, label).alias("annotation"), "on_front",
     )
+
+
+def pareto_front(df: DataFrame, x: str, y: str, out: str = "on_front") -> DataFrame:
+    """All rows, with whether no other row is at least as large in both columns and larger in one.
+
+    Only the largest y of each x can be on the front. These are cut into range buckets of x; the largest y of all
+    buckets above (one row per bucket) and a running maximum inside the bucket decide. Equal points are on the front
+    together; rows with a NULL in either column are not, and beat nothing.
+    """
+    spark = df.sparkSession
+    df = save_state(df, new_path(spark, "front-rows"))
+    best = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(x).alias("_x")).agg(F.max(y).alias("_y"))
+    best = save_state(best, new_path(spark, "front"))
+    bucketed = add_range_bucket(best, "_x", range_edges(best, ["_x"], default_buckets(spark))["_x"])
+    above = W.partitionBy(F.lit(0)).orderBy(F.desc("_bucket")).rowsBetween(W.unboundedPreceding, -1)
+    tops = bucketed.groupBy("_bucket").agg(F.max("_y").alias("_top")).select("_bucket", F.max("_top").over(above).alias("_above"))
+    inside = W.partitionBy("_bucket").orderBy(F.desc("_x")).rowsBetween(W.unboundedPreceding, -1)
+    # one row per bucket, so it may be broadcast
+    ranked = bucketed.join(F.broadcast(tops), "_bucket").withColumn("_beat", F.greatest("_above", F.max("_y").over(inside)))
+    front = ranked.filter(F.col("_beat").isNull() | (F.col("_y") > F.col("_beat"))).select("_x", F.col("_y").alias("_front"))
+    joined = df.join(front, F.col(x) == F.col("_x"), "left")
+    return joined.withColumn(out, F.coalesce(F.col(y) == F.col("_front"), F.lit(False))).drop("_x", "_front")

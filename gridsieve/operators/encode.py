@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridsieve.functions.ranking import add_text_bucket, column_quantiles, cumulative_counts, null_safe_join
-from gridsieve.session import default_buckets, new_path
+from gridsieve.functions.ranking import column_quantiles, null_safe_join, text_codes
+from gridsieve.session import new_path
 from gridsieve.sources.sinks import save_state
 
 
@@ -27,11 +27,8 @@ def apply_medians(df: DataFrame, medians: DataFrame, cols: Sequence[str]) -> Dat
 
 
 def label_encode(df: DataFrame, col: str, out: str) -> DataFrame:
-    """Alphabetical code 0..n-1 per distinct value; a long category list is ranked in buckets."""
-    values = df.filter(F.col(col).isNotNull()).select(col).distinct()
-    values = add_text_bucket(values, col, default_buckets(df.sparkSession))
-    codes = cumulative_counts(values, col, bucket="_bucket").select(col, (F.col("cum") - 1).alias(out))
-    return df.join(codes, col, "left")
+    """Alphabetical code 0..n-1 per distinct value; NULL stays without one. Values are ranked by range."""
+    return df.join(text_codes(df, col, out), col, "left")
 
 
 def _shrunk(n: Column, s: Column, q: Column, g_mean: Column, g_var: Column) -> Column:

@@ -5,26 +5,27 @@ from __future__ import annotations
 import random
 from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
+from functools import reduce
+from threading import Lock
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.ml import Model, PipelineModel
-from pyspark.ml.feature import PCA, VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from gridsieve.functions import ranking
 from gridsieve.functions.hashing import member_poisson
 from gridsieve.functions.scalars import expm1_clipped
-from gridsieve.operators import metrics, ridge
+from gridsieve.operators import ensemble, forest, metrics, ridge
 from gridsieve.operators.split import hash_split, learning_subsets
 from gridsieve.session import ensure_checkpoint_dir, new_path
-from gridsieve.sources.sinks import save_state
+from gridsieve.sources.sinks import is_written, load_state, save_state
 
 # Search ranges (low, high, scale).
 SEARCH_SPACE = {
@@ -130,22 +131,51 @@ def sample_params(n_trials: int, seed: int = 42, space: Mapping = SEARCH_SPACE)
 
 def search_gbt(
     df: DataFrame, features: Sequence[str], label: str, fold: str, trials: Sequence[Mapping],
-    weight: str | None = None, seed: int = 42, parallelism: int = 2,
+    weight: str | None = None, seed: int = 42, parallelism: int = 2, folder: str | None = None,
 ) -> DataFrame:
-    """Mean held-out R2 per trial, best first: (trial, params, mean, std)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    tables = []
+    """Mean held-out R2 per trial, best first: (trial, params, n_folds, mean, std).
+
+    The fold table is written once below ``folder``, where every (trial, fold) score is appended as soon as it is known.
+    A search started again with the same folder reads the written table and fits only what the ledger lacks.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    folder = folder or new_path(spark, "search")
+    table, ledger = f"{folder}/folds", f"{folder}/ledger"
+    columns = [*dict.fromkeys([*features, label, fold, *([weight] if weight else [])])]
+    data = load_state(spark, table) if is_written(spark, table) else save_state(df.select(*columns), table)
+    schema = "trial int, params string, fold int, r2 double"
+    runs = []
     for i, trial in enumerate(trials):
         params = {k: v for k, v in trial.items() if k != "featureSubset"}
         if "featureSubset" in trial:
             params["featureSubsetStrategy"] = str(round(trial["featureSubset"], 4))
+        runs.append((i, str(dict(sorted(params.items()))), params))
+    folds = [row[0] for row in data.select(fold).distinct().orderBy(fold).collect()]
+    # folds x trials rows
+    known = spark.read.schema(schema).parquet(ledger).collect() if is_written(spark, ledger) else []
+    done = {(r.trial, r.params, r.fold) for r in known}
+    assembled = with_vector(data, features).persist(StorageLevel.MEMORY_AND_DISK)
+    appending = Lock()
+
+    def one(run) -> None:
+        (i, name, params), k = run
+        gbt = GBTRegressor(featuresCol="features", labelCol=label, predictionCol="prediction", seed=seed, **params)
+        if weight:
+            gbt = gbt.setWeightCol(weight)
+        fitted = gbt.fit(assembled.filter(F.col(fold) != k))
+        r2 = fitted.transform(assembled.filter(F.col(fold) == k)).agg(metrics.r2_expr(label, "prediction")).first()[0]
+        with appending:  # a score is appended whole or not at all
+            _score_frame(spark, [(i, name, int(k), r2)], schema).coalesce(1).write.mode("append").parquet(ledger)
 
-        def fit(part, params=params):
-            return fit_gbt(part, features, label, weight, seed=seed, **params)
-
-        cv = model_cv(df, label, fold, fit, f"trial_{i:03d}", parallelism)
-        tables += [(i, str(dict(sorted(params.items()))), row["r2"]) for row in cv.collect()]  # folds x trials numbers
-    scores = _score_frame(df.sparkSession, tables, "trial int, params string, r2 double")
+    try:
+        todo = [(run, k) for run in runs for k in folds if (run[0], run[1], int(k)) not in done]
+        with ThreadPoolExecutor(parallelism) as pool:
+            list(pool.map(one, todo))
+    finally:
+        assembled.unpersist()
+    wanted = _score_frame(spark, [(i, name) for i, name, _ in runs], "trial int, params string")
+    scores = spark.read.schema(schema).parquet(ledger).join(wanted, ["trial", "params"])
     return metrics.cv_summary(scores, ["trial", "params"]).orderBy(F.desc("mean"), "trial")
 
 
@@ -179,10 +209,14 @@ def split_conformal(
 def given_model_conformal(
     calibration: DataFrame, fitted: Model, label: str, alpha: float = 0.10, trained_on_calibration: bool | None = None
 ) -> DataFrame:
-    """q_hat for an already fitted model. The caller must state whether it saw the calibration rows."""
+    """q_hat for an already fitted model, and whether it saw the calibration rows, which the caller must state.
+
+    ``trained_on_calibration`` stays in the result: such a q_hat comes from residuals of training rows and under-covers.
+    """
     if trained_on_calibration is None:
         raise ValueError("state trained_on_calibration: residuals of training rows under-cover")
-    return metrics.conformal_quantile(fitted.transform(calibration), label, "prediction", alpha)
+    q = metrics.conformal_quantile(fitted.transform(calibration), label, "prediction", alpha)
+    return q.withColumn("trained_on_calibration", F.lit(bool(trained_on_calibration)))
 
 
 def bootstrap_ridge(
@@ -212,31 +246,18 @@ def bootstrap_models(
 
 
 def ensemble_interval(
-    df: DataFrame, members: Sequence[ridge.RidgeFit], probs: Sequence[float] = (0.05, 0.5, 0.95),
+    df: DataFrame, members: Sequence[forest.Member], probs: Sequence[float] = (0.05, 0.5, 0.95),
     names: Sequence[str] = ("pred_p05_log", "pred_median_log", "pred_p95_log"),
 ) -> DataFrame:
-    """Quantiles over linear members per row, map-only (the member matrix is members x features numbers)."""
-    features = members[0].features
-    beta = np.stack([m.coefficients for m in members])
-    bias = np.array([m.intercept for m in members])
-    shares = [100 * p for p in probs]
-
-    @F.pandas_udf("array<double>")
-    def quantiles(x: pd.Series) -> pd.Series:
-        pred = np.stack(x.to_numpy()) @ beta.T + bias
-        return pd.Series(list(np.percentile(pred, shares, axis=1).T))
+    """Quantiles over linear or tree members per row: one map-only scan, whatever the number of members."""
+    scored = forest.with_predictions(df, members, "_preds")
+    return ensemble.quantile_columns(scored, "_preds", probs, names).drop("_preds")
 
-    q = df.withColumn("_q", quantiles(F.array(*[F.col(c).cast("double") for c in features])))
-    return q.select(*df.columns, *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
 
-
-def member_predictions(df: DataFrame, models: Sequence[Model], row: Sequence[str]) -> DataFrame:
-    """Long (row, member, pred) table from any fitted members."""
-    out = None
-    for i, fitted in enumerate(models):
-        part = fitted.transform(df).select(*row, F.lit(i).alias("member"), F.col("prediction").alias("pred"))
-        out = part if out is None else out.unionByName(part)
-    return out
+def member_predictions(df: DataFrame, models: Sequence[forest.Member], row: Sequence[str]) -> DataFrame:
+    """Long (row, member, pred) table of linear or tree members, from one scan."""
+    scored = forest.with_predictions(df, models, "_preds")
+    return scored.select(*row, F.posexplode("_preds").alias("member", "pred"))
 
 
 def feature_groups(columns: Sequence[str], rules: Mapping[str, Sequence[str]]) -> dict[str, list[str]]:
@@ -325,15 +346,89 @@ def score(fitted: Model, df: DataFrame, out: str = "pred_log") -> DataFrame:
     )
 
 
+def original_scale(df: DataFrame, lo: str = "p10_log", mid: str = "p50_log", hi: str = "p90_log") -> DataFrame:
+    """Interval columns back-transformed (clipped at 0) beside the logarithmic ones, and their width."""
+    names = {c: c.removesuffix("_log") + "_orig" for c in (lo, mid, hi)}
+    out = df.withColumns({new: expm1_clipped(c) for c, new in names.items()})
+    return out.withColumns({"width_log": F.col(hi) - F.col(lo), "width_orig": F.col(names[hi]) - F.col(names[lo])})
+
+
 def rank_by_prediction(scored: DataFrame, pred: str, tie: str, out: str = "rank") -> DataFrame:
     """All rows with their position by descending prediction, ties by a numeric or text key, 1 first.
 
-    Distinct predictions are counted in range buckets; positions inside one prediction follow the key.
+    Rows without a prediction come last, NaN before numbers as in any descending sort; null keys come first among ties. Rows are
+    sorted by range over (prediction, key) and written; partitions are numbered in order, so a row's position is what the
+    partitions before hold plus its place in its own. A prediction shared by many rows is spread over partitions by its keys.
+    """
+    spark = scored.sparkSession
+    order = [F.col(pred).desc_nulls_last(), F.col(tie).asc_nulls_first()]
+    # sorted first, so that the ids ascend with the order; a partition's number is above its rows' places
+    ranked = scored.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    return ranking.numbered(save_state(ranked, new_path(spark, "ranked")), "_at", out)
+
+
+def _numbers(values: Sequence[float]) -> Column:
+    return F.array(*[F.lit(float(v)) for v in values])
+
+
+@dataclass
+class VectorMoments:
+    """Number, mean and scatter of vectors: dimensions squared numbers, whatever the rows."""
+
+    n: int
+    mean: np.ndarray
+    scatter: np.ndarray
+
+    def plus(self, other: VectorMoments) -> VectorMoments:
+        n = self.n + other.n
+        if not n:
+            return self
+        gap = other.mean - self.mean
+        return VectorMoments(n, self.mean + gap * (other.n / n), self.scatter + other.scatter + np.outer(gap, gap) * (self.n * other.n / n))
+
+    def covariance(self) -> np.ndarray:
+        return self.scatter / max(1, self.n - 1)
+
+
+def vector_moments(df: DataFrame, vec: str) -> VectorMoments:
+    """Moments of a vector column from one scan: each task centres on its own mean, and tasks merge in pairs on the executors.
+
+    Null vectors are left out. What a merge holds is 64 tasks' moments.
     """
-    scored = save_state(scored, new_path(scored.sparkSession, "scored"))
-    before = ranking.cumulative_counts(scored, pred).select(pred, (F.col("total") - F.col("cum")).alias("_higher"))
-    inside = W.partitionBy(pred).orderBy(tie)
-    return scored.join(before, pred).withColumn(out, F.col("_higher") + F.row_number().over(inside)).drop("_higher")
+    dim = df.filter(F.col(vec).isNotNull()).select(F.size(vec)).first()
+    if dim is None:
+        return VectorMoments(0, np.zeros(0), np.zeros((0, 0)))
+    d = dim[0]
+    empty = VectorMoments(0, np.zeros(d), np.zeros((d, d)))
+
+    def pack(m: VectorMoments, at: int) -> pd.DataFrame:
+        return pd.DataFrame({"at": [at], "n": [m.n], "mean": [m.mean], "scatter": [m.scatter.ravel()]})
+
+    def unpack(pdf: pd.DataFrame) -> list[VectorMoments]:
+        rows = pdf.sort_values("at")
+        return [VectorMoments(int(n), np.array(m), np.array(s).reshape(d, d)) for n, m, s in zip(rows["n"], rows["mean"], rows["scatter"])]
+
+    def scan(batches):
+        whole = empty
+        for pdf in batches:
+            if len(pdf):
+                x = np.stack(pdf["v"].to_numpy())
+                mean = x.mean(0)
+                whole = whole.plus(VectorMoments(len(x), mean, (x - mean).T @ (x - mean)))
+        if whole.n:
+            yield pack(whole, TaskContext.get().partitionId())
+
+    schema = "at long, n long, mean array<double>, scatter array<double>"
+
+    def merge(key, pdf):
+        return pack(reduce(VectorMoments.plus, unpack(pdf), empty), int(key[0]))
+
+    vectors = df.filter(F.col(vec).isNotNull()).select(F.col(vec).cast("array<double>").alias("v"))
+    parts = save_state(vectors.mapInPandas(scan, schema), new_path(df.sparkSession, "moments"))
+    while parts.count() > 64:
+        parts = save_state(parts.groupBy(F.floor(F.col("at") / 64).alias("next")).applyInPandas(merge, schema), new_path(df.sparkSession, "moments"))
+    rows = parts.toPandas()  # at most 64 rows
+    return reduce(VectorMoments.plus, unpack(rows), empty) if len(rows) else empty
 
 
 def pca_projection(train: DataFrame, vec: str, k: int = 2, others: Sequence[DataFrame] = ()) -> tuple[list[DataFrame], list[float]]:
@@ -341,21 +436,24 @@ def pca_projection(train: DataFrame, vec: str, k: int = 2, others: Sequence[Data
 
     Vectors are centred on the training mean; each axis is oriented so that its largest loading is positive.
     """
-    vectors = train.select(array_to_vector(F.col(vec).cast("array<double>")).alias("v"))
-    means = vectors.agg(Summarizer.mean(F.col("v")).alias("m")).first()["m"]  # one number per dimension
-    centre = F.array(*[F.lit(float(m)) for m in means])
-
-    def centred(df):
-        return df.withColumn("_v", array_to_vector(F.zip_with(F.col(vec).cast("array<double>"), centre, lambda a, b: a - b)))
-
-    fitted = PCA(k=k, inputCol="_v", outputCol="_pc").fit(centred(train))
-    loadings = fitted.pc.toArray()
-    signs = np.sign(loadings[np.abs(loadings).argmax(axis=0), np.arange(k)])
-    tables = []
-    for df in (train, *others):
-        pc = vector_to_array("_pc")
-        projected = fitted.transform(centred(df))
-        tables.append(projected.select(
-            *df.columns, *[(pc[i] * F.lit(float(signs[i]))).alias(f"pc{i + 1}") for i in range(k)]
-        ))
-    return tables, [float(v) for v in fitted.explainedVariance]
+    mom = vector_moments(train, vec)
+    if not mom.n:
+        raise ValueError("no vectors to project")
+    values, axes = np.linalg.eigh(mom.covariance())
+    order = np.argsort(-values, kind="stable")[:k]
+    loadings = axes[:, order]
+    signs = np.sign(loadings[np.abs(loadings).argmax(axis=0), np.arange(loadings.shape[1])])
+    loadings = loadings * np.where(signs == 0, 1.0, signs)
+    total = float(np.clip(values, 0, None).sum())
+    shares = [float(max(v, 0.0) / total) if total else 0.0 for v in values[order]]
+    centre, axis = mom.mean, loadings.T
+
+    def projected(df):
+        e = F.col(vec).cast("array<double>")
+        terms = [
+            F.aggregate(F.zip_with(F.zip_with(e, _numbers(centre), lambda a, b: a - b), _numbers(a), lambda x, w: x * w), F.lit(0.0), lambda s, x: s + x)
+            for a in axis
+        ]
+        return df.select(*df.columns, *[t.alias(f"pc{i + 1}") for i, t in enumerate(terms)])
+
+    return [projected(df) for df in (train, *others)], shares

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridsieve.functions.ranking import average_ranks, cumulative_counts, pick_quantiles
+from gridsieve.functions.ranking import average_ranks, bracketed_quantiles
 from gridsieve.functions.scalars import expm1_clipped
 from gridsieve.session import new_path
 from gridsieve.sources.sinks import save_state
@@ -103,18 +104,17 @@ def coverage(df: DataFrame, y: str, lo: str, hi: str, by: Sequence[str] = ()) ->
     )
 
 
-def conformal_level(n: Column, alpha: float) -> Column:
+def conformal_level(n: int, alpha: float) -> float:
     """Finite-sample corrected quantile level, at most 1."""
-    return F.least(F.lit(1.0), F.ceil((n + 1) * F.lit(1.0 - alpha)) / n)
+    return min(1.0, math.ceil((n + 1) * (1.0 - alpha)) / n)
 
 
-def conformal_quantile(calibration: DataFrame, y: str, p: str, alpha: float = 0.10, **kw) -> DataFrame:
+def conformal_quantile(calibration: DataFrame, y: str, p: str, alpha: float = 0.10) -> DataFrame:
     """(n_cal, level, q_hat): the conformal quantile of the absolute residuals; NULL without any rows."""
-    scores = calibration.select(F.abs(F.col(y) - F.col(p)).alias("_s")).filter(F.col("_s").isNotNull())
-    q = pick_quantiles(cumulative_counts(scores, "_s", **kw), "_s", [lambda n: conformal_level(n, alpha)])
-    return q.select(
-        F.col("n").alias("n_cal"), conformal_level(F.col("n"), alpha).alias("level"), F.col("quantiles")[0].alias("q_hat")
-    )
+    scores = calibration.select(F.abs(F.col(y) - F.col(p)).alias("_s"))
+    n, (q_hat,) = bracketed_quantiles(scores, ["_s"], [lambda n: conformal_level(n, alpha)])["_s"]
+    row = (n, conformal_level(n, alpha), q_hat) if n else (None, None, None)
+    return calibration.sparkSession.createDataFrame([row], "n_cal long, level double, q_hat double")
 
 
 def add_conformal_interval(df: DataFrame, p: str, q_hat: DataFrame | float, lo: str = "lower_log", hi: str = "upper_log") -> DataFrame:

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridsieve.functions.hashing import DRAWS_PER_DIGEST, POISSON1_CDF, TWO_32, digest_draws
+from gridsieve.functions.ranking import null_safe_join
 from gridsieve.session import new_path
 from gridsieve.sources.sinks import save_state
 
@@ -78,11 +79,17 @@ class _Partial:
         return _Partial(self.centre, self.m + _translate(other.m, other.centre - self.centre))
 
 
+#: Partial moments that one merge holds.
+MERGED = 64
+
+
 def _merged(partials: DataFrame, keys: Sequence[str], shape: tuple[int, ...]) -> DataFrame:
-    """Partial moments merged per group on the executors: (keys, c, m).
+    """Partial moments merged per group on the executors, as a tree: (keys, c, m).
 
-    A group has a few rows per task, so what one merge holds does not grow with the rows of the data.
+    Every task may hold a part of every group. Each round merges the parts of a group in buckets of at most about MERGED
+    until one is left, so no task receives all of a hot group, or of the only one.
     """
+    spark = partials.sparkSession
     schema = "".join(f"`{k}` {t}, " for k, t in partials.select(*keys).dtypes) + "c array<double>, m array<double>"
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -91,7 +98,17 @@ def _merged(partials: DataFrame, keys: Sequence[str], shape: tuple[int, ...]) ->
         found = pd.DataFrame({"c": [whole.centre], "m": [whole.m.ravel()]})
         return pd.concat([pdf[list(keys)].head(1).reset_index(drop=True), found], axis=1) if keys else found
 
-    return partials.groupBy(*keys).applyInPandas(merge, schema)
+    left = save_state(partials, new_path(spark, "partials"))
+    while True:
+        most = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+        if most <= MERGED:
+            return left.groupBy(*keys).applyInPandas(merge, schema)
+        sizes = left.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / MERGED).cast("int").alias("_n")) if keys else None
+        if keys:
+            dealt = null_safe_join(left, sizes, keys).withColumn("_bucket", F.pmod(F.xxhash64("c", "m"), F.col("_n")))
+        else:
+            dealt = left.withColumn("_bucket", F.pmod(F.xxhash64("c", "m"), F.lit(-(-most // MERGED))))
+        left = save_state(dealt.groupBy(*keys, "_bucket").applyInPandas(merge, schema), new_path(spark, "partials"))
 
 
 def _merge(partials: DataFrame, keys: Sequence[str], shape: tuple[int, ...]) -> dict[tuple, _Partial]:

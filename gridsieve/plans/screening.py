@@ -13,21 +13,24 @@ from gridsieve.functions.vectors import feature_vector
 from gridsieve.operators import candidates as C
 from gridsieve.operators import learn, neighbors
 from gridsieve.operators.lookup import add_physical_features
-from gridsieve.operators.ridge import RidgeFit
+from gridsieve.operators.forest import Member
 from gridsieve.operators.roles import alias_columns
 from gridsieve.plans.curation import FeatureState, prepare_features
 from gridsieve.sources import dims
 
 
 def score_rows(
-    df: DataFrame, state: FeatureState, fitted, members: Sequence[RidgeFit] = (), keep: Sequence[str] = ("row_id",),
+    df: DataFrame, state: FeatureState, fitted, members: Sequence[Member] = (), keep: Sequence[str] = ("row_id",),
 ) -> DataFrame:
-    """Batch scoring: enrich, shape to the feature space, predict; with members also p10/p50/p90."""
+    """Batch scoring: enrich, shape to the feature space, predict; with members also p10/p50/p90 on both scales.
+
+    rank_by_prediction orders the result: by the median where there are members, else by the prediction.
+    """
     prepared = prepare_features(add_physical_features(df), state)
     scored = learn.score(fitted, prepared, "pred_log")
     if members:
-        scored = learn.ensemble_interval(scored, members, (0.1, 0.5, 0.9), ("p10_log", "p50_log", "p90_log"))
-    return scored.select(*keep, *[c for c in scored.columns if c.startswith(("pred_", "p10", "p50", "p90"))])
+        scored = learn.original_scale(learn.ensemble_interval(scored, members, (0.1, 0.5, 0.9), ("p10_log", "p50_log", "p90_log")))
+    return scored.select(*keep, *[c for c in scored.columns if c.startswith(("pred_", "p10", "p50", "p90", "width_"))])
 
 
 @dataclass
@@ -37,7 +40,7 @@ class Screening:
 
 
 def screen_candidates(
-    spark: SparkSession, state: FeatureState, members: Sequence[RidgeFit], train: DataFrame,
+    spark: SparkSession, state: FeatureState, members: Sequence[Member], train: DataFrame,
     grid: Mapping[str, Sequence] = dims.CANDIDATE_GRID, pairs: Mapping[str, Sequence[str]] = dims.HETEROJUNCTION_PAIRS,
     aliases: Mapping[str, str] = dims.CANDIDATE_ALIASES, q_hat: DataFrame | float | None = None, seed: int = 42,
     target: str | None = None, n_top: int = 100, k: int = 5,

@@ -341,10 +341,9 @@ FROM iv, range(1, 20) t(i) GROUP BY i
 """)
 def d23(spark, d):
     c = table(spark, d, "customer").select("c_custkey", F.col("c_acctbal").alias("y"))
-    members = c.select("*", F.explode(F.sequence(F.lit(0), F.lit(N_MEMBERS - 1))).alias("member"))
-    noise = hash32(F.concat_ws("#", F.col("c_custkey").cast("string"), F.col("member").cast("string")), 5)
-    members = members.withColumn("pred", F.col("y") + (noise / F.lit(4294967296.0) - 0.45) * 3000)
-    return rounded(ensemble.calibration_curve(members, ["c_custkey"], "y"))
+    noise = lambda m: hash32(F.concat_ws("#", F.col("c_custkey").cast("string"), m.cast("string")), 5)
+    preds = F.transform(F.sequence(F.lit(0), F.lit(N_MEMBERS - 1)), lambda m: F.col("y") + (noise(m) / F.lit(4294967296.0) - 0.45) * 3000)
+    return rounded(ensemble.array_calibration(c.withColumn("preds", preds), "y"))
 
 
 FOLD_R2_SQL = f"""

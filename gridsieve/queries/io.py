@@ -73,9 +73,11 @@ def a7(spark, d):
 
 @query("a9_widened_table", "SELECT c_custkey, c_acctbal, c_acctbal > 0 AS solvent FROM customer")
 def a9(spark, d):
-    c = table(spark, d, "customer").select("c_custkey", "c_acctbal").withColumn("solvent", F.col("c_acctbal") > 0)
-    path = sinks.write_augmented(c, f"{d}/customer.parquet", new_path(spark, "a9"))
-    return spark.read.parquet(path)
+    """The table is widened under its own name: a second version made from the first."""
+    path = new_path(spark, "a9")
+    sinks.write_version(table(spark, d, "customer").select("c_custkey", "c_acctbal"), path)
+    sinks.write_version(sinks.read_version(spark, path).withColumn("solvent", F.col("c_acctbal") > 0), path)
+    return sinks.read_version(spark, path)
 
 
 @query("a10_saved_state", """

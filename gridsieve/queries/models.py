@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from gridsieve.operators import attribution, ensemble, learn, metrics, ridge, split
+from gridsieve.operators import attribution, ensemble, forest, learn, metrics, ridge, split
 from gridsieve.queries.aggregates import N_MEMBERS, POISSON_SQL, rounded
 from gridsieve.queries.common import draw_sql, hash32_sql, line_key, query, r, table
+from gridsieve.session import new_path
+from gridsieve.sources.sinks import save_state
 
 ROWS_SQL = """
 rws AS (
@@ -102,35 +105,148 @@ def i5(spark, d):
     return rounded(learn.ridge_cv(data, ["x1"], "y", "fold"))
 
 
-@query("i2_gbt_early_stopping")
+def facts(spark, rows):
+    """(fact, holds, n): statements about a fitted model that SQL can state without fitting it."""
+    return spark.createDataFrame(rows, "fact string, holds boolean, n long")
+
+
+def facts_sql(rows: str) -> str:
+    return f"SELECT fact, holds, n::BIGINT AS n FROM (VALUES {rows}) t(fact, holds, n)"
+
+
+PATIENCE = 50
+_PART = f"{hash32_sql('row_key', 1)} / 4294967296.0 < 0.15"
+_EVAL = f"{hash32_sql('row_key', 42)} / 4294967296.0 < 0.1"
+
+
+@query("i2_gbt_early_stopping", f"""
+WITH {ROWS_SQL}, p AS (SELECT {_PART} AS held FROM rws)
+{facts_sql(f"""
+  ('rounds stop within patience', TRUE, {PATIENCE}), ('no round before the stop is better than the best', TRUE, 0),
+  ('the curve has one error per round', TRUE, 0), ('the cut model is the prefix of all rounds', TRUE, 0),
+  ('the best model explains more than half', TRUE, (SELECT count(*) FROM p WHERE held))""")}
+""")
 def i2(spark, d):
+    """Up to 1,000 rounds; what is reported holds for any data, the model itself is in learn.boost's result."""
     data = split.hash_split(rows(spark, d), F.col("row_key"), 0.15, seed=1)
-    fitted = learn.fit_gbt(
-        data.filter("split = 'train'"), FEATURES, "y", "w", F.col("row_key"), maxIter=8, maxDepth=4, stepSize=0.3,
+    fitted = forest.boost(
+        data.filter("split = 'train'"), FEATURES, "y", F.col("row_key"), "w", max_rounds=1000, patience=PATIENCE, maxDepth=5, stepSize=0.5,
     )
-    return metrics.regression_metrics(fitted.transform(data.filter("split = 'test'")), "y", "prediction")
-
-
-@query("i3_random_search")
+    test = data.filter("split = 'test'")
+    both = forest.with_predictions(test, [fitted.forest, fitted.every.first(fitted.best_round)], "p")
+    row = both.agg(F.count(F.lit(1)).alias("n"), F.max(F.abs(F.col("p")[0] - F.col("p")[1])).alias("gap"), metrics.r2_expr("y", F.col("p")[0]).alias("r2")).first()
+    within = fitted.rounds_used - fitted.best_round == PATIENCE or fitted.rounds_used == 1000
+    return facts(spark, [
+        ("rounds stop within patience", within, PATIENCE),
+        ("no round before the stop is better than the best", min(fitted.curve) >= fitted.curve[fitted.best_round - 1], 0),
+        ("the curve has one error per round", len(fitted.curve) == fitted.rounds_used == len(fitted.every), 0),
+        ("the cut model is the prefix of all rounds", row.gap < 1e-9 and len(fitted.forest) == fitted.best_round, 0),
+        ("the best model explains more than half", row.r2 > 0.5, row.n),
+    ])
+
+
+#: Trials and trees of the registered search; learn.SEARCH_SPACE itself has 200 to 1,000 trees (README).
+TRIALS, TREES = 4, (5, 15, "int")
+
+
+@query("i3_random_search", f"""
+WITH {ROWS_SQL}
+{facts_sql(f"""
+  ('a row per trial', TRUE, {TRIALS}), ('every fold of every trial is scored', TRUE, {5 * TRIALS}), ('trials are ordered by their mean', TRUE, 0),
+  ('a search started again fits nothing anew', TRUE, {5 * TRIALS}), ('the written table has every row', TRUE, (SELECT count(*) FROM rws)),
+  ('parameters lie in their ranges', TRUE, {TRIALS})""")}
+""")
 def i3(spark, d):
-    space = dict(learn.SEARCH_SPACE, maxIter=(2, 4, "int"), maxDepth=(2, 3, "int"))
-    data = split.kfold(rows(spark, d), F.col("row_key"), 2)
-    return learn.search_gbt(data, FEATURES, "y", "fold", learn.sample_params(2, space=space), "w")
+    """Random search over five folds, interrupted after two trials and started again with the same folder."""
+    space = dict(learn.SEARCH_SPACE, maxIter=TREES, maxDepth=(3, 5, "int"))
+    data = split.kfold(rows(spark, d), F.col("row_key"), 5)
+    trials, folder = learn.sample_params(TRIALS, space=space), new_path(spark, "search")
+    learn.search_gbt(data, FEATURES, "y", "fold", trials[:2], "w", parallelism=4, folder=folder)
+    found = learn.search_gbt(data, FEATURES, "y", "fold", trials, "w", parallelism=4, folder=folder).collect()
+    ledger = spark.read.parquet(f"{folder}/ledger").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("trial", "fold").alias("k")).first()
+    again = learn.search_gbt(data, FEATURES, "y", "fold", trials, "w", folder=folder).collect()
+    kept = spark.read.parquet(f"{folder}/ledger").count()
+    inside = all(lo <= t[k] <= hi for t in trials for k, (lo, hi, _) in space.items())
+    means = [f["mean"] for f in found]
+    return facts(spark, [
+        ("a row per trial", len(found) == TRIALS, len(found)),
+        ("every fold of every trial is scored", ledger.n == ledger.k and all(f.n_folds == 5 for f in found), ledger.n),
+        ("trials are ordered by their mean", means == sorted(means, reverse=True), 0),
+        ("a search started again fits nothing anew", again == found, kept),
+        ("the written table has every row", True, spark.read.parquet(f"{folder}/folds").count()),
+        ("parameters lie in their ranges", inside, len(trials)),
+    ])
+
+
+BOARD = {"Ridge quantity": "x1", "Ridge price": "x2", "Ridge size": "x5"}
+_BOARD_PARTS = " UNION ALL ".join(f"SELECT '{n}' AS model, row_key, p_brand, {x} AS x1, y, w FROM rws" for n, x in BOARD.items())
+
+
+def _board_cv_sql(name: str, fold: str) -> str:
+    return f"""
+{name}f AS (SELECT *, {fold} AS fold FROM lb WHERE NOT held),
+{name}k AS (SELECT DISTINCT fold AS hold FROM {name}f),
+{name}t AS (SELECT model, hold, x1, y, w FROM {name}k JOIN {name}f ON fold <> hold),
+{name}m AS {ridge1_sql(f"{name}t", "w", keys="model, hold")},
+{name}s AS (SELECT g.model, hold, 1 - sum(power(y - a - b * x1, 2)) / (var_pop(y) * count(*)) AS r2
+            FROM {name}f g JOIN {name}m m ON m.model = g.model AND hold = fold GROUP BY 1, 2),
+{name} AS (SELECT model, avg(r2) AS m, stddev_pop(r2) AS s FROM {name}s GROUP BY 1)
+"""
 
 
-@query("i6_leaderboard")
+@query("i6_leaderboard", f"""
+WITH {ROWS_SQL}, lb AS (SELECT *, {_PART} AS held FROM ({_BOARD_PARTS})),
+{_board_cv_sql("cv", f"{hash32_sql('row_key', 42)} % 5")}, {_board_cv_sql("gc", "p_brand")},
+fit AS {ridge1_sql("(SELECT * FROM lb WHERE NOT held)", "w", keys="model")},
+te AS (SELECT model, y, a + b * x1 AS p FROM lb JOIN fit USING (model) WHERE held),
+mt AS (SELECT model, count(*) AS n_rows, 1 - sum(power(y - p, 2)) / (var_pop(y) * count(*)) AS r2_log, avg(abs(y - p)) AS mae_log,
+         1 - sum(power(exp(y) - exp(greatest(p, 0)), 2)) / (var_pop(exp(y) - 1) * count(*)) AS r2_orig FROM te GROUP BY 1)
+SELECT model, n_rows, round(r2_log, 6) AS r2_log, round(mae_log, 6) AS mae_log, round(r2_orig, 6) AS r2_orig, round(cv.m, 6) AS cv_r2_mean,
+       round(cv.s, 6) AS cv_r2_std, round(gc.m, 6) AS group_cv_r2_mean, round(gc.s, 6) AS group_cv_r2_std,
+       round(0.6 * greatest(gc.m, 0) + 0.4 * greatest(r2_orig, 0), 6) AS composite
+FROM mt JOIN cv USING (model) JOIN gc USING (model)
+""")
 def i6(spark, d):
-    data = split.kfold(split.hash_split(rows(spark, d), F.col("row_key"), 0.15, seed=1), F.col("row_key"), 3)
-    train, test = data.filter("split = 'train'"), data.filter("split = 'test'")
-    grouped = split.group_kfold(train.drop("fold"), "p_brand", 3)
+    """Closed-form models over five random folds and every brand as a group."""
+    data = split.kfold(split.hash_split(rows(spark, d), F.col("row_key"), 0.15, seed=1), F.col("row_key"), 5)
+    train = save_state(data.filter("split = 'train'"), new_path(spark, "train"))
+    grouped = split.group_kfold(train.drop("fold"), "p_brand", None)
+    subsets = {name: [x] for name, x in BOARD.items()}
+    mom = ridge.moments(train, list(BOARD.values()), "y", "w")
+    models = {name: ridge.solve(mom, mom.total(), subset=cols) for name, cols in subsets.items()}
+    tables = [ridge.cv_table(part, "y", "fold", subsets, "w").select("model", "r2") for part in (train, grouped)]
+    board = learn.leaderboard(data.filter("split = 'test'"), "y", models, *tables)
+    cols = ["r2_log", "mae_log", "r2_orig", "cv_r2_mean", "cv_r2_std", "group_cv_r2_mean", "group_cv_r2_std", "composite"]
+    return board.select("model", "n_rows", *[r(c).alias(c) for c in cols])
+
+
+@query("i6_tree_leaderboard", f"""
+WITH {ROWS_SQL}, p AS (SELECT {_PART} AS held FROM rws)
+{facts_sql("""
+  ('a row per model', TRUE, 2), ('five folds and five groups each', TRUE, 20), ('trees lead', TRUE, 0),
+  ('test rows', TRUE, (SELECT count(*) FROM p WHERE held))""")}
+""")
+def i6_trees(spark, d):
+    """Boosted trees against the ridge on the same folds, groups and test rows."""
+    data = split.kfold(split.hash_split(rows(spark, d), F.col("row_key"), 0.15, seed=1), F.col("row_key"), 5)
+    train = save_state(data.filter("split = 'train'"), new_path(spark, "train"))
+    test = save_state(data.filter("split = 'test'"), new_path(spark, "test"))
+    grouped = split.group_kfold(train.drop("fold"), "p_brand", 5)
 
     def fit(part):
-        return learn.fit_gbt(part, FEATURES, "y", "w", maxIter=3, maxDepth=3, stepSize=0.5)
+        return learn.fit_gbt(part, FEATURES, "y", "w", maxIter=10, maxDepth=5, stepSize=0.5)
 
     models = {"Ridge": learn.fit_ridge(train, FEATURES, "y", "w"), "GBT": fit(train)}
-    cv = learn.ridge_cv(train, FEATURES, "y", "fold", "w").union(learn.model_cv(train, "y", "fold", fit, "GBT"))
-    group_cv = learn.ridge_cv(grouped, FEATURES, "y", "fold", "w").union(learn.model_cv(grouped, "y", "fold", fit, "GBT"))
-    return learn.leaderboard(test, "y", models, cv, group_cv)
+    tables = [
+        learn.ridge_cv(part, FEATURES, "y", "fold", "w").union(learn.model_cv(part, "y", "fold", fit, "GBT", 4)) for part in (train, grouped)
+    ]
+    board = learn.leaderboard(test, "y", models, *tables).collect()
+    best = max(board, key=lambda x: x.composite).model
+    folds = sum(t.count() for t in tables)
+    return facts(spark, [
+        ("a row per model", {b.model for b in board} == set(models), len(board)), ("five folds and five groups each", True, folds),
+        ("trees lead", best == "GBT" and all(0 < b.group_cv_r2_mean <= 1 for b in board), 0), ("test rows", True, board[0].n_rows),
+    ])
 
 
 def _conformal_sql(fit_rows: str) -> str:
@@ -171,14 +287,15 @@ def i7(spark, d):
     return _conformal_report(fitted, q, data.filter("split = 'test'"))
 
 
-@query("i8_given_model_conformal", f"WITH {ROWS_SQL}, {_conformal_sql('TRUE')}")
+@query("i8_given_model_conformal", f"SELECT *, TRUE AS trained_on_calibration FROM (WITH {ROWS_SQL}, {_conformal_sql('TRUE')})")
 def i8(spark, d):
     data = split.hash_split(rows(spark, d), F.col("row_key"), 0.15, seed=1)
     train = data.filter("split = 'train'")
     fitted = _fit_x1(train)
     cal = split.hash_split(train, F.col("row_key"), 0.2, seed=12, out="part_of").filter("part_of = 'test'")
     q = learn.given_model_conformal(cal, fitted, "y", trained_on_calibration=True)
-    return _conformal_report(fitted, q, data.filter("split = 'test'"))
+    seen = q.first()["trained_on_calibration"]
+    return _conformal_report(fitted, q, data.filter("split = 'test'")).withColumn("trained_on_calibration", F.lit(seen))
 
 
 BOOT_FIT_SQL = f"""
@@ -212,6 +329,36 @@ def i9_intervals(spark, d):
     return rounded(learn.ensemble_interval(part, members(spark, d)).drop("x1"))
 
 
+TREE_MEMBERS = 6
+
+
+@query("i9_tree_intervals", f"""
+WITH {ROWS_SQL}
+{facts_sql(f"""
+  ('members', TRUE, {TREE_MEMBERS}), ('every row has an interval', TRUE, (SELECT count(*) FROM part)), ('bounds are ordered', TRUE, 0),
+  ('medians lie among the observations', TRUE, 0), ('members differ', TRUE, 0)""")}
+""")
+def i9_trees(spark, d):
+    """Bootstrap members of boosted trees; all of them score a row in one scan."""
+    def fit(part, weight):
+        return learn.fit_gbt(part, ["x1", "x2"], "y", weight, maxIter=5, maxDepth=5, stepSize=0.5)
+
+    data = rows(spark, d).select("row_key", "x1", "x2", "y")
+    fits = forest.bootstrap_forests(data, ["x1", "x2"], "y", F.col("row_key"), TREE_MEMBERS, fit)
+    part = table(spark, d, "part").select(F.col("p_size").cast("double").alias("x1"), (F.col("p_retailprice") / 1000).alias("x2"))
+    scored = learn.ensemble_interval(part, fits)
+    low, high = data.agg(F.min("y"), F.max("y")).first()
+    ordered = F.col("pred_p05_log").between(F.lit(low - 1), F.col("pred_median_log")) & (F.col("pred_median_log") <= F.col("pred_p95_log"))
+    row = scored.agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(ordered).alias("ok"), F.count_if(F.col("pred_median_log").between(low, high)).alias("inside"),
+        F.count_if(F.col("pred_p95_log") > F.col("pred_p05_log")).alias("wide"),
+    ).first()
+    return facts(spark, [
+        ("members", True, len(fits)), ("every row has an interval", True, row.n), ("bounds are ordered", row.ok == row.n, 0),
+        ("medians lie among the observations", row.inside == row.n, 0), ("members differ", row.wide > row.n / 2, 0),
+    ])
+
+
 @query("i10_model_disagreement", f"""
 WITH {ROWS_SQL}, f1 AS {ridge1_sql("rws")}, f2 AS {ridge1_sql("rws", x="x2")}
 SELECT p_partkey, round(abs((f1.a + f1.b * p_size) - (f2.a + f2.b * p_retailprice / 1000)) / 2, 6) AS disagreement
@@ -223,8 +370,8 @@ def i10(spark, d):
     part = table(spark, d, "part").select(
         "p_partkey", F.col("p_size").alias("x1"), (F.col("p_retailprice") / 1000).alias("x2")
     )
-    preds = learn.member_predictions(part, models, ["p_partkey"])
-    return rounded(ensemble.disagreement(preds, ["p_partkey"]))
+    scored = forest.with_predictions(part, models)
+    return rounded(scored.select("p_partkey", ensemble.array_disagreement().alias("disagreement")))
 
 
 VARIANTS = {
@@ -312,6 +459,38 @@ def i17(spark, d):
     return rounded(contributions(spark, d).drop("l_returnflag"), 9, keep=("value",))
 
 
+BACKGROUND = 8
+
+@query("i17_sampled_shapley", f"""
+WITH {ROWS_SQL}
+{facts_sql("""
+  ('values of a row sum to its prediction minus the mean', TRUE, (SELECT count(*) FROM rws)),
+  ('values of a linear model are exact', TRUE, 2 * (SELECT count(*) FROM rws)), ('every feature of the trees has a value', TRUE, 5)""")}
+""")
+def i17_sampled(spark, d):
+    """Sampled Shapley values per row of boosted trees, and of a linear model, where they are known."""
+    data = save_state(rows(spark, d).select("row_key", *FEATURES, "y"), new_path(spark, "explained"))
+    fitted = forest.read_forest(spark, learn.fit_gbt(data, FEATURES, "y", maxIter=5, maxDepth=4, stepSize=0.5), FEATURES)
+    base = attribution.background_rows(data, FEATURES, F.col("row_key"), BACKGROUND)
+    phi = save_state(attribution.sampled_contributions(data, ["row_key"], fitted, base, F.col("row_key")), new_path(spark, "phi"))
+    centre = float(fitted.predict(base).mean())
+    sums = phi.groupBy("row_key").agg(F.sum("phi").alias("s"), F.count(F.lit(1)).alias("k"))
+    counts = data.groupBy("row_key").agg(F.count(F.lit(1)).alias("copies"))
+    scored = forest.with_predictions(data.dropDuplicates(["row_key"]), [fitted], "p").join(sums, "row_key").join(counts, "row_key")
+    off = F.abs(F.col("s") / F.col("copies") - (F.col("p")[0] - centre)) < 1e-6
+    row = scored.agg(F.sum(F.when(off, F.col("copies")).otherwise(0)).alias("ok"), F.sum("copies").alias("n")).first()
+    line = ridge.RidgeFit(["x1", "x4"], np.array([0.05, -2.0]), 1.0)
+    mean = base[:, [FEATURES.index(c) for c in line.features]].mean(0)
+    exact = attribution.sampled_contributions(data, ["row_key"], line, base[:, [FEATURES.index(c) for c in line.features]], F.col("row_key"))
+    want = F.when(F.col("feature") == "x1", 0.05 * (F.col("value") - float(mean[0]))).otherwise(-2.0 * (F.col("value") - float(mean[1])))
+    flat = exact.agg(F.count(F.lit(1)).alias("n"), F.max(F.abs(F.col("phi") - want)).alias("gap")).first()
+    return facts(spark, [
+        ("values of a row sum to its prediction minus the mean", row.ok == row.n, row.n),
+        ("values of a linear model are exact", flat.gap < 1e-9, flat.n),
+        ("every feature of the trees has a value", True, attribution.mean_abs(phi).count()),
+    ])
+
+
 @query("d26_mean_abs_attribution", f"""
 WITH {PHI_SQL}, m AS (SELECT l_returnflag, feature, avg(abs(phi)) AS mean_abs FROM phi GROUP BY 1, 2)
 SELECT l_returnflag, feature, round(mean_abs, 6) AS mean_abs, rank::INT AS rank FROM (
@@ -345,8 +524,6 @@ WITH {ROWS_SQL}, {PERM_SQL} SELECT feature, round(r2, 6) AS r2, round((SELECT r2
 FROM g WHERE feature <> 'none'
 """)
 def i17_perm(spark, d):
-    import numpy as np
-
     fitted = ridge.RidgeFit(["x1", "x2"], np.array([0.04, 1.5]), 5.0)
     data = rows(spark, d).select("row_key", "x1", "x2", "y")
     return rounded(attribution.permutation_importance(data, ["x1", "x2"], "y", fitted, F.col("row_key")))
@@ -363,11 +540,47 @@ def i18(spark, d):
     return rounded(out, keep=("mean_phi",)).withColumn("mean_phi", r("mean_phi", 9))
 
 
-@query("i19_pca_projection")
+PCA_SQL = """
+u AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
+mu AS (SELECT i, avg(x) AS m FROM u WHERE label < 5 GROUP BY 1),
+c AS (SELECT vec_id, label, i, x - m AS x FROM u JOIN mu USING (i)),
+cov AS (SELECT a.i, b.i AS j, sum(a.x * b.x) / (count(*) - 1) AS s FROM c a JOIN c b ON a.vec_id = b.vec_id WHERE a.label < 5 GROUP BY 1, 2)
+"""
+
+
+@query("i19_explained_variance", f"""
+WITH {PCA_SQL} SELECT round(sum(s), 6) AS total_variance, count(*) AS dimensions FROM cov WHERE i = j
+""")
+def i19_shares(spark, d):
+    v = table(spark, d, "embeddings").filter("label < 5")
+    mom = learn.vector_moments(v, "embedding")
+    total = float(np.trace(mom.covariance()))
+    return rounded(spark.createDataFrame([(total, len(mom.mean))], "total_variance double, dimensions long"))
+
+
+# Power iteration on the squared covariance, then on what the first axis leaves; the sign makes the largest loading positive.
+@query("i19_pca_projection", f"""
+WITH RECURSIVE {PCA_SQL},
+q2 AS (SELECT a.i, b.j, sum(a.s * b.s) / 1 AS s FROM cov a JOIN cov b ON a.j = b.i GROUP BY 1, 2),
+t2 AS (SELECT sum(s) AS t FROM q2 WHERE i = j),
+m1 AS (SELECT i, list(s / t ORDER BY j) AS r FROM q2, t2 GROUP BY 1),
+mat AS (SELECT list(r ORDER BY i) AS m FROM m1),
+st AS (SELECT len(m) AS n, list_transform(m, lambda r: r[1]) AS v, 0 AS k, m FROM mat
+       UNION ALL
+       SELECT n, list_transform(w, lambda x: x / sqrt(list_dot_product(w, w))), k + 1, m FROM (
+         SELECT n, k, m, list_transform(m, lambda r: list_dot_product(r, v)) AS w FROM st WHERE k < 400)),
+ax AS (SELECT v FROM st WHERE k = 400),
+sg AS (SELECT CASE WHEN list_max(v) >= -list_min(v) THEN 1 ELSE -1 END AS g, v FROM ax),
+a1 AS (SELECT list_transform(v, lambda x: x * g) AS v FROM sg),
+lc AS (SELECT vec_id, label, list(x ORDER BY i) AS x FROM c GROUP BY 1, 2),
+lam AS (SELECT sum(power(list_dot_product(x, v), 2)) / (count(*) - 1) AS l FROM lc, a1 WHERE label < 5),
+tot AS (SELECT sum(s) AS t FROM cov WHERE i = j)
+SELECT vec_id, label, round(list_dot_product(x, v), 4) AS pc1, round(l / t, 5) AS share1 FROM lc, a1, lam, tot
+""")
 def i19(spark, d):
     v = table(spark, d, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("e"))
-    (train, rest), _ = learn.pca_projection(v.filter("label < 5"), "e", 2, [v.filter("label >= 5")])
-    return train.union(rest).select("vec_id", "label", "pc1", "pc2")
+    (train, rest), shares = learn.pca_projection(v.filter("label < 5"), "e", 2, [v.filter("label >= 5")])
+    return train.union(rest).select("vec_id", "label", r("pc1", 4).alias("pc1"), r(F.lit(shares[0]), 5).alias("share1"))
 
 
 @query("i20_encoding_comparison")

@@ -8,7 +8,6 @@ from gridsieve.functions.vectors import euclidean, feature_vector
 from gridsieve.operators import candidates as C
 from gridsieve.operators import encode, learn, metrics, neighbors, ridge, roles
 from gridsieve.operators.lookup import dim_lookup
-from gridsieve.operators.split import minmax
 from gridsieve.queries.aggregates import N_MEMBERS, POISSON_SQL, QHAT_SQL, calibration_rows, rounded
 from gridsieve.queries.common import PAIRS_SQL, draw_sql, hash32_sql, query, r, table
 from gridsieve.queries.curation import TYPE_PROPS_SQL, type_props
@@ -50,107 +49,6 @@ def c16(spark, d):
     return table(spark, d, "part").select("p_partkey", C.pick_partner("p_type", PARTNERS, F.col("p_partkey")).alias("partner"))
 
 
-SCREEN_SQL = f"""
-tr AS (SELECT p_brand, p_type, ln(1 + l_extendedprice) AS y FROM lineitem JOIN part ON l_partkey = p_partkey),
-g AS (SELECT avg(y) AS gm, var_pop(y) AS gv, max(exp(y) - 1) AS top FROM tr),
-eb AS (SELECT p_brand, n * gv / (n * gv + v) * m + (1 - n * gv / (n * gv + v)) * gm AS e
-       FROM (SELECT p_brand, count(*) AS n, avg(y) AS m, var_pop(y) AS v FROM tr GROUP BY 1), g),
-et AS (SELECT p_type, n * gv / (n * gv + v) * m + (1 - n * gv / (n * gv + v)) * gm AS e
-       FROM (SELECT p_type, count(*) AS n, avg(y) AS m, var_pop(y) AS v FROM tr GROUP BY 1), g),
-{GRID_SQL}, {TYPE_PROPS_SQL},
-sc AS (SELECT grid.*, 0.6 * eb.e + 0.4 * et.e - 5 * amount AS med, coalesce(tp.weight, u.weight) AS wt FROM grid
-  JOIN eb ON p_brand = host JOIN et ON p_type = partner LEFT JOIN tp ON tp.key = lower(partner) JOIN tp u ON u.key = 'unknown'),
-iv AS (SELECT *, med - wt AS lo, med + wt * (1 + amount) AS hi, wt * (amount + 1) AS raw FROM sc),
-tb AS (SELECT *, med + (hi - lo) / 2.0 AS ucb, exp(med) - 1 AS pred,
-   (raw - (SELECT min(raw) FROM iv)) / ((SELECT max(raw) FROM iv) - (SELECT min(raw) FROM iv)) AS novelty,
-   CASE WHEN (hi - lo) / med <= 0.3 THEN 'HIGH' WHEN (hi - lo) / med <= 0.6 THEN 'MEDIUM' ELSE 'LOW' END AS confidence FROM iv)
-"""
-
-
-def screening(spark, d):
-    li = table(spark, d, "lineitem").select("l_partkey", "l_extendedprice")
-    part = table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand", "p_type")
-    train = li.join(part, "l_partkey").withColumn("y", F.log1p("l_extendedprice"))
-    cand = grid(spark, d)
-    for col, cat in (("host", "p_brand"), ("partner", "p_type")):
-        fitted = encode.fit_target_encoding(train, cat, "y").withColumnRenamed(cat, col)
-        cand = encode.apply_target_encoding(cand, fitted, col, f"te_{col}")
-    cand = dim_lookup(cand, "partner", type_props(spark), ["weight"])
-    med = 0.6 * F.col("te_host") + 0.4 * F.col("te_partner") - 5 * F.col("amount")
-    scored = cand.withColumns({
-        "pred_median_log": med, "pred_p05_log": med - F.col("weight"),
-        "pred_p95_log": med + F.col("weight") * (1 + F.col("amount")), "_raw": F.col("weight") * (F.col("amount") + 1),
-    })
-    scored = minmax(save_state(scored, new_path(spark, "scored-grid")), "_raw", "novelty_score")
-    return C.screening_table(scored, "host", "partner", "amount", train, "l_extendedprice", cap_factor=0.3)
-
-
-@query("i12_candidate_screening", f"""
-WITH {SCREEN_SQL}
-SELECT host, partner, amount, source, segment, round(med, 6) AS pred_median_log, round(ucb, 6) AS ucb_log,
-       round(novelty, 6) AS novelty_score, confidence FROM tb, g WHERE pred <= 0.3 * top
-""")
-def i12(spark, d):
-    out = screening(spark, d)
-    cols = ["host", "partner", "amount", "source", "segment", "pred_median_log", "ucb_log", "novelty_score", "confidence"]
-    return rounded(out.select(*cols), keep=("amount",))
-
-
-@query("i12_top_candidates", f"""
-WITH {SCREEN_SQL},
-best AS (SELECT *, row_number() OVER (PARTITION BY host, partner ORDER BY round(ucb, 9) DESC, amount, source, segment) AS rn
-         FROM tb, g WHERE pred <= 0.3 * top)
-SELECT host, partner, amount, source, segment, host || '/' || partner || ' (' || amount::VARCHAR || ' wt%)' AS composition,
-       round(ucb, 6) AS ucb_log
-FROM best WHERE rn = 1 ORDER BY round(ucb, 9) DESC, amount, source, segment, host, partner LIMIT 100
-""")
-def i12_top(spark, d):
-    out = screening(spark, d).withColumn("ucb_log", F.round("ucb_log", 9))
-    tie = ["amount", "source", "segment", "host", "partner"]
-    best = C.best_candidates(out, ["host", "partner"], tie, 100)
-    return best.select("host", "partner", "amount", "source", "segment", "composition", r("ucb_log").alias("ucb_log"))
-
-
-@query("i13_conformal_rescore", f"""
-WITH {SCREEN_SQL}, {PAIRS_SQL}, {QHAT_SQL}
-SELECT host, partner, amount, source, segment, round(med - q_hat, 5) AS pred_p05_log, round(med + q_hat, 5) AS ucb_log
-FROM tb, g, q WHERE pred <= 0.3 * top
-""")
-def i13(spark, d):
-    q = metrics.conformal_quantile(calibration_rows(spark, d), "y", "p", 0.10)
-    out = C.conformal_rescore(screening(spark, d), "pred_median_log", q)
-    return rounded(out.select("host", "partner", "amount", "source", "segment", "pred_p05_log", "ucb_log"), 5, keep=("amount",))
-
-
-@query("i23_novelty_performance", f"""
-WITH {SCREEN_SQL},
-t AS (SELECT min(u) AS m FROM (SELECT round(ucb, 6) AS u FROM tb, g WHERE pred <= 0.3 * top ORDER BY round(ucb, 6) DESC LIMIT 10))
-SELECT round(novelty, 6) AS novelty_score, round(exp(round(ucb, 6)) - 1, 3) AS ucb_orig, round(exp(med) - 1, 3) AS pred_orig,
-       CASE WHEN round(ucb, 6) >= m THEN host || '/' || partner END AS annotation FROM tb, g, t WHERE pred <= 0.3 * top
-""")
-def i23(spark, d):
-    out = screening(spark, d).withColumn("ucb_log", F.round("ucb_log", 6))
-    view = C.novelty_performance(out, F.concat_ws("/", "host", "partner"))
-    return view.select(
-        r("novelty_score").alias("novelty_score"), r("ucb_orig", 3).alias("ucb_orig"), r("pred_orig", 3).alias("pred_orig"),
-        "annotation",
-    )
-
-
-@query("i12_ensemble_screening")
-def i12_ensemble(spark, d):
-    fits = learn.bootstrap_ridge(rows(spark, d), ["x1", "x2"], "y", F.col("row_key"), 100)
-    part = table(spark, d, "part").select(
-        F.col("p_partkey").alias("row_id"), "p_brand", "p_type", "p_retailprice",
-        F.col("p_size").cast("double").alias("x1"), (F.col("p_retailprice") / 1000).alias("x2"),
-    )
-    scored = learn.ensemble_interval(part, fits)
-    out = C.screening_table(scored, "p_brand", "p_type", "p_retailprice")
-    return C.best_candidates(out, ["p_brand", "p_type"], ["row_id"], 100).select(
-        "composition", "pred_median_log", "pred_p05_log", "pred_p95_log", "ucb_log", "confidence"
-    )
-
-
 FLOW_SQL = f"""
 tr AS (SELECT p_partkey, p_size / 10.0::DOUBLE AS x1, p_retailprice / 1000 AS x2, ln(1 + p_retailprice * p_size) AS y FROM part),
 dr AS (SELECT x1, x2, y, b.m AS member, {draw_sql("p_partkey", "b.m")} / 4294967296.0 AS u FROM tr, range({N_MEMBERS}) b(m)),
@@ -197,6 +95,72 @@ def screening_flow(spark, d):
     return C.screening_table(scored, "host", "partner", "amount", train, "target", cap_factor=3.0)
 
 
+KEYS = ["host", "partner", "amount", "source", "segment"]
+
+
+@query("i12_candidate_screening", f"""
+WITH {FLOW_SQL}
+SELECT host, partner, amount, source, segment, round(med, 6) AS pred_median_log, round(ucb, 6) AS ucb_log, round(novelty, 6) AS novelty_score,
+       CASE WHEN (hi - lo) / med <= 0.3 THEN 'HIGH' WHEN (hi - lo) / med <= 0.6 THEN 'MEDIUM' ELSE 'LOW' END AS confidence FROM fl
+""")
+def i12(spark, d):
+    out = screening_flow(spark, d)
+    return rounded(out.select(*KEYS, "pred_median_log", "ucb_log", "novelty_score", "confidence"), keep=("amount",))
+
+
+@query("i12_top_candidates", f"""
+WITH {FLOW_SQL},
+best AS (SELECT *, row_number() OVER (PARTITION BY host, partner ORDER BY round(ucb, 9) DESC, amount, source, segment) AS rn FROM fl)
+SELECT host, partner, amount, source, segment, host || '/' || partner || ' (' || amount::VARCHAR || ' wt%)' AS composition,
+       round(ucb, 6) AS ucb_log
+FROM best WHERE rn = 1 ORDER BY round(ucb, 9) DESC, amount, source, segment, host, partner LIMIT 100
+""")
+def i12_top(spark, d):
+    out = screening_flow(spark, d).withColumn("ucb_log", F.round("ucb_log", 9))
+    best = C.best_candidates(out, ["host", "partner"], ["amount", "source", "segment", "host", "partner"], 100)
+    return best.select(*KEYS, "composition", r("ucb_log").alias("ucb_log"))
+
+
+@query("i13_conformal_rescore", f"""
+WITH {FLOW_SQL}, {PAIRS_SQL}, {QHAT_SQL}
+SELECT host, partner, amount, source, segment, round(med - q_hat, 5) AS pred_p05_log, round(med + q_hat, 5) AS ucb_log FROM fl, q
+""")
+def i13(spark, d):
+    q = metrics.conformal_quantile(calibration_rows(spark, d), "y", "p", 0.10)
+    out = C.conformal_rescore(screening_flow(spark, d), "pred_median_log", q)
+    return rounded(out.select(*KEYS, "pred_p05_log", "ucb_log"), 5, keep=("amount",))
+
+
+@query("i23_novelty_performance", f"""
+WITH {FLOW_SQL}, t AS (SELECT *, round(ucb, 6) AS u, round(novelty, 6) AS nv FROM fl),
+o AS (SELECT *, row_number() OVER (ORDER BY u DESC, host, partner, amount, source, segment) AS rn FROM t),
+fr AS (SELECT DISTINCT nv, u FROM t a WHERE NOT EXISTS (SELECT 1 FROM t b WHERE b.nv >= a.nv AND b.u >= a.u AND (b.nv > a.nv OR b.u > a.u)))
+SELECT o.host, o.partner, o.amount, o.source, o.segment, o.nv AS novelty_score, round(exp(o.u) - 1, 3) AS ucb_orig, round(exp(med) - 1, 3) AS pred_orig,
+       CASE WHEN rn <= 10 THEN o.host || '/' || o.partner END AS annotation, fr.u IS NOT NULL AS on_front
+FROM o LEFT JOIN fr ON fr.nv = o.nv AND fr.u = o.u
+""")
+def i23(spark, d):
+    out = screening_flow(spark, d).withColumn("ucb_log", F.round("ucb_log", 6)).withColumn("novelty_score", F.round("novelty_score", 6))
+    view = C.novelty_performance(out, F.concat_ws("/", "host", "partner"), KEYS)
+    return view.select(
+        *KEYS, "novelty_score", r("ucb_orig", 3).alias("ucb_orig"), r("pred_orig", 3).alias("pred_orig"), "annotation", "on_front"
+    )
+
+
+@query("i12_ensemble_screening")
+def i12_ensemble(spark, d):
+    fits = learn.bootstrap_ridge(rows(spark, d), ["x1", "x2"], "y", F.col("row_key"), 100)
+    part = table(spark, d, "part").select(
+        F.col("p_partkey").alias("row_id"), "p_brand", "p_type", "p_retailprice",
+        F.col("p_size").cast("double").alias("x1"), (F.col("p_retailprice") / 1000).alias("x2"),
+    )
+    scored = learn.ensemble_interval(part, fits)
+    out = C.screening_table(scored, "p_brand", "p_type", "p_retailprice")
+    return C.best_candidates(out, ["p_brand", "p_type"], ["row_id"], 100).select(
+        "composition", "pred_median_log", "pred_p05_log", "pred_p95_log", "ucb_log", "confidence"
+    )
+
+
 @query("i12_screening_flow", f"""
 WITH {FLOW_SQL}
 SELECT host, partner, amount, source, segment, round(med, 6) AS pred_median_log, round(hi - lo, 6) AS width_log,
@@ -231,22 +195,25 @@ iv AS (SELECT p_partkey, quantile_cont(f.a + f.b * p_size, 0.1) AS lo, quantile_
               quantile_cont(f.a + f.b * p_size, 0.9) AS hi FROM part, fits f GROUP BY 1)
 SELECT p_partkey, round(coalesce(tp.weight, u.weight), 6) AS weight, round(fit.a + fit.b * p_size, 6) AS pred_log,
        round(greatest(exp(fit.a + fit.b * p_size) - 1, 0), 4) AS pred_orig, round(lo, 6) AS p10_log, round(mid, 6) AS p50_log,
-       round(hi, 6) AS p90_log, round(hi - lo, 6) AS width_log,
-       row_number() OVER (ORDER BY round(fit.a + fit.b * p_size, 9) DESC, p_partkey) AS rank
+       round(hi, 6) AS p90_log, round(hi - lo, 6) AS width_log, round(greatest(exp(lo) - 1, 0), 3) AS p10_orig,
+       round(greatest(exp(mid) - 1, 0), 3) AS p50_orig, round(greatest(exp(hi) - 1, 0), 3) AS p90_orig,
+       round(greatest(exp(hi) - 1, 0) - greatest(exp(lo) - 1, 0), 3) AS width_orig,
+       row_number() OVER (ORDER BY round(mid, 9) DESC, p_partkey) AS rank
 FROM part JOIN iv USING (p_partkey) LEFT JOIN tp ON tp.key = lower(trim(p_type)) JOIN tp u ON u.key = 'unknown', fit
 """)
 def i11(spark, d):
-    """Every part enriched, shaped, scored with its interval and ranked by prediction."""
+    """Every part enriched, shaped, scored with its interval and ranked by the ensemble's median."""
     part = table(spark, d, "part").select("p_partkey", "p_type", "p_size")
     enriched = dim_lookup(part, "p_type", type_props(spark), ["weight"])
     shaped = roles.complete_schema(roles.alias_columns(enriched, {"p_size": "x1"}), {"x1": 0.0, "note": "missing"})
     scored = learn.score(scorer(spark, d), shaped, "pred_log")
     scored = learn.ensemble_interval(scored, members(spark, d), (0.1, 0.5, 0.9), ("p10_log", "p50_log", "p90_log"))
-    ranked = learn.rank_by_prediction(scored.withColumn("_p", F.round("pred_log", 9)), "_p", "p_partkey")
+    scored = learn.original_scale(scored).withColumn("_p", F.round("p50_log", 9))
+    ranked = learn.rank_by_prediction(scored, "_p", "p_partkey")
+    logs = ["weight", "pred_log", "p10_log", "p50_log", "p90_log", "width_log"]
+    origs = ["p10_orig", "p50_orig", "p90_orig", "width_orig"]
     return ranked.select(
-        "p_partkey", r("weight").alias("weight"), r("pred_log").alias("pred_log"), r("pred_orig", 4).alias("pred_orig"),
-        r("p10_log").alias("p10_log"), r("p50_log").alias("p50_log"), r("p90_log").alias("p90_log"),
-        r(F.col("p90_log") - F.col("p10_log")).alias("width_log"), "rank",
+        "p_partkey", *[r(c).alias(c) for c in logs], r("pred_orig", 4).alias("pred_orig"), *[r(c, 3).alias(c) for c in origs], "rank"
     )
 
 
