@@ -27,6 +27,7 @@ import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +40,7 @@ from gridsieve.llm.common import column, documents, slices, staged
 #: A space after a character that is no white space, and not the last one, starts a unit.
 CUT = re.compile(r"(?<=\S)(?= [\s\S])")
 #: New units that are encoded as one text, and units after which the cache starts anew.
-JOINED, CACHED_UNITS = 4096, 600_000
+JOINED, CACHED_UNITS = 4096, 900_000
 SEPARATORS = np.array([",", "|", ";"], object)
 #: Bytes of text of one block.
 BLOCK = 1_000_000
@@ -95,26 +96,29 @@ class Aligner:
         spans = self.b.encode([t[1:] for t in texts], return_type="proto", num_threads=1)
         for text, of_a, of_b in zip(texts, encoded, spans, strict=True):
             whole = text.encode()
-            a_ids, of_b = of_a.ids, of_b.pieces
-            b_ids = [p.id for p in of_b]
+            a_ids = of_a.ids
+            pieces = np.array([(p.id, p.begin, p.end) for p in of_b.pieces], np.int64).reshape(-1, 3)
+            b_ids = pieces[:, 0].tolist()
             if b"".join(map(self.a_bytes.__getitem__, a_ids)) != whole or b"".join(map(self.b_bytes.__getitem__, b_ids)) != whole:
                 out.append(None)
                 continue
-            chars = np.array(of_a.offsets, np.int64).reshape(-1, 2)
+            chars = np.fromiter(chain.from_iterable(of_a.offsets), np.int64, 2 * len(a_ids)).reshape(-1, 2)
             if len(whole) != len(text):  # A's offsets count characters
                 first = np.flatnonzero((np.frombuffer(whole, np.uint8) & 0xC0) != 0x80)
                 chars = np.r_[first, len(whole)][chars]
-            a, b = np.array(a_ids, np.int64), np.array(b_ids, np.int64)
+            a, b = np.array(a_ids, np.int64), pieces[:, 0]
             # B's spans are those of the text without the space before it
-            b_starts, b_stops = np.array([p.begin for p in of_b]) + 1, np.array([p.end for p in of_b]) + 1
-            out.append((a, self._ends(self.a_sizes[a], chars[:, 0], chars[:, 1]), b, self._ends(self.b_sizes[b], b_starts, b_stops)))
+            b_ends = self._ends(self.b_sizes[b], pieces[:, 1] + 1, pieces[:, 2] + 1)
+            out.append((a, self._ends(self.a_sizes[a], chars[:, 0], chars[:, 1]), b, b_ends))
         return out
 
     def _add(self, spans: tuple[np.ndarray, ...], stops: np.ndarray) -> None:
         """Appends the units of a text that end at the bytes ``stops``."""
         a, a_ends, b, b_ends = spans
         # every stretch between neighbouring ends lies in one token of A and one of B, and every link has one
-        ends, both = np.union1d(a_ends, b_ends), np.intersect1d(a_ends, b_ends)
+        every = np.sort(np.concatenate([a_ends, b_ends]), kind="stable")
+        twice = np.r_[every[1:] == every[:-1], False]
+        ends, both = every[~twice], every[twice]
         links = a[np.searchsorted(a_ends, ends)] << 32 | b[np.searchsorted(b_ends, ends)]
         per = [np.bincount(np.searchsorted(stops, x), minlength=len(stops)) for x in (a_ends, b_ends, both, ends)]
         self.counts = np.concatenate([self.counts, np.column_stack(per[:3])])
@@ -159,8 +163,7 @@ class Aligner:
         if len(self.index) > CACHED_UNITS:
             self._reset()
         cut = [CUT.split(" " + t) if t else [] for t in texts]
-        # in order of appearance, so that results do not depend on how strings are hashed
-        self._learn([u for u in dict.fromkeys(u for own in cut for u in own) if u not in self.index])
+        self._learn(sorted(set().union(*cut).difference(self.index)))
         out = []
         for text, own in zip(texts, cut, strict=True):
             found = list(map(self.index.__getitem__, own))
@@ -188,7 +191,7 @@ SCHEMA = pa.schema([
 
 def _flat(tool: Aligner, docs: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Counts per document (A, B, groups, links), and the document and the pair of every link."""
-    unit = np.array([u for own in docs for u in own], np.int64)
+    unit = np.fromiter(chain.from_iterable(docs), np.int64, sum(map(len, docs)))
     doc = np.repeat(np.arange(len(docs)), [len(own) for own in docs])
     n = tool.starts[unit + 1] - tool.starts[unit]
     counts = np.zeros((len(docs), 4), np.int64)
