@@ -1,12 +1,13 @@
 """Exact k-nearest-neighbour distances without comparing all pairs, and the applicability domain.
 
-The join is pivot-based. Reference vectors are assigned to their nearest pivot and cut into
-blocks by distance to it. For every query the pivots give an upper bound on its k-th neighbour
-distance and, through the triangle inequality, a lower bound per block; the query meets only
-blocks that can still hold a neighbour. Pruning never changes the result.
-
-Sizes that reach one task are bounded: copies of a vector collapse to one counted row, a block
-holds about ``block_rows`` vectors (fuller rings are salted), and queries meet blocks in chunks.
+The reference vectors form a metric tree of two levels, kept as tables. Coarse pivots cut them into cells; each cell has
+fine pivots of its own, which cut it into blocks. A query is first searched in its own block, which bounds its k-th
+distance; through the triangle inequality that bound excludes cells, then blocks inside the remaining ones, and it meets
+only what is left. Inside a block the same bounds exclude groups of vectors. Pruning never changes the result.
+
+The driver and every task hold the coarse pivots, the square root of the number of blocks; the fine pivots of a cell
+are one row of a table. Copies of a vector collapse to one counted row, fuller blocks are salted, and queries meet
+blocks in chunks. References that fit into one block (its size is checked) are sent to the queries instead.
 """
 
 from __future__ import annotations
@@ -29,21 +30,76 @@ from gridsieve.session import new_path
 from gridsieve.sources.sinks import save_state
 
 SLACK = 1e-9
+#: Bytes of vectors of a block, the most and fewest of them, queries that meet a block at once, numbers a distance keeps.
+BLOCK_BYTES, BLOCK_ROWS, BLOCK_LEAST, CHUNK, HELD = 4 << 20, 1 << 18, 64, 4096, 1 << 22
 
 
 def _matrix(values: pd.Series) -> np.ndarray:
     return np.stack([np.asarray(v, dtype=np.float64) for v in values]) if len(values) else np.zeros((0, 0))
 
 
-def _distances(a: np.ndarray, b: np.ndarray, chunk: int = 64) -> np.ndarray:
+def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Euclidean distances by direct differences (identical vectors give exactly 0)."""
     out = np.empty((len(a), len(b)))
+    chunk = max(1, HELD // max(1, b.size))
     for start in range(0, len(a), chunk):
         diff = a[start:start + chunk, None, :] - b[None, :, :]
         out[start:start + chunk] = np.sqrt(np.einsum("ijk,ijk->ij", diff, diff))
     return out
 
 
+class Block:
+    """Vectors of one block under pivots of their own."""
+
+    def __init__(self, vectors: np.ndarray, copies: np.ndarray):
+        n = max(1, math.isqrt(len(vectors)))
+        self.pivots = vectors[:: max(1, len(vectors) // n)][:n] if len(vectors) else vectors
+        cells = np.empty(len(vectors), np.int64)
+        radius = np.empty(len(vectors))
+        for at in range(0, len(vectors), 1024):
+            d = _distances(vectors[at:at + 1024], self.pivots)
+            cells[at:at + 1024] = d.argmin(1)
+            radius[at:at + 1024] = d.min(1)
+        order = np.argsort(cells, kind="stable")
+        self.vectors, self.copies = vectors[order], copies[order]
+        self.cuts = np.searchsorted(cells[order], np.arange(len(self.pivots) + 1))
+        self.far = np.zeros(len(self.pivots))
+        np.maximum.at(self.far, cells, radius)
+
+    def nearest(self, queries: np.ndarray, need: int, bound: np.ndarray | None = None) -> np.ndarray:
+        """Each query's ``need`` smallest distances, copies repeated, ascending; infinite where there are fewer, or beyond
+        ``bound``, where some may be missing."""
+        top = np.full((len(queries), need), np.inf)
+        if not len(self.vectors):
+            return top
+        bound = np.full(len(queries), np.inf) if bound is None else bound
+        for at in range(0, len(queries), 4096):
+            self._search(queries[at:at + 4096], top[at:at + 4096], bound[at:at + 4096], need)
+        return top
+
+    def _search(self, queries: np.ndarray, top: np.ndarray, bound: np.ndarray, need: int) -> None:
+        least = np.maximum(_distances(queries, self.pivots) - self.far, 0.0)
+        order = np.argsort(least, axis=1, kind="stable")
+        active = np.arange(len(queries))
+        for turn in range(len(self.pivots)):
+            cell = order[active, turn]
+            limit = np.minimum(top[active, -1], bound[active])
+            near = least[active, cell] <= limit * (1 + SLACK) + SLACK
+            active, cell = active[near], cell[near]
+            if not len(active):
+                return
+            by_cell = np.argsort(cell, kind="stable")
+            starts = np.flatnonzero(np.r_[True, np.diff(cell[by_cell]) > 0])
+            for x, y in zip(starts, [*starts[1:], len(by_cell)], strict=True):
+                some, c = active[by_cell[x:y]], cell[by_cell[x]]
+                inside = slice(self.cuts[c], self.cuts[c + 1])
+                d = _distances(queries[some], self.vectors[inside])
+                times = np.minimum(self.copies[inside], need)
+                if (times > 1).any():
+                    d = np.repeat(d, times, axis=1)
+                top[some] = np.sort(np.partition(np.concatenate([top[some], d], axis=1), need - 1, axis=1)[:, :need], axis=1)
+
+
 def _plain(vec: str) -> Column:
     """The vector in double precision, with -0.0 as 0.0, so that equal vectors have equal keys."""
     return F.transform(F.col(vec).cast("array<double>"), lambda x: x + 0.0)
@@ -55,15 +111,142 @@ def _counted(df: DataFrame, vec: str) -> DataFrame:
     return df.filter(F.col(vec).isNotNull()).select(v).groupBy("vec").agg(F.count(F.lit(1)).alias("copies"))
 
 
-def _assign_to_pivots(vectors: DataFrame, pivots: np.ndarray) -> DataFrame:
+def _block_rows(dims: int) -> int:
+    return max(BLOCK_LEAST, min(BLOCK_ROWS, BLOCK_BYTES // (8 * max(1, dims))))
+
+
+def _one_block(wanted: DataFrame, refs: list, need: int) -> DataFrame:
+    """(vec, dists) of queries against references that fit into one block."""
+    vectors = np.array([r["vec"] for r in refs], dtype=np.float64)
+    copies = np.array([r["copies"] for r in refs], dtype=np.int64)
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        block = Block(vectors, copies)
+        for pdf in batches:
+            if len(pdf):
+                yield pdf.assign(dists=list(block.nearest(_matrix(pdf["vec"]), need)))
+
+    return wanted.select("vec").mapInPandas(search, "vec array<double>, dists array<double>")
+
+
+def _tree(refs: DataFrame, n_refs: int, size: int) -> tuple[np.ndarray, np.ndarray, DataFrame, DataFrame]:
+    """Coarse pivots and the radii of their cells, the fine pivots of each cell, and the references with their block.
+
+    fine: cell, pivots array<struct<fine, vec, far>>; blocked: vec, copies, cell, fine, salt.
+    """
+    spark = refs.sparkSession
+    wanted = max(1, math.isqrt(-(-n_refs // size)))
+    pivots = np.array([r["vec"] for r in refs.orderBy(F.xxhash64("vec"), "vec").limit(wanted).collect()], dtype=np.float64)
+
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if len(pdf):
                 d = _distances(_matrix(pdf["vec"]), pivots)
-                cell = d.argmin(axis=1)
-                yield pdf.assign(cell=cell.astype("int32"), radius=d[np.arange(len(d)), cell])
+                yield pdf.assign(cell=d.argmin(axis=1).astype("int32"), radius=d.min(axis=1))
+
+    celled = save_state(refs.mapInPandas(assign, "vec array<double>, copies long, cell int, radius double"), new_path(spark, "knn-cells"))
+    # one row per coarse pivot
+    cells = celled.groupBy("cell").agg(F.max("radius").alias("far"), F.ceil(F.count(F.lit(1)) / size).cast("int").alias("parts"))
+    cells = save_state(cells, new_path(spark, "knn-coarse"))
+    far = np.full(len(pivots), -np.inf)
+    for r in cells.collect():
+        far[r["cell"]] = r["far"]
+    # a task keeps no more of a cell than its fine pivots, then they meet
+    drawn = celled.join(F.broadcast(cells.select("cell", "parts")), "cell")
+    order = W.partitionBy("cell").orderBy(F.xxhash64("vec", F.lit(5)), "vec")
+    drawn = drawn.withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= F.col("parts"))
+    fine = drawn.groupBy("cell").agg(F.sort_array(F.collect_list(F.struct((F.col("_rn") - 1).cast("int").alias("fine"), "vec"))).alias("pivots"))
+    fine = save_state(fine, new_path(spark, "knn-fine"))
+
+    def refine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for _, part in pdf.groupby("cell"):
+                own = _matrix(pd.Series([p["vec"] for p in part["pivots"].iloc[0]]))
+                d = _distances(_matrix(part["vec"]), own)
+                yield part[["vec", "copies", "cell"]].assign(fine=d.argmin(axis=1).astype("int32"), radius=d.min(axis=1))
+
+    fined = celled.select("vec", "copies", "cell").join(fine, "cell").select("vec", "copies", "cell", "pivots")
+    fined = save_state(fined.mapInPandas(refine, "vec array<double>, copies long, cell int, fine int, radius double"), new_path(spark, "knn-blocks"))
+    sizes = fined.groupBy("cell", "fine").agg(F.max("radius").alias("far"), F.ceil(F.count(F.lit(1)) / size).cast("int").alias("salts"))
+    sizes = save_state(sizes, new_path(spark, "knn-sizes"))
+    reach = fine.select("cell", F.explode("pivots").alias("p")).select("cell", "p.*").join(sizes, ["cell", "fine"])
+    reach = reach.groupBy("cell").agg(F.sort_array(F.collect_list(F.struct("fine", "vec", "far"))).alias("pivots"))
+    blocked = fined.join(sizes.select("cell", "fine", "salts"), ["cell", "fine"])
+    blocked = blocked.withColumn("salt", F.pmod(F.xxhash64("vec"), F.col("salts")).cast("int")).select("vec", "copies", "cell", "fine", "salt")
+    return pivots, far, save_state(reach, new_path(spark, "knn-fine")), blocked
+
+
+def _meet(cand: DataFrame, blocked: DataFrame, need: int) -> DataFrame:
+    """(vec, theta, dists) for queries (vec, theta, cell, fine) in each part of their block."""
+    spark = cand.sparkSession
+    cand = save_state(cand, new_path(spark, "knn-queries"))
+    load = cand.groupBy("cell", "fine").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"))
+    chunks = cand.join(load, ["cell", "fine"]).withColumn("chunk", F.pmod(F.xxhash64("vec", F.lit(7)), F.col("chunks")).cast("int"))
+    chunks = chunks.groupBy("cell", "fine", "chunk").agg(F.collect_list(F.struct("vec", "theta")).alias("queries"))
+    blocks = blocked.groupBy("cell", "fine", "salt").agg(F.collect_list(F.struct("vec", "copies")).alias("refs"))
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for queries, refs in zip(pdf["queries"], pdf["refs"]):
+                block = Block(np.stack([r["vec"] for r in refs]), np.array([r["copies"] for r in refs], dtype=np.int64))
+                vecs, theta = [q["vec"] for q in queries], np.array([q["theta"] for q in queries], dtype=np.float64)
+                found = block.nearest(np.stack(vecs), need, theta)
+                yield pd.DataFrame({"vec": vecs, "theta": theta, "dists": list(found)})
+
+    # a group of one row holds at most a chunk and a block
+    return chunks.join(blocks, ["cell", "fine"]).select("queries", "refs").mapInPandas(search, "vec array<double>, theta double, dists array<double>")
 
-    return vectors.mapInPandas(assign, "vec array<double>, copies long, cell int, radius double")
+
+def _tree_search(wanted: DataFrame, refs: DataFrame, n_refs: int, size: int, need: int) -> DataFrame:
+    """(vec, dists) of queries against references under a metric tree."""
+    spark = refs.sparkSession
+    pivots, far, fine, blocked = _tree(refs, n_refs, size)
+    blocked = save_state(blocked, new_path(spark, "knn-blocked"))
+
+    def home(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                d = _distances(_matrix(pdf["vec"]), pivots)
+                d[:, ~np.isfinite(far)] = np.inf
+                yield pdf.assign(cell=d.argmin(axis=1).astype("int32"))
+
+    def own_block(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for _, part in pdf.groupby("cell"):
+                own = part["pivots"].iloc[0]
+                at = _distances(_matrix(part["vec"]), _matrix(pd.Series([p["vec"] for p in own]))).argmin(axis=1)
+                ids = np.array([p["fine"] for p in own], dtype="int32")
+                yield part[["vec", "cell"]].assign(theta=np.inf, fine=ids[at])
+
+    placed = wanted.mapInPandas(home, "vec array<double>, cell int").join(fine, "cell")
+    first = placed.mapInPandas(own_block, "vec array<double>, cell int, theta double, fine int")
+    first = save_state(first, new_path(spark, "knn-first"))
+    begun = _meet(first.select("vec", "theta", "cell", "fine"), blocked, need).select("vec", "dists")
+    begun = save_state(begun, new_path(spark, "knn-begun"))
+    bound = begun.groupBy("vec").agg(F.min(F.get("dists", F.lit(need - 1))).alias("theta"))
+    bounded = first.select("vec", F.col("cell").alias("home"), F.col("fine").alias("block")).join(bound, "vec")
+
+    def cells_near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                limit = pdf["theta"].to_numpy() * (1 + SLACK) + SLACK
+                q, c = np.nonzero(_distances(_matrix(pdf["vec"]), pivots) - far[None, :] <= limit[:, None])
+                yield pdf.iloc[q].assign(cell=c.astype("int32"))
+
+    def blocks_near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for cell, part in pdf.groupby("cell"):
+                own = part["pivots"].iloc[0]
+                ids, reach = np.array([p["fine"] for p in own], dtype="int32"), np.array([p["far"] for p in own])
+                d = _distances(_matrix(part["vec"]), _matrix(pd.Series([p["vec"] for p in own])))
+                limit = part["theta"].to_numpy() * (1 + SLACK) + SLACK
+                known = (part["home"].to_numpy() == cell)[:, None] & (part["block"].to_numpy()[:, None] == ids[None, :])
+                q, b = np.nonzero((d - reach[None, :] <= limit[:, None]) & ~known)
+                yield part[["vec", "theta", "cell"]].iloc[q].assign(fine=ids[b])
+
+    near = bounded.mapInPandas(cells_near, "vec array<double>, home int, block int, theta double, cell int").join(fine, "cell")
+    more = near.mapInPandas(blocks_near, "vec array<double>, theta double, cell int, fine int")
+    return begun.unionAll(_meet(more, blocked, need).select("vec", "dists"))
 
 
 def knn_mean_distance(
@@ -72,127 +255,33 @@ def knn_mean_distance(
     vec: str,
     k: int = 5,
     out: str = "knn_distance",
-    block_rows: int = 512,
+    block_rows: int | None = None,
 ) -> DataFrame:
     """Adds each query's mean distance to its k nearest reference vectors.
 
     ``reference=None`` searches the queries themselves and leaves each row itself out (copies of
-    it still count). With fewer than k reference rows the mean is over those there are. The pivots
-    grow with the square root of the reference rows; they and a few numbers per pivot reach the driver.
+    it still count). With fewer than k reference rows the mean is over those there are. Vectors have one length.
     """
     exclude_self = reference is None
     spark = queries.sparkSession
     refs = save_state(_counted(queries if exclude_self else reference, vec), new_path(spark, "knn-vectors"))
-    n_refs = refs.count()
-    if n_refs == 0:
+    seen = refs.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("dims")).first()
+    if not seen.n:
         return queries.withColumn(out, F.lit(None).cast("double"))
-    n_pivots = max(1, int(math.sqrt(n_refs)))
-    chosen = refs.orderBy(F.xxhash64("vec"), "vec").limit(n_pivots).collect()
-    pivots = np.array([row["vec"] for row in chosen], dtype=np.float64)
-
-    assigned = save_state(_assign_to_pivots(refs, pivots), new_path(spark, "knn-cells"))
+    size = block_rows or _block_rows(seen.dims)
     need = k + 1 if exclude_self else k
-    nearest = assigned.withColumn("_rn", F.row_number().over(W.partitionBy("cell").orderBy("radius")))
-    cells = assigned.groupBy("cell").agg(
-        F.count(F.lit(1)).alias("n"), F.min("radius").alias("lo"), F.max("radius").alias("hi")
-    ).collect()  # one row per pivot
-    inner = nearest.filter(F.col("_rn") <= need).select("cell", "radius").collect()  # need rows per pivot
-    ids = np.array([c["cell"] for c in cells])
-    lo, hi = np.array([c["lo"] for c in cells]), np.array([c["hi"] for c in cells])
-    rings = np.array([max(1, math.ceil(c["n"] / block_rows)) for c in cells])
-    width = np.where(hi > lo, (hi - lo) / rings, 1.0)
-    inner_cell, inner_radius = np.array([r["cell"] for r in inner]), np.array([r["radius"] for r in inner])
-    gaps = _distances(pivots, pivots)
-    # one row per pivot
-    table = spark.createDataFrame(
-        [(int(c), float(x), float(w), int(m)) for c, x, w, m in zip(ids, lo, width, rings)], "cell int, lo double, width double, rings int"
-    )
-    here = F.least(F.floor((F.col("radius") - F.col("lo")) / F.col("width")), F.col("rings") - 1)
-    ringed = assigned.join(table, "cell").withColumn("ring", F.greatest(here, F.lit(0)).cast("int")).drop("lo", "width", "rings")
-    fill = ringed.groupBy("cell", "ring").agg(F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("int").alias("salts"))
-
-    blocks = (
-        ringed.join(fill, ["cell", "ring"])
-        .withColumn("salt", F.pmod(F.xxhash64("vec"), F.col("salts")).cast("int"))
-        .groupBy("cell", "ring", "salt")
-        .agg(F.collect_list(F.struct("vec", "copies")).alias("refs"))
-    )
-
-    def candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Query rows repeated for every (cell, ring) that may hold one of their neighbours."""
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            d = _distances(_matrix(pdf["vec"]), pivots)
-            # two upper bounds on the k-th distance: pivots are reference vectors themselves, and
-            # any vector is at most its pivot's distance plus its own radius away
-            theta = np.full(len(d), np.inf)
-            for bound in (d, d[:, inner_cell] + inner_radius[None, :]):
-                if bound.shape[1] >= need:
-                    theta = np.minimum(theta, np.partition(bound, need - 1, axis=1)[:, need - 1])
-            theta = theta * (1 + SLACK) + SLACK
-            own = d.argmin(axis=1)
-            d_own = d[np.arange(len(d)), own]
-            dc = d[:, ids]
-            lower = np.maximum(np.maximum(dc - hi[None, :], lo[None, :] - dc), 0.0)
-            gap = gaps[own][:, ids]
-            with np.errstate(divide="ignore", invalid="ignore"):
-                plane = np.where(gap > 0, (dc ** 2 - d_own[:, None] ** 2) / (2 * gap), 0.0)
-            lower = np.maximum(lower, plane)
-            q, c = np.nonzero(lower <= theta[:, None])
-            near = np.maximum(dc[q, c] - theta[q], lo[c])
-            far = np.minimum(dc[q, c] + theta[q], hi[c])
-            first = np.clip(np.floor((near - lo[c]) / width[c] - SLACK), 0, rings[c] - 1).astype("int64")
-            last = np.clip(np.floor((far - lo[c]) / width[c] + SLACK), 0, rings[c] - 1).astype("int64")
-            times = last - first + 1
-            rows = np.repeat(np.arange(len(q)), times)
-            offset = np.arange(len(rows)) - np.repeat(np.cumsum(times) - times, times)
-            yield pd.DataFrame({
-                "qid": pdf["qid"].to_numpy()[q[rows]], "vec": pdf["vec"].to_numpy()[q[rows]],
-                "cell": ids[c[rows]].astype("int32"), "ring": (first[rows] + offset).astype("int32"),
-            })
-
-    wanted = refs.select("vec") if exclude_self else queries.filter(F.col(vec).isNotNull()).select(
-        _plain(vec).alias("vec")
-    ).distinct()
-    keyed = wanted.select(F.md5(F.concat_ws(",", F.col("vec").cast("array<string>"))).alias("qid"), "vec")
-    cand = keyed.mapInPandas(candidates, "qid string, vec array<double>, cell int, ring int")
-    cand = save_state(cand, new_path(spark, "knn-queries"))
-    load = cand.groupBy("cell", "ring").agg(F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("int").alias("chunks"))
-    chunks = (
-        cand.join(load, ["cell", "ring"])
-        .withColumn("chunk", F.pmod(F.xxhash64("qid"), F.col("chunks")).cast("int"))
-        .groupBy("cell", "ring", "chunk")
-        .agg(F.collect_list(F.struct("qid", "vec")).alias("queries"))
-    )
-
-    def nearest_in_block(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """The k smallest distances of each query of a chunk to the vectors of one block."""
-        for pdf in batches:
-            for chunk, block in zip(pdf["queries"], pdf["refs"]):
-                a = np.stack([np.asarray(q["vec"]) for q in chunk])
-                b = np.stack([np.asarray(x["vec"]) for x in block])
-                copies = np.array([x["copies"] for x in block])
-                d = _distances(a, b)
-                take = min(need, d.shape[1])
-                idx = np.argpartition(d, take - 1, axis=1)[:, :take]
-                dist = np.take_along_axis(d, idx, axis=1)
-                times = np.broadcast_to(copies, d.shape)[np.arange(len(d))[:, None], idx].copy()
-                if exclude_self:
-                    times[dist == 0.0] -= 1
-                times = np.minimum(times, k)
-                yield pd.DataFrame({
-                    "qid": np.repeat([q["qid"] for q in chunk], times.sum(axis=1)),
-                    "dist": np.repeat(dist.ravel(), times.ravel()),
-                })
-
-    near = chunks.join(blocks, ["cell", "ring"]).select("queries", "refs").mapInPandas(
-        nearest_in_block, "qid string, dist double"
-    )
-    best = near.withColumn("_rn", F.row_number().over(W.partitionBy("qid").orderBy("dist"))).filter(F.col("_rn") <= k)
-    means = best.groupBy("qid").agg(F.avg("dist").alias(out))
-    key = F.md5(F.concat_ws(",", _plain(vec).cast("array<string>")))
-    return queries.withColumn("qid", F.when(F.col(vec).isNotNull(), key)).join(means, "qid", "left").drop("qid")
+    wanted = refs.select("vec") if exclude_self else queries.filter(F.col(vec).isNotNull()).select(_plain(vec).alias("vec")).distinct()
+    if seen.n <= size:
+        found = _one_block(wanted, refs.collect(), need)
+    else:
+        parts = _tree_search(wanted, refs, seen.n, size, need)
+        joined = F.slice(F.array_sort(F.flatten(F.collect_list("dists"))), 1, need)
+        found = parts.groupBy("vec").agg(joined.alias("dists"))
+    # the nearest vector of a row of the references is itself
+    kept = F.filter(F.slice("dists", 2, k) if exclude_self else F.slice("dists", 1, k), lambda x: x < float("inf"))
+    mean = F.when(F.size(kept) > 0, F.aggregate(kept, F.lit(0.0), lambda s, x: s + x) / F.size(kept))
+    means = found.select(F.col("vec").alias("_vec"), mean.alias(out))
+    return queries.withColumn("_vec", _plain(vec)).join(means, "_vec", "left").drop("_vec")
 
 
 def novelty_score(
