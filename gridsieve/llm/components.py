@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridsieve.llm.common import staged
+from gridsieve.llm.common import discard, staged
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -17,7 +17,7 @@ def components(edges: DataFrame) -> DataFrame:
     """
     edges = edges.where("a <> b")
     both = staged(edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
-    labels = staged(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "labels")
+    written = labels = staged(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "labels")
     while True:
         of = labels.select(F.col("node").alias("b"), F.col("component").alias("seen"))
         nearest = both.join(of, "b").groupBy(F.col("a").alias("node")).agg(F.min("seen").alias("seen"))
@@ -28,5 +28,8 @@ def components(edges: DataFrame) -> DataFrame:
         )
         moved = staged(moved, "labels")
         labels = moved.select("node", "component")
+        discard(written)  # its successor is written
+        written = moved
         if moved.where("moved").isEmpty():
+            discard(both)
             return labels

@@ -160,8 +160,12 @@ class Bucket:
                     self._spread()
 
     def links(self) -> tuple[np.ndarray, np.ndarray]:
-        far = np.flatnonzero(self.label != np.arange(len(self.label)))
-        return self.nodes[self.label[far]], self.nodes[far]
+        """Each connected node with the smallest of its group, so that tables which find the same group report the same links."""
+        smallest = np.full(len(self.label), np.iinfo(np.int64).max)
+        np.minimum.at(smallest, self.label, self.nodes)
+        root = smallest[self.label]
+        far = root != self.nodes
+        return root[far], self.nodes[far]
 
 
 def _tables(batch: pa.RecordBatch, bits: int) -> Iterator[tuple[np.ndarray, ...]]:
