@@ -102,6 +102,16 @@ def read_forest(spark: SparkSession, fitted, features: Sequence[str]) -> Forest:
 Member = RidgeFit | Forest
 
 
+def as_member(spark: SparkSession, fitted) -> Member:
+    """A fitted MLlib pipeline (assembler, then trees or a linear model) as a member; members stay as they are."""
+    if isinstance(fitted, (RidgeFit, Forest)):
+        return fitted
+    features, model = fitted.stages[0].getInputCols(), fitted.stages[-1]
+    if hasattr(model, "treeWeights"):
+        return read_forest(spark, model, features)
+    return RidgeFit(list(features), model.coefficients.toArray(), float(model.intercept))
+
+
 def predictions(x: np.ndarray, features: Sequence[str], members: Sequence[Member]) -> np.ndarray:
     """Rows x members, for rows with ``features`` as columns."""
     at = {c: i for i, c in enumerate(features)}
@@ -114,8 +124,8 @@ def predictions(x: np.ndarray, features: Sequence[str], members: Sequence[Member
 
 def with_predictions(df: DataFrame, members: Sequence[Member], out: str = "preds") -> DataFrame:
     """Appends the predictions of all members as one array: one map-only scan whatever their number."""
+    members = [as_member(df.sparkSession, m) for m in members]
     features = sorted({c for m in members for c in m.features})
-    members = list(members)
 
     @F.pandas_udf("array<double>")
     def score(*cols: pd.Series) -> pd.Series:

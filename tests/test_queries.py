@@ -5,10 +5,7 @@ from compare import compare, connect
 
 from gridsieve.queries import ORACLES, QUERIES
 
-ROWS_ONLY = {
-    "i2_gbt_early_stopping", "i3_random_search", "i6_leaderboard", "i12_ensemble_screening", "i15_ablation",
-    "i19_pca_projection", "i20_encoding_comparison",
-}
+ROWS_ONLY = {"i12_ensemble_screening", "i15_ablation", "i20_encoding_comparison"}
 
 
 @pytest.fixture(scope="module")
