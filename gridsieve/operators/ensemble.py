@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridsieve.functions.hashing import DRAWS_PER_DIGEST, digest_draws, poisson1_hex
+from gridsieve.functions.hashing import DRAWS_PER_DIGEST, POISSON1_CDF, TWO_32, digest_draws, poisson1_hex
+from gridsieve.session import new_path
+from gridsieve.sources.sinks import save_state
 
 
 def poisson_bootstrap(df: DataFrame, key: Column, n_members: int, seed: int = 42) -> DataFrame:
@@ -31,6 +37,94 @@ def poisson_bootstrap(df: DataFrame, key: Column, n_members: int, seed: int = 42
     return out.filter((F.col("boot_weight") > 0) & (F.col("member") < n_members))
 
 
+def bootstrap_sums(df: DataFrame, key: Column, by: Sequence[str], value: str, n_members: int, seed: int = 42) -> DataFrame:
+    """(by, n_draws array<long>, sums array<double>): Poisson weights and weighted sums of every member per group.
+
+    One scan: a task adds up all members of its rows, so rows are not copied per member. The weights are those of
+    poisson_bootstrap; a row whose value is NULL has no part in it.
+    """
+    blocks = -(-n_members // DRAWS_PER_DIGEST)
+    limits = np.array([math.ceil(c * TWO_32) for c in POISSON1_CDF])
+    digests = F.concat(*[digest_draws(key, b, seed) for b in range(blocks)])
+    rows = df.filter(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"), digests.alias("_d"))
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            draws = np.frombuffer(bytes.fromhex("".join(pdf["_d"])), dtype=">u4").reshape(len(pdf), -1)[:, :n_members]
+            counts, values = np.searchsorted(limits, draws, side="right"), pdf["_v"].to_numpy()
+            groups = pdf.groupby(list(by), dropna=False, sort=False).indices.values() if by else [np.arange(len(pdf))]
+            groups = list(groups)
+            out = pdf[list(by)].iloc[[g[0] for g in groups]].reset_index(drop=True)
+            out["n_draws"] = [counts[g].sum(0) for g in groups]
+            out["sums"] = [values[g] @ counts[g] for g in groups]
+            yield out
+
+    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.select(*by).schema.fields)
+    parts = rows.mapInPandas(add, kinds + "n_draws array<long>, sums array<double>")
+    each = [F.sum(F.col(c)[i]) for c in ("n_draws", "sums") for i in range(n_members)]
+    return parts.groupBy(*by).agg(F.array(*each[:n_members]).alias("n_draws"), F.array(*each[n_members:]).alias("sums"))
+
+
+#: Rows that share a part of the last level of an exact bootstrap, on average at most, and parts of each level.
+LEAF, FAN_BITS = 4096, 8
+
+
+def exact_bootstrap(df: DataFrame, key: Column, n_members: int, seed: int = 42, leaf: int = LEAF) -> DataFrame:
+    """The rows with ``boot_weights``: how often each member draws the row, n draws of n rows with replacement.
+
+    A multinomial draw splits: the n draws of a member are dealt to hash buckets of rows in proportion to their sizes, level
+    by level, FAN parts at a time, and in the last level to the rows. Every split is seeded by (seed, level, bucket)
+    and serves all members at once, so no replicate makes a pass of its own and nothing depends on partitions. ``key``
+    identifies a row; buckets hold rows by the hash of it. What a task holds is one bucket of rows.
+    """
+    spark, fan, columns = df.sparkSession, 1 << FAN_BITS, df.columns
+    tagged = df.withColumn("_h", F.xxhash64(key.cast("string"), F.lit(seed))).withColumn("_k", key.cast("string"))
+    tagged = save_state(tagged, new_path(spark, "bootstrap"))
+    n = tagged.count()
+    levels = 0
+    while n > leaf * fan**levels:
+        levels += 1
+    path = lambda level: F.shiftrightunsigned("_h", 64 - FAN_BITS * level) if level else F.lit(0).cast("long")
+    draws = spark.createDataFrame([(0, [n] * n_members)], "part long, draws array<long>")
+    sizes = tagged.groupBy(path(levels).alias("part")).agg(F.count(F.lit(1)).alias("n")) if levels else None
+    sizes = save_state(sizes, new_path(spark, "bootstrap")) if levels else None
+
+    def generator(level: int, part: int) -> np.random.Generator:
+        return np.random.Generator(np.random.PCG64([seed, level, part]))
+
+    for level in range(levels):
+        up = F.shiftrightunsigned("part", FAN_BITS * (levels - level))
+        child = F.shiftrightunsigned("part", FAN_BITS * (levels - level - 1))
+        children = sizes.groupBy(up.alias("part"), child.alias("child")).agg(F.sum("n").alias("n"))
+        children = children.groupBy("part").agg(F.sort_array(F.collect_list(F.struct("child", "n"))).alias("children"))  # at most FAN
+
+        def deal(batches: Iterator[pd.DataFrame], level=level) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                for part, own, todo in zip(pdf["part"], pdf["children"], pdf["draws"], strict=True):
+                    share = np.array([c["n"] for c in own], float)
+                    dealt = generator(level, int(part)).multinomial(np.asarray(todo, np.int64), share / share.sum())
+                    yield pd.DataFrame({"part": [c["child"] for c in own], "draws": list(dealt.T)})
+
+        draws = save_state(draws.join(children, "part").mapInPandas(deal, "part long, draws array<long>"), new_path(spark, "bootstrap"))
+
+    def rows_of(rows: pa.Table, todo: pa.Table) -> pa.Table:
+        order = rows.select(["_h", "_k"]).to_pandas().reset_index().sort_values(["_h", "_k"], kind="stable")["index"].to_numpy()
+        rows = rows.take(pa.array(order))
+        dealt = np.zeros((n_members, 0), np.int64)
+        if len(rows):
+            amounts = np.array(todo.column("draws")[0].as_py(), np.int64)
+            part = int(todo.column("part")[0].as_py())
+            dealt = generator(levels, part).multinomial(amounts, np.full(len(rows), 1 / len(rows)))
+        weights = pa.array([w.tolist() for w in dealt.T], pa.list_(pa.int32()))
+        return rows.select(columns).append_column("boot_weights", weights)
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    grouped = tagged.withColumn("_part", path(levels)).groupBy("_part")
+    return grouped.cogroup(draws.groupBy("part")).applyInArrow(rows_of, f"{kinds}, boot_weights array<int>")
+
+
 def ensemble_quantiles(
     members: DataFrame, row: Sequence[str], pred: str = "pred", probs: Sequence[float] = (0.05, 0.5, 0.95),
     names: Sequence[str] = ("p05", "median", "p95"),

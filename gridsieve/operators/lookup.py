@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -62,41 +64,133 @@ def add_physical_features(df: DataFrame, host: str = "host_material", partner: s
     )
 
 
+#: Length of a seed, bits of the filter of seeds, texts whose grams are counted, and hits a task emits at once.
+SEED, FILTER_BITS, COUNTED, HITS = 4, 23, 2000, 20_000
+_POWERS = [pow(0x100000001B3, i, 1 << 64) for i in range(SEED)]
+
+
+def _grams(codes: np.ndarray, n: int) -> np.ndarray:
+    """A hash of the n characters from each position on."""
+    m = len(codes) - n + 1
+    if m <= 0:
+        return np.zeros(0, np.uint64)
+    out = np.full(m, n, np.uint64)
+    for i in range(n):
+        out = out + codes[i : i + m] * np.uint64(_POWERS[i])
+    return (out ^ out >> np.uint64(29)) * np.uint64(0x9E3779B97F4A7C15)
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64) + np.uint64(1)
+
+
+def _rarest(key: str, seen: Mapping[int, int]) -> tuple[int, int, int]:
+    """(hash, place, length) of the key's gram that the counted texts have least often; a short key is its own gram."""
+    n = min(SEED, len(key))
+    hashes = _grams(_codes(key), n).tolist()
+    at = min(range(len(hashes)), key=lambda i: (seen.get(hashes[i], 0), i))
+    return hashes[at], at, n
+
+
 def longest_substring_join(
     df: DataFrame, text: str, dictionary: DataFrame, key: str, value: str, ordinal: str, out: str
 ) -> DataFrame:
     """Longest-substring lookup against a dictionary table of any size.
 
-    No pairwise matching: the distinct texts are expanded to their substrings of the key
-    lengths that occur, and those equi-join the dictionary, which is written first so that its size
-    is known: where it is short, the substrings meet it without a shuffle. Texts without a hit get NULL.
+    A seed index: each key is filed under its rarest gram of SEED characters (a shorter key under itself), judged by
+    the grams of COUNTED texts. Texts are scanned once, map-side: their grams are looked up in a filter of the seeds'
+    hashes, 2^FILTER_BITS bits whatever the dictionary, and only hits go on, each with the stretch of text that the longest key
+    could reach. Hits meet the keys by an equi-join on the seed, and a key counts only if the stretch holds it there.
+    Distinct texts go by their digest; texts without a hit get NULL.
     """
+    spark = df.sparkSession
     norm = dictionary.select(
         strip_lower(key).alias("_key"), F.col(value).alias("_value"), F.col(ordinal).alias("_ord")
     ).filter(F.length("_key") > 0)
-    norm = save_state(norm, new_path(df.sparkSession, "dictionary"))
-    lengths = norm.agg(F.sort_array(F.collect_set(F.length("_key"))).alias("l")).scalar()
-    texts = df.select(F.coalesce(strip_lower(text), F.lit("")).alias("_text")).distinct()
-    per_length = texts.select("_text", F.explode(lengths).alias("_len")).filter(F.col("_len") <= F.length("_text"))
-    grams = per_length.select(
-        "_text",
-        F.explode(
-            F.transform(
-                F.sequence(F.lit(1), F.length("_text") - F.col("_len") + 1),
-                lambda i: F.substring(F.col("_text"), i, F.col("_len")),
-            )
-        ).alias("_key"),
-    )
-    best = (
-        grams.join(norm, "_key")
-        .groupBy("_text")
-        .agg(F.min_by("_value", F.struct((-F.length("_key")).alias("l"), F.col("_ord"))).alias(out))
-    )
-    return (
-        df.withColumn("_text", F.coalesce(strip_lower(text), F.lit("")))
-        .join(best, "_text", "left")
-        .select(*df.columns, out)
+    keys = save_state(norm, new_path(spark, "dictionary"))
+    reach = keys.agg(F.max(F.length("_key"))).first()[0]
+    normal = F.coalesce(strip_lower(text), F.lit(""))
+    if reach is None:
+        return df.withColumn(out, F.lit(None).cast(dictionary.schema[value].dataType))
+    texts = df.select(normal.alias("_text")).filter(F.col("_text") != "").dropDuplicates(["_text"]).withColumn("_id", F.sha2("_text", 256))
+
+    # how common grams are, on texts of smallest digest
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for t in pdf["_text"]:
+                codes = _codes(t)
+                found = np.unique(np.concatenate([_grams(codes, n) for n in range(1, SEED + 1)]))
+                yield pd.DataFrame({"gram": (found >> np.uint64(64 - FILTER_BITS)).astype(np.int64)})
+
+    few = texts.select("_text", "_id").orderBy("_id").limit(COUNTED).select("_text")
+    # numbers by the first bits of the hash: at most 2^FILTER_BITS rows, of which the most frequent matter
+    common = few.mapInPandas(count, "gram long").groupBy("gram").count().orderBy(F.desc("count"), "gram").limit(1 << 16).collect()
+    seen = {r["gram"]: r["count"] for r in common}
+
+    def file(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shortened = _Shortened(seen)
+        for pdf in batches:
+            if len(pdf):
+                found = [_rarest(k, shortened) for k in pdf["_key"]]
+                yield pd.DataFrame({"_key": pdf["_key"], "_seed": [_signed(h) for h, _, _ in found], "_at": [a for _, a, _ in found]})
+
+    filed = save_state(keys.select("_key").distinct().mapInPandas(file, "_key string, _seed long, _at int"), new_path(spark, "seeds"))
+
+    def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bits = np.zeros(1 << FILTER_BITS, bool)
+        for pdf in batches:
+            bits[pdf["_seed"].to_numpy().view(np.uint64) >> np.uint64(64 - FILTER_BITS)] = True
+        chunks = bits.reshape(256, -1)
+        used = np.flatnonzero(chunks.any(1))
+        yield pd.DataFrame({"chunk": used, "bits": [np.packbits(chunks[c]).tobytes() for c in used]})
+
+    def unite(pdf: pd.DataFrame) -> pd.DataFrame:
+        merged = np.bitwise_or.reduce([np.frombuffer(b, np.uint8) for b in pdf["bits"]])
+        return pd.DataFrame({"chunk": pdf["chunk"].head(1).to_numpy(), "bits": [merged.tobytes()]})
+
+    marked = np.zeros((256, (1 << FILTER_BITS) // 8 // 256), np.uint8)
+    schema = "chunk long, bits binary"
+    for r in filed.select("_seed").mapInPandas(mark, schema).groupBy("chunk").applyInPandas(unite, schema).collect():
+        marked[r["chunk"]] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    marked = marked.ravel()
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            ids, seeds, places, stretches = [], [], [], []
+            for i, t in zip(pdf["_id"], pdf["_text"]):
+                codes = _codes(t)
+                for n in range(1, SEED + 1):
+                    h = _grams(codes, n)
+                    at = (h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+                    for p in np.flatnonzero(marked[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).tolist():
+                        first = max(0, p - reach)
+                        ids.append(i)
+                        seeds.append(_signed(int(h[p])))
+                        places.append(p - first)
+                        stretches.append(t[first : p + reach])
+                    if len(ids) >= HITS:
+                        yield pd.DataFrame({"_id": ids, "_seed": seeds, "_place": places, "_stretch": stretches})
+                        ids, seeds, places, stretches = [], [], [], []
+            yield pd.DataFrame({"_id": ids, "_seed": seeds, "_place": places, "_stretch": stretches})
+
+    hits = texts.select("_id", "_text").mapInPandas(scan, "_id string, _seed long, _place int, _stretch string")
+    here = F.substring(F.col("_stretch"), F.col("_place") - F.col("_at") + 1, F.length("_key")) == F.col("_key")
+    held = hits.join(filed, "_seed").filter((F.col("_place") >= F.col("_at")) & here).select("_id", "_key").distinct()
+    best = held.join(keys, "_key").groupBy("_id").agg(
+        F.min_by("_value", F.struct((-F.length("_key")).alias("l"), F.col("_ord"))).alias(out)
     )
+    return df.withColumn("_id", F.sha2(normal, 256)).join(best, "_id", "left").select(*df.columns, out)
+
+
+class _Shortened(dict):
+    """Counts by the first bits of a hash, looked up by the whole hash."""
+
+    def get(self, key, default=None):
+        return super().get(key >> 64 - FILTER_BITS, default)
+
+
+def _signed(h: int) -> int:
+    return h - (1 << 64) if h >= 1 << 63 else h
 
 
 def sample_weight(

@@ -300,18 +300,37 @@ members AS (SELECT event_type, member::INT AS member, sum(w)::BIGINT AS n_draws,
 """
 
 
-def member_means(spark, d):
+def member_sums(spark, d):
     e = table(spark, d, "events").select("event_id", "event_type", "value")
-    boot = ensemble.poisson_bootstrap(e, F.col("event_id"), N_MEMBERS)
-    w = F.col("boot_weight")
-    return boot.groupBy("event_type", "member").agg(
-        F.sum(w).alias("n_draws"), (F.sum(w * F.col("value")) / F.sum(w)).alias("pred")
-    )
+    return ensemble.bootstrap_sums(e, F.col("event_id"), ["event_type"], "value", N_MEMBERS)
+
+
+def member_means(spark, d):
+    means = F.transform(F.arrays_zip("n_draws", "sums"), lambda m: m["sums"] / F.nullif(m["n_draws"], F.lit(0)))
+    return member_sums(spark, d).select("event_type", means.alias("preds"))
 
 
 @query("e11_poisson_bootstrap", f"WITH {BOOT_SQL} SELECT event_type, member, n_draws, round(pred, 6) AS pred FROM members")
 def e11(spark, d):
-    return rounded(member_means(spark, d))
+    long = member_sums(spark, d).select("event_type", F.posexplode(F.arrays_zip("n_draws", "sums")).alias("member", "m"))
+    return rounded(long.select("event_type", "member", "m.n_draws", (F.col("m.sums") / F.col("m.n_draws")).alias("pred")))
+
+
+@query("e11_exact_bootstrap", f"""
+SELECT b.m::INT AS member, count(*) AS n_draws, TRUE AS some_rows_left_out, TRUE AS mean_is_near
+FROM events, range({N_MEMBERS}) b(m) GROUP BY 1
+""")
+def e11_exact(spark, d):
+    """Every member draws exactly as many rows as there are; about a share of 1/e of them is left out."""
+    e = table(spark, d, "events").select("event_id", "value")
+    drawn = ensemble.exact_bootstrap(e, F.col("event_id"), N_MEMBERS, leaf=1000)
+    long = drawn.select("value", F.posexplode("boot_weights").alias("member", "w"))
+    whole = e.agg(F.avg("value").alias("m"), F.stddev_pop("value").alias("s"), F.count(F.lit(1)).alias("n")).first()
+    mean = F.sum(F.col("w") * F.col("value")) / F.sum("w")
+    return long.groupBy("member").agg(
+        F.sum("w").alias("n_draws"), (F.abs(F.avg((F.col("w") == 0).cast("double")) - math.exp(-1)) < 0.05).alias("some_rows_left_out"),
+        (F.abs(mean - whole.m) < 6 * whole.s / math.sqrt(whole.n)).alias("mean_is_near"),
+    )
 
 
 @query("d21_ensemble_quantiles", f"""
@@ -319,14 +338,14 @@ WITH {BOOT_SQL} SELECT event_type, round(quantile_cont(pred, 0.05), 6) AS p05, r
   round(quantile_cont(pred, 0.95), 6) AS p95 FROM members GROUP BY 1
 """)
 def d21(spark, d):
-    return rounded(ensemble.ensemble_quantiles(member_means(spark, d), ["event_type"]))
+    return rounded(ensemble.quantile_columns(member_means(spark, d)).drop("preds"))
 
 
 @query("d22_disagreement", f"""
 WITH {BOOT_SQL} SELECT event_type, round(stddev_pop(pred), 6) AS disagreement FROM members GROUP BY 1
 """)
 def d22(spark, d):
-    return rounded(ensemble.disagreement(member_means(spark, d), ["event_type"]))
+    return rounded(member_means(spark, d).select("event_type", ensemble.array_disagreement().alias("disagreement")))
 
 
 @query("d23_calibration_curve", f"""

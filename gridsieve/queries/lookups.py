@@ -135,6 +135,25 @@ def c4_table(spark, d):
     return out.select("page_id", "longest_key")
 
 
+@query("c4_longest_substring_texts", """
+WITH keys AS (SELECT DISTINCT lower(trim(unnest(string_split(p_name, ' ')))) AS k FROM part UNION SELECT lower(text[1:12]) FROM benchmark
+  UNION SELECT lower(text[20:40]) FROM benchmark UNION SELECT DISTINCT lower(c_mktsegment) FROM customer UNION SELECT lower(text[1:30]) FROM documents),
+kk AS (SELECT DISTINCT trim(k, E' \\t\\n\\r\\x0b\\x0c') AS k FROM keys WHERE k IS NOT NULL AND trim(k, E' \\t\\n\\r\\x0b\\x0c') <> ''),
+hit AS (SELECT doc_id, k, row_number() OVER (PARTITION BY doc_id ORDER BY length(k) DESC, k) AS rn
+        FROM documents JOIN kk ON contains(lower(text), k))
+SELECT d.doc_id, k AS longest_key FROM documents d LEFT JOIN hit ON d.doc_id = hit.doc_id AND rn = 1
+""")
+def c4_texts(spark, d):
+    """Whole documents, of up to 20,000 words, against a dictionary of words and passages of many lengths."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    bench = table(spark, d, "benchmark")
+    words = table(spark, d, "part").select(F.explode(F.split("p_name", " ")).alias("k"))
+    keys = words.union(bench.select(F.substring("text", 1, 12))).union(bench.select(F.substring("text", 20, 21)))
+    keys = keys.union(table(spark, d, "customer").select("c_mktsegment")).union(docs.select(F.substring("text", 1, 30)))
+    keys = keys.select(T.strip_lower("k").alias("k")).filter("k <> ''").distinct().select("k", F.col("k").alias("value"), F.col("k").alias("ord"))
+    return longest_substring_join(docs, "text", keys, "k", "value", "ord", "longest_key").select("doc_id", "longest_key")
+
+
 NAME_RULES = [("wid", "panel"), ("ring", "round"), ("ro", "long"), ("old", "aged"), ("ar", "toothed"), ("r", "other_r")]
 _CASE_NAME = " ".join(f"WHEN contains(lower(trim(p_name)), '{k}') THEN '{v}'" for k, v in NAME_RULES)
 

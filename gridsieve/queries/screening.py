@@ -147,7 +147,23 @@ def i23(spark, d):
     )
 
 
-@query("i12_ensemble_screening")
+@query("i12_ensemble_screening", f"""
+WITH {ROWS_SQL},
+dr AS (SELECT x1, x2, y, b.m AS member, {draw_sql("row_key", "b.m")} / 4294967296.0 AS u FROM rws, range({N_MEMBERS}) b(m)),
+bw AS (SELECT member, x1, x2, y, {POISSON_SQL} AS w FROM dr),
+m AS (SELECT member, sum(w * x1) / sum(w) AS m1, sum(w * x2) / sum(w) AS m2, sum(w * y) / sum(w) AS my FROM bw GROUP BY 1),
+s AS (SELECT member, m1, m2, my, sum(w * (x1 - m1) * (x1 - m1)) + 1 AS a, sum(w * (x1 - m1) * (x2 - m2)) AS b,
+        sum(w * (x2 - m2) * (x2 - m2)) + 1 AS e, sum(w * (x1 - m1) * (y - my)) AS p, sum(w * (x2 - m2) * (y - my)) AS q
+      FROM bw JOIN m USING (member) GROUP BY 1, 2, 3, 4),
+fits AS (SELECT m1, m2, my, (p * e - b * q) / (a * e - b * b) AS b1, (a * q - b * p) / (a * e - b * b) AS b2 FROM s),
+pr AS (SELECT p_partkey, p_brand, p_type, my + b1 * (p_size - m1) + b2 * (p_retailprice / 1000 - m2) AS pred FROM part, fits),
+iv AS (SELECT p_partkey, p_brand, p_type, quantile_cont(pred, 0.05) AS lo, quantile_cont(pred, 0.5) AS med, quantile_cont(pred, 0.95) AS hi
+       FROM pr GROUP BY 1, 2, 3),
+best AS (SELECT *, round(med + (hi - lo) / 2, 9) AS ucb, row_number() OVER (PARTITION BY p_brand, p_type ORDER BY round(med + (hi - lo) / 2, 9) DESC, p_partkey) AS rn FROM iv)
+SELECT p_partkey AS row_id, round(med, 6) AS pred_median_log, round(lo, 6) AS pred_p05_log, round(hi, 6) AS pred_p95_log, round(ucb, 6) AS ucb_log,
+       CASE WHEN (hi - lo) / med <= 0.3 THEN 'HIGH' WHEN (hi - lo) / med <= 0.6 THEN 'MEDIUM' ELSE 'LOW' END AS confidence
+FROM best WHERE rn = 1 ORDER BY best.ucb DESC, p_partkey LIMIT 100
+""")
 def i12_ensemble(spark, d):
     fits = learn.bootstrap_ridge(rows(spark, d), ["x1", "x2"], "y", F.col("row_key"), 100)
     part = table(spark, d, "part").select(
@@ -155,10 +171,10 @@ def i12_ensemble(spark, d):
         F.col("p_size").cast("double").alias("x1"), (F.col("p_retailprice") / 1000).alias("x2"),
     )
     scored = learn.ensemble_interval(part, fits)
-    out = C.screening_table(scored, "p_brand", "p_type", "p_retailprice")
-    return C.best_candidates(out, ["p_brand", "p_type"], ["row_id"], 100).select(
-        "composition", "pred_median_log", "pred_p05_log", "pred_p95_log", "ucb_log", "confidence"
-    )
+    out = C.screening_table(scored, "p_brand", "p_type", "p_retailprice").withColumn("ucb_log", F.round("ucb_log", 9))
+    best = C.best_candidates(out, ["p_brand", "p_type"], ["row_id"], 100)
+    logs = ["pred_median_log", "pred_p05_log", "pred_p95_log", "ucb_log"]
+    return best.select("row_id", *[r(x).alias(x) for x in logs], "confidence")
 
 
 @query("i12_screening_flow", f"""

@@ -181,20 +181,6 @@ CANDIDATE_ALIASES = {
     "glycerol_vol_pct": "glycerol_concentration_v_pct",
 }
 
-# Keywords that assign feature columns to ablation groups.
-FEATURE_GROUP_KEYWORDS = {
-    "synthesis": ["preparation", "calcination", "form", "structure", "synthesis"],
-    "cocatalyst": ["co_catalyst", "cocatalyst", "co-catalyst"],
-    "optical": [
-        "light", "wavelength", "irradiance", "intensity", "optical", "uv",
-        "visible", "solar", "xenon", "mercury", "led", "lamp",
-    ],
-}
-DESCRIPTOR_KEYWORDS = [
-    "bandgap", "affinity", "electronegativity", "ionic_radius", "crystal_field", "d_elec",
-    "cocatalyst_group", "heterojunction", "defect_engineering", "surface_area_proxy",
-]
-
 
 def dim(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
     """A constant dimension as a DataFrame.

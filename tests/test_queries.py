@@ -5,7 +5,7 @@ from compare import compare, connect
 
 from gridsieve.queries import ORACLES, QUERIES
 
-ROWS_ONLY = {"i12_ensemble_screening", "i15_ablation", "i20_encoding_comparison"}
+ROWS_ONLY = {"i15_ablation"}
 
 
 @pytest.fixture(scope="module")

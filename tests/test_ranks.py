@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridsieve.functions import ranking
-from gridsieve.operators import candidates, encode, learn, ridge
+from gridsieve.operators import candidates, encode, ensemble, learn, lookup, ridge
 from gridsieve.session import new_path
 from gridsieve.sources import sinks
 
@@ -111,3 +111,48 @@ def test_versions_of_one_table(spark):
     assert sinks.read_version(spark, path).count() == 3
     sinks.write_version(spark.range(5), path)
     assert sinks.read_version(spark, path).count() == 5 and len(sinks._versions(spark, path)) == 2
+
+
+@pytest.mark.parametrize("leaf", [4096, 20, 1])
+def test_every_member_draws_n_of_n(spark, leaf):
+    df = spark.range(700).select("id", (F.col("id") * 0.5).alias("x"))
+    drawn = ensemble.exact_bootstrap(df.repartition(3), F.col("id"), 7, leaf=leaf)
+    rows = {r.id: r.boot_weights for r in drawn.collect()}
+    w = np.array([rows[i] for i in range(700)])
+    assert w.shape == (700, 7) and (w.sum(0) == 700).all() and drawn.columns == ["id", "x", "boot_weights"]
+    again = ensemble.exact_bootstrap(df.repartition(11, "x"), F.col("id"), 7, leaf=leaf).collect()
+    assert {r.id: r.boot_weights for r in again} == rows
+    assert abs((w == 0).mean() - np.exp(-1)) < 0.03 and abs((w == 1).mean() - np.exp(-1)) < 0.03
+    assert len({tuple(c) for c in w.T}) == 7
+    assert ensemble.exact_bootstrap(df.limit(0), F.col("id"), 3).count() == 0
+
+
+def test_member_sums_equal_the_long_form(spark):
+    rows = [(i, "ab"[i % 2] if i % 7 else None, float(i) if i % 5 else None) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, g string, v double").repartition(4)
+    boot = ensemble.poisson_bootstrap(df.filter("v IS NOT NULL"), F.col("id"), 9, 3)
+    long = boot.groupBy("g", "member").agg(F.sum("boot_weight").alias("n"), F.sum(F.col("boot_weight") * F.col("v")).alias("s")).collect()
+    want = {(r.g, r.member): (r.n, r.s) for r in long}
+    for r in ensemble.bootstrap_sums(df, F.col("id"), ["g"], "v", 9, 3).collect():
+        for m in range(9):
+            assert (r.n_draws[m], r.sums[m]) == pytest.approx(want.get((r.g, m), (0, 0.0)))
+
+
+def test_seed_index_finds_the_longest_key(spark):
+    rng = np.random.default_rng(9)
+    words = ["".join(rng.choice(list("abcé😀 "), rng.integers(1, 9))) for _ in range(150)]
+    texts = ["".join(rng.choice(words, 40)) for _ in range(60)] + ["", None, "  ", "a", "no hit Ω" * 3, "x" * 50_000, "aaaa" * 5000]
+    keys = [(w, i, i * 10) for i, w in enumerate(words)] + [("xxxxx", 900, 1), ("XXX", 901, 2), ("", 902, 3), (None, 903, 4), ("aaaaaaaa", 904, 5)]
+    strip = lambda t: (t or "").strip(" \t\n\r\x0b\x0c").lower()
+    known = [(strip(k), o, v) for k, o, v in keys if strip(k)]
+
+    def want(t):
+        hits = [(-len(k), o, v) for k, o, v in known if k in strip(t)]
+        return min(hits)[2] if hits else None
+
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, t string").repartition(3)
+    dictionary = spark.createDataFrame(keys, "k string, o int, v int")
+    got = {r.id: r.found for r in lookup.longest_substring_join(df, "t", dictionary, "k", "v", "o", "found").collect()}
+    assert got == {i: want(t) for i, t in enumerate(texts)}
+    none = lookup.longest_substring_join(df, "t", dictionary.limit(0), "k", "v", "o", "found")
+    assert none.count() == len(texts) and none.filter("found IS NOT NULL").count() == 0
