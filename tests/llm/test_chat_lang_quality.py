@@ -3,6 +3,7 @@
 import brute
 import duckdb
 import numpy as np
+import pytest
 
 from gridsieve.llm import chat, cotrain, langid
 from gridsieve.llm.queries import ORACLES, QUERIES
@@ -123,3 +124,71 @@ def test_platt_is_monotone():
     z = np.linspace(-3, 3, 200)
     a, b = cotrain._platt(z[:, None], (z > 0.5).astype(float))
     assert a > 0 and -b / a > 0
+
+
+def test_network_equals_a_plain_forward_pass(spark, sf_dir):
+    """Convolution window by window and filter by filter, on every document."""
+    docs = brute.read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.fit_languages(docs)
+    span = langid.WINDOW - max(langid.WIDTHS) + 1
+
+    def forward(window):
+        pooled = []
+        for weights in model.filters:
+            out = np.zeros((span, langid.FILTERS))
+            for at in range(span):
+                out[at] = sum(weights[j][window[at + j]].astype(np.float64) for j in range(len(weights)))
+            pooled += [max(out[:, f]) for f in range(langid.FILTERS)]
+        hidden = [max(0.0, p + b) for p, b in zip(pooled, model.bias, strict=True)]
+        logits = np.array([sum(h * w for h, w in zip(hidden, column, strict=True)) for column in model.dense.T]) + model.offset
+        e = np.exp(logits - logits.max())
+        return e / e.sum()
+
+    rows = langid.predict_languages(docs, model).collect()
+    seen = 0
+    for r in rows:
+        data = (r.text or "").encode()
+        if not any(map(str.isalpha, r.text or "")):
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        total = np.zeros(len(model.languages))
+        for at in range(0, len(data), langid.WINDOW):
+            piece = data[at : at + langid.WINDOW]
+            total += len(piece) * forward(piece.ljust(langid.WINDOW, b"\0"))
+        total /= total.sum()
+        seen += 1
+        assert r.score == pytest.approx(total.max(), abs=1e-4)
+        assert r.lang_pred == model.languages[int(total.argmax())] or np.sort(total)[-2] > total.max() - 1e-4
+    assert seen > 0.9 * len(rows)
+
+
+def test_quality_equals_a_plain_forward_pass(spark, sf_dir):
+    """Hashed trigrams counted one by one, both logistic views and their combination, on every document."""
+    docs, labels = brute.read(spark, sf_dir, "documents"), brute.read(spark, sf_dir, "labels")
+    feats = cotrain.staged(cotrain.features(docs), "t-features")
+    model = cotrain.co_train(feats, labels)
+    hits = {r.doc_id: list(r.x_meta) for r in feats.select("doc_id", "x_meta").collect()}
+    got = {r.doc_id: r for r in cotrain.score_quality(docs, labels).collect()}
+    mask = 0xFFFFFFFF
+
+    def trigrams(text):
+        data, counts = (text or "").encode(), [0] * cotrain.BINS
+        for a, b, c in zip(data, data[1:], data[2:], strict=False):
+            h = (a * 0x9E3779B1 + b * 0x85EBCA6B + c * 0xC2B2AE35) & mask
+            counts[((h ^ h >> 15) * 0x2C1B3C6D & mask) >> 22] += 1
+        n = max(1, len(data) - 2)
+        return [min(255, round((c / n) ** 0.5 * 255)) / 255 for c in counts]
+
+    def logit(view, x):
+        m, (a, b) = model.models[view], model.calibration[view]
+        z = sum((v - u) / s * w for v, u, s, w in zip(x, m.mean, m.scale, m.weights, strict=True)) + m.offset
+        return a * z + b
+
+    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    for r in docs.select("doc_id", "text").collect():
+        t = logit("text", trigrams(r.text))
+        m = logit("meta", [1.0 if i in hits[r.doc_id] else 0.0 for i in range(cotrain.META)])
+        both = model.combination @ np.array([t, m, 1.0])
+        row = got[r.doc_id]
+        assert (row.text_score, row.meta_score, row.score) == pytest.approx((sigmoid(t), sigmoid(m), sigmoid(both)), abs=2e-3)
+        assert row.accepted == (row.score >= cotrain.ACCEPTED)
