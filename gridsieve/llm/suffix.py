@@ -45,7 +45,8 @@ FREQUENT = 64
 HELD = 600_000  # candidates a task collects before it sends them on
 RUN = 60_000  # strings of one sorted run
 GROUP = 2_000  # candidates with one piece that may meet in one place
-SAMPLE_DOCUMENTS = 400
+#: Bytes of text of a key range or bucket, and texts per range that show where to cut, 400 at least.
+PART_BYTES, SAMPLED = 64 << 20, 16
 U64 = np.uint64
 POSITION = 20
 MASK = U64((1 << POSITION) - 1)
@@ -442,7 +443,7 @@ def _splitters(docs: DataFrame, parts: int) -> list[bytes]:
             strings = [texts[o][f : f + 32] for o, f in zip(owner[::3], first[::3], strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(strings, pa.binary())], ["s"])
 
-    sample = docs.orderBy(F.xxhash64("key", F.lit(13)), "key").limit(SAMPLE_DOCUMENTS).mapInArrow(some, "s binary")
+    sample = docs.orderBy(F.xxhash64("key", F.lit(13)), "key").limit(max(400, SAMPLED * parts)).mapInArrow(some, "s binary")
     strings = sorted({bytes(r.s) for r in sample.collect()})
     return [strings[i * len(strings) // parts] for i in range(1, parts)] if len(strings) >= parts else strings[1:]
 
@@ -452,22 +453,23 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 
     ``docs``: doc_id, text and rest, which is handed through.
     """
-    spark = docs.sparkSession
-    parts = default_partitions(spark)
     rows = docs.select(
         F.coalesce(F.col("doc_id"), F.lit(NULL_ID)).alias("key"), F.coalesce("text", F.lit("")).alias("text"), "rest"
     ).withColumn("tag", F.xxhash64("text"))
+    # ranges and buckets are groups held in a task, so their number follows the texts
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(default_partitions(docs.sparkSession), -(-size // PART_BYTES))
     splitters = _splitters(rows.drop("rest"), parts)
     buckets = rows.select("key", "tag", "text").mapInArrow(_bucketed(parts), _BUCKETS)
     found = buckets.groupBy("bucket").applyInArrow(_repeated, _REPEATED)
-    found = found.groupBy("key").agg(F.collect_list(F.struct("tag", "first", "span", "times")).alias("found"))
-    # the same exchange of the texts serves this join and the last one
-    placed = rows.repartition(parts, "key")
-    suffixes = placed.join(found, "key", "left").mapInArrow(_suffix_runs(splitters, parts), _EXCHANGE)
+    found = found.groupBy("key", "tag").agg(F.collect_list(F.struct("tag", "first", "span", "times")).alias("found"))
+    # the same exchange of the texts serves this join and the last one; texts of one id, or of none, are dealt by their tags
+    placed = rows.repartition(parts, "key", "tag")
+    suffixes = placed.join(found, ["key", "tag"], "left").select(*placed.columns, "found").mapInArrow(_suffix_runs(splitters, parts), _EXCHANGE)
     strings = suffixes.groupBy("part").applyInArrow(_merge_suffixes(splitters, parts), _EXCHANGE)
     spans = strings.groupBy("part").applyInArrow(_merge_strings(parts), _SPANS)
-    spans = spans.groupBy("key").agg(F.collect_list(F.struct("tag", "start", "stop")).alias("spans"))
-    return placed.join(spans, "key", "left").select("key", "tag", "text", "rest", "spans")
+    spans = spans.groupBy("key", "tag").agg(F.collect_list(F.struct("tag", "start", "stop")).alias("spans"))
+    return placed.join(spans, ["key", "tag"], "left").select("key", "tag", "text", "rest", "spans")
 
 
 def _joined(spans: list[dict] | None, tag: int) -> list[list[int]]:

@@ -69,6 +69,16 @@ def test_suffix_frequent_pieces(spark, monkeypatch):
     assert suffix_rows(df.coalesce(1)) == want
 
 
+def test_suffix_of_many_rows_without_an_id(spark):
+    """Rows without an id follow each other by a hash of their texts, and are dealt by it."""
+    docs = [(None, f"{i} " * 20 + brute.LONG + "z" * i) for i in range(12)] + [(1, brute.LONG + "end"), (1, "another " + brute.LONG)]
+    df = spark.createDataFrame(docs, brute.SCHEMA)
+    tags = {r.text: r.tag for r in df.select("text", F.xxhash64("text").alias("tag")).collect()}
+    order = sorted(docs, key=lambda d: (d[0] is not None, d[0] or 0, tags[d[1]]))
+    want = [(d, *r) for (d, _), r in zip(order, brute.repeats([t for _, t in order]), strict=True)]
+    assert sorted(suffix_rows(df.repartition(4)), key=str) == sorted(want, key=str)
+
+
 def test_clean_texts(spark):
     docs = brute.odd_docs(spark)
     got = suffix.clean_texts(docs)
