@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MAX_BROADCAST_ROWS = 10_000
+#: A constant dimension is broadcast up to so many rows and characters.
+MAX_BROADCAST_ROWS, MAX_BROADCAST_CHARS = 10_000, 1 << 20
 
 # Host properties
 # (key, bandgap_eV, electron_affinity_eV, dielectric, crystal, density).
@@ -185,11 +186,12 @@ CANDIDATE_ALIASES = {
 def dim(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
     """A constant dimension as a DataFrame.
 
-    Marked for broadcast only because its length is known and bounded; a longer list stays an
+    Marked for broadcast only because its size is known and bounded; a longer list stays an
     ordinary join side whose strategy the optimizer picks.
     """
     df = spark.createDataFrame(list(rows), schema)
-    return F.broadcast(df) if len(rows) <= MAX_BROADCAST_ROWS else df
+    small = len(rows) <= MAX_BROADCAST_ROWS and sum(len(str(v)) for row in rows for v in row) <= MAX_BROADCAST_CHARS
+    return F.broadcast(df) if small else df
 
 
 def semiconductor_props(spark: SparkSession) -> DataFrame:

@@ -69,7 +69,7 @@ def write_version(df: DataFrame, path: str, keep: int = 2, **kw) -> str:
     The rows go to a folder of their own; only when they are all written a pointer is created beside the folders, in one
     step of the file system. Readers follow the newest pointer, so they see the old or the new version, whole; an
     interrupted write leaves a folder that nothing points to. The ``keep`` newest versions stay, for readers under way.
-    Two writers that publish the same number at once cannot both succeed.
+    A table has one writer at a time; one that finds its number published by another raises.
     """
     spark = df.sparkSession
     known = _versions(spark, path)
