@@ -43,7 +43,7 @@ TURNS = 4
 LEAD, LIMIT = 1, 54
 #: Bits of the fingerprint itself that may differ.
 RADIUS = 24
-CHUNK = 1 << 17
+CHUNK = 1 << 18
 QUERIES = 256
 SMALL = 10
 #: Sets compared with each other in one task: at most about so many, and so many bytes of them.
@@ -242,6 +242,18 @@ def small_links(entries: DataFrame) -> DataFrame:
     return less.join(entries.where(F.col("size") < SMALL).select(F.col("node").alias("a")), "a").select("a", "b")
 
 
+def contracted(links: DataFrame) -> DataFrame:
+    """Links (a, b) that connect the same nodes: each b with its smallest a, and that a with b's other ones.
+
+    A node has at most a few a per table, of which many nodes share the same ones, so few links are left.
+    """
+    ends = links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    tops = ends.groupBy("b").agg(F.array_sort(F.collect_set("a")).alias("tops"))
+    others = F.transform(F.slice("tops", 2, F.size("tops")), lambda t: F.struct(F.get("tops", F.lit(0)).alias("a"), t.alias("b")))
+    own = F.array(F.struct(F.get("tops", F.lit(0)).alias("a"), F.col("b").alias("b")))
+    return tops.select(F.explode(F.concat(own, others)).alias("l")).select("l.*").distinct()
+
+
 def linked(sets: list[bytes], least: float) -> np.ndarray:
     """For each sorted set of hashes, none empty, the smallest index reachable over similarities of ``least`` or more."""
     sizes = np.array([len(s) // 8 for s in sets])
@@ -369,7 +381,7 @@ def keep_one(docs: DataFrame, words: int = 5, least: float = 0.8, chunk: int = C
     own = staged(shingle_sets(docs, words), "shingle-sets")
     entries = own.where("size > 0").groupBy("node").agg(*[F.first(c).alias(c) for c in ("size", "fps", "less")])
     entries = staged(entries, "entries")
-    near = staged(candidate_links(entries, chunk).unionAll(small_links(entries)).distinct(), "candidate-links")
+    near = staged(contracted(candidate_links(entries, chunk).unionAll(small_links(entries))), "candidate-links")
     discard(entries)
     candidates = components(near)
     one = own.join(candidates, "node").groupBy("node", "component").agg(F.min(F.struct("doc_id", "version")).alias("key"))

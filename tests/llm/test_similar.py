@@ -138,6 +138,13 @@ def test_buckets_and_pieces_find_the_same_groups(spark, chunk):
     assert got == exact_kept(docs)
 
 
+def test_contracted_links_connect_the_same_nodes(spark):
+    rng = np.random.default_rng(12)
+    pairs = [(int(a), int(b)) for a, b in rng.integers(0, 200, (260, 2))] + [(5, 5)] + [(1, x) for x in range(150, 200)] + [(2, x) for x in range(150, 200)]
+    got = [tuple(r) for r in similar.contracted(spark.createDataFrame(pairs, "a long, b long")).collect()]
+    assert brute.smallest(list(range(200)), got) == brute.smallest(list(range(200)), pairs) and len(got) < len(pairs)
+
+
 def test_bucket_links_equal_all_pairs():
     rng = np.random.default_rng(9)
     n = 700
