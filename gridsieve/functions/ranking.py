@@ -252,9 +252,9 @@ def exact_quantiles(
     return pick_quantiles(cumulative_counts(df, value, by, **kw), value, probs, by)
 
 
-def column_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> DataFrame:
+def column_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], grid: int = GRID) -> DataFrame:
     """Exact quantiles of several columns at once: (column, n, quantiles); a column without numbers has NULLs."""
-    rows = [(c, n, q) for c, (n, q) in bracketed_quantiles(df, cols, probs).items()]
+    rows = [(c, n, q) for c, (n, q) in bracketed_quantiles(df, cols, probs, grid).items()]
     return df.sparkSession.createDataFrame(rows, "column string, n long, quantiles array<double>")
 
 

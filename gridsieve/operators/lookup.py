@@ -171,7 +171,8 @@ def longest_substring_join(
                     if len(ids) >= HITS:
                         yield pd.DataFrame({"_id": ids, "_seed": seeds, "_place": places, "_stretch": stretches})
                         ids, seeds, places, stretches = [], [], [], []
-            yield pd.DataFrame({"_id": ids, "_seed": seeds, "_place": places, "_stretch": stretches})
+            if ids:
+                yield pd.DataFrame({"_id": ids, "_seed": seeds, "_place": places, "_stretch": stretches})
 
     hits = texts.select("_id", "_text").mapInPandas(scan, "_id string, _seed long, _place int, _stretch string")
     here = F.substring(F.col("_stretch"), F.col("_place") - F.col("_at") + 1, F.length("_key")) == F.col("_key")

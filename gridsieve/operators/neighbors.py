@@ -23,7 +23,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gridsieve.functions.hashing import hash32
 from gridsieve.operators.curate import hash_sample
 from gridsieve.operators.split import minmax
 from gridsieve.session import new_path
