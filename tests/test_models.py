@@ -120,6 +120,15 @@ def test_spearman_and_metrics_equal_pandas(data, spark):
     assert m["r2_log"] == pytest.approx(1 - 0.75 / 2) and m["mae_log"] == pytest.approx(0.5)
 
 
+def test_spearman_of_millions_of_rows(spark):
+    """The cube of the row count is beyond a long."""
+    df = spark.range(2_400_000).select((F.col("id") % 12).cast("double").alias("y"), (F.col("id") % 4).cast("double").alias("p"))
+    one = pd.DataFrame({"y": np.arange(12.0), "p": np.arange(12) % 4})
+    got = metrics.spearman(df, "y", "p").first()
+    assert got["n_rows"] == 2_400_000
+    assert got["rho"] == pytest.approx(one["y"].rank().corr(one["p"].rank()), rel=1e-9)
+
+
 def test_published_selection_scores(spark):
     rows = [("A", 0.7738520771636284, 0.5269478146884539), ("B", 0.7737961292545068, 0.4346422342309064),
             ("C", 0.4191775100326985, -0.08609051860769612)]
