@@ -129,6 +129,13 @@ def test_spearman_of_millions_of_rows(spark):
     assert got["rho"] == pytest.approx(one["y"].rank().corr(one["p"].rank()), rel=1e-9)
 
 
+def test_encoding_comparison_of_millions_of_test_rows(spark):
+    x = F.col("id") % 8
+    df = spark.range(2_200_000).select(x.cast("double").alias("x"), (x * x).cast("double").alias("te"), (x * 3).cast("double").alias("y"), (F.col("id") % 5).alias("fold"))
+    got = learn.encoding_comparison(df.filter("id < 1000"), df, "y", "fold", {"plain": ["x"], "both": ["x", "te"]}).collect()
+    assert [row["spearman_rho"] for row in got] == pytest.approx([1.0, 1.0], rel=1e-9)
+
+
 def test_published_selection_scores(spark):
     rows = [("A", 0.7738520771636284, 0.5269478146884539), ("B", 0.7737961292545068, 0.4346422342309064),
             ("C", 0.4191775100326985, -0.08609051860769612)]
