@@ -64,32 +64,68 @@ def add_physical_features(df: DataFrame, host: str = "host_material", partner: s
     )
 
 
-#: Length of a seed, bits of the filter of seeds, texts whose grams are counted, and hits a task emits at once.
-SEED, FILTER_BITS, COUNTED, HITS = 4, 23, 2000, 20_000
-_POWERS = [pow(0x100000001B3, i, 1 << 64) for i in range(SEED)]
+#: Bits of the filter per key, the least and most bits of it as powers of two, places a key sets, and hits a task emits at once.
+KEY_BITS, LEAST_BITS, MOST_BITS, HITS = 32, 20, 29, 20_000
+_BASE, _MIX = 0x100000001B3, 0xFF51AFD7ED558CCD
+_PROBES = [1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93]
 
 
-def _grams(codes: np.ndarray, n: int) -> np.ndarray:
-    """A hash of the n characters from each position on."""
-    m = len(codes) - n + 1
-    if m <= 0:
-        return np.zeros(0, np.uint64)
-    out = np.full(m, n, np.uint64)
-    for i in range(n):
-        out = out + codes[i : i + m] * np.uint64(_POWERS[i])
-    return (out ^ out >> np.uint64(29)) * np.uint64(0x9E3779B97F4A7C15)
+class _Hashes:
+    """Hashes of a text's windows of any length, from running sums."""
 
+    _powers = _inverse = np.ones(1, np.uint64)
 
-def _codes(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64) + np.uint64(1)
+    def __init__(self, text: str):
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64) + np.uint64(1)
+        n = len(codes)
+        if len(_Hashes._powers) <= n:
+            steps = [np.r_[np.uint64(1), np.full(2 * n, b % (1 << 64), np.uint64)] for b in (_BASE, pow(_BASE, -1, 1 << 64))]
+            _Hashes._powers, _Hashes._inverse = (np.multiply.accumulate(x) for x in steps)
+        self.n, self.sums = n, np.zeros(n + 1, np.uint64)
+        np.cumsum(codes * _Hashes._powers[:n], out=self.sums[1:])
 
+    def every(self, length: int) -> np.ndarray:
+        """The hash of the window from each position on."""
+        last = self.n - length + 1
+        return self._mixed(self.sums[length:] - self.sums[:last], _Hashes._inverse[:last], length)
 
-def _rarest(key: str, seen: Mapping[int, int]) -> tuple[int, int, int]:
-    """(hash, place, length) of the key's gram that the counted texts have least often; a short key is its own gram."""
-    n = min(SEED, len(key))
-    hashes = _grams(_codes(key), n).tolist()
-    at = min(range(len(hashes)), key=lambda i: (seen.get(hashes[i], 0), i))
-    return hashes[at], at, n
+    def at(self, starts: np.ndarray, length: int) -> np.ndarray:
+        return self._mixed(self.sums[starts + length] - self.sums[starts], _Hashes._inverse[starts], length)
+
+    @staticmethod
+    def _mixed(h: np.ndarray, inverse: np.ndarray, length: int) -> np.ndarray:
+        h = h * inverse + np.uint64(length)
+        h = (h ^ h >> np.uint64(33)) * np.uint64(_MIX)
+        return h ^ h >> np.uint64(29)
+
+
+def _head(length: int) -> int:
+    """The largest power of two up to a length."""
+    return 1 << length.bit_length() - 1
+
+
+def _places(hashes: np.ndarray, probe: int, bits: int) -> np.ndarray:
+    return (hashes * np.uint64(_PROBES[probe]) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+class _Filter:
+    """Which hashes may be those of a key or of a key's head: a set bit for each probe."""
+
+    def __init__(self, packed: np.ndarray, bits: int):
+        self.packed, self.bits = packed, bits
+
+    def passing(self, hashes: np.ndarray) -> np.ndarray:
+        """Positions of the hashes that pass."""
+        left = self._set(hashes, 0)
+        for probe in range(1, len(_PROBES)):
+            left = left[self._set(hashes[left], probe)]
+        return left
+
+    def _set(self, hashes: np.ndarray, probe: int) -> np.ndarray:
+        at = _places(hashes, probe, self.bits)
+        return np.flatnonzero(self.packed[at >> 3] & self._bit[at & 7])
+
+    _bit = np.array([128 >> i for i in range(8)], np.uint8)
 
 
 def longest_substring_join(
@@ -97,101 +133,74 @@ def longest_substring_join(
 ) -> DataFrame:
     """Longest-substring lookup against a dictionary table of any size.
 
-    A seed index: each key is filed under its rarest gram of SEED characters (a shorter key under itself), judged by
-    the grams of COUNTED texts. Texts are scanned once, map-side: their grams are looked up in a filter of the seeds'
-    hashes, 2^FILTER_BITS bits whatever the dictionary, and only hits go on, each with the stretch of text that the longest key
-    could reach. Hits meet the keys by an equi-join on the seed, and a key counts only if the stretch holds it there.
-    Distinct texts go by their digest; texts without a hit get NULL.
+    A filter holds the hashes of all keys and of their heads (the first characters, a power of two of them): KEY_BITS bits
+    a key, at most 2^MOST_BITS. Texts are scanned where they lie: a window that passes as a head is looked up
+    with every key length from there, and what passes again goes on as (digest of the text, piece), once per text. Pieces meet the keys
+    by equality, so the filter's size and its false hits never change the result; no text is shuffled. Texts without a key get NULL.
     """
     spark = df.sparkSession
     norm = dictionary.select(
         strip_lower(key).alias("_key"), F.col(value).alias("_value"), F.col(ordinal).alias("_ord")
     ).filter(F.length("_key") > 0)
     keys = save_state(norm, new_path(spark, "dictionary"))
-    reach = keys.agg(F.max(F.length("_key"))).first()[0]
+    seen = keys.groupBy(F.length("_key").alias("length")).agg(F.count(F.lit(1)).alias("n")).collect()  # one row per length
     normal = F.coalesce(strip_lower(text), F.lit(""))
-    if reach is None:
+    if not seen:
         return df.withColumn(out, F.lit(None).cast(dictionary.schema[value].dataType))
-    texts = df.select(normal.alias("_text")).filter(F.col("_text") != "").dropDuplicates(["_text"]).withColumn("_id", F.sha2("_text", 256))
-
-    # how common grams are, on texts of smallest digest
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for t in pdf["_text"]:
-                codes = _codes(t)
-                found = np.unique(np.concatenate([_grams(codes, n) for n in range(1, SEED + 1)]))
-                yield pd.DataFrame({"gram": (found >> np.uint64(64 - FILTER_BITS)).astype(np.int64)})
-
-    few = texts.select("_text", "_id").orderBy("_id").limit(COUNTED).select("_text")
-    # numbers by the first bits of the hash: at most 2^FILTER_BITS rows, of which the most frequent matter
-    common = few.mapInPandas(count, "gram long").groupBy("gram").count().orderBy(F.desc("count"), "gram").limit(1 << 16).collect()
-    seen = {r["gram"]: r["count"] for r in common}
+    bits = min(MOST_BITS, max(LEAST_BITS, (KEY_BITS * sum(r["n"] for r in seen) - 1).bit_length()))
+    classes: dict[int, list[int]] = {}
+    for r in sorted(seen):
+        classes.setdefault(_head(r["length"]), []).append(r["length"])
 
     def file(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shortened = _Shortened(seen)
+        first = np.zeros(1, np.int64)
         for pdf in batches:
             if len(pdf):
-                found = [_rarest(k, shortened) for k in pdf["_key"]]
-                yield pd.DataFrame({"_key": pdf["_key"], "_seed": [_signed(h) for h, _, _ in found], "_at": [a for _, a, _ in found]})
-
-    filed = save_state(keys.select("_key").distinct().mapInPandas(file, "_key string, _seed long, _at int"), new_path(spark, "seeds"))
-
-    def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bits = np.zeros(1 << FILTER_BITS, bool)
-        for pdf in batches:
-            bits[pdf["_seed"].to_numpy().view(np.uint64) >> np.uint64(64 - FILTER_BITS)] = True
-        chunks = bits.reshape(256, -1)
-        used = np.flatnonzero(chunks.any(1))
-        yield pd.DataFrame({"chunk": used, "bits": [np.packbits(chunks[c]).tobytes() for c in used]})
+                found = [h.at(first, n) for k in pdf["_key"] for h in [_Hashes(k)] for n in {_head(len(k)), len(k)}]
+                found = np.concatenate(found)
+                yield pd.DataFrame({"place": np.unique(np.concatenate([_places(found, p, bits) for p in range(len(_PROBES))]))})
 
     def unite(pdf: pd.DataFrame) -> pd.DataFrame:
-        merged = np.bitwise_or.reduce([np.frombuffer(b, np.uint8) for b in pdf["bits"]])
-        return pd.DataFrame({"chunk": pdf["chunk"].head(1).to_numpy(), "bits": [merged.tobytes()]})
+        chunk, own = pdf["chunk"].iloc[0], np.zeros(1 << bits - 8, bool)
+        own[pdf["place"].to_numpy() & (1 << bits - 8) - 1] = True
+        return pd.DataFrame({"chunk": [chunk], "bits": [np.packbits(own).tobytes()]})
 
-    marked = np.zeros((256, (1 << FILTER_BITS) // 8 // 256), np.uint8)
-    schema = "chunk long, bits binary"
-    for r in filed.select("_seed").mapInPandas(mark, schema).groupBy("chunk").applyInPandas(unite, schema).collect():
-        marked[r["chunk"]] = np.frombuffer(bytes(r["bits"]), np.uint8)
-    marked = marked.ravel()
+    places = keys.select("_key").mapInPandas(file, "place long").withColumn("chunk", F.shiftright("place", bits - 8))
+    packed = np.zeros((256, 1 << bits - 11), np.uint8)
+    for r in places.groupBy("chunk").applyInPandas(unite, "chunk long, bits binary").toLocalIterator():
+        packed[r["chunk"]] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    filter_ = spark.sparkContext.broadcast(packed.ravel())
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        marked = _Filter(filter_.value, bits)
         for pdf in batches:
-            ids, seeds, places, stretches = [], [], [], []
+            hits: set[tuple[bytes, str]] = set()
             for i, t in zip(pdf["_id"], pdf["_text"]):
-                codes = _codes(t)
-                for n in range(1, SEED + 1):
-                    h = _grams(codes, n)
-                    at = (h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
-                    for p in np.flatnonzero(marked[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).tolist():
-                        first = max(0, p - reach)
-                        ids.append(i)
-                        seeds.append(_signed(int(h[p])))
-                        places.append(p - first)
-                        stretches.append(t[first : p + reach])
-                    if len(ids) >= HITS:
-                        yield pd.DataFrame({"_id": ids, "_seed": seeds, "_place": places, "_stretch": stretches})
-                        ids, seeds, places, stretches = [], [], [], []
-            if ids:
-                yield pd.DataFrame({"_id": ids, "_seed": seeds, "_place": places, "_stretch": stretches})
-
-    hits = texts.select("_id", "_text").mapInPandas(scan, "_id string, _seed long, _place int, _stretch string")
-    here = F.substring(F.col("_stretch"), F.col("_place") - F.col("_at") + 1, F.length("_key")) == F.col("_key")
-    held = hits.join(filed, "_seed").filter((F.col("_place") >= F.col("_at")) & here).select("_id", "_key").distinct()
+                hashes = _Hashes(t)
+                for head, lengths in classes.items():
+                    if head > hashes.n:
+                        continue
+                    starts = marked.passing(hashes.every(head))
+                    for n in lengths:
+                        here = starts[: np.searchsorted(starts, hashes.n - n, side="right")]
+                        if len(here):
+                            whole = hashes.at(here, n)
+                            passed = marked.passing(whole) if n > head else slice(None)
+                            # a piece is cut once
+                            hits.update((i, t[p : p + n]) for p in dict(zip(whole[passed].tolist(), here[passed].tolist())).values())
+                if len(hits) >= HITS:
+                    yield pd.DataFrame(list(hits), columns=["_id", "_key"])
+                    hits = set()
+            if hits:
+                yield pd.DataFrame(list(hits), columns=["_id", "_key"])
+
+    digest = F.unhex(F.sha2(normal, 256))
+    texts = df.select(normal.alias("_text")).filter(F.col("_text") != "").withColumn("_id", F.unhex(F.sha2("_text", 256)))
+    held = texts.select("_id", "_text").mapInPandas(scan, "_id binary, _key string")
     best = held.join(keys, "_key").groupBy("_id").agg(
         F.min_by("_value", F.struct((-F.length("_key")).alias("l"), F.col("_ord"))).alias(out)
     )
-    return df.withColumn("_id", F.sha2(normal, 256)).join(best, "_id", "left").select(*df.columns, out)
-
-
-class _Shortened(dict):
-    """Counts by the first bits of a hash, looked up by the whole hash."""
-
-    def get(self, key, default=None):
-        return super().get(key >> 64 - FILTER_BITS, default)
-
-
-def _signed(h: int) -> int:
-    return h - (1 << 64) if h >= 1 << 63 else h
+    return df.withColumn("_id", digest).join(best, "_id", "left").select(*df.columns, out)
 
 
 def sample_weight(

@@ -40,3 +40,9 @@ def test_dedup_prunes_before_the_shuffle(spark, sf_dir):
     plan = plan_of(QUERIES["e1_dedup_keep_best"](spark, sf_dir))
     assert plan.count("WindowGroupLimit") >= 2
     assert plan.index("Final") < plan.index("Exchange") < plan.rindex("WindowGroupLimit")
+
+
+def test_no_text_is_shuffled_to_find_its_keys(spark, sf_dir):
+    plan = plan_of(QUERIES["c4_longest_substring_texts"](spark, sf_dir))
+    exchanges = [line for line in plan.splitlines() if "Exchange" in line]
+    assert exchanges and not any("_text#" in line for line in exchanges) and "_stretch" not in plan
