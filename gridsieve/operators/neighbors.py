@@ -3,11 +3,12 @@
 The reference vectors form a metric tree of two levels, kept as tables. Coarse pivots cut them into cells; each cell has
 fine pivots of its own, which cut it into blocks. A query is first searched in its own block, which bounds its k-th
 distance; through the triangle inequality that bound excludes cells, then blocks inside the remaining ones, and it meets
-only what is left. Inside a block the same bounds exclude groups of vectors. Pruning never changes the result.
+only what is left. Inside a block a matrix product finds the vectors that may be within the bound, and only their distances
+are taken, by direct differences. Pruning never changes the result.
 
 The driver and every task hold the coarse pivots, the square root of the number of blocks; the fine pivots of a cell
-are one row of a table. Copies of a vector collapse to one counted row, fuller blocks are salted, and queries meet
-blocks in chunks. References that fit into one block (its size is checked) are sent to the queries instead.
+are one row of a table. Copies of a vector collapse to one counted row, fuller blocks are salted, and queries meet a
+block in parts of a bounded size. References that fit into one block (its size is checked) are sent to the queries instead.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -29,8 +32,10 @@ from gridsieve.session import new_path
 from gridsieve.sources.sinks import save_state
 
 SLACK = 1e-9
-#: Bytes of vectors of a block, the most and fewest of them, queries that meet a block at once, numbers a distance keeps.
-BLOCK_BYTES, BLOCK_ROWS, BLOCK_LEAST, CHUNK, HELD = 4 << 20, 1 << 18, 64, 4096, 1 << 22
+#: Bytes of vectors of a block, the most and fewest of them, queries that meet a block in one group, numbers a distance keeps.
+BLOCK_BYTES, BLOCK_ROWS, BLOCK_LEAST, MEET, HELD = 16 << 20, 1 << 18, 64, 1 << 15, 1 << 22
+#: Queries and vectors of a matrix product.
+TILE = (1024, 4096)
 
 
 def _matrix(values: pd.Series) -> np.ndarray:
@@ -48,55 +53,56 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class Block:
-    """Vectors of one block under pivots of their own."""
+    """Vectors of one block, searched tile by tile."""
 
     def __init__(self, vectors: np.ndarray, copies: np.ndarray):
-        n = max(1, math.isqrt(len(vectors)))
-        self.pivots = vectors[:: max(1, len(vectors) // n)][:n] if len(vectors) else vectors
-        cells = np.empty(len(vectors), np.int64)
-        radius = np.empty(len(vectors))
-        for at in range(0, len(vectors), 1024):
-            d = _distances(vectors[at:at + 1024], self.pivots)
-            cells[at:at + 1024] = d.argmin(1)
-            radius[at:at + 1024] = d.min(1)
-        order = np.argsort(cells, kind="stable")
-        self.vectors, self.copies = vectors[order], copies[order]
-        self.cuts = np.searchsorted(cells[order], np.arange(len(self.pivots) + 1))
-        self.far = np.zeros(len(self.pivots))
-        np.maximum.at(self.far, cells, radius)
+        self.vectors, self.copies = vectors, copies
+        self.norms = np.einsum("ij,ij->i", vectors, vectors)
+        self.sides = np.column_stack([-2 * vectors, self.norms, np.ones(len(vectors))])
 
     def nearest(self, queries: np.ndarray, need: int, bound: np.ndarray | None = None) -> np.ndarray:
         """Each query's ``need`` smallest distances, copies repeated, ascending; infinite where there are fewer, or beyond
         ``bound``, where some may be missing."""
         top = np.full((len(queries), need), np.inf)
-        if not len(self.vectors):
-            return top
         bound = np.full(len(queries), np.inf) if bound is None else bound
-        for at in range(0, len(queries), 4096):
-            self._search(queries[at:at + 4096], top[at:at + 4096], bound[at:at + 4096], need)
+        with np.errstate(over="ignore", invalid="ignore"):
+            for at in range(0, len(queries), TILE[0]):
+                rows = slice(at, at + TILE[0])
+                for start in range(0, len(self.vectors), TILE[1]):
+                    self._search(queries[rows], top[rows], bound[rows], need, start)
         return top
 
-    def _search(self, queries: np.ndarray, top: np.ndarray, bound: np.ndarray, need: int) -> None:
-        least = np.maximum(_distances(queries, self.pivots) - self.far, 0.0)
-        order = np.argsort(least, axis=1, kind="stable")
-        active = np.arange(len(queries))
-        for turn in range(len(self.pivots)):
-            cell = order[active, turn]
-            limit = np.minimum(top[active, -1], bound[active])
-            near = least[active, cell] <= limit * (1 + SLACK) + SLACK
-            active, cell = active[near], cell[near]
-            if not len(active):
-                return
-            by_cell = np.argsort(cell, kind="stable")
-            starts = np.flatnonzero(np.r_[True, np.diff(cell[by_cell]) > 0])
-            for x, y in zip(starts, [*starts[1:], len(by_cell)], strict=True):
-                some, c = active[by_cell[x:y]], cell[by_cell[x]]
-                inside = slice(self.cuts[c], self.cuts[c + 1])
-                d = _distances(queries[some], self.vectors[inside])
-                times = np.minimum(self.copies[inside], need)
-                if (times > 1).any():
-                    d = np.repeat(d, times, axis=1)
-                top[some] = np.sort(np.partition(np.concatenate([top[some], d], axis=1), need - 1, axis=1)[:, :need], axis=1)
+    def _search(self, queries: np.ndarray, top: np.ndarray, bound: np.ndarray, need: int, start: int) -> None:
+        inside = slice(start, start + TILE[1])
+        norms = np.einsum("ij,ij->i", queries, queries)
+        squares = np.column_stack([queries, np.ones(len(queries)), norms]) @ self.sides[inside].T
+        # what rounding can change in a square
+        error = 8 * (queries.shape[1] + 8) * np.finfo(float).eps * (norms + self.norms[inside].max())
+        limit = np.minimum(top[:, -1], bound) ** 2 * (1 + SLACK) + error
+        open_ = ~np.isfinite(limit)
+        if open_.any() and squares.shape[1] >= need:
+            limit[open_] = np.partition(squares[open_], need - 1, axis=1)[:, need - 1] + 2 * error[open_]
+        # squares that are no numbers pass
+        row, col = np.nonzero(~(squares > limit[:, None]))
+        step = max(1, HELD // max(1, queries.shape[1]))
+        for at in range(0, len(row), step):
+            some, c = row[at:at + step], col[at:at + step] + start
+            diff = queries[some] - self.vectors[c]
+            _keep_smallest(top, some, np.sqrt(np.einsum("ij,ij->i", diff, diff)), np.minimum(self.copies[c], need))
+
+
+def _keep_smallest(top: np.ndarray, row: np.ndarray, d: np.ndarray, times: np.ndarray) -> None:
+    """Puts the distances of rows, repeated, among the ascending smallest ones of each row."""
+    if (times > 1).any():
+        row, d = np.repeat(row, times), np.repeat(d, times)
+    touched, own = np.unique(row, return_inverse=True)
+    need = top.shape[1]
+    rows, values = np.r_[np.repeat(np.arange(len(touched)), need), own], np.r_[top[touched].ravel(), d]
+    order = np.lexsort((values, rows))
+    rows, values = rows[order], values[order]
+    rank = np.arange(len(rows)) - np.searchsorted(rows, np.arange(len(touched)))[rows]
+    kept = rank < need
+    top[touched[rows[kept]], rank[kept]] = values[kept]
 
 
 def _plain(vec: str) -> Column:
@@ -110,14 +116,19 @@ def _counted(df: DataFrame, vec: str) -> DataFrame:
     return df.filter(F.col(vec).isNotNull()).select(v).groupBy("vec").agg(F.count(F.lit(1)).alias("copies"))
 
 
+def _vectors(table: pa.Table) -> np.ndarray:
+    """The column ``vec`` of an Arrow table as a matrix."""
+    flat = pc.list_flatten(table.column("vec")).to_numpy()
+    return flat.reshape(len(table), -1) if len(table) else np.zeros((0, 0))
+
+
 def _block_rows(dims: int) -> int:
     return max(BLOCK_LEAST, min(BLOCK_ROWS, BLOCK_BYTES // (8 * max(1, dims))))
 
 
-def _one_block(wanted: DataFrame, refs: list, need: int) -> DataFrame:
+def _one_block(wanted: DataFrame, refs: pa.Table, need: int) -> DataFrame:
     """(vec, dists) of queries against references that fit into one block."""
-    vectors = np.array([r["vec"] for r in refs], dtype=np.float64)
-    copies = np.array([r["copies"] for r in refs], dtype=np.int64)
+    vectors, copies = _vectors(refs), refs.column("copies").to_numpy()
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         block = Block(vectors, copies)
@@ -176,24 +187,29 @@ def _tree(refs: DataFrame, n_refs: int, size: int) -> tuple[np.ndarray, np.ndarr
 
 
 def _meet(cand: DataFrame, blocked: DataFrame, need: int) -> DataFrame:
-    """(vec, theta, dists) for queries (vec, theta, cell, fine) in each part of their block."""
+    """(vec, dists) for queries (vec, theta, cell, fine) in each part of their block."""
     spark = cand.sparkSession
     cand = save_state(cand, new_path(spark, "knn-queries"))
-    load = cand.groupBy("cell", "fine").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"))
-    chunks = cand.join(load, ["cell", "fine"]).withColumn("chunk", F.pmod(F.xxhash64("vec", F.lit(7)), F.col("chunks")).cast("int"))
-    chunks = chunks.groupBy("cell", "fine", "chunk").agg(F.collect_list(F.struct("vec", "theta")).alias("queries"))
-    blocks = blocked.groupBy("cell", "fine", "salt").agg(F.collect_list(F.struct("vec", "copies")).alias("refs"))
-
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for queries, refs in zip(pdf["queries"], pdf["refs"]):
-                block = Block(np.stack([r["vec"] for r in refs]), np.array([r["copies"] for r in refs], dtype=np.int64))
-                vecs, theta = [q["vec"] for q in queries], np.array([q["theta"] for q in queries], dtype=np.float64)
-                found = block.nearest(np.stack(vecs), need, theta)
-                yield pd.DataFrame({"vec": vecs, "theta": theta, "dists": list(found)})
-
-    # a group of one row holds at most a chunk and a block
-    return chunks.join(blocks, ["cell", "fine"]).select("queries", "refs").mapInPandas(search, "vec array<double>, theta double, dists array<double>")
+    block = ["cell", "fine"]
+    load = cand.groupBy(block).agg(F.ceil(F.count(F.lit(1)) / MEET).cast("int").alias("parts"))
+    load = load.join(blocked.groupBy(block).agg((F.max("salt") + 1).alias("salts")), block)
+    load = save_state(load, new_path(spark, "knn-load"))  # one row per block
+    queries = cand.join(F.broadcast(load), block).withColumn("part", F.pmod(F.xxhash64("vec", F.lit(7)), F.col("parts")).cast("int"))
+    queries = queries.select("vec", "theta", *block, F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "part")
+    refs = blocked.join(F.broadcast(load.select(*block, "parts")), block)
+    refs = refs.select("vec", "copies", *block, "salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+
+    def search(queries: pa.Table, refs: pa.Table) -> pa.Table:
+        if not len(queries) or not len(refs):
+            return pa.table({"vec": pa.array([], kind), "dists": pa.array([], kind)})
+        own = Block(_vectors(refs), refs.column("copies").to_numpy())
+        found = own.nearest(_vectors(queries), need, queries.column("theta").to_numpy())
+        return pa.table({"vec": queries.column("vec"), "dists": pa.array(list(found), kind)})
+
+    kind = pa.list_(pa.float64())
+    keys = [*block, "salt", "part"]
+    # a group holds about MEET queries and a block
+    return queries.groupBy(keys).cogroup(refs.groupBy(keys)).applyInArrow(search, "vec array<double>, dists array<double>")
 
 
 def _tree_search(wanted: DataFrame, refs: DataFrame, n_refs: int, size: int, need: int) -> DataFrame:
@@ -220,7 +236,7 @@ def _tree_search(wanted: DataFrame, refs: DataFrame, n_refs: int, size: int, nee
     placed = wanted.mapInPandas(home, "vec array<double>, cell int").join(fine, "cell")
     first = placed.mapInPandas(own_block, "vec array<double>, cell int, theta double, fine int")
     first = save_state(first, new_path(spark, "knn-first"))
-    begun = _meet(first.select("vec", "theta", "cell", "fine"), blocked, need).select("vec", "dists")
+    begun = _meet(first.select("vec", "theta", "cell", "fine"), blocked, need)
     begun = save_state(begun, new_path(spark, "knn-begun"))
     bound = begun.groupBy("vec").agg(F.min(F.get("dists", F.lit(need - 1))).alias("theta"))
     bounded = first.select("vec", F.col("cell").alias("home"), F.col("fine").alias("block")).join(bound, "vec")
@@ -245,7 +261,7 @@ def _tree_search(wanted: DataFrame, refs: DataFrame, n_refs: int, size: int, nee
 
     near = bounded.mapInPandas(cells_near, "vec array<double>, home int, block int, theta double, cell int").join(fine, "cell")
     more = near.mapInPandas(blocks_near, "vec array<double>, theta double, cell int, fine int")
-    return begun.unionAll(_meet(more, blocked, need).select("vec", "dists"))
+    return begun.unionAll(_meet(more, blocked, need))
 
 
 def knn_mean_distance(
@@ -271,7 +287,7 @@ def knn_mean_distance(
     need = k + 1 if exclude_self else k
     wanted = refs.select("vec") if exclude_self else queries.filter(F.col(vec).isNotNull()).select(_plain(vec).alias("vec")).distinct()
     if seen.n <= size:
-        found = _one_block(wanted, refs.collect(), need)
+        found = _one_block(wanted, refs.toArrow(), need)
     else:
         parts = _tree_search(wanted, refs, seen.n, size, need)
         joined = F.slice(F.array_sort(F.flatten(F.collect_list("dists"))), 1, need)

@@ -90,3 +90,16 @@ def test_standardized_domain(spark):
     rows = labelled.orderBy("id").collect()
     np.testing.assert_allclose([row["ad_score"] for row in rows], want, rtol=1e-9)
     assert [row["within_ad"] for row in rows] == list(want <= own.mean() + own.std())
+
+
+def test_bounded_groups_and_numbers_that_overflow(spark, monkeypatch):
+    """A full block meets its queries in several groups; squares beyond a double do not lose a near vector."""
+    monkeypatch.setattr(neighbors, "MEET", 16)
+    rng = np.random.default_rng(4)
+    m = rng.normal(0, 1, (150, 12))
+    got = run(neighbors.knn_mean_distance(frame(spark, m), None, "v", 5, block_rows=70))
+    np.testing.assert_allclose(got, mean_finite(brute(m, m, 5, True)), rtol=1e-9)
+    huge = np.array([[1e200, 0.0], [1e200, 0.0], [1e200, 3.0], [1e6 + 1e-7, 1.0], [1e6, 1.0]])
+    block = neighbors.Block(huge, np.array([1, 2, 1, 1, 1]))
+    assert block.nearest(huge[:1], 4)[0].tolist() == [0.0, 0.0, 0.0, 3.0]
+    assert block.nearest(huge[3:4], 2)[0].tolist() == [0.0, huge[3, 0] - huge[4, 0]]
