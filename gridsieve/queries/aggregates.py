@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from gridsieve.functions.hashing import hash32
 from gridsieve.functions.ranking import column_quantiles
 from gridsieve.operators import encode, ensemble, metrics, profile, split
-from gridsieve.queries.common import PAIRS_SQL, draw_sql, hash32_sql, pairs, query, r, table
+from gridsieve.queries.common import PAIRS_SQL, draw_sql, hash32_sql, pairs, query, r, spread, table
 from gridsieve.queries.curation import PROFILE_COLUMNS, labelled
 from gridsieve.session import new_path
 from gridsieve.sources.sinks import save_state
@@ -359,7 +359,7 @@ SELECT round(i / 20.0, 10)::DOUBLE AS nominal, count(*) AS n_rows, round(avg((y
 FROM iv, range(1, 20) t(i) GROUP BY i
 """)
 def d23(spark, d):
-    c = table(spark, d, "customer").select("c_custkey", F.col("c_acctbal").alias("y"))
+    c = spread(table(spark, d, "customer").select("c_custkey", F.col("c_acctbal").alias("y")), "c_custkey")
     noise = lambda m: hash32(F.concat_ws("#", F.col("c_custkey").cast("string"), m.cast("string")), 5)
     preds = F.transform(F.sequence(F.lit(0), F.lit(N_MEMBERS - 1)), lambda m: F.col("y") + (noise(m) / F.lit(4294967296.0) - 0.45) * 3000)
     return rounded(ensemble.array_calibration(c.withColumn("preds", preds), "y"))

@@ -46,3 +46,9 @@ def test_no_text_is_shuffled_to_find_its_keys(spark, sf_dir):
     plan = plan_of(QUERIES["c4_longest_substring_texts"](spark, sf_dir))
     exchanges = [line for line in plan.splitlines() if "Exchange" in line]
     assert exchanges and not any("_text#" in line for line in exchanges) and "_stretch" not in plan
+
+
+# customer and part are one small file each, so one task would do all the work per row
+@pytest.mark.parametrize("name", ["d23_calibration_curve", "i9_bootstrap_intervals"])
+def test_costly_rows_of_small_files_are_spread(spark, sf_dir, name):
+    assert "REPARTITION_BY_NUM" in plan_of(QUERIES[name](spark, sf_dir))
