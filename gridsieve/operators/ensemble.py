@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -11,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridsieve.functions.hashing import DRAWS_PER_DIGEST, POISSON1_CDF, TWO_32, digest_draws, poisson1_hex
+from gridsieve.functions.hashing import DRAWS_PER_DIGEST, digest_draws, poisson1_counts, poisson1_hex
 from gridsieve.session import new_path
 from gridsieve.sources.sinks import save_state
 
@@ -44,7 +43,6 @@ def bootstrap_sums(df: DataFrame, key: Column, by: Sequence[str], value: str, n_
     poisson_bootstrap; a row whose value is NULL has no part in it.
     """
     blocks = -(-n_members // DRAWS_PER_DIGEST)
-    limits = np.array([math.ceil(c * TWO_32) for c in POISSON1_CDF])
     digests = F.concat(*[digest_draws(key, b, seed) for b in range(blocks)])
     rows = df.filter(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"), digests.alias("_d"))
 
@@ -52,8 +50,7 @@ def bootstrap_sums(df: DataFrame, key: Column, by: Sequence[str], value: str, n_
         for pdf in batches:
             if not len(pdf):
                 continue
-            draws = np.frombuffer(bytes.fromhex("".join(pdf["_d"])), dtype=">u4").reshape(len(pdf), -1)[:, :n_members]
-            counts, values = np.searchsorted(limits, draws, side="right"), pdf["_v"].to_numpy()
+            counts, values = poisson1_counts(pdf["_d"], n_members).astype(np.int64), pdf["_v"].to_numpy()
             groups = pdf.groupby(list(by), dropna=False, sort=False).indices.values() if by else [np.arange(len(pdf))]
             groups = list(groups)
             out = pdf[list(by)].iloc[[g[0] for g in groups]].reset_index(drop=True)
@@ -163,6 +160,14 @@ def array_quantile(values: Column, p: float) -> Column:
     return low + (high - low) * (at - F.floor(at))
 
 
+def row_quantiles(values: np.ndarray, probs: Sequence[float]) -> np.ndarray:
+    """Linear-interpolation quantiles of each row of a matrix, as array_quantile takes them; NaN is the largest value."""
+    ordered = np.sort(values, axis=1)
+    at = (values.shape[1] - 1) * np.array(probs, float)
+    low, high = ordered[:, np.floor(at).astype(int)], ordered[:, np.ceil(at).astype(int)]
+    return low + (high - low) * (at - np.floor(at))
+
+
 def quantile_columns(
     df: DataFrame, preds: str = "preds", probs: Sequence[float] = (0.05, 0.5, 0.95), names: Sequence[str] = ("p05", "median", "p95")
 ) -> DataFrame:

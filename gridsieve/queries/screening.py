@@ -9,7 +9,7 @@ from gridsieve.operators import candidates as C
 from gridsieve.operators import encode, learn, metrics, neighbors, ridge, roles
 from gridsieve.operators.lookup import dim_lookup
 from gridsieve.queries.aggregates import N_MEMBERS, POISSON_SQL, QHAT_SQL, calibration_rows, rounded
-from gridsieve.queries.common import PAIRS_SQL, draw_sql, hash32_sql, query, r, table
+from gridsieve.queries.common import PAIRS_SQL, draw_sql, hash32_sql, query, r, spread, table
 from gridsieve.queries.curation import TYPE_PROPS_SQL, type_props
 from gridsieve.queries.models import BOOT_FIT_SQL, ROWS_SQL, members, ridge1_sql, rows
 from gridsieve.session import new_path
@@ -170,7 +170,7 @@ def i12_ensemble(spark, d):
         F.col("p_partkey").alias("row_id"), "p_brand", "p_type", "p_retailprice",
         F.col("p_size").cast("double").alias("x1"), (F.col("p_retailprice") / 1000).alias("x2"),
     )
-    scored = learn.ensemble_interval(part, fits)
+    scored = learn.ensemble_interval(spread(part, "row_id"), fits)
     out = C.screening_table(scored, "p_brand", "p_type", "p_retailprice").withColumn("ucb_log", F.round("ucb_log", 9))
     best = C.best_candidates(out, ["p_brand", "p_type"], ["row_id"], 100)
     logs = ["pred_median_log", "pred_p05_log", "pred_p95_log", "ucb_log"]
@@ -219,7 +219,7 @@ FROM part JOIN iv USING (p_partkey) LEFT JOIN tp ON tp.key = lower(trim(p_type))
 """)
 def i11(spark, d):
     """Every part enriched, shaped, scored with its interval and ranked by the ensemble's median."""
-    part = table(spark, d, "part").select("p_partkey", "p_type", "p_size")
+    part = spread(table(spark, d, "part").select("p_partkey", "p_type", "p_size"), "p_partkey")
     enriched = dim_lookup(part, "p_type", type_props(spark), ["weight"])
     shaped = roles.complete_schema(roles.alias_columns(enriched, {"p_size": "x1"}), {"x1": 0.0, "note": "missing"})
     scored = learn.score(scorer(spark, d), shaped, "pred_log")

@@ -195,3 +195,17 @@ def test_grid_is_the_product_of_the_lists(spark):
     assert [(r["a"], r["b"], r["c"]) for r in rows] == [(a, b, c) for a in lists["a"] for b in lists["b"] for c in lists["c"]]
     with pytest.raises(ValueError):
         candidate_grid(spark, {"a": []})
+
+
+def test_row_quantiles_and_counts_equal_the_column_forms(spark):
+    from gridsieve.functions.hashing import poisson1_counts, poisson1_hex
+
+    rng = np.random.default_rng(2)
+    m = rng.normal(0, 1, (6, 7))
+    m[0, 3] = np.nan
+    df = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(m)], "i int, preds array<double>")
+    want = ensemble.quantile_columns(df).orderBy("i").select("p05", "median", "p95").toPandas().to_numpy()
+    np.testing.assert_array_equal(ensemble.row_quantiles(m, (0.05, 0.5, 0.95)), want)
+    words = [f"{x:08x}" for x in [0, 1 << 31, (1 << 32) - 1, 4294967293, 4294967292, *rng.integers(0, 1 << 32, 59).tolist()]]
+    hexes = spark.createDataFrame([(w,) for w in words], "w string").select(poisson1_hex(F.col("w"))).collect()
+    assert poisson1_counts(["".join(words)], 62)[0].tolist() == [r[0] for r in hexes][:62]
