@@ -55,21 +55,25 @@ def sampled_contributions(
             if not len(pdf):
                 continue
             x, keys = pdf[[f"_x{i}" for i in range(n)]].to_numpy(float), pdf["_h"].to_numpy()
-            phi, rows = np.zeros((len(x), n)), np.arange(len(x))
+            x = np.ascontiguousarray(x)
+            phi, starts = np.zeros(x.size), np.arange(len(x)) * n
+            # where every path ends and where those of a background row begin
+            whole, begin = forest.predictions(x, features, [fitted])[:, 0], forest.predictions(background, features, [fitted])[:, 0]
             for draw, base in enumerate(background):
                 order = _orders(keys, draw, n)
                 for path in (order, order[:, ::-1]):
                     z = np.tile(base, (len(x), 1))
-                    before = forest.predictions(z, features, [fitted])[:, 0]
+                    flat = z.reshape(-1)
+                    before = begin[draw]
                     for step in range(n):
-                        at = path[:, step]
-                        z[rows, at] = x[rows, at]
-                        after = forest.predictions(z, features, [fitted])[:, 0]
-                        phi[rows, at] += after - before
+                        at = starts + path[:, step]
+                        flat[at] = x.take(at)
+                        after = forest.predictions(z, features, [fitted])[:, 0] if step < n - 1 else whole
+                        phi[at] += after - before
                         before = after
             out = pdf[kept].loc[pdf.index.repeat(n)].reset_index(drop=True)
             out["feature"], out["value"] = np.tile(features, len(x)), x.ravel()
-            out["phi"] = (phi / (2 * len(background))).ravel()
+            out["phi"] = phi / (2 * len(background))
             yield out
 
     slim = df.select(*kept, *[F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(features)], F.xxhash64(key).alias("_h"))

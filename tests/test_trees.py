@@ -155,3 +155,22 @@ def test_explained_variance(spark):
     want = (x - x.mean(0)) @ axes[:, ::-1][:, :2]
     np.testing.assert_allclose(np.abs(got), np.abs(want), rtol=1e-7, atol=1e-9)
     assert learn.vector_moments(df.limit(0), "v").n == 0
+
+
+def test_trees_score_as_a_walk_from_node_to_node():
+    rng = np.random.default_rng(6)
+    left, right = np.zeros((3, 7), int), np.zeros((3, 7), int)
+    left[:], right[:] = [1, 3, 2, 3, 4, 5, 6], [2, 4, 2, 3, 4, 5, 6]  # node 2 is a leaf above the last level
+    feature, threshold, value = rng.integers(0, 2, (3, 7)), rng.normal(size=(3, 7)), rng.normal(size=(3, 7))
+    trees = forest.Forest(["a", "b"], feature, threshold, left, right, value, np.array([1.0, 0.5, 0.25]), 2)
+    x = np.asfortranarray(rng.normal(size=(forest.ROWS + 5, 2)))
+    x[4, 1] = np.nan
+    want = np.empty((len(x), 3))
+    for i, row in enumerate(x):
+        for t in range(3):
+            node = 0
+            for _ in range(2):
+                node = left[t, node] if row[feature[t, node]] <= threshold[t, node] else right[t, node]
+            want[i, t] = value[t, node] * trees.weights[t]
+    np.testing.assert_array_equal(trees.each(x), want)
+    np.testing.assert_array_equal(trees.first(2).each(x), want[:, :2])
