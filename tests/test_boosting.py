@@ -40,7 +40,7 @@ def test_trees_are_those_of_the_library(data, rows):
         np.testing.assert_allclose(trees.predict(x)[~out], want[~out], rtol=1e-9)
         error = ((pdf["y"] - trees.predict(x)) ** 2)[out]
         assert sums == pytest.approx((pdf["w"][out].sum(), (pdf["w"][out] * error).sum(), error.sum()), rel=1e-8)
-        assert cells.r2(k, sums[2]) == pytest.approx(1 - error.sum() / ((pdf["y"][out] - pdf["y"][out].mean()) ** 2).sum(), rel=1e-8)
+        assert boosting.r2(sums, cells.sst()[k]) == pytest.approx(1 - error.sum() / ((pdf["y"][out] - pdf["y"][out].mean()) ** 2).sum(), rel=1e-8)
 
 
 def test_copies_of_rows_make_no_more_cells_and_the_same_trees(spark, data):
@@ -90,3 +90,37 @@ def test_boost_fits_no_model_per_block(spark, data, monkeypatch):
     monkeypatch.setattr(GBTRegressor, "fit", refuse)
     fit = forest.boost(data[1], NAMES, "y", F.col("id"), "w", max_rounds=4, patience=3, maxDepth=3, stepSize=0.3)
     assert len(fit.curve) == fit.rounds_used == 4
+
+
+def test_search_and_folds_grow_from_cells(spark, data, monkeypatch):
+    """Trials and folds need no fit of the library, each of which scanned all rows per level."""
+    from pyspark.ml.regression import GBTRegressor
+
+    pdf, df = data
+    want = {}
+    for k in range(3):
+        model = learn.fit_gbt(df.filter(F.col("fold") != k), NAMES, "y", "w", **PARAMS)
+        want[k] = learn.metrics.regression_metrics(model.transform(df.filter(F.col("fold") == k)), "y", "prediction").first().r2_log
+
+    def refuse(*_):
+        raise AssertionError("fitted by the library")
+
+    monkeypatch.setattr(GBTRegressor, "fit", refuse)
+    table, whole = learn.boosted_cv(df, NAMES, "y", "fold", "w", whole=True, **PARAMS)
+    assert {r.fold: r.r2 for r in table.collect()} == pytest.approx(want, abs=0.01)
+    assert len(whole) == PARAMS["maxIter"]
+    trials = [PARAMS, dict(PARAMS, maxIter=2, subsamplingRate=0.7, featureSubset=0.6, minInstancesPerNode=9)]
+    found = {r.trial: r["mean"] for r in learn.search_gbt(df, NAMES, "y", "fold", trials, "w").collect()}
+    assert found[0] == pytest.approx(np.mean(list(want.values())), abs=0.01) and 0.3 < found[1] < found[0]
+
+
+def test_bootstrap_members_are_weighted_fits(spark, data):
+    """Members grow from one table of cells, as the library would fit them on weighted rows."""
+    pdf, df = data
+    got = forest.bootstrap_forests(df, NAMES, "y", F.col("id"), 2, maxIter=3, maxDepth=3, stepSize=0.5)
+    fit = lambda part, w: learn.fit_gbt(part, NAMES, "y", w, maxIter=3, maxDepth=3, stepSize=0.5)
+    x = pdf[NAMES].to_numpy()
+    for trees, model in zip(got, learn.bootstrap_models(df, F.col("id"), fit, 2), strict=True):
+        want = forest.read_forest(spark, model, NAMES).predict(x)
+        assert np.quantile(np.abs(trees.predict(x) - want), 0.98) < 1e-6
+    assert np.abs(got[0].predict(x) - got[1].predict(x)).max() > 1e-3
