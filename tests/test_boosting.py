@@ -89,7 +89,7 @@ def test_boost_fits_no_model_per_block(spark, data, monkeypatch):
 
     monkeypatch.setattr(GBTRegressor, "fit", refuse)
     fit = forest.boost(data[1], NAMES, "y", F.col("id"), "w", max_rounds=4, patience=3, maxDepth=3, stepSize=0.3)
-    assert len(fit.curve) == fit.rounds_used == 4
+    assert len(fit.curve) == fit.rounds_used == 4 and all(type(e) is float for e in fit.curve)
 
 
 def test_search_and_folds_grow_from_cells(spark, data, monkeypatch):
