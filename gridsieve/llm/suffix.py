@@ -10,9 +10,9 @@ All 100-byte strings of all texts are decided, in order of (doc_id, start), by a
    them without comparing known common prefixes again. In the merged order, equal neighbours are repeats,
    of which the earliest stays.
 3. A candidate that stays may still share a part with a different one (at the edges of a passage). If its
-   piece occurs elsewhere, sorted runs of such candidates are exchanged by piece and merged, and the 100-byte
-   strings of those that share a piece are sorted together; for a piece that very many share, the strings are
-   exchanged by range and merged one by one.
+   piece occurs elsewhere, sorted runs of such candidates are exchanged by piece and merged; those that share a piece
+   are laid upon each other there and compared, or, if they are many, their 100-byte strings are sorted. For a piece
+   that very many share, the strings are exchanged by range and merged one by one.
 
 Equal strings are combined inside each run first, so a passage held by a third of all texts reaches a merge
 once per run. Pieces that are very frequent inside one task are not counted but taken as repeated. Texts are
@@ -26,7 +26,6 @@ the text; an empty table gives no rows. Other columns are not read.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridsieve.llm.common import NULL_ID, column, default_partitions, documents, slices
-from gridsieve.llm.suffixes import decoded, front_code, merge_runs, part_of
+from gridsieve.llm.suffixes import common, decoded, front_code, merge_runs, part_of
 
 LENGTH = 100
 PIECE = 24
@@ -44,12 +43,15 @@ PIECE = 24
 FREQUENT = 64
 HELD = 600_000  # candidates a task collects before it sends them on
 RUN = 60_000  # strings of one sorted run
-GROUP = 2_000  # candidates with one piece that may meet in one place
+GROUP = 20_000  # candidates with one piece that may meet in one place
 #: Bytes of text of a key range or bucket, and texts per range that show where to cut, 400 at least.
 PART_BYTES, SAMPLED = 64 << 20, 16
 U64 = np.uint64
 POSITION = 20
 MASK = U64((1 << POSITION) - 1)
+STEP = 1 << 15  # starts whose pieces are found at once
+ALL_PAIRS = 40  # candidates of one piece that are compared pair by pair
+MERGED = 20_000  # strings of a merge that are decided at once
 
 
 def piece_hashes(data: np.ndarray) -> np.ndarray:
@@ -67,17 +69,15 @@ def piece_hashes(data: np.ndarray) -> np.ndarray:
     return h
 
 
-def candidates(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each range of starts with one piece: the piece's hash, first start, last start.
+def candidates(data: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
+    """For each start the hash of its piece, above the piece's place behind the returned position, in pieces of ``data``.
 
     ``data`` may join several texts; ranges that cross a border are the caller's to cut (see ranges_of).
     """
-    out = []
-    step = (1 << POSITION) - 2 * LENGTH
-    for at in range(0, len(data) - LENGTH + 1, step):
-        part = data[at : at + step + LENGTH - 1]
-        h = piece_hashes(part)
-        h = (h & ~MASK) | np.arange(len(h), dtype=U64)
+    for at in range(0, len(data) - LENGTH + 1, STEP):
+        h = piece_hashes(data[at : at + STEP + LENGTH - 1])
+        h &= ~MASK
+        h |= np.arange(len(h), dtype=U64)
         wide, n = h, 1
         width = LENGTH - PIECE + 1
         while 2 * n <= width:
@@ -85,32 +85,32 @@ def candidates(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             n *= 2
         if width > n:
             wide = np.minimum(wide[: len(wide) - (width - n)], wide[width - n :])
-        out.append((wide, at))
-    return out
+        yield wide, at
 
 
-def ranges_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """hash, text index, first start, last start of every candidate range of some texts."""
+def ranges_of(texts: list[bytes]) -> tuple[np.ndarray, ...]:
+    """hash, text index, first start, last start and start of the piece of every candidate range of some texts."""
     lengths = np.array([len(t) for t in texts], np.int64)
     ends = np.cumsum(lengths)
     data = np.frombuffer(b"".join(texts), np.uint8)
     found = []
     if len(data) >= LENGTH:
         for wide, at in candidates(data):
-            start = at + np.arange(len(wide))
-            text = np.searchsorted(ends, start, side="right")
-            inside = start + LENGTH <= ends[text]
-            change = np.r_[True, (wide[1:] != wide[:-1]) | (text[1:] != text[:-1])]
+            change = np.empty(len(wide), bool)
+            change[0] = True
+            np.not_equal(wide[1:], wide[:-1], out=change[1:])
+            borders = ends[np.searchsorted(ends, at) : np.searchsorted(ends, at + len(wide))] - at
+            change[borders] = True
             first = np.flatnonzero(change)
+            owner = np.searchsorted(ends, at + first, side="right")
             # borders cut off the tail of a range, never its middle
-            good = np.add.reduceat(inside.astype(np.int64), first)
-            keep = good > 0
-            first, good = first[keep], good[keep]
-            owner = text[first]
-            begin = start[first] - (ends - lengths)[owner]
-            found.append((wide[first] >> U64(POSITION), owner, begin, begin + good - 1))
+            last = np.minimum(np.r_[first[1:], len(wide)] - 1, ends[owner] - LENGTH - at)
+            keep = last >= first
+            first, last, owner = first[keep], last[keep], owner[keep]
+            begin, piece = at - (ends - lengths)[owner], wide[first]
+            found.append((piece >> U64(POSITION), owner, first + begin, last + begin, (piece & MASK).astype(np.int64) + begin))
     if not found:
-        return tuple(np.zeros(0, t) for t in (U64, np.int64, np.int64, np.int64))
+        return tuple(np.zeros(0, t) for t in (U64, *[np.int64] * 4))
     return tuple(np.concatenate(c) for c in zip(*found, strict=True))
 
 
@@ -155,7 +155,6 @@ def _bucketed(buckets: int):
         h, owner, first, last = (np.concatenate(c) for c in zip(*parts, strict=True))
         _, inverse, counts = np.unique(h, return_inverse=True, return_counts=True)
         frequent = counts[inverse] > FREQUENT
-        bucket = (h % U64(buckets)).astype(np.int64)
         marker = np.unique(h[frequent])
 
         def rows(number: int, counted: bool, some: np.ndarray, marks: np.ndarray) -> pa.RecordBatch:
@@ -167,9 +166,14 @@ def _bucketed(buckets: int):
                 ),
             ])
 
+        # sorted by bucket once, so that the work does not grow with their number
+        rare = np.flatnonzero(~frequent)
+        of, of_mark = (h[rare] % U64(buckets)).astype(np.int64), (marker % U64(buckets)).astype(np.int64)
+        rare, marker = rare[np.argsort(of, kind="stable")], marker[np.argsort(of_mark, kind="stable")]
+        ends, mark_ends = (np.cumsum(np.bincount(x, minlength=buckets)) for x in (of, of_mark))
         for number in range(buckets):
-            some = np.flatnonzero((bucket == number) & ~frequent)
-            marks = marker[marker % U64(buckets) == U64(number)]
+            some = rare[ends[number - 1] if number else 0 : ends[number]]
+            marks = marker[mark_ends[number - 1] if number else 0 : mark_ends[number]]
             if len(some) or len(marks):
                 yield rows(number, True, some, marks)
         some = np.flatnonzero(frequent)
@@ -180,7 +184,7 @@ def _bucketed(buckets: int):
         docs, tags, parts, held = [], [], [], 0
         for batch in slices(batches):
             texts = [t.encode() if t else b"" for t in column(batch, "text").to_pylist()]
-            h, owner, first, last = ranges_of(texts)
+            h, owner, first, last, _ = ranges_of(texts)
             parts.append((h, owner + len(docs), first, last))
             docs += column(batch, "key").to_pylist()
             tags += column(batch, "tag").to_pylist()
@@ -241,6 +245,15 @@ _X_TYPES = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), *[pa.bin
 _PLACES = ((1, "<i8"), (2, "<i8"), (3, "<i4"), (4, "<i4"), (5, "<i4"))  # key, tag, start, count, times of a record
 
 
+def _united(new: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of spans sorted by text and start, new where a text begins: the first of each unbroken run, and where that ends."""
+    # the furthest stop so far; texts are set apart by more than any length
+    apart = np.cumsum(new) << 32
+    reached = np.maximum.accumulate(stop + apart)
+    first = np.flatnonzero(np.r_[True, (start + apart)[1:] > reached[:-1]][: len(new)])
+    return first, (reached - apart)[np.r_[first[1:], len(new)] - 1] if len(new) else stop
+
+
 class Runs:
     """Collects strings with their places and gives sorted, combined, front-coded runs and decided repeats.
 
@@ -250,26 +263,25 @@ class Runs:
     def __init__(self, place: Callable[[list[bytes]], np.ndarray], parts: int, seed: int):
         self.place, self.parts, self.spread, self.records = place, parts, seed, []
         self.repeats: list[tuple[int, int, int, int]] = []
+        self.decided: list[np.ndarray] = []  # repeats as arrays of four columns
 
     def batches(self, last: bool = False) -> Iterator[pa.RecordBatch]:
         if len(self.records) >= RUN or (last and self.records):
             yield self._run()
-        if len(self.repeats) >= RUN or (last and self.repeats):
+        held = len(self.repeats) + sum(map(len, self.decided))
+        if held >= RUN or (last and held):
             yield self._decided()
 
     def _decided(self) -> pa.RecordBatch:
         """Repeats as rows, neighbouring ones joined."""
-        joined: list[list[int]] = []
-        for key, tag, start, stop in sorted(self.repeats):
-            if joined and joined[-1][:2] == [key, tag] and start <= joined[-1][3]:
-                joined[-1][3] = max(stop, joined[-1][3])
-            else:
-                joined.append([key, tag, start, stop])
-        self.repeats = []
+        spans = np.concatenate([*self.decided, np.array(self.repeats, np.int64).reshape(-1, 4)])
+        key, tag, start, stop = spans[np.lexsort(spans.T[3::-1])].T
+        first, until = _united(np.r_[True, (key[1:] != key[:-1]) | (tag[1:] != tag[:-1])], start, stop)
+        self.repeats, self.decided = [], []
         self.spread += 1
-        columns = [[(self.spread + i) % self.parts for i in range(len(joined))], *zip(*joined, strict=True)]
-        arrays = [pa.array(list(c), t) for c, t in zip(columns, _X_TYPES[:5], strict=True)]
-        return pa.RecordBatch.from_arrays([*arrays, *[pa.nulls(len(joined), pa.binary())] * 4], _X_NAMES)
+        columns = [(self.spread + np.arange(len(first))) % self.parts, key[first], tag[first], start[first], until]
+        arrays = [pa.array(c, pa.int64()).cast(t) for c, t in zip(columns, _X_TYPES[:5], strict=True)]
+        return pa.RecordBatch.from_arrays([*arrays, *[pa.nulls(len(first), pa.binary())] * 4], _X_NAMES)
 
     def _run(self) -> pa.RecordBatch:
         self.records.sort()
@@ -303,19 +315,28 @@ def _by_piece(parts: int) -> Callable[[list[bytes]], np.ndarray]:
     return lambda strings: parts + np.array([int.from_bytes(s[:8], "big") % parts for s in strings])
 
 
+def _flat(lists: pa.ListArray) -> tuple[np.ndarray, pa.StructArray]:
+    """The elements of all lists, and the row of each."""
+    row = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+    return row, lists.values.slice(lists.offsets[0].as_py(), len(row)) if len(lists) else lists.values
+
+
 def _suffix_runs(splitters: list[bytes], parts: int):
     """Sorted runs of candidate suffixes from whole texts joined with their candidates."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         runs = Runs(_by_range(splitters), parts, TaskContext.get().partitionId())
         for batch in slices(batches):
-            for r in batch.select(["key", "tag", "text", "found"]).to_pylist():
-                data = None
-                for f in r["found"] or ():
-                    if f["tag"] == r["tag"]:
-                        data = r["text"].encode() if data is None else data
-                        for first, span, times in zip(f["first"], f["span"], f["times"], strict=True):
-                            runs.records.append((data[first : first + span + LENGTH], r["key"], r["tag"], first, 1, times))
+            keys, tags = (column(batch, c).to_numpy() for c in ("key", "tag"))
+            row, found = _flat(column(batch, "found"))
+            places, texts = found.field("first"), column(batch, "text").cast(pa.binary())
+            ends, first, span, times = places.offsets.to_numpy(), places.values, found.field("span").values, found.field("times").values
+            first, times, stop = first.to_numpy(), times.to_numpy(), first.to_numpy() + span.to_numpy() + LENGTH
+            for i in np.flatnonzero(found.field("tag").to_numpy() == tags[row]).tolist():
+                some, at = slice(ends[i], ends[i + 1]), row[i]
+                data, key, tag = texts[at].as_py(), int(keys[at]), int(tags[at])
+                places = zip(first[some].tolist(), stop[some].tolist(), times[some].tolist(), strict=True)
+                runs.records += [(data[a:b], key, tag, a, 1, n) for a, b, n in places]
                 yield from runs.batches()
         yield from runs.batches(last=True)
         yield from runs.batches(last=True)
@@ -323,42 +344,62 @@ def _suffix_runs(splitters: list[bytes], parts: int):
     return run
 
 
-def _merged(rows: pa.Table) -> Iterator[list[tuple]]:
-    """Groups of equal strings of a key range: lists of (string, key, tag, start, count, times)."""
-    runs, places = [], []
-    for r in rows.to_pylist():
-        if r["shared"] is not None:
-            shared, lengths, tails, packed = (zstandard.decompress(r[c]) for c in ("shared", "lengths", "tails", "places"))
-            runs.append(decoded(shared, lengths, tails))
-            columns, at = [], 0
-            for _, t in _PLACES:
-                size = np.dtype(t).itemsize
-                planes = np.frombuffer(packed, np.uint8, len(shared) * size, at).reshape(size, len(shared))
-                columns.append(np.ascontiguousarray(planes.T).view(t).ravel().tolist())
-                at += len(shared) * size
-            places.append(zip(*columns, strict=True))
-    group: list[tuple] = []
+class Merged:
+    """Some merged strings of a key range, groups of equal ones whole."""
+
+    def __init__(self, strings: list[bytes], equal: np.ndarray, places: list[np.ndarray]):
+        self.strings, (self.key, self.tag, self.start, self.count, self.times) = strings, places
+        self.group = np.cumsum(~equal) - 1  # equal: to the string before
+
+    def settle(self) -> tuple[np.ndarray, np.ndarray]:
+        """The earliest of each group, and the others' repeats."""
+        order = np.lexsort((self.start, self.tag, self.key, self.group))
+        first = order[np.r_[True, np.diff(self.group[order]) > 0]]
+        lead = first[self.group]
+        same = (self.key == self.key[lead]) & (self.tag == self.tag[lead]) & (self.start == self.start[lead])
+        lengths = np.fromiter(map(len, self.strings), np.int64, len(self.strings))
+        return first, np.stack([self.key, self.tag, self.start, self.start + lengths], 1)[~same]
+
+    def record(self, i: int) -> tuple:
+        return self.strings[i], *(int(c[i]) for c in (self.key, self.tag, self.start, self.count, self.times))
+
+
+def _merged(rows: pa.Table) -> Iterator[Merged]:
+    """The strings of a key range in order, with their places."""
+    runs, places, sizes = [], [], []
+    for r in rows.filter(rows.column("shared").is_valid()).select(["shared", "lengths", "tails", "places"]).to_pylist():
+        shared, lengths, tails, packed = (zstandard.decompress(r[c]) for c in ("shared", "lengths", "tails", "places"))
+        runs.append(decoded(shared, lengths, tails))
+        columns, at = [], 0
+        for _, t in _PLACES:
+            size = np.dtype(t).itemsize
+            planes = np.frombuffer(packed, np.uint8, len(shared) * size, at).reshape(size, len(shared))
+            columns.append(np.ascontiguousarray(planes.T).view(t).ravel().astype(np.int64))
+            at += len(shared) * size
+        places.append(columns)
+        sizes.append(len(shared))
+    columns = [np.concatenate(c) for c in zip(*places, strict=True)]
+    numbers = [iter(range(end - n, end)) for n, end in zip(sizes, np.cumsum(sizes).tolist(), strict=True)]
+    strings: list[bytes] = []
+    order: list[int] = []
+    equal: list[bool] = []
+    before = -1
     for run, string, shared in merge_runs(runs):
-        if group and not (shared == len(string) == len(group[0][0])):
-            yield group
-            group = []
-        group.append((string, *next(places[run])))
-    if group:
-        yield group
-
-
-def _passed(rows: pa.Table) -> list[tuple[int, int, int, int]]:
-    some = rows.filter(pa.compute.is_valid(rows.column("key")))
-    return list(zip(*[some.column(c).to_pylist() for c in ("key", "tag", "start", "stop")], strict=True))
+        same = shared == before == len(string)
+        if len(strings) >= MERGED and not same:
+            yield Merged(strings, np.array(equal), [c[order] for c in columns])
+            strings, order, equal = [], [], []
+        strings.append(string)
+        order.append(next(numbers[run]))
+        equal.append(same)
+        before = len(string)
+    if strings:
+        yield Merged(strings, np.array(equal), [c[order] for c in columns])
 
 
-def _settle(group: list[tuple], runs: Runs) -> tuple:
-    """The earliest of a group; the others are repeats."""
-    earliest = min(group, key=lambda r: r[1:4])
-    for r in group:
-        if r[1:4] != earliest[1:4]:
-            runs.repeats.append((*r[1:4], r[3] + len(r[0])))
-    return earliest
+def _passed(rows: pa.Table) -> np.ndarray:
+    some = rows.filter(rows.column("key").is_valid())
+    return np.stack([some.column(c).to_numpy().astype(np.int64) for c in ("key", "tag", "start", "stop")], 1)
 
 
 def _merge_suffixes(splitters: list[bytes], parts: int):
@@ -371,26 +412,29 @@ def _merge_suffixes(splitters: list[bytes], parts: int):
     def merge(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         part = key[0].as_py()
         single, whole = Runs(_by_range(splitters), parts, part), Runs(_by_piece(parts), parts, part)
-        single.repeats = _passed(rows)
+        single.decided = [_passed(rows)]
         out, doubtful = [], []
 
         def send() -> None:
             # the strings of a candidate have one piece
-            h, owner, _, _ = ranges_of([r[0] for r in doubtful])
-            for h, record in zip(h[np.unique(owner, return_index=True)[1]], doubtful, strict=True):
-                whole.records.append((int(h).to_bytes(8, "big") + record[0], *record[1:]))
+            h, owner, _, _, piece = ranges_of([r[0] for r in doubtful])
+            first = np.unique(owner, return_index=True)[1]
+            for hash_, at, record in zip(h[first].tolist(), piece[first].tolist(), doubtful, strict=True):
+                whole.records.append((hash_.to_bytes(8, "big") + bytes([at]) + record[0], *record[1:]))
             doubtful.clear()
             out.extend(whole.batches())
 
-        for group in _merged(rows):
-            record = _settle(group, single)
-            string, key_, tag, start, _, times = record
-            if times < 0 or times > GROUP:
+        for some in _merged(rows):
+            first, repeats = some.settle()
+            single.decided.append(repeats)
+            times, met = some.times[first], np.bincount(some.group, some.count)
+            for i in first[(times < 0) | (times > GROUP)].tolist():
+                string, key_, tag, start, _, _ = some.record(i)
                 single.records += [(string[i : i + LENGTH], key_, tag, start + i, 1, 0) for i in range(len(string) - LENGTH + 1)]
-            elif sum(r[4] for r in group) < times:
-                doubtful.append(record)
-                if len(doubtful) >= RUN:
-                    send()
+                out.extend(single.batches())
+            doubtful += [some.record(i) for i in first[(times >= 0) & (times <= GROUP) & (met < times)].tolist()]
+            if len(doubtful) >= RUN:
+                send()
             out.extend(single.batches())
         send()
         for runs in (whole, single, single):
@@ -403,30 +447,63 @@ def _merge_suffixes(splitters: list[bytes], parts: int):
 _SPANS = "key long, tag long, start int, stop int"
 
 
+def _settle_piece(group: list[tuple]) -> np.ndarray:
+    """Repeats among candidates that share a piece: records whose strings begin with its hash and place.
+
+    Two candidates are laid upon each other at their pieces; what is equal from there to both sides holds their equal
+    strings. Where many share a piece, their strings are sorted, those of one distance to the piece together.
+    """
+    repeats, head = [], 9
+    order = sorted((k, t, at + s[8], at, s[head:], s[8]) for s, k, t, at, *_ in group)
+    if len(order) <= ALL_PAIRS:
+        halves: list[tuple] = []
+        for key, tag, middle, _, s, place in order:
+            left, right = s[:place][::-1], s[place:]
+            for k, t, m, other_left, other_right in halves:
+                if (k, t, m) == (key, tag, middle):
+                    continue
+                behind = common(right, other_right, 0)
+                ahead = common(left, other_left, 0)
+                if ahead + behind >= LENGTH:
+                    repeats.append((key, tag, middle - ahead, middle + behind))
+                    if ahead + behind == len(s):
+                        break
+            halves.append((key, tag, middle, left, right))
+        return np.array(repeats, np.int64).reshape(-1, 4)
+    width = LENGTH - PIECE
+    laid = np.frombuffer(b"".join((b"\0" * (width - r[5]) + r[4]).ljust(width + LENGTH, b"\0") for r in order), np.uint8).reshape(len(order), -1)
+    where = np.array([r[:3] for r in order], np.int64)
+    before = np.array([r[5] for r in order])
+    behind = np.array([len(r[4]) for r in order]) - before
+    for distance in range(width + 1):
+        some = np.flatnonzero((before >= distance) & (behind + distance >= LENGTH))
+        strings = np.ascontiguousarray(laid[some, width - distance : width - distance + LENGTH]).view(f"S{LENGTH}").ravel()
+        _, first, which = np.unique(strings, return_index=True, return_inverse=True)
+        again = some[(where[some] != where[some][first[which]]).any(1)]
+        start = where[again, 2] - distance
+        repeats.append(np.stack([where[again, 0], where[again, 1], start, start + LENGTH], 1))
+    return np.concatenate(repeats)
+
+
 def _merge_strings(parts: int):
-    """Decides single strings, by equality, and candidates that share a piece, by sorting their strings."""
+    """Decides single strings, by equality, and candidates that share a piece, by their equal parts."""
 
     def merge(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         runs = Runs(_by_range([]), 1, 0)
-        runs.repeats = _passed(rows)
-
-        def settle_piece(group: list[tuple]) -> None:
-            strings = sorted((s[i : i + LENGTH], k, t, at + i - 8) for s, k, t, at, *_ in group for i in range(8, len(s) - LENGTH + 1))
-            for before, here in pairwise(strings):
-                if before[0] == here[0] and before != here:
-                    runs.repeats.append((*here[1:], here[3] + LENGTH))
-
+        runs.decided = [_passed(rows)]
         group: list[tuple] = []
-        for same in _merged(rows):
+        for some in _merged(rows):
             if key[0].as_py() < parts:
-                _settle(same, runs)
-            else:
-                if group and group[0][0][:8] != same[0][0][:8]:
-                    settle_piece(group)
+                runs.decided.append(some.settle()[1])
+                continue
+            for i in range(len(some.strings)):
+                if group and group[0][0][:8] != some.strings[i][:8]:
+                    if len(group) > 1:
+                        runs.decided.append(_settle_piece(group))
                     group = []
-                group += same
-        settle_piece(group)
-        if runs.repeats:
+                group.append(some.record(i))
+        runs.decided.append(_settle_piece(group))
+        if any(map(len, runs.decided)):
             return pa.Table.from_batches([runs._decided()]).select(["key", "tag", "start", "stop"])
         return pa.table([pa.array([], t) for t in _X_TYPES[1:5]], names=["key", "tag", "start", "stop"])
 
@@ -439,7 +516,7 @@ def _splitters(docs: DataFrame, parts: int) -> list[bytes]:
     def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             texts = [t.encode()[: 1 << 14] if t else b"" for t in column(batch, "text").to_pylist()]
-            _, owner, first, _ = ranges_of(texts)
+            _, owner, first, _, _ = ranges_of(texts)
             strings = [texts[o][f : f + 32] for o, f in zip(owner[::3], first[::3], strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(strings, pa.binary())], ["s"])
 
@@ -461,25 +538,29 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     parts = max(default_partitions(docs.sparkSession), -(-size // PART_BYTES))
     splitters = _splitters(rows.drop("rest"), parts)
     buckets = rows.select("key", "tag", "text").mapInArrow(_bucketed(parts), _BUCKETS)
-    found = buckets.groupBy("bucket").applyInArrow(_repeated, _REPEATED)
+    found = buckets.repartition(parts, "bucket").groupBy("bucket").applyInArrow(_repeated, _REPEATED)
     found = found.groupBy("key", "tag").agg(F.collect_list(F.struct("tag", "first", "span", "times")).alias("found"))
     # the same exchange of the texts serves this join and the last one; texts of one id, or of none, are dealt by their tags
     placed = rows.repartition(parts, "key", "tag")
     suffixes = placed.join(found, ["key", "tag"], "left").select(*placed.columns, "found").mapInArrow(_suffix_runs(splitters, parts), _EXCHANGE)
-    strings = suffixes.groupBy("part").applyInArrow(_merge_suffixes(splitters, parts), _EXCHANGE)
-    spans = strings.groupBy("part").applyInArrow(_merge_strings(parts), _SPANS)
+    # as many tasks as parts, which are not of one size
+    strings = suffixes.repartition(parts, "part").groupBy("part").applyInArrow(_merge_suffixes(splitters, parts), _EXCHANGE)
+    spans = strings.repartition(parts, "part").groupBy("part").applyInArrow(_merge_strings(parts), _SPANS)
     spans = spans.groupBy("key", "tag").agg(F.collect_list(F.struct("tag", "start", "stop")).alias("spans"))
     return placed.join(spans, ["key", "tag"], "left").select("key", "tag", "text", "rest", "spans")
 
 
-def _joined(spans: list[dict] | None, tag: int) -> list[list[int]]:
-    """Maximal removed runs of one text."""
-    out: list[list[int]] = []
-    for start, stop in sorted((s["start"], s["stop"]) for s in spans or () if s["tag"] == tag):
-        if out and start <= out[-1][1]:
-            out[-1][1] = max(stop, out[-1][1])
-        else:
-            out.append([start, stop])
+def _joined(batch: pa.RecordBatch) -> list[list[list[int]]]:
+    """Maximal removed runs of each text."""
+    row, spans = _flat(column(batch, "spans"))
+    own = spans.field("tag").to_numpy() == column(batch, "tag").to_numpy()[row]
+    row, start, stop = row[own], *(spans.field(c).to_numpy()[own].astype(np.int64) for c in ("start", "stop"))
+    order = np.lexsort((start, row))
+    row, start, stop = row[order], start[order], stop[order]
+    first, until = _united(np.r_[True, row[1:] != row[:-1]][: len(row)], start, stop)
+    out: list[list[list[int]]] = [[] for _ in range(batch.num_rows)]
+    for i, *span in zip(row[first].tolist(), start[first].tolist(), until.tolist(), strict=True):
+        out[i].append(span)
     return out
 
 
@@ -496,10 +577,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            spans, kept = [], []
-            for tag, text, found in zip(*(column(batch, c).to_pylist() for c in ("tag", "text", "spans")), strict=True):
-                spans.append(_joined(found, tag))
-                kept.append(_kept(text.encode(), spans[-1]))
+            spans = _joined(batch)
+            kept = [_kept(text, some) for text, some in zip(column(batch, "text").cast(pa.binary()).to_pylist(), spans, strict=True)]
             key = column(batch, "key")
             key = pa.compute.if_else(pa.compute.equal(key, NULL_ID), pa.scalar(None, pa.int64()), key)
             arrays = [key, pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array(kept, pa.binary())]
@@ -518,8 +597,6 @@ def digests(rows: DataFrame) -> DataFrame:
     )
 
 
-
-
 def clean_texts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` with what remains of their texts; a character that is cut goes with the cut.
 
@@ -532,9 +609,10 @@ def clean_texts(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            texts = []
-            for tag, text, spans in zip(*(column(batch, c).to_pylist() for c in ("tag", "text", "spans")), strict=True):
-                texts.append(_kept(text.encode(), _joined(spans, tag)).decode("utf-8", "ignore") if spans else text)
+            texts = column(batch, "text").to_pylist()
+            for i, spans in enumerate(_joined(batch)):
+                if spans:
+                    texts[i] = _kept(texts[i].encode(), spans).decode("utf-8", "ignore")
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), column(batch, "rest")], ["text", "rest"])
 
     cleaned = found.mapInArrow(run, found.select("text", "rest").schema)

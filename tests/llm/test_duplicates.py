@@ -4,7 +4,9 @@ import random
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
+import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -69,6 +71,37 @@ def test_suffix_frequent_pieces(spark, monkeypatch):
     assert suffix_rows(df.coalesce(1)) == want
 
 
+def test_candidates_of_a_frequent_piece_meet_whole():
+    """A piece that occurs 5,000 times does not turn its candidates into single strings."""
+    rng = random.Random(5)
+    records = sorted((bytes(rng.choices(b"abcd", k=120)), i, 7, 3, 1, 5_000) for i in range(50))
+    runs = suffix.Runs(suffix._by_range([]), 1, 0)
+    runs.records = list(records)
+    sent = suffix._merge_suffixes([], 1)((pa.scalar(0),), pa.Table.from_batches(runs.batches(last=True))).to_pylist()
+    assert sum(len(zstandard.decompress(r["lengths"])) for r in sent if r["lengths"]) == len(records)
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_candidates_of_one_piece_settle_alike(monkeypatch, seed):
+    """Pair by pair, sorted by distance, or string by string: the same bytes repeat."""
+    rng = random.Random(seed)
+    piece, group = b"0123456789abcdefghijklmn", []
+    for _ in range(12):
+        left, right = (b"".join(rng.choices([b"ab" * 4, b"cd" * 4], k=10)) for _ in range(2))
+        left = left[-rng.randint(1, 76) :]
+        right = right[: rng.randint(76 - len(left), 76)]
+        group.append((b"h" * 8 + bytes([len(left)]) + left + piece + right, rng.randint(0, 2), rng.randint(0, 1), rng.randint(0, 2) * 5, 1, 12))
+    seen, want = {}, set()
+    for s, k, t, at, *_ in sorted(group, key=lambda r: (r[1], r[2], r[3] + r[0][8])):
+        for i in range(9, len(s) - 99):
+            place = (k, t, at + i - 9)
+            if seen.setdefault(s[i : i + 100], place) != place:
+                want |= {(k, t, place[2] + j) for j in range(100)}
+    for most in (40, 0):
+        monkeypatch.setattr(suffix, "ALL_PAIRS", most)
+        assert {(k, t, i) for k, t, a, b in suffix._settle_piece(group).tolist() for i in range(a, b)} == want
+
+
 def test_suffix_of_many_rows_without_an_id(spark):
     """Rows without an id follow each other by a hash of their texts, and are dealt by it."""
     docs = [(None, f"{i} " * 20 + brute.LONG + "z" * i) for i in range(12)] + [(1, brute.LONG + "end"), (1, "another " + brute.LONG)]
