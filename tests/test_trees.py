@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridsieve.operators import attribution, ensemble, forest, learn, ridge
+from gridsieve.queries import QUERIES
 from gridsieve.session import new_path
 from gridsieve.sources.sinks import is_written
 
@@ -134,6 +135,52 @@ def test_sampled_values_are_shapley_values(spark, data, fitted):
     pd.testing.assert_frame_equal(got.sort_values(["id", "feature"], ignore_index=True), again.sort_values(["id", "feature"], ignore_index=True))
 
 
+def test_sampled_values_of_tables_and_of_paths_are_the_same(spark, data, fitted, monkeypatch):
+    """Mixtures are looked up, not scored one by one; a tree whose table would be too large is scored."""
+    _, df = data
+    trees = fitted[1]
+    base = attribution.background_rows(df, NAMES, F.col("id"), 5)
+    few = df.filter("id < 300").withColumn("a", F.when(F.col("id") != 7, F.col("a")))
+    path = new_path(spark, "t-phi")
+    looked_up = attribution.sampled_contributions(few, ["id"], trees, base, F.col("id"), path=path).toPandas()
+    wide = spark.read.parquet(path)
+    assert wide.columns == ["id", "value", "phi"] and wide.count() == few.count()
+    scored = []
+    monkeypatch.setattr(forest, "predictions", lambda *a: scored.append(1))
+    parts = attribution._steps(trees, base)
+    x, keys = np.random.default_rng(2).normal(size=(50, 3)), np.arange(50)
+    found = attribution._from_steps(parts, x, keys, len(base))
+    monkeypatch.undo()
+    assert not scored
+    np.testing.assert_allclose(found, attribution._from_paths(trees, base, x, keys), atol=1e-12)
+    monkeypatch.setattr(attribution, "TABLE", 8)
+    assert attribution._steps(trees, base) is None
+    walked = attribution.sampled_contributions(few, ["id"], trees, base, F.col("id")).toPandas()
+    assert walked["value"].isna().sum() == 1
+    pd.testing.assert_frame_equal(*(t.sort_values(["id", "feature"], ignore_index=True) for t in (looked_up, walked)), rtol=1e-9, atol=1e-12)
+
+
+def test_sampled_shapley_query_shuffles_no_row(spark, sf_dir, monkeypatch):
+    """The values of a row are summed where they lie: only totals are exchanged once they are made."""
+    plans, made, frame = [], attribution.sampled_contributions, type(spark.range(1))
+    first = frame.first
+
+    def noted(*a, **k):
+        plans.append(None)
+        return made(*a, **k)
+
+    def seen(df):
+        if plans:
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return first(df)
+
+    monkeypatch.setattr(attribution, "sampled_contributions", noted)
+    monkeypatch.setattr(frame, "first", seen)
+    assert all(r.holds for r in QUERIES["i17_sampled_shapley"](spark, sf_dir).collect())
+    texts = [p for p in plans if p]
+    assert texts and not any("row_key" in line for p in texts for line in p.splitlines() if "hashpartitioning" in line)
+
+
 def test_sampled_values_of_a_line_are_exact(data):
     pdf, df = data
     line = ridge.RidgeFit(["a", "c"], np.array([3.0, -1.0]), 5.0)
