@@ -40,7 +40,8 @@ def bootstrap_sums(df: DataFrame, key: Column, by: Sequence[str], value: str, n_
     """(by, n_draws array<long>, sums array<double>): Poisson weights and weighted sums of every member per group.
 
     One scan: a task adds up all members of its rows, so rows are not copied per member. The weights are those of
-    poisson_bootstrap; a row whose value is NULL has no part in it.
+    poisson_bootstrap; a row whose value is NULL has no part in it. Whole numbers and fractions are added up apart, so that
+    the order of the rows hardly shows in the sums.
     """
     blocks = -(-n_members // DRAWS_PER_DIGEST)
     digests = F.concat(*[digest_draws(key, b, seed) for b in range(blocks)])
@@ -51,17 +52,22 @@ def bootstrap_sums(df: DataFrame, key: Column, by: Sequence[str], value: str, n_
             if not len(pdf):
                 continue
             counts, values = poisson1_counts(pdf["_d"], n_members).astype(np.int64), pdf["_v"].to_numpy()
+            finite = np.isfinite(values)
+            whole = np.where(finite, np.floor(values), values)
+            rest = np.where(finite, values - whole, 0.0)
             groups = pdf.groupby(list(by), dropna=False, sort=False).indices.values() if by else [np.arange(len(pdf))]
             groups = list(groups)
             out = pdf[list(by)].iloc[[g[0] for g in groups]].reset_index(drop=True)
             out["n_draws"] = [counts[g].sum(0) for g in groups]
-            out["sums"] = [values[g] @ counts[g] for g in groups]
+            out["sums"] = [whole[g] @ counts[g] for g in groups]
+            out["rests"] = [rest[g] @ counts[g] for g in groups]
             yield out
 
     kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.select(*by).schema.fields)
-    parts = rows.mapInPandas(add, kinds + "n_draws array<long>, sums array<double>")
-    each = [F.sum(F.col(c)[i]) for c in ("n_draws", "sums") for i in range(n_members)]
-    return parts.groupBy(*by).agg(F.array(*each[:n_members]).alias("n_draws"), F.array(*each[n_members:]).alias("sums"))
+    parts = rows.mapInPandas(add, kinds + "n_draws array<long>, sums array<double>, rests array<double>")
+    each = {c: [F.sum(F.col(c)[i]) for i in range(n_members)] for c in ("n_draws", "sums", "rests")}
+    sums = [a + b for a, b in zip(each["sums"], each["rests"], strict=True)]
+    return parts.groupBy(*by).agg(F.array(*each["n_draws"]).alias("n_draws"), F.array(*sums).alias("sums"))
 
 
 #: Rows that share a part of the last level of an exact bootstrap, on average at most, and parts of each level.
